@@ -25,8 +25,8 @@ from .tokenization import encoder, spans_of_rows, utf8_buffers
 
 SIZE = 1024
 SENTENCE_PENALTY = 2
-INNER_PENALTY = 24
-INNER_STEP = 64
+INNER_PENALTY = 8
+INNER_STEP = 24
 _SEQUENCES_PER_PARTITION = 1 << 32
 
 
