@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, token_output
+from . import decontamination, media, packing, token_output
 from .common import materialize, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,6 +32,26 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+_OP7_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, {_OP7_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_OP7_WORDS} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, list_slice(w, p, p + 9) AS win FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT len(win) AS l FROM iw),
+dw AS (SELECT doc_id, p, l, list_slice(w, p, p + l - 1) AS win FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS p FROM d, sizes)),
+hit AS (SELECT DISTINCT doc_id, p, l, item_id FROM dw JOIN iw USING (win)),
+hw AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + l)) AS q FROM hit) GROUP BY doc_id),
+hi AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(k, ',' ORDER BY k)) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(hw.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(hi.n_items, 0) AS BIGINT) AS n_items, coalesce(hi.s, sha256('')) AS items_sha256, coalesce(hw.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hw ON hw.doc_id = d.doc_id LEFT JOIN hi ON hi.doc_id = d.doc_id
+"""
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     store = token_output.write_tokens(docs, TOKENIZER)
@@ -39,8 +59,8 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_signature_sniffing, op6_packing, op10_token_output)}
+    return {f.__name__: f for f in (op4_signature_sniffing, op6_packing, op7_decontamination, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_decontamination": OP7_SQL}
