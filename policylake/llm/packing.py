@@ -26,7 +26,7 @@ from .tokenization import encoder, spans_of_rows, utf8_buffers
 SIZE = 1024
 SENTENCE_PENALTY = 2
 INNER_PENALTY = 8
-INNER_STEP = 24
+INNER_STEP = 8
 _SEQUENCES_PER_PARTITION = 1 << 32
 
 
