@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, media, packing, token_output
+from . import decontamination, line_dedup, media, packing, token_output
 from .common import materialize, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,6 +52,12 @@ FROM d LEFT JOIN hw ON hw.doc_id = d.doc_id LEFT JOIN hi ON hi.doc_id = d.doc_id
 """
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"] + 1)
+    return kept.select("doc_id", "n_lines", gone.alias("n_removed"), F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     store = token_output.write_tokens(docs, TOKENIZER)
@@ -59,7 +65,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_signature_sniffing, op6_packing, op7_decontamination, op10_token_output)}
+    return {f.__name__: f for f in (op4_signature_sniffing, op6_packing, op7_decontamination, op9_line_dedup, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
