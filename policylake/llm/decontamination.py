@@ -47,16 +47,16 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col
         .where("rarest.n > 0")  # a word that no document has: the window occurs nowhere
         .select("win", F.col("rarest.word").alias("word"), F.col("rarest.offset").alias("offset"))
     )
-    # One row per prefix word, so that a document word meets one row; hot words have their windows in it.
-    prefixes = ranked.groupBy("word").agg(F.collect_list(F.struct("offset", "win")).alias("candidates"))
+    # Generate, join and comparison stay in one generated loop, so that the words of a row are not copied for each of them.
     here = docs.select(*_key(id_col, text_col), words(text_col).alias("w")).select("k1", "k2", "w", F.posexplode_outer("w").alias("at", "word"))
-    if few:
-        met = here.join(F.broadcast(prefixes), "word")
-    else:  # the words go by shuffle, without the texts
-        met = here.select("k1", "k2", "at", "word").join(prefixes, "word").join(docs.select(*_key(id_col, text_col), words(text_col).alias("w")).dropDuplicates(["k1", "k2"]), ["k1", "k2"])
-    fits = F.filter("candidates", lambda c: (F.col("at") >= c["offset"]) & (F.col("at") - c["offset"] + F.size(c["win"]) <= F.size("w")) & (F.slice("w", F.col("at") - c["offset"] + 1, F.size(c["win"])) == c["win"]))
-    hits = met.select("k1", "k2", "at", fits.alias("hits")).where(F.size("hits") > 0).select("k1", "k2", "at", F.explode("hits").alias("h"))
-    hits = hits.select("k1", "k2", (F.col("at") - F.col("h.offset")).alias("start"), F.size("h.win").alias("length"), F.col("h.win").alias("win"))
+    if not few:  # the words go by shuffle, without the texts
+        met = here.select("k1", "k2", "at", "word").join(ranked, "word")
+        here = met.join(docs.select(*_key(id_col, text_col), words(text_col).alias("w")).dropDuplicates(["k1", "k2"]), ["k1", "k2"]).select("k1", "k2", "w", "at", "word")
+    at, offset, length = F.col("at"), F.col("offset"), F.size("win")
+    bounds = (at >= offset) & (at - offset + length <= F.size("w"))
+    same = F.slice("w", F.greatest(at - offset, F.lit(0)) + 1, length) == F.col("win")
+    hits = here.join(small(ranked), "word").where(bounds & same)
+    hits = hits.select("k1", "k2", (at - offset).alias("start"), length.alias("length"), "win")
     return hits.join(small(wins) if few else wins, "win").select("k1", "k2", "start", "length", "item").distinct()
 
 
