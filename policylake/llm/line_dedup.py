@@ -21,14 +21,28 @@ DIVISOR = 2
 #: Line hashes in the rolling hash.
 ROLL = 2
 #: A line of so many words is a chunk of its own.
-LONG_LINE = 40
+LONG_LINE = 25
 #: Shortest run that is removed, in words.
 MIN_WORDS = 25
+#: Shortest chunk that is looked up in other documents, in words.
+SEED_WORDS = 6
 _CUT = "(?<=\\n)|(?<=[.!?] )"
+_MARK = "\x01"
 
 
-def _trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, "^[ \\t\\r\\n]+|[ \\t\\r\\n]+$", "")
+def split_lines(text: Column) -> Column:
+    """Lines of a text, cut after line breaks and sentence ends; they join to the text again.
+
+    Literal replacements and a split at one character are far cheaper than the pattern, which stays for texts with that character."""
+    marked = text
+    for end in ("\n", ". ", "! ", "? "):
+        marked = F.replace(marked, F.lit(end), F.lit(end + _MARK))
+    return F.when(F.contains(text, F.lit(_MARK)), F.split(text, _CUT)).otherwise(F.split(marked, _MARK))
+
+
+def _bare(line: Column) -> Column:
+    """A line without its line break and the blanks around it."""
+    return F.trim(F.replace(line, F.lit("\n"), F.lit("")))
 
 
 def _n_words(line: Column) -> Column:
@@ -36,11 +50,15 @@ def _n_words(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
+def _sum_words(lines: Column) -> Column:
+    return F.aggregate(lines, F.lit(0), lambda a, x: a + _n_words(_bare(x)))
+
+
 def chunks(df: DataFrame, text_col: str = "text", divisor: int = DIVISOR, roll: int = ROLL, long_line: int = LONG_LINE) -> DataFrame:
     """Add lines (array of strings that join to the text), h (their hashes) and ch (chunks as first, last, hash)."""
-    df = df.withColumn("lines", F.split(F.coalesce(F.col(text_col), F.lit("")), _CUT))
-    df = df.withColumn("h", F.transform("lines", lambda x: F.xxhash64(F.trim(F.translate(x, "\n\r\t", "   ")))))  # blanks around a line don't count
-    df = df.withColumn("long", F.transform("lines", lambda x: _n_words(x) >= long_line))
+    df = df.withColumn("lines", split_lines(F.coalesce(F.col(text_col), F.lit(""))))
+    df = df.withColumn("h", F.transform("lines", lambda x: F.xxhash64(_bare(x))))
+    df = df.withColumn("long", F.transform("lines", lambda x: F.when(F.octet_length(x) < 2 * long_line - 1, F.lit(False)).otherwise(_n_words(_bare(x)) >= long_line)))
 
     def rolled(i: Column) -> Column:
         r = F.col("h")[i]
@@ -53,7 +71,7 @@ def chunks(df: DataFrame, text_col: str = "text", divisor: int = DIVISOR, roll:
     df = df.withColumn("ends", F.filter(F.sequence(F.lit(0), n - 1), last))
     first = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("ends", k - 1) + 1)
     ch = F.transform("ends", lambda e, k: F.struct(first(k).alias("first"), e.alias("last"), F.xxhash64(F.slice("h", first(k) + 1, e - first(k) + 1)).alias("hash")))
-    return df.withColumn("ch", ch).drop("long", "ends")
+    return df.withColumn("ch", ch).drop("ends")
 
 
 def _row_key(id_col: str, text_col: str) -> list[Column]:
@@ -68,51 +86,69 @@ def _common(mine: str, theirs: str) -> Column:
     return F.when(F.size(unlike) > 0, unlike[0]).otherwise(n)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, divisor: int = DIVISOR, roll: int = ROLL, long_line: int = LONG_LINE) -> DataFrame:
-    """All rows of ``docs``, their texts without repeated passages, and n_lines, removed (line ranges as first and last, merged).
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, divisor: int = DIVISOR, roll: int = ROLL, long_line: int = LONG_LINE, seed_words: int = SEED_WORDS) -> DataFrame:
+    """All rows of ``docs``, their texts without repeated passages, and removed (line ranges as first and last, merged).
 
-    Order of documents: ``id_col`` ascending, a null id last; the first occurrence of a passage stays, also within a
-    document. Rows alike in id and text are one document given again: all keep the same text. Null texts stay null, empty
-    ones empty; a text all of which goes becomes empty. Runs under ``min_words`` words stay. Other columns stay as they
-    are; none may be called n_lines or removed. An empty table gives an empty table.
+    A chunk of two lines or more, or of one long line, with ``seed_words`` words is looked up in all documents. Order of
+    documents: ``id_col`` ascending, a null id last; the first occurrence of a passage stays, also within a document. Rows
+    alike in id and text are one document given again: all keep the same text. Null texts stay null, empty ones empty; a
+    text all of which goes becomes empty. Runs under ``min_words`` words stay. Other columns stay as they are; none may be
+    called removed. An empty table gives an empty table.
     """
-    if clash := {"n_lines", "removed", "k1", "k2", "lines", "h", "ch"} & set(docs.columns):
+    if clash := {"removed", "k1", "k2", "lines", "h", "ch", "long"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are there already")
-    spark = docs.sparkSession
     settings = (text_col, divisor, roll, long_line)
-    # Repeated chunks, from hashes alone; null ids order last. The outer form of explode keeps Spark from adding a filter that
-    # would be pushed down and compute every array again for each of its elements.
+    # Chunks worth looking up, as hashes. The outer form of explode keeps Spark from adding a filter that would be pushed
+    # down and compute every array again for each of its elements.
+    cut = chunks(docs.select(id_col, text_col, *_row_key(id_col, text_col)), *settings)
+    worth = lambda c: ((c["last"] > c["first"]) | F.col("long")[c["first"]]) & (_sum_words(F.slice("lines", c["first"] + 1, c["last"] - c["first"] + 1)) >= seed_words)
+    seeds = F.filter(F.transform("ch", lambda c, k: F.struct(k.alias("k"), F.when(worth(c), c["hash"]).alias("hash"))), lambda s: s["hash"].isNotNull())
+    some = materialize(cut.withColumn("seeds", seeds).select(id_col, "k1", "k2", F.explode_outer("seeds").alias("s")).select(id_col, "k1", "k2", "s.k", "s.hash"), "line-seeds").where("hash IS NOT NULL")
     place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("k1"), F.col("k2"), F.col("k"))
-    some = chunks(docs.select(id_col, text_col, *_row_key(id_col, text_col)), *settings).select(id_col, "k1", "k2", F.posexplode_outer("ch").alias("k", "c")).select(id_col, "k1", "k2", "k", "c.hash")
-    lowest, highest = F.min(place), F.max(place)
-    repeated = some.groupBy("hash").agg(lowest.alias("kept"), highest.alias("top")).where("kept <> top").select("hash", F.col("kept.k1").alias("o1"), F.col("kept.k2").alias("o2"), F.col("kept.k").alias("o"))
+    repeated = some.groupBy("hash").agg(F.min(place).alias("kept"), F.max(place).alias("top")).where("kept <> top").select("hash", F.col("kept.k1").alias("o1"), F.col("kept.k2").alias("o2"), F.col("kept.k").alias("o"))
     met = some.select("k1", "k2", "k", "hash").join(repeated, "hash")
-    marked = materialize(met.groupBy("k1", "k2").agg(F.collect_set(F.struct("k", "hash", ((F.col("k1") == F.col("o1")) & (F.col("k2") == F.col("o2")) & (F.col("k") == F.col("o"))).alias("kept"))).alias("seen")), "line-chunks")
-    # Bytes of repeated chunks and of the chunks around them.
+    seen = F.sort_array(F.collect_set(F.struct("k", "hash", "o1", "o2", "o")))
+    marked = materialize(met.groupBy("k1", "k2").agg(seen.alias("seen")), "line-repeats")
+    # Bytes of the repeated chunks. Those around them come along where they aren't looked up against the same place.
     keyed = docs.select(*docs.columns, *_row_key(id_col, text_col))
-    texts = keyed.select("k1", "k2", text_col).join(marked, ["k1", "k2"])
-    cut = chunks(texts, *settings).select("k1", "k2", "lines", "ch", "seen")
-    clean = lambda part: F.transform(part, lambda x: _trimmed(x))
-    one = cut.select("k1", "k2", "lines", "ch", F.explode_outer("seen").alias("s")).select("k1", "k2", "lines", "ch", "s.*").withColumn("c", F.get("ch", F.col("k")))
+    cut = chunks(keyed.select("k1", "k2", text_col).join(marked, ["k1", "k2"]), *settings)
     span = lambda c: F.slice("lines", c["first"] + 1, c["last"] - c["first"] + 1)
+    bare = lambda part: F.transform(part, lambda x: _bare(x))
     none = F.array().cast("array<string>")
-    before = F.when(F.col("k") > 0, F.reverse(clean(span(F.get("ch", F.col("k") - 1))))).otherwise(none)
-    after = F.when(F.col("k") + 1 < F.size("ch"), clean(span(F.get("ch", F.col("k") + 1)))).otherwise(none)
-    one = one.select("k1", "k2", "hash", "kept", "c.first", "c.last", clean(span(F.col("c"))).alias("body"), before.alias("before"), after.alias("after")).dropDuplicates(["k1", "k2", "first"])
-    first_ones = one.where("kept").select("hash", F.col("body").alias("o_body"), F.col("before").alias("o_before"), F.col("after").alias("o_after"))
-    others = one.where("NOT kept").join(first_ones, "hash").where("body = o_body")
-    others = others.withColumn("up", _common("before", "o_before")).withColumn("down", _common("after", "o_after"))
-    count = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + _n_words(x))
-    size = count(F.col("body")) + count(F.slice("before", 1, F.col("up"))) + count(F.slice("after", 1, F.col("down")))
-    gone = others.where(size >= min_words).groupBy("k1", "k2").agg(F.collect_set(F.struct((F.col("first") - F.col("up")).alias("first"), (F.col("last") + F.col("down")).alias("last"))).alias("ranges"))
+
+    def part(s: Column, i: Column) -> Column:
+        c = F.get("ch", s["k"])
+        kept = (s["o1"] == F.col("k1")) & (s["o2"] == F.col("k2")) & (s["o"] == s["k"])
+        beside = {}
+        for name, step in (("before", -1), ("after", 1)):
+            other = F.get("ch", s["k"] + step)
+            there = F.when(s["k"] + step < 0, False).otherwise(other.isNotNull())
+            next_seen = F.when(i + step < 0, F.lit(None)).otherwise(F.get("seen", i + step))
+            # The neighbour is looked up at the neighbouring place itself: only its size counts here.
+            along = ~kept & F.coalesce((next_seen["k"] == s["k"] + step) & (next_seen["o"] == s["o"] + step) & (next_seen["o1"] == s["o1"]) & (next_seen["o2"] == s["o2"]), F.lit(False))
+            lines = bare(span(other))
+            beside[name] = F.when(~there | along, none).otherwise(F.reverse(lines) if step < 0 else lines)
+            beside[name + "_words"] = F.when(there & along, _sum_words(span(other))).otherwise(0)
+        return F.struct(s["hash"].alias("hash"), kept.alias("kept"), c["first"].alias("first"), c["last"].alias("last"), bare(span(c)).alias("body"), *[v.alias(k) for k, v in beside.items()])
+
+    one = cut.withColumn("parts", F.transform("seen", part)).select("k1", "k2", F.explode_outer("parts").alias("p")).select("k1", "k2", "p.*")
+    first_ones = one.where("kept").groupBy("hash").agg(F.first(F.struct("body", "before", "after")).alias("o"))  # rows given again have it more than once
+    others = one.where("NOT kept").join(first_ones, "hash").where("body = o.body")
+    others = others.withColumn("up", _common("before", "o.before")).withColumn("down", _common("after", "o.after"))
+    size = _sum_words(F.col("body")) + F.col("before_words") + F.col("after_words") + _sum_words(F.slice("before", 1, F.col("up"))) + _sum_words(F.slice("after", 1, F.col("down")))
+    others = others.select("k1", "k2", "first", "last", "up", "down", size.alias("words"))
+    gone = others.groupBy("k1", "k2").agg(F.collect_set(F.when(F.col("words") >= min_words, F.struct((F.col("first") - F.col("up")).alias("first"), (F.col("last") + F.col("down")).alias("last")))).alias("ranges"))
     # Merge ranges and keep what lies between them.
     empty = "array<struct<first:int,last:int>>"
     joined = lambda a, r: F.when(F.size(a) == 0, F.array(r)).when(F.element_at(a, -1)["last"] + 1 >= r["first"], F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["first"].alias("first"), F.greatest(F.element_at(a, -1)["last"], r["last"]).alias("last"))))).otherwise(F.concat(a, F.array(r)))
-    gone = gone.withColumn("removed", F.aggregate(F.sort_array("ranges"), F.array().cast(empty), joined)).drop("ranges")
-    out = keyed.join(gone, ["k1", "k2"], "left").withColumn("lines", F.split(F.col(text_col), _CUT))
-    begins = F.concat(F.array(F.lit(0)), F.transform("removed", lambda r: r["last"] + 1))
-    stops = F.concat(F.transform("removed", lambda r: r["first"]), F.array(F.size("lines")))
-    left = F.array_join(F.transform(F.arrays_zip(begins.alias("b"), stops.alias("e")), lambda z: F.array_join(F.slice("lines", z["b"] + 1, F.greatest(z["e"] - z["b"], F.lit(0))), "")), "")
-    text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(left)
-    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size("lines")).cast("long")
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], n_lines.alias("n_lines"), F.coalesce("removed", F.array().cast(empty)).alias("removed"))
+    gone = gone.withColumn("removed", F.aggregate(F.sort_array("ranges"), F.array().cast(empty), joined)).select("k1", "k2", "removed")
+    out = keyed.join(gone, ["k1", "k2"], "left")
+
+    def kept_of(lines: Column) -> Column:
+        begins = F.concat(F.array(F.lit(0)), F.transform("removed", lambda r: r["last"] + 1))
+        stops = F.concat(F.transform("removed", lambda r: r["first"]), F.array(F.size(lines)))
+        return F.array_join(F.transform(F.arrays_zip(begins.alias("b"), stops.alias("e")), lambda z: F.array_join(F.slice(lines, z["b"] + 1, F.greatest(z["e"] - z["b"], F.lit(0))), "")), "")
+
+    left = F.transform(F.array(split_lines(F.col(text_col))), kept_of)[0]  # a lambda's variable is computed once
+    text = F.when(F.coalesce(F.size("removed"), F.lit(0)) <= 0, F.col(text_col)).otherwise(left)
+    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce("removed", F.array().cast(empty)).alias("removed"))

@@ -14,45 +14,50 @@ def _xx(data: bytes) -> int:
     return xxhash.xxh64_intdigest(data, seed=42)
 
 
-def line_dedup(rows: list[tuple], min_words: int, divisor: int, roll: int, long_line: int) -> dict:
+def line_dedup(rows: list[tuple], min_words: int, divisor: int, roll: int, long_line: int, seed_words: int) -> dict:
     """{(id, text): text without repeated passages} for rows of (id, text)."""
     docs = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0))
     words = lambda line: line.count(" ") + 1
-    cut, chunks_of = {}, {}
-    for doc in docs:
-        lines = [x for x in re.split(r"(?<=\n)|(?<=[.!?] )", doc[1])]
-        if len(lines) > 1 and lines[-1] == "" and not doc[1].endswith(("\n", ". ", "! ", "? ")):
-            lines.pop()
-        hashes = [_xx(x.translate({10: " ", 13: " ", 9: " "}).strip(" ").encode()) for x in lines]
+    bare = lambda line: line.replace("\n", "").strip(" ")
+    lines_of, chunks_of, seen = [], [], defaultdict(list)
+    for n, doc in enumerate(docs):
+        lines = re.split(r"(?<=\n)|(?<=[.!?] )", doc[1])
+        clean = [bare(x) for x in lines]
+        hashes = [_xx(x.encode()) for x in clean]
         ends = []
         for i in range(len(lines)):
             r = 0
-            for k in range(roll):
-                if i >= k:
-                    r ^= hashes[i - k] << k & MASK
-            if i == len(lines) - 1 or words(lines[i]) >= long_line or words(lines[i + 1]) >= long_line or (_signed(r) >> 7) % divisor == 0:
+            for k in range(min(roll, i + 1)):
+                r ^= hashes[i - k] << k & MASK
+            if i == len(lines) - 1 or words(clean[i]) >= long_line or words(clean[i + 1]) >= long_line or (_signed(r) >> 7) % divisor == 0:
                 ends.append(i)
-        starts = [0] + [e + 1 for e in ends[:-1]]
-        cut[doc] = [x.strip(" \t\r\n") for x in lines], lines
-        chunks_of[doc] = list(zip(starts, ends))
-    seen = defaultdict(list)
-    for n, doc in enumerate(docs):
-        for k, (a, b) in enumerate(chunks_of[doc]):
-            seen[tuple(x.translate({10: " ", 13: " ", 9: " "}).strip(" ") for x in cut[doc][1][a : b + 1])].append((n, k))
+        lines_of.append((lines, clean))
+        chunks_of.append(list(zip([0] + [e + 1 for e in ends[:-1]], ends)))
+        for k, (a, b) in enumerate(chunks_of[n]):
+            if (b > a or words(clean[a]) >= long_line) and sum(map(words, clean[a : b + 1])) >= seed_words:
+                seen[tuple(clean[a : b + 1])].append((n, k))
     gone = defaultdict(set)
-    for places in seen.values():
-        (n0, k0), *others = sorted(places)
-        part = lambda n, k: cut[docs[n]][0][slice(chunks_of[docs[n]][k][0], chunks_of[docs[n]][k][1] + 1)] if 0 <= k < len(chunks_of[docs[n]]) else []
-        for n, k in others:
-            body = part(n, k)
-            if body != part(n0, k0):
+    found = {place: min(places) for places in seen.values() if len(places) > 1 for place in places}
+
+    def part(n: int, k: int) -> list:
+        return lines_of[n][1][chunks_of[n][k][0] : chunks_of[n][k][1] + 1] if 0 <= k < len(chunks_of[n]) else []
+
+    for (n, k), (n0, k0) in found.items():
+        if (n, k) == (n0, k0):
+            continue
+        up, down, size = 0, 0, sum(map(words, part(n, k)))
+        for step in (-1, 1):
+            if found.get((n, k + step)) == (n0, k0 + step):
+                size += sum(map(words, part(n, k + step)))
                 continue
-            up = _same(part(n, k - 1)[::-1], part(n0, k0 - 1)[::-1])
-            down = _same(part(n, k + 1), part(n0, k0 + 1))
-            if sum(map(words, body + part(n, k - 1)[::-1][:up] + part(n, k + 1)[:down])) >= min_words:
-                a, b = chunks_of[docs[n]][k]
-                gone[docs[n]] |= set(range(a - up, b + down + 1))
-    return {doc: "".join(x for i, x in enumerate(cut[doc][1]) if i not in gone[doc]) for doc in docs}
+            mine = part(n, k + step)[::step]
+            same = _same(mine, part(n0, k0 + step)[::step])
+            size += sum(map(words, mine[:same]))
+            up, down = (same, down) if step < 0 else (up, same)
+        if size >= min_words:
+            a, b = chunks_of[n][k]
+            gone[n] |= set(range(a - up, b + down + 1))
+    return {doc: "".join(x for i, x in enumerate(lines_of[n][0]) if i not in gone[n]) for n, doc in enumerate(docs)}
 
 
 def _signed(x: int) -> int:
