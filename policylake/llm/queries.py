@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, media, packing, token_output
+from . import decontamination, line_dedup, media, ngram_join, packing, token_output
 from .common import materialize, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = materialize(media.text_to_media(table(spark, sf_dir, "documents")), "media")
     described = media.sample_features(media.sniff_media(stored))
@@ -65,7 +69,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_signature_sniffing, op6_packing, op7_decontamination, op9_line_dedup, op10_token_output)}
+    return {f.__name__: f for f in (op3_ngram_jaccard, op4_signature_sniffing, op6_packing, op7_decontamination, op9_line_dedup, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:

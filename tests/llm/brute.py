@@ -69,3 +69,35 @@ def _same(a: list, b: list) -> int:
     while n < min(len(a), len(b)) and a[n] == b[n]:
         n += 1
     return n
+
+
+def jaccard_components(rows: list[tuple], size: int, num: int, den: int) -> dict:
+    """{row's place: (n_shingles, smallest id of its component)} for rows of (id, text)."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for _, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(low))
+        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
+    with_shingle = defaultdict(list)
+    up = list(range(len(rows)))
+
+    def find(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i, s in enumerate(sets):
+        shared = defaultdict(int)
+        for x in s:
+            for j in with_shingle[x]:
+                shared[j] += 1
+            with_shingle[x].append(i)
+        for j, n in shared.items():
+            if den * n >= num * (len(s) + len(sets[j]) - n):
+                up[find(i)] = find(j)
+    least = {}
+    for i, (key, _) in enumerate(rows):
+        root = find(i)
+        least[root] = min((k for k in (least.get(root), key) if k is not None), default=None)
+    return {i: (len(sets[i]), least[find(i)]) for i in range(len(rows))}
