@@ -6,12 +6,55 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, media, ngram_join, packing, token_output
+from . import decontamination, line_dedup, media, ngram_join, packing, quality, token_output, toxicity, warc
 from .common import materialize, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = lambda c: F.crc32(F.col(c).cast("string")) % 5 == 0
+    grammar = toxicity.train(docs, labels.where(~held_out("doc_id")))
+    scored = toxicity.score(docs.select("doc_id", "text"), grammar)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "heaviest", "matched")
+
+
+def op2_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.crawl_of(table(spark, sf_dir, "pages")))
+    headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    seconds = lambda c: F.unix_seconds(F.col(c))
+    return found.select("record_id", "canonical", seconds("ts").alias("ts"), "response_id", seconds("response_ts").alias("response_ts"), "outcome", headers.alias("headers"), "digest")
+
+
+OP2_SQL = r"""
+WITH p AS (SELECT page_id, url, md5(coalesce(html, '')) AS d, 1700000000 + (page_id % 1000) * 60 AS t FROM pages),
+forms AS (SELECT *, regexp_replace(url, '^https?://', 'http://') || '#again' AS other FROM p),
+rec AS (
+  SELECT page_id * 4 AS id, url, t AS ts, 'response' AS kind, '"' || d || '"' AS etag, 'day 0' AS modified, MAP {'content-type': 'text/html', 'cache-control': 'max-age=60', 'content-length': '32'} AS h, d AS digest FROM forms
+  UNION ALL SELECT page_id * 4 + 1, other, t + 86400, 'revisit', 'W/"' || d || '"', NULL, MAP {'cache-control': 'max-age=600', 'content-length': '0', 'expires': 'never'}, NULL FROM forms
+  UNION ALL SELECT page_id * 4 + 2, url, t + 172800, 'response', '"' || d || '-2"', 'day 2', MAP {'content-type': 'text/html', 'vary': 'accept'}, d FROM forms
+  UNION ALL SELECT page_id * 4 + 3, other, t + 259200, 'revisit', CASE WHEN ascii(d) < 56 THEN '"' || d || '-2"' WHEN ascii(d) < 99 THEN '"' || d || '"' END, CASE WHEN ascii(d) < 101 THEN 'day 2' END, MAP {'cache-control': 'no-store', 'set-cookie': 'x'}, NULL FROM forms),
+u AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM rec),
+v AS (SELECT *, regexp_extract(u, '^([^/?]*)(.*)$', 1) AS host, regexp_replace(regexp_replace(regexp_extract(u, '^([^/?]*)(.*)$', 2), '([?&])(utm_[a-z]+|ref|gclid|fbclid)=[^&]*', '\1', 'g'), '&&+', '&', 'g') AS r FROM u),
+c AS (SELECT *, regexp_replace(lower(host), ':(80|443)$', '') || regexp_replace(regexp_replace(regexp_replace(r, '\?&+', '?', 'g'), '[?&]+$', ''), '/+(\?|$)', '\1') AS canonical FROM v),
+j AS (
+  SELECT v.*, last_value(CASE WHEN kind = 'response' THEN {'id': id, 'ts': ts, 'etag': etag, 'modified': modified, 'h': h, 'digest': digest} END IGNORE NULLS)
+    OVER (PARTITION BY canonical ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM c v),
+o AS (
+  SELECT *, CASE WHEN f IS NULL THEN 'missing'
+    WHEN etag IS NOT NULL AND f.etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = regexp_replace(f.etag, '^W/', '') THEN 'resolved' ELSE 'mismatch' END
+    WHEN modified IS NOT NULL AND f.modified IS NOT NULL THEN CASE WHEN modified = f.modified THEN 'resolved' ELSE 'mismatch' END
+    ELSE 'unvalidated' END AS outcome FROM j WHERE kind = 'revisit'),
+e AS (
+  SELECT *, CASE WHEN outcome IN ('resolved', 'unvalidated') THEN list_concat(
+      list_filter(map_entries(f.h), lambda x: NOT list_contains(list_filter(map_keys(h), lambda k: k IN ('cache-control', 'content-location', 'date', 'etag', 'expires', 'last-modified', 'vary')), x.key)),
+      list_filter(map_entries(h), lambda x: x.key IN ('cache-control', 'content-location', 'date', 'etag', 'expires', 'last-modified', 'vary'))) ELSE map_entries(h) END AS es FROM o)
+SELECT id AS record_id, canonical, ts, f.id AS response_id, f.ts AS response_ts, outcome, array_to_string(list_sort(list_transform(es, lambda x: x.key || '=' || x.value)), ';') AS headers,
+  CASE WHEN outcome IN ('resolved', 'unvalidated') THEN f.digest END AS digest FROM e
+"""
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
@@ -56,6 +99,11 @@ FROM d LEFT JOIN hw ON hw.doc_id = d.doc_id LEFT JOIN hi ON hi.doc_id = d.doc_id
 """
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.resample(docs, table(spark, sf_dir, "labels")).select("doc_id", "n_grams", "log_ratio", "log_weight", "gumbel_key", "kept")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"] + 1)
@@ -69,8 +117,8 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_ngram_jaccard, op4_signature_sniffing, op6_packing, op7_decontamination, op9_line_dedup, op10_token_output)}
+    return {f.__name__: f for f in (op1_toxicity, op2_revisit_resolution, op3_ngram_jaccard, op4_signature_sniffing, op6_packing, op7_decontamination, op8_quality, op9_line_dedup, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": OP7_SQL}
+    return {"op2_revisit_resolution": OP2_SQL, "op7_decontamination": OP7_SQL}
