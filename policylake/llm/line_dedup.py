@@ -106,12 +106,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = materialize(cut.withColumn("seeds", seeds).select(id_col, "k1", "k2", F.explode_outer("seeds").alias("s")).select(id_col, "k1", "k2", "s.k", "s.hash"), "line-seeds").where("hash IS NOT NULL")
     place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("k1"), F.col("k2"), F.col("k"))
     repeated = some.groupBy("hash").agg(F.min(place).alias("kept"), F.max(place).alias("top")).where("kept <> top").select("hash", F.col("kept.k1").alias("o1"), F.col("kept.k2").alias("o2"), F.col("kept.k").alias("o"))
-    met = some.select("k1", "k2", "k", "hash").join(repeated, "hash")
+    met = some.select(id_col, "k1", "k2", "k", "hash").join(repeated, "hash")
     seen = F.sort_array(F.collect_set(F.struct("k", "hash", "o1", "o2", "o")))
-    marked = materialize(met.groupBy("k1", "k2").agg(seen.alias("seen")), "line-repeats")
+    marked = materialize(met.groupBy("k1", "k2").agg(F.min(id_col).alias("id"), seen.alias("seen")), "line-repeats")
     # Bytes of the repeated chunks. Those around them come along where they aren't looked up against the same place.
     keyed = docs.select(*docs.columns, *_row_key(id_col, text_col))
-    cut = chunks(keyed.select("k1", "k2", text_col).join(marked, ["k1", "k2"]), *settings)
+    # Both joins by row have the same keys, the id too, so that the exchange of the texts can be one.
+    on = lambda a, b: (a["k1"] == b["k1"]) & (a["k2"] == b["k2"]) & a[id_col].eqNullSafe(b["id"])
+    texts = keyed.select(id_col, text_col, "k1", "k2")
+    cut = chunks(texts.join(marked, on(texts, marked)).select(texts["k1"], texts["k2"], "id", text_col, "seen"), *settings)
     span = lambda c: F.slice("lines", c["first"] + 1, c["last"] - c["first"] + 1)
     bare = lambda part: F.transform(part, lambda x: _bare(x))
     none = F.array().cast("array<string>")
@@ -131,18 +134,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             beside[name + "_words"] = F.when(there & along, _sum_words(span(other))).otherwise(0)
         return F.struct(s["hash"].alias("hash"), kept.alias("kept"), c["first"].alias("first"), c["last"].alias("last"), bare(span(c)).alias("body"), *[v.alias(k) for k, v in beside.items()])
 
-    one = cut.withColumn("parts", F.transform("seen", part)).select("k1", "k2", F.explode_outer("parts").alias("p")).select("k1", "k2", "p.*")
+    one = cut.withColumn("parts", F.transform("seen", part)).select("k1", "k2", "id", F.explode_outer("parts").alias("p")).select("k1", "k2", "id", "p.*")
     first_ones = one.where("kept").groupBy("hash").agg(F.first(F.struct("body", "before", "after")).alias("o"))  # rows given again have it more than once
     others = one.where("NOT kept").join(first_ones, "hash").where("body = o.body")
     others = others.withColumn("up", _common("before", "o.before")).withColumn("down", _common("after", "o.after"))
     size = _sum_words(F.col("body")) + F.col("before_words") + F.col("after_words") + _sum_words(F.slice("before", 1, F.col("up"))) + _sum_words(F.slice("after", 1, F.col("down")))
-    others = others.select("k1", "k2", "first", "last", "up", "down", size.alias("words"))
-    gone = others.groupBy("k1", "k2").agg(F.collect_set(F.when(F.col("words") >= min_words, F.struct((F.col("first") - F.col("up")).alias("first"), (F.col("last") + F.col("down")).alias("last")))).alias("ranges"))
+    others = others.select("k1", "k2", "id", "first", "last", "up", "down", size.alias("words"))
+    gone = others.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.collect_set(F.when(F.col("words") >= min_words, F.struct((F.col("first") - F.col("up")).alias("first"), (F.col("last") + F.col("down")).alias("last")))).alias("ranges"))
     # Merge ranges and keep what lies between them.
     empty = "array<struct<first:int,last:int>>"
     joined = lambda a, r: F.when(F.size(a) == 0, F.array(r)).when(F.element_at(a, -1)["last"] + 1 >= r["first"], F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["first"].alias("first"), F.greatest(F.element_at(a, -1)["last"], r["last"]).alias("last"))))).otherwise(F.concat(a, F.array(r)))
-    gone = gone.withColumn("removed", F.aggregate(F.sort_array("ranges"), F.array().cast(empty), joined)).select("k1", "k2", "removed")
-    out = keyed.join(gone, ["k1", "k2"], "left")
+    gone = gone.withColumn("removed", F.aggregate(F.sort_array("ranges"), F.array().cast(empty), joined)).select("k1", "k2", "id", "removed")
+    out = keyed.join(gone, on(keyed, gone), "left").select(*(keyed[c] for c in docs.columns), "removed")
 
     def kept_of(lines: Column) -> Column:
         begins = F.concat(F.array(F.lit(0)), F.transform("removed", lambda r: r["last"] + 1))
