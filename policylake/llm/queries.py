@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, media, ngram_join, packing, quality, token_output, toxicity, warc
+from . import decontamination, line_dedup, media, ngram_join, packing, quality, secrets, token_output, toxicity, warc
 from .common import materialize, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -74,6 +74,12 @@ def op4_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.train(secrets.labelled_findings(spark))
+    found = secrets.scan(table(spark, sf_dir, "documents"), model, path_col="source")
+    return found.select("doc_id", "start", F.length("candidate").cast("long").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), F.round("score", 6).alias("score"), "secret")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -117,7 +123,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_revisit_resolution, op3_ngram_jaccard, op4_signature_sniffing, op6_packing, op7_decontamination, op8_quality, op9_line_dedup, op10_token_output)}
+    return {f.__name__: f for f in (op1_toxicity, op2_revisit_resolution, op3_ngram_jaccard, op4_signature_sniffing, op5_secret_scan, op6_packing, op7_decontamination, op8_quality, op9_line_dedup, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
