@@ -6,8 +6,10 @@ two blocks of a large one, stores the sets of a block in a trie and sends every
 have in common is compared once, and a subtree is left as soon as the lengths that remain can't give enough overlap.
 
 What the corpus decides: how common shingles are (a sketch of fixed size, summed over all of it) and which prefixes meet
-(a range-sorted table; neighbours with one shingle are chained, so that a common shingle needs no task of its own). Only
-chains, never all pairs, leave a group: what is asked for are the connected components of the links.
+(a table sorted by shingle and size, over ranges, so that a common shingle needs no task of its own). A few sets with one
+prefix shingle are paired, and a parity bitmap refuses pairs that differ too much: the bits in which two bitmaps differ
+are never more than the shingles in which the sets do. Many sets with one shingle are only chained, and the chain breaks
+where sizes differ too much. What is asked for are the connected components of the links, so no group is ever expanded.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .tokenization import mix64, spans_of_rows, utf8_buffers
 SKETCH_BITS = 18
 #: Shingles of a block; a task holds two blocks.
 BLOCK_SHINGLES = 1_000_000
+#: Up to so many sets that share a prefix shingle are paired; more are chained.
+PAIRED = 32
 _BLOCK_BYTES = 2_000_000
 
 
@@ -183,34 +187,90 @@ def _signatures(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return name.view(np.int64)
 
 
-def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbours with one shingle in a sorted partition, as edges; the first and the last row, which go on in other partitions."""
-    token = node = first = None
-    edges = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        t, s = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if first is None:
-            first = (int(t[0]), int(s[0]))
-        else:
-            t, s = np.append(token, t), np.append(node, s)
-        same = (t[1:] == t[:-1]) & (s[1:] != s[:-1])
-        if same.any():
-            edges.append(np.unique(np.stack([s[:-1][same], s[1:][same]]), axis=1))
-        token, node = t[-1], s[-1]
-        if sum(e.shape[1] for e in edges) > 300_000:
-            edges = [np.unique(np.concatenate(edges, axis=1), axis=1)]
-            if edges[0].shape[1] > 150_000:
-                yield _edge_batch(edges.pop())
-    if edges:
-        yield _edge_batch(np.unique(np.concatenate(edges, axis=1), axis=1))
-    if first is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([first[1], int(node)], pa.int64()), pa.array([None, None], pa.int64()), pa.array([first[0], int(token)], pa.int64())], names=["a", "b", "token"])
-
-
-def _edge_batch(edges: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1]), pa.nulls(edges.shape[1], pa.int64())], names=["a", "b", "token"])
+def _bitmaps(hashes: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """Parity bitmaps, as many bits as a set has shingles, up to a power of two: a bit is set if an odd number fall on it."""
+    n = np.diff(edges)
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(bits)])
+    row = np.repeat(np.arange(len(n)), n)
+    at = base[row] + ((hashes >> np.uint64(7)).astype(np.int64) & (bits[row] - 1))
+    packed = np.packbits((np.bincount(at, minlength=base[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [packed[a:b] for a, b in zip((base[:-1] // 8).tolist(), (base[1:] // 8).tolist())]
+
+
+def _difference(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ, the longer one folded to the shorter's size."""
+    if len(x) < len(y):
+        x, y = y, x
+    bits, a = 8 * len(x), int.from_bytes(x, "little")
+    while bits > 8 * len(y):
+        bits //= 2
+        a = (a >> bits) ^ (a & ((1 << bits) - 1))
+    return (a ^ int.from_bytes(y, "little")).bit_count()
+
+
+def _meet(num: int, den: int):
+    """For a partition of (token, n, s), sorted: edges (a, b, kind) of sets that share a token. Kind 0: a pair to look at;
+    1: a link of a chain. Chained are large groups, and the first and last group, which may go on in other partitions;
+    kind 2 and 3 are the partition's first and last row, b its token."""
+
+    def pairs(n: np.ndarray, s: np.ndarray, out: list) -> None:
+        i, j = np.triu_indices(len(s), 1)
+        fits = den * n[i] >= num * n[j]  # sorted by size: i is not the larger
+        out.append(np.stack([s[i][fits], s[j][fits], np.zeros(int(fits.sum()), np.int64)]))
+
+    def chain(n: np.ndarray, s: np.ndarray, out: list) -> None:
+        fits = den * n[:-1] >= num * n[1:]
+        out.append(np.stack([s[:-1][fits], s[1:][fits], np.ones(int(fits.sum()), np.int64)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[np.ndarray] = []
+        first, token, n, s, chained = None, None, np.empty(0, np.int64), np.empty(0, np.int64), True
+
+        def flush(least: int) -> Iterator[pa.RecordBatch]:
+            if sum(e.shape[1] for e in out) >= least and out:
+                edges = np.unique(np.concatenate(out, axis=1), axis=1)
+                out.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(e) for e in edges], names=["a", "b", "kind"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            t, bn, bs = (batch.column(k).to_numpy() for k in range(3))
+            if first is None:
+                first, token = (int(bs[0]), int(t[0])), int(t[0])
+            cut = np.flatnonzero(t[1:] != t[:-1]) + 1
+            starts, ends = np.append(0, cut), np.append(cut, len(t))
+            some = np.flatnonzero(ends - starts > 1)
+            for g in sorted({0, len(starts) - 1, *some.tolist()}):
+                a, b = int(starts[g]), int(ends[g])
+                gn, gs = bn[a:b], bs[a:b]
+                if int(t[a]) == token:  # goes on from before
+                    gn, gs = np.append(n, gn), np.append(s, gs)
+                else:
+                    if len(s) > 1:
+                        (chain if chained else pairs)(n, s, out)
+                    chained = False
+                    token = int(t[a])
+                if g < len(starts) - 1:
+                    if len(gs) > 1:
+                        (chain if chained or len(gs) > PAIRED else pairs)(gn, gs, out)
+                    n, s = gn[:0], gs[:0]
+                    token = None
+                else:
+                    if len(gs) > PAIRED:
+                        chained = True
+                        chain(gn, gs, out)
+                        gn, gs = gn[-1:], gs[-1:]
+                    n, s = gn, gs
+            yield from flush(400_000)
+        if first is not None:
+            if len(s) > 1:
+                chain(n, s, out)
+            out.append(np.array([[first[0], s[-1]], [first[1], token], [2, 3]], np.int64))
+            yield from flush(0)
+
+    return run
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -240,17 +300,29 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 first = ranks[order][within < np.repeat(keep, n)].view(np.int64)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), pa.array(first))
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), pa.array(n.astype(np.int64)), pa.array(_signatures(hashes, edges)), prefix], names=["k1", "k2", "n", "s", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), pa.array(n.astype(np.int64)), pa.array(_signatures(hashes, edges)), prefix, pa.array(_bitmaps(hashes, edges), pa.binary())], names=["k1", "k2", "n", "s", "prefix", "bits"])
 
-    described = materialize(keyed.select("k1", "k2", F.col(text_col).alias("text")).mapInArrow(describe, "k1 long, k2 long, n long, s long, prefix array<long>"), "jaccard-sets")
+    described = materialize(keyed.select("k1", "k2", F.col(text_col).alias("text")).mapInArrow(describe, "k1 long, k2 long, n long, s long, prefix array<long>, bits binary"), "jaccard-sets")
     # One row per distinct set; equal sets are one node.
     nodes = described.where("n > 0").groupBy("s").agg(F.min("n").alias("n"), F.min(F.struct("k1", "k2")).alias("key"), F.first("prefix").alias("prefix"))
-    tokens = nodes.select("s", F.explode_outer("prefix").alias("token")).select("token", "s")
+    tokens = nodes.select("s", "n", F.explode_outer("prefix").alias("token")).select("token", "n", "s")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chained = materialize(tokens.repartitionByRange(n_parts, "token", "s").sortWithinPartitions("token", "s").mapInArrow(_chain, "a long, b long, token long"), "jaccard-chains")
-    ends = sorted((r.token, r.a) for r in chained.where("token IS NOT NULL").select("token", "a").collect())  # two rows of each partition
-    over = [(x[1], y[1]) for x, y in zip(ends[:-1], ends[1:]) if x[0] == y[0] and x[1] != y[1]]
-    edges = chained.where("token IS NULL").select("a", "b").distinct()
+    met = materialize(tokens.repartitionByRange(n_parts, "token", "n", "s").sortWithinPartitions("token", "n", "s").mapInArrow(_meet(num, den), "a long, b long, kind long"), "jaccard-meetings")
+    # Chains go on from a partition's last row to the next one's first: two rows of each partition, in the tokens' order.
+    ends = sorted((r.b, -r.kind, r.a) for r in met.where("kind >= 2").collect())
+    over = [(x[2], y[2]) for x, y in zip(ends[:-1], ends[1:]) if x[0] == y[0] and x[2] != y[2]]
+    pairs = met.where("kind = 0").select("a", "b").distinct()
+    sketch = described.where("n > 0").groupBy("s").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
+    left, right = sketch.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), sketch.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, xa, xb = (batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb"))
+            keep = [_difference(x, y) <= m + n - 2 * required(m, n, num, den) for m, n, x, y in zip(na, nb, xa, xb)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    alike = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(look, "a long, b long")
+    edges = alike.union(met.where("kind = 1").select("a", "b").distinct())
     if over:
         edges = edges.union(spark.createDataFrame(over, "a long, b long"))
     groups = materialize(components(edges), "jaccard-groups")
