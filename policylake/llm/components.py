@@ -1,8 +1,9 @@
 """Connected components of a graph given as edges, by alternating stars.
 
-Each partition first contracts its own edges. Then every node hands its larger neighbours to its smallest one (large
-star), and its smaller neighbours to their smallest (small star), until nothing changes: a number of rounds that grows
-with the logarithm of the longest path. A hub's neighbours are never gathered; joins on hubs can be split by Spark.
+Each partition first contracts its own edges. What is left is counted: up to SMALL edges, a fixed size, one task contracts
+them. More go through rounds in which every node hands its larger neighbours to its smallest one (large
+star), and its smaller neighbours to their smallest (small star), until few are left or nothing changes: a number of
+rounds that grows with the logarithm of the longest path. A hub's neighbours are never gathered; joins on hubs can be split by Spark.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
+#: Edges that one task may contract: about 100 MB there.
+SMALL = 1_000_000
+
+
 class Union:
     """Union-find over places 0..n-1; the root is the smallest place."""
 
@@ -66,7 +71,15 @@ def _contract_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _contract_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All of at most SMALL edges at once: what comes out are the components."""
+    got = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+    if got:
+        x, y = contract(*(np.concatenate(c) for c in zip(*got)))
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+
+def components(edges: DataFrame, most_rounds: int = 60, small: int = SMALL) -> DataFrame:
     """(node, root) for all nodes of edges (a, b) of longs; the root is the component's smallest node. Roots have rows too."""
 
     def sign(df: DataFrame) -> tuple:
@@ -79,14 +92,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         after = sign(now)
         if after == before or not after[0]:
             break
+        if after[0] <= small:
+            now = materialize(now.coalesce(1).mapInArrow(_contract_all, "a long, b long"), "edges")
+            break
         before = after
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # large: a > b always. Small star: smaller neighbours and the node itself go to the smallest of them.
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_least, "a")
-        step = small.select(F.col("a"), F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        low = large.join(small_least, "a")
+        step = low.select(F.col("a"), F.col("m").alias("b")).union(low.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         now = materialize(step.mapInArrow(_contract_partition, "a long, b long").distinct(), "edges")
     else:
         raise RuntimeError("components didn't settle")

@@ -30,6 +30,8 @@ from .tokenization import mix64, spans_of_rows, utf8_buffers
 SKETCH_BITS = 18
 #: Shingles of a block; a task holds two blocks.
 BLOCK_SHINGLES = 1_000_000
+#: Bits of the filter that keeps texts out of the exchange which no group wants: half a megabyte on the executors.
+FILTER_BITS = 1 << 22
 #: Up to so many sets that share a prefix shingle are paired; more are chained.
 PAIRED = 32
 _BLOCK_BYTES = 2_000_000
@@ -343,7 +345,18 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("root"), part.column("block"), part.column("tasks"), pa.array([raw[a:b] for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["node", "root", "block", "tasks", "ranks"])
 
-    texts = keyed.select("k1", "k2", F.col(text_col).alias("text")).join(wanted, ["k1", "k2"]).select("node", "root", "block", "tasks", "text")
+    wanted = materialize(wanted, "jaccard-wanted")
+    filled = np.zeros(FILTER_BITS, dtype=bool)
+    filled[wanted.select(F.pmod("k1", F.lit(FILTER_BITS)).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)] = True  # at most FILTER_BITS numbers
+    packed = np.packbits(filled).tobytes()
+
+    def maybe_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(bits[batch.column("k1").to_numpy() % FILTER_BITS]))
+
+    kept = keyed.select("k1", "k2", F.col(text_col).alias("text")).mapInArrow(maybe_wanted, "k1 long, k2 long, text string")
+    texts = kept.join(wanted, ["k1", "k2"]).select("node", "root", "block", "tasks", "text")
     ranked = texts.mapInArrow(rank_rows, "node long, root long, block int, tasks array<struct<i:int,j:int>>, ranks binary")
     ranked = ranked.select("node", "root", "block", "ranks", F.explode_outer("tasks").alias("t")).select("root", "t.i", "t.j", "node", "block", "ranks")
     dealt_out = ranked.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
