@@ -53,7 +53,7 @@ def _png(b: memoryview) -> int | None:
 
 def _jpeg(b: memoryview) -> int | None:
     at = 2
-    while at + 4 <= len(b):
+    while at + 2 <= len(b):
         if b[at] != 0xFF:
             return None
         kind = b[at + 1]
@@ -62,7 +62,7 @@ def _jpeg(b: memoryview) -> int | None:
             continue
         if kind == 0xD9:
             return at + 2
-        (size,) = struct.unpack_from(">H", b, at + 2)
+        (size,) = struct.unpack_from(">H", b, at + 2) if at + 4 <= len(b) else (0,)
         if size < 2 or at + 2 + size > len(b):
             return None
         at += 2 + size

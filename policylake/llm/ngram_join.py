@@ -34,7 +34,7 @@ BLOCK_SHINGLES = 1_000_000
 FILTER_BITS = 1 << 22
 #: Up to so many sets that share a prefix shingle are paired; more are chained.
 PAIRED = 32
-_BLOCK_BYTES = 2_000_000
+_BLOCK_BYTES = 1_000_000
 
 
 def required(a: int, b: int, num: int, den: int) -> int:
