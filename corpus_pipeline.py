@@ -39,7 +39,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 @_stage
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated passages, n_chars as they are then; documents of which nothing is left go."""
-    kept = line_dedup.dedup_lines(docs).where("text IS NULL OR text <> '' OR size(removed) = 0")
+    kept = line_dedup.dedup_passages(docs).where("text IS NULL OR text <> '' OR size(removed) = 0")
     return kept.select(*[F.length("text").cast(kept.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 

@@ -11,7 +11,7 @@ Only hashes are counted over the corpus. Texts move once, by row; Spark reuses t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -26,6 +26,8 @@ LONG_LINE = 25
 MIN_WORDS = 25
 #: Shortest chunk that is looked up in other documents, in words.
 SEED_WORDS = 6
+#: Repeated anchors of a text beyond which all of its runs are looked up.
+MANY_ANCHORS = 500
 _CUT = "(?<=\\n)|(?<=[.!?] )"
 _MARK = "\x01"
 
@@ -141,11 +143,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = _sum_words(F.col("body")) + F.col("before_words") + F.col("after_words") + _sum_words(F.slice("before", 1, F.col("up"))) + _sum_words(F.slice("after", 1, F.col("down")))
     others = others.select("k1", "k2", "id", "first", "last", "up", "down", size.alias("words"))
     gone = others.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.collect_set(F.when(F.col("words") >= min_words, F.struct((F.col("first") - F.col("up")).alias("first"), (F.col("last") + F.col("down")).alias("last")))).alias("ranges"))
-    # Merge ranges and keep what lies between them.
-    empty = "array<struct<first:int,last:int>>"
-    joined = lambda a, r: F.when(F.size(a) == 0, F.array(r)).when(F.element_at(a, -1)["last"] + 1 >= r["first"], F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["first"].alias("first"), F.greatest(F.element_at(a, -1)["last"], r["last"]).alias("last"))))).otherwise(F.concat(a, F.array(r)))
-    gone = gone.withColumn("removed", F.aggregate(F.sort_array("ranges"), F.array().cast(empty), joined)).select("k1", "k2", "id", "removed")
+    gone = gone.withColumn("removed", _merged("ranges")).select("k1", "k2", "id", "removed")
     out = keyed.join(gone, on(keyed, gone), "left").select(*(keyed[c] for c in docs.columns), "removed")
+    return _without_removed(out, text_col, docs.columns)
+
+
+_RANGES = "array<struct<first:int,last:int>>"
+
+
+def _merged(ranges: str) -> Column:
+    """Ranges in order, those that touch or overlap as one."""
+    joined = lambda a, r: F.when(F.size(a) == 0, F.array(r)).when(F.element_at(a, -1)["last"] + 1 >= r["first"], F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["first"].alias("first"), F.greatest(F.element_at(a, -1)["last"], r["last"]).alias("last"))))).otherwise(F.concat(a, F.array(r)))
+    return F.aggregate(F.sort_array(ranges), F.array().cast(_RANGES), joined)
+
+
+def _without_removed(out: DataFrame, text_col: str, columns: list[str]) -> DataFrame:
+    """Texts of what lies between the ranges of removed, which is an empty array where it was null."""
 
     def kept_of(lines: Column) -> Column:
         begins = F.concat(F.array(F.lit(0)), F.transform("removed", lambda r: r["last"] + 1))
@@ -154,4 +167,69 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     left = F.transform(F.array(split_lines(F.col(text_col))), kept_of)[0]  # a lambda's variable is computed once
     text = F.when(F.coalesce(F.size("removed"), F.lit(0)) <= 0, F.col(text_col)).otherwise(left)
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce("removed", F.array().cast(empty)).alias("removed"))
+    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in columns], F.coalesce("removed", F.array().cast(_RANGES)).alias("removed"))
+
+
+def _spans(df: DataFrame, text_col: str, min_words: int) -> DataFrame:
+    """Add lines, bare (their bare forms), spans (shortest runs of lines with ``min_words`` words, as first, last, anchor) and twice.
+
+    Runs are taken from each line on and up to each line, so their union covers every longer run, wherever it begins; what
+    a run is depends on its own lines alone. Its anchor is the least hash of two adjacent lines in it, or the hash of its one
+    line. twice: an anchor may stand at two places of this text."""
+    df = df.withColumn("lines", split_lines(F.coalesce(F.col(text_col), F.lit(""))))
+    df = df.withColumn("bare", F.transform("lines", lambda x: _bare(x)))
+    df = df.withColumn("h", F.transform("bare", lambda x: F.xxhash64(x)))
+    # The line of each word: with that, sums of words are looked up. More words than asked for make no difference.
+    df = df.withColumn("of", F.flatten(F.transform("bare", lambda x, i: F.array_repeat(i, F.least(_n_words(x), F.lit(min_words)).cast("int")))))
+    df = df.withColumn("begins", F.filter(F.sequence(F.lit(0), F.size("of") - 1), lambda p: F.when(p == 0, True).otherwise(F.get("of", p) != F.get("of", p - 1))))
+    df = df.withColumn("pairs", F.transform("h", lambda x, i: F.xxhash64(x, F.get("h", i + 1))))
+    down = lambda i: F.get("of", F.get("begins", i) + (min_words - 1))
+    up = lambda i: F.get("of", F.coalesce(F.get("begins", i + 1), F.size("of")) - min_words)
+    from_line = F.filter(F.transform("begins", lambda b, i: F.struct(i.alias("first"), down(i).alias("last"))), lambda s: s["last"].isNotNull())
+    to_line = F.filter(F.transform("begins", lambda b, i: F.struct(up(i).alias("first"), i.alias("last"))), lambda s: s["first"].isNotNull() & (down(s["first"]) != s["last"]))
+    df = df.withColumn("spans", F.concat(from_line, to_line))
+    anchor = lambda s: F.when(s["first"] == s["last"], F.get("h", s["first"])).otherwise(F.array_min(F.slice("pairs", s["first"] + 1, s["last"] - s["first"])))
+    df = df.withColumn("spans", F.transform("spans", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), anchor(s).alias("anchor"))))
+    alone = F.transform(F.filter("spans", lambda s: s["first"] == s["last"]), lambda s: s["anchor"])
+    df = df.withColumn("at", F.concat(F.slice("pairs", F.lit(1), F.size("pairs") - 1), alone))
+    return df.withColumn("twice", F.size(F.array_distinct("at")) < F.size("at")).drop("h", "of", "begins", "pairs", "at")
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """All rows of ``docs``, their texts without repeated passages, and removed (line ranges as first and last, merged).
+
+    Each line that is in a run of lines of ``min_words`` words or more that stands at an earlier place goes, however the run
+    lies in either text. Order of places: ``id_col`` ascending, a null id last, then by line; the first occurrence stays, also
+    within a document, where only what lies behind it goes. Rows alike in id and text are one document given again: all keep
+    the same text. Null texts stay null, empty ones empty; a text all of which goes becomes empty. Other columns stay as they
+    are. An empty table gives an empty table.
+
+    Anchors of runs are looked up first, and only runs whose anchor is repeated are, by 128 bits of the SHA-256 of their lines.
+    """
+    if clash := {"removed", "k1", "k2", "lines", "bare", "h", "of", "begins", "pairs", "spans", "at", "twice", "seen"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} are there already")
+    keyed = docs.select(*docs.columns, *_row_key(id_col, text_col))
+    runs = _spans(docs.select(text_col, *_row_key(id_col, text_col)), text_col, min_words)
+    anchors = F.array_distinct(F.transform("spans", lambda s: s["anchor"]))
+    some = runs.withColumn("anchors", anchors).select("k1", "k2", "twice", F.explode_outer("anchors").alias("anchor"))
+    by_anchor = Window.partitionBy("anchor")
+    met = some.select("*", *[f(c).over(by_anchor).alias(f"{name}_{c}") for c in ("k1", "k2") for name, f in (("min", F.min), ("max", F.max))])
+    met = met.where("anchor IS NOT NULL AND (twice OR min_k1 <> max_k1 OR min_k2 <> max_k2)")
+    marked = materialize(met.groupBy("k1", "k2").agg(F.collect_set("anchor").alias("seen"), F.max("twice").alias("all")), "line-repeats")
+    # Runs whose anchor is repeated. Of texts with very many repeated anchors all runs are taken: a lookup in a long array is slow.
+    on = lambda a, b: (a["k1"] == b["k1"]) & (a["k2"] == b["k2"])
+    texts = keyed.select(id_col, text_col, "k1", "k2")
+    runs = _spans(texts.join(marked, on(texts, marked)).select(texts["k1"], texts["k2"], id_col, text_col, "seen", (F.col("all") | (F.size("seen") > MANY_ANCHORS)).alias("all")), text_col, min_words)
+    wanted = F.filter("spans", lambda s: F.col("all") | F.array_contains("seen", s["anchor"]))
+    digest = lambda s: F.unhex(F.substring(F.sha2(F.array_join(F.slice("bare", s["first"] + 1, s["last"] - s["first"] + 1), "\n"), 256), 1, 32))
+    wanted = F.transform(wanted, lambda s: F.struct(digest(s).alias("digest"), s["first"].alias("first"), s["last"].alias("last")))
+    run = runs.withColumn("wanted", wanted).select(id_col, "k1", "k2", F.explode_outer("wanted").alias("s"))
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("k1"), F.col("k2"), F.col("s.first").alias("first"), F.col("s.last").alias("last"))
+    run = run.select(F.col("s.digest").alias("digest"), place.alias("place"))
+    run = run.withColumn("kept", F.min("place").over(Window.partitionBy("digest"))).where("digest IS NOT NULL AND place <> kept")
+    same_text = (F.col("place.k1") == F.col("kept.k1")) & (F.col("place.k2") == F.col("kept.k2"))
+    first = F.when(same_text, F.greatest(F.col("place.first"), F.col("kept.last") + 1)).otherwise(F.col("place.first"))
+    ranges = run.select("place.k1", "place.k2", first.alias("first"), "place.last").where("first <= last")
+    gone = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("ranges")).select("k1", "k2", _merged("ranges").alias("removed"))
+    out = keyed.join(gone, on(keyed, gone), "left").select(*(keyed[c] for c in docs.columns), "removed")
+    return _without_removed(out, text_col, docs.columns)
