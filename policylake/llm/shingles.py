@@ -32,8 +32,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 4) -> tuple[
     counts = np.diff(edges)
     with np.errstate(over="ignore"):
         gram = h.copy()
-        for k in range(1, size):
-            gram[: len(h) - k] = mix64(gram[: len(h) - k] * _M + h[k:]) if len(h) > k else gram[:0]
+        for k in range(1, min(size, len(h))):
+            gram[: len(h) - k] = mix64(gram[: len(h) - k] * _M + h[k:])
         row = np.repeat(np.arange(n_rows), counts)
         left = edges[1:][row] - np.arange(len(h))  # words from here to the end of the text
         keep = left >= size
