@@ -6,7 +6,7 @@ that a stage keeps in the shared folder are removed when the next one begins, as
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from policylake.llm import common, decontamination, line_dedup, ngram_join, packing, quality
@@ -45,11 +45,14 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates: five-word shingles, a similarity of 0.8 or more.
-
-    Documents without words, or without an id, are in no group and stay."""
-    found = ngram_join.similar_components(docs, size=5, num=80, den=100)
-    return found.where("n_shingles = 0 OR doc_id IS NULL OR doc_id = component_id").select(docs.columns)
+    """One row of each group of near duplicates: five-word shingles, a similarity of 0.8 or more.
+
+    It is the one with the smallest id, a null id last, then with the least hashes of text and row. Documents without words
+    are in no group and stay."""
+    found = ngram_join.similar_components(docs, size=5, num=80, den=100, node_col="component_node")
+    order = Window.partitionBy("component_node").orderBy(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.xxhash64(*docs.columns))
+    first = found.where("n_shingles > 0").withColumn("place", F.row_number().over(order)).where("place = 1")
+    return first.select(docs.columns).unionAll(found.where("n_shingles = 0").select(docs.columns))
 
 
 @_stage

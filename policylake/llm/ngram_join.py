@@ -275,7 +275,7 @@ def _meet(num: int, den: int):
     return run
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100, block_shingles: int = BLOCK_SHINGLES, node_col: str | None = None) -> DataFrame:
     """All rows of ``docs`` with n_shingles and component_id, the smallest ``id_col`` that links reach.
 
     A text's set: its distinct shingles of ``size`` words (runs without ASCII white space, A-Z lower-cased), or the whole
@@ -283,9 +283,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of white space alone, have empty sets, link with nothing and are their own component. A null id stays null; a
     component all of whose ids are null has a null component_id. Rows given again are in one component. Very long texts
     are taken whole. An empty table gives an empty table. Other columns stay; n_shingles and component_id may not be
-    among them.
+    among them. ``node_col`` names a column to add: a number for each component, also where it has no id; null for empty sets.
     """
-    if clash := {"n_shingles", "component_id", "k1", "k2"} & set(docs.columns):
+    if clash := {"n_shingles", "component_id", "k1", "k2", node_col} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are there already")
     spark = docs.sparkSession
     parts = [F.col(id_col).cast("string"), F.lit("|"), F.col(text_col)]
@@ -403,4 +403,4 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = keyed.join(named, ["k1", "k2"])
     least = rows.where("n > 0").groupBy("c").agg(F.min(id_col).alias("component_id"))
     linked = rows.join(least, "c", "left")
-    return linked.select(*docs.columns, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"))
+    return linked.select(*docs.columns, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"), *([F.when(F.col("n") > 0, F.col("c")).alias(node_col)] if node_col else []))
