@@ -192,7 +192,8 @@ def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096) -> float:
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED, temperature: float = 1.0) -> DataFrame:
     """All rows of ``docs`` with log_ratio, n_grams, log_weight, gumbel_key and kept: the k largest keys.
 
-    ``k``: as many documents as have a positive weight, if not given. Ties on the k-th key are all kept, so rows with equal
+    ``k``: as many documents as have a positive weight, if not given; all documents then stay where the labels have no good
+    text, as no model can be fitted. Ties on the k-th key are all kept, so rows with equal
     texts share their fate. Texts without n-grams (null, empty, white space) have weight NO_WEIGHT: they go before any
     other. Null ids have no label. An empty table gives an empty table. Other columns stay; none may have an added name.
     """
@@ -203,5 +204,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: s
     keys = materialize(add_keys(docs.select(F.col(text_col).alias("_text")), model, "_text", temperature).select("log_weight", "gumbel_key"), "quality-keys")
     if k is None:
         k = keys.where("log_weight > 0").count()
-    least = kth_largest(keys, "gumbel_key", k)
+        least = kth_largest(keys, "gumbel_key", k) if model.ratio.any() else float("-inf")
+    else:
+        least = kth_largest(keys, "gumbel_key", k)
     return add_keys(docs, model, text_col, temperature).withColumn("kept", F.col("gumbel_key") >= F.lit(least))
