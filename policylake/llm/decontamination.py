@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 10
-#: The prefix table goes to all executors only up to so many windows; a larger one is joined by a shuffle on its words.
+#: The prefix table goes to all executors only up to so many windows, and words in them; a larger one is joined by a shuffle on its words.
 BROADCAST_WINDOWS = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words: ASCII other than digits and letters (after lower-casing).
@@ -36,7 +36,7 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col
     """Occurrences of item windows: k1 and k2 (the row's key), start (place of the first word), length, item. Distinct."""
     wins = item_windows(items, window, item_col, item_text_col)
     vocabulary = wins.select(F.explode("win").alias("word")).distinct()
-    few = vocabulary.count() <= BROADCAST_WINDOWS  # the benchmark decides, whatever the documents' size
+    few = max(vocabulary.count(), wins.count()) <= BROADCAST_WINDOWS  # the benchmark decides, whatever the documents' size
     small = F.broadcast if few else (lambda df: df)
     # posexplode_outer: a plain explode would make Spark split each text a second time, to see whether it has words.
     found = docs.select(words(text_col).alias("w")).select(F.explode_outer("w").alias("word"))
