@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Runs of key characters, 16 or longer, with a digit and a letter.
-CANDIDATE = "(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,200}[0-9])(?=[0-9_+/=-]{0,200}[A-Za-z])[A-Za-z0-9_+/=-]{16,}"
+CANDIDATE = "(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z])[A-Za-z0-9_+/=-]{16,}"
 #: Labelled findings that the rule makes.
 FINDINGS = 6_000
 TREES, DEPTH, SEED = 30, 7, 11
