@@ -29,15 +29,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, scratch_path
-from .tokenization import encoder, mix64, spans_of_rows, utf8_buffers
+from .tokenization import BLOCK_BYTES, encoder, mix64, spans_of_rows, utf8_buffers
 
 KEYS_PER_BUCKET = 50_000
 _LOOSE = 2.0
 _LEVELS = 64
 
 
+#: Bytes of text in a shard, about.
+SHARD_BYTES = 256 << 20
+#: Hadoop's names of stores that Arrow knows by another one.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri.removeprefix("file:"))
+    """File system and path of a Hadoop-style URI, for workers without a JVM; a mounted ``dbfs:`` is a local path."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon or scheme == "file":
+        path = rest if colon else uri
+        return pafs.LocalFileSystem(), "/" + path.lstrip("/") if path.startswith("//") else path
+    if scheme == "dbfs":
+        return pafs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    try:
+        return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
+    except pa.ArrowInvalid as unknown:
+        raise ValueError(f"Arrow has no file system for {scheme}: set the shared folder to one it has (file, hdfs, viewfs, s3a, gs, abfss)") from unknown
 
 
 class PerfectHash:
@@ -170,7 +186,7 @@ class TokenStore:
 
         return asked.select(id_col, "h1", "h2", "file").mapInArrow(run, schema)
 
-    def read(self, keys: DataFrame, read_bytes: int = 4_000_000) -> DataFrame:
+    def read(self, keys: DataFrame, read_bytes: int = 1_000_000) -> DataFrame:
         """Documents by key, from the shard files: id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit)."""
         id_col, folder, width = self.id_col, self.folder, self.width
         totals = self.entries.groupBy("shard").agg(F.sum("n_ids").alias("ids"))  # a row per shard
@@ -217,16 +233,17 @@ class TokenStore:
         return found.select(id_col, "shard", "attempt", "first_row", "n_rows", "first_id", "n_ids", "base").mapInArrow(run, schema)
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, keys_per_bucket: int = KEYS_PER_BUCKET, block_bytes: int = 2_500_000) -> TokenStore:
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, keys_per_bucket: int = KEYS_PER_BUCKET, block_bytes: int = BLOCK_BYTES) -> TokenStore:
     """Write the ids of all documents in ascending ``id_col`` order, each with ``end_id`` after it, and index them.
 
     Null text counts as empty; a null key is a key, before all others. Rows that share a key lie side by side, ordered by
     their texts' hash, and are all found under it. An empty table gives no file. Very long texts are encoded whole. Other
-    columns are ignored. ``shards``: as many range partitions, else the session's shuffle partitions.
+    columns are ignored. ``shards``: as many range partitions, else one for each SHARD_BYTES of text, the session's shuffle
+    partitions at least.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "tokens")
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // SHARD_BYTES))
     ordered = docs.select(id_col, text_col, F.xxhash64(text_col).alias("_h"), F.monotonically_increasing_id().alias("_at"))
     order = [F.col(id_col).asc_nulls_first(), F.col("_h"), F.col("_at")]  # the last two deal out a key that very many rows share
     ordered = ordered.repartitionByRange(n, *order).sortWithinPartitions(*order).select(id_col, text_col)
@@ -244,23 +261,18 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
         stem = f"{root}/shard-{shard:06d}-{attempt:016x}"
         payload = lengths = None
         rows = ids_before = 0
-        for batch in batches:
+        for whole in batches:
             if payload is None:
                 payload, lengths = store.open_output_stream(f"{stem}.ids"), store.open_output_stream(f"{stem}.len")
-            data, offsets = utf8_buffers(batch.column(1))
-            counts = []
-            for i, j in spans_of_rows(offsets, block_bytes):
-                ids, some = enc.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                payload.write(np.insert(ids, np.cumsum(some), end_id).astype(f"<u{width}").tobytes())
-                counts.append(some + 1)
-            if not counts:
-                continue
-            counts = np.concatenate(counts)
-            lengths.write(counts.astype("<u4").tobytes())
-            k = len(batch)
-            at = ids_before + np.cumsum(counts) - counts
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (np.full(k, shard), np.full(k, attempt), rows + np.arange(k), np.ones(k, np.int64), at, counts))], names=schema.names)
-            rows, ids_before = rows + k, ids_before + int(counts.sum())
+            for i, j in spans_of_rows(utf8_buffers(whole.column(1))[1], block_bytes):
+                ids, counts = enc.encode(*utf8_buffers(whole.column(1).slice(i, j - i)))
+                counts = counts + 1
+                payload.write(np.insert(ids, np.cumsum(counts - 1), end_id).astype(f"<u{width}"))
+                lengths.write(counts.astype("<u4"))
+                k = j - i
+                at = ids_before + np.cumsum(counts) - counts
+                yield pa.RecordBatch.from_arrays([whole.column(0).slice(i, k), *(pa.array(x, pa.int64()) for x in (np.full(k, shard), np.full(k, attempt), rows + np.arange(k), np.ones(k, np.int64), at, counts))], names=schema.names)
+                rows, ids_before = rows + k, ids_before + int(counts.sum())
         if payload is not None:
             payload.close()
             lengths.close()

@@ -4,7 +4,7 @@ A byte-level BPE splits a text by a fixed pattern before it merges, and no piece
 white space. A unit, one optional space and the run of non-spaces after it, therefore has the same ids alone as in its
 text, also if it ends between a letter and an ASCII mark; so does a run of white space short of its last character. Units are found and hashed with numpy over whole Arrow
 buffers, the library encodes those not seen before, and a gather writes the ids of all texts. Texts that hold
-white space beyond ASCII go to the library whole.
+white space beyond ASCII, or a token that the library finds before it splits, go to the library whole.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ _MARK = np.zeros(256, dtype=bool)
 _MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 #: UTF-8 forms of white space beyond ASCII.
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: Bytes of text that are looked at together; bounds a worker's memory, together with ``most_units``.
+BLOCK_BYTES = 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -71,17 +73,21 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def utf8_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; null is empty."""
+    """Bytes and offsets of a string column, without a copy of the bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_binary()).fill_null(b"")
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    if column.null_count:
+        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    if pa.types.is_null(column.type):
+        return np.empty(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = column.buffers()[2]
     data = np.frombuffer(raw, dtype=np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.empty(0, np.uint8)
     return data, offsets - offsets[0]
 
 
-def spans_of_rows(offsets: np.ndarray, most: int = 2_000_000):
+def spans_of_rows(offsets: np.ndarray, most: int = BLOCK_BYTES):
     """Row ranges of about ``most`` bytes each; a longer row stands alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -94,39 +100,44 @@ def spans_of_rows(offsets: np.ndarray, most: int = 2_000_000):
 class Encoder:
     """Ids of batches of texts. ``most_units`` bounds the memory of the units that are kept; beyond it they start afresh."""
 
-    def __init__(self, path: str, most_units: int = 1_000_000):
+    def __init__(self, path: str, most_units: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.most_units = most_units
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.id_bytes = np.zeros(self.vocab_size, dtype=np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.id_bytes[i] = len(token)  # a byte-level token has one character a byte
+        #: Tokens that the library finds before it splits a text: texts with one go to it whole.
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.keys = np.empty(0, dtype=np.uint64)  # hashes of the known units, ascending
+        self.place = np.empty(0, dtype=np.int32)  # of each in the next two
         self.starts = np.zeros(1 << 12, dtype=np.int64)
         self.lengths = np.zeros(1 << 12, dtype=np.int32)
         self.flat = np.zeros(1 << 14, dtype=np.int32)
         self.used = 0
 
-    def _add(self, keys: list[int], texts: list[str]) -> None:
+    def _add(self, at: np.ndarray, keys: np.ndarray, texts: list[str]) -> np.ndarray:
+        """Encode new units; ``at`` says where their keys go. Returns their places."""
         ids, lengths = self._ids_of_units(texts)
-        total, at = int(lengths.sum()), len(self.place)
-        while at + len(keys) > len(self.starts):
+        total, known = int(lengths.sum()), len(self.keys)
+        while known + len(keys) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.lengths[at : at + len(keys)] = lengths
-        self.starts[at : at + len(keys)] = self.used + np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)[:-1]])
+        self.lengths[known : known + len(keys)] = lengths
+        self.starts[known : known + len(keys)] = self.used + np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)[:-1]])
         self.flat[self.used : self.used + total] = ids
         self.used += total
-        self.place.update(zip(keys, range(at, at + len(keys))))
+        places = np.arange(known, known + len(keys), dtype=np.int32)
+        self.keys, self.place = np.insert(self.keys, at, keys), np.insert(self.place, at, places)
+        return places
 
     def _ids_of_units(self, units: list[str], block: int = 500) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units. Blocks of them are encoded as one text, a line break before each unit that has no space of its own;
@@ -169,10 +180,49 @@ class Encoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of ids of each."""
         n_rows = len(offsets) - 1
+        if n_rows and int(np.diff(offsets).max()) > 2 * BLOCK_BYTES:
+            return self._encode_long(data, offsets)
         raw = data.tobytes()
-        wide = sorted({int(np.searchsorted(offsets, m.start(), side="right")) - 1 for m in _WIDE_SPACE.finditer(raw)})
-        if wide:
-            return self._encode_mixed(data, offsets, raw, set(wide))
+        whole = {m.start() for m in _WIDE_SPACE.finditer(raw)} if data.size and int(data.max()) >= 0x80 else set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                whole.add(at)
+                at = raw.find(token, at + 1)
+        if whole:
+            rows = np.searchsorted(offsets, np.fromiter(whole, np.int64), side="right") - 1
+            return self._encode_mixed(data, offsets, raw, set(rows.tolist()))
+        return self._encode_plain(data, offsets, raw)
+
+    def _encode_long(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts cut into parts of about a block, each before a space between ASCII non-spaces, where no piece spans."""
+        clean = ~_SPACE[data] & (data < 0x80)
+        cuts = np.flatnonzero(clean[:-2] & (data[1:-1] == 32) & clean[2:]) + 1
+        edges = [0]
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            while b - edges[-1] > BLOCK_BYTES:
+                k = int(np.searchsorted(cuts, edges[-1] + BLOCK_BYTES))
+                if k == len(cuts) or cuts[k] >= b:
+                    break
+                edges.append(int(cuts[k]))
+            if b > edges[-1]:
+                edges.append(b)
+        edges = np.array(edges, np.int64)
+        ids, counts = [], np.zeros(len(offsets) - 1, np.int64)
+        for i, j in spans_of_rows(edges, BLOCK_BYTES):
+            part = data[edges[i] : edges[j]]
+            if j - i == 1 and len(part) > 2 * BLOCK_BYTES:  # no place to cut it
+                some = self.tokenizer.encode(part.tobytes().decode(), add_special_tokens=False).ids
+                got, n = np.array(some, np.int32), np.array([len(some)])
+            else:
+                got, n = self.encode(part, edges[i : j + 1] - edges[i])
+            ids.append(got)
+            rows = np.searchsorted(offsets, edges[i:j], side="right") - 1
+            np.add.at(counts, rows, n)
+        return np.concatenate(ids), counts
+
+    def _encode_plain(self, data: np.ndarray, offsets: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        n_rows = len(offsets) - 1
         n = len(data)
         if n == 0:
             return np.empty(0, np.int32), np.zeros(n_rows, np.int64)
@@ -204,19 +254,19 @@ class Encoder:
         ends = np.append(starts[1:], n)
         hashes = span_hashes(data, starts, ends)
         unique, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.place) > self.most_units:
+        if len(self.keys) > self.most_units:
             self._clear()
-        keys = unique.tolist()
-        get = self.place.get
-        places = [get(k, -1) for k in keys]
-        new = [i for i, p in enumerate(places) if p < 0]
-        if new:
+        at = np.searchsorted(self.keys, unique)
+        known = np.zeros(len(unique), dtype=bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == unique[inside]
+        places = np.empty(len(unique), dtype=np.int32)
+        places[known] = self.place[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
             s, e = starts[where[new]].tolist(), ends[where[new]].tolist()
-            at = len(self.place)
-            self._add([keys[i] for i in new], [raw[a:b].decode() for a, b in zip(s, e)])
-            for k, i in enumerate(new):
-                places[i] = at + k
-        place = np.array(places, dtype=np.int64)[inverse]
+            places[new] = self._add(at[new], unique[new], [raw[a:b].decode() for a, b in zip(s, e)])
+        place = places[inverse]
         lengths = self.lengths[place].astype(np.int64)
         edges = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.flat[np.repeat(self.starts[place] - edges[:-1], lengths) + np.arange(edges[-1])]

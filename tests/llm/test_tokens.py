@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from policylake.llm import packing, token_output
+from policylake.llm import packing, token_output, tokenization
 from policylake.llm.queries import TOKENIZER
 from policylake.llm.tokenization import Encoder, utf8_buffers
 
@@ -19,7 +19,6 @@ from policylake.llm.tokenization import Encoder, utf8_buffers
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -35,6 +34,41 @@ def test_encoder_is_the_library(library):
     assert [list(x) for x in np.split(ids, np.cumsum(counts)[:-1])] == [library(t) for t in texts]
 
 
+def test_long_texts_are_cut_where_no_piece_spans(library, monkeypatch):
+    monkeypatch.setattr(tokenization, "BLOCK_BYTES", 60)
+    rnd = random.Random(6)
+    pieces = ["word", " ", "  ", "\n", ", ", "it's", "12 ", "　", "中 文", "<|endoftext|>", "x" * 70, "é è"]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randrange(400))) for _ in range(60)] + ["", "y" * 500, None, "one"]
+    ids, counts = Encoder(TOKENIZER).encode(*utf8_buffers(pa.array(texts)))
+    assert [list(x) for x in np.split(ids, np.cumsum(counts)[:-1])] == [library(t) for t in texts]
+
+
+def test_blocks_cut_as_the_whole():
+    """Cuts settled block by block are those of one program over all places."""
+    rnd = random.Random(8)
+    for _ in range(40):
+        places = [0]
+        while len(places) < 300:
+            places.append(places[-1] + rnd.randrange(1, 12))
+        penalties = [0] + [rnd.choice((0, 2, 2, 2, 8)) for _ in places[1:]]
+        cutter, found, at = packing.Cutter(40), [0], 1
+        while at < len(places):
+            n = rnd.randrange(1, 30)
+            cutter.extend(places[at : at + n], penalties[at : at + n])
+            some = cutter.settled(False)
+            assert some[0] == found[-1]
+            found, at = found + some[1:], at + n
+        some = cutter.settled(True)
+        assert some[0] == found[-1] and found + some[1:] == packing.cuts(places, penalties, 40)
+
+
+def test_stores_by_their_names():
+    assert token_output.open_store("file:///a/b")[1] == token_output.open_store("/a/b")[1] == token_output.open_store("file:/a/b")[1] == "/a/b"
+    assert token_output.open_store("dbfs:/x/y")[1] == "/dbfs/x/y"
+    with pytest.raises(ValueError):
+        token_output.open_store("nosuch://a/b")
+
+
 def test_cuts_are_the_best():
     """Against all ways to cut a small stream."""
     rnd = random.Random(2)
