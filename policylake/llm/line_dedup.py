@@ -26,6 +26,8 @@ LONG_LINE = 25
 MIN_WORDS = 25
 #: Shortest chunk that is looked up in other documents, in words.
 SEED_WORDS = 6
+#: So many lines are added up without a loop, for speed alone.
+NEAR_LINES = 4
 #: Repeated anchors of a text beyond which all of its runs are looked up.
 MANY_ANCHORS = 500
 _CUT = "(?<=\\n)|(?<=[.!?] )"
@@ -43,13 +45,13 @@ def split_lines(text: Column) -> Column:
 
 
 def _bare(line: Column) -> Column:
-    """A line without its line break and the blanks around it."""
-    return F.trim(F.replace(line, F.lit("\n"), F.lit("")))
+    """A line's bytes without what ends it: its line break and blanks, which differ where a passage ends a text or not."""
+    return F.rtrim(F.replace(line, F.lit("\n"), F.lit("")))
 
 
 def _n_words(line: Column) -> Column:
     """Spaces and 1: cheap, and alike for equal lines."""
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def _sum_words(lines: Column) -> Column:
@@ -174,62 +176,84 @@ def _spans(df: DataFrame, text_col: str, min_words: int) -> DataFrame:
     """Add lines, bare (their bare forms), spans (shortest runs of lines with ``min_words`` words, as first, last, anchor) and twice.
 
     Runs are taken from each line on and up to each line, so their union covers every longer run, wherever it begins; what
-    a run is depends on its own lines alone. Its anchor is the least hash of two adjacent lines in it, or the hash of its one
-    line. twice: an anchor may stand at two places of this text."""
+    a run is depends on its own lines alone. Its anchor is the least rolling hash of two adjacent lines in it, or the hash of
+    its one line. twice: an anchor may stand at two places of this text."""
+    end = 1_000_000  # more words than any run needs: before the first line and after the last
     df = df.withColumn("lines", split_lines(F.coalesce(F.col(text_col), F.lit(""))))
     df = df.withColumn("bare", F.transform("lines", lambda x: _bare(x)))
     df = df.withColumn("h", F.transform("bare", lambda x: F.xxhash64(x)))
-    # The line of each word: with that, sums of words are looked up. More words than asked for make no difference.
-    df = df.withColumn("of", F.flatten(F.transform("bare", lambda x, i: F.array_repeat(i, F.least(_n_words(x), F.lit(min_words)).cast("int")))))
-    df = df.withColumn("begins", F.filter(F.sequence(F.lit(0), F.size("of") - 1), lambda p: F.when(p == 0, True).otherwise(F.get("of", p) != F.get("of", p - 1))))
+    df = df.withColumn("words", F.concat(F.array(F.lit(end)), F.transform("bare", lambda x: F.least(_n_words(x), F.lit(min_words))), F.array(F.lit(end))))
     df = df.withColumn("pairs", F.transform("h", lambda x, i: F.xxhash64(x, F.get("h", i + 1))))
-    down = lambda i: F.get("of", F.get("begins", i) + (min_words - 1))
-    up = lambda i: F.get("of", F.coalesce(F.get("begins", i + 1), F.size("of")) - min_words)
-    from_line = F.filter(F.transform("begins", lambda b, i: F.struct(i.alias("first"), down(i).alias("last"))), lambda s: s["last"].isNotNull())
-    to_line = F.filter(F.transform("begins", lambda b, i: F.struct(up(i).alias("first"), i.alias("last"))), lambda s: s["first"].isNotNull() & (down(s["first"]) != s["last"]))
-    df = df.withColumn("spans", F.concat(from_line, to_line))
+
+    def other_end(i: Column, step: int) -> Column:
+        """The nearest line with which the run from line i has enough words, as (line, and whether it has enough without line i); null at the text's end."""
+        own, total, out = F.get("words", i + 1), F.lit(0), None
+        for m in range(NEAR_LINES):
+            if m:
+                total = total + F.get("words", i + 1 + step * m)
+            found = F.when(total < end, F.struct((i + step * m).alias("line"), (total >= min_words).alias("without")))
+            hit = own + total >= min_words
+            out = F.when(hit, found) if out is None else out.when(hit, found)
+        # Few lines need more: they are added up one by one.
+        n = F.least(F.lit(min_words), F.size("words") - i - 2 if step > 0 else i + 1)
+        part = F.slice("words", i + 3, n) if step > 0 else F.reverse(F.slice("words", i + 2 - n, n))
+        state = lambda total, m, done: F.struct(total.alias("total"), m.alias("m"), done.alias("done"))
+        added = F.aggregate(part, state(F.lit(0), F.lit(0), F.lit(False)), lambda a, x: F.when(a["done"], a).otherwise(state(a["total"] + x, a["m"] + 1, own + a["total"] + x >= min_words)))
+        return out.otherwise(F.transform(F.array(added), lambda a: F.when(a["done"] & (a["total"] < end), F.struct((i + a["m"] * step).alias("line"), (a["total"] >= min_words).alias("without"))))[0])
+
+    from_line = F.transform("bare", lambda x, i: F.struct(i.alias("first"), other_end(i, 1)["line"].alias("last")))
+    # Those that have enough words without their last line are no run from their first line on.
+    to_line = F.transform("bare", lambda x, i: F.transform(F.array(other_end(i, -1)), lambda e: F.struct(F.when(e["without"], e["line"]).alias("first"), i.alias("last")))[0])
+    df = df.withColumn("spans", F.filter(F.concat(from_line, to_line), lambda s: s["first"].isNotNull() & s["last"].isNotNull()))
     anchor = lambda s: F.when(s["first"] == s["last"], F.get("h", s["first"])).otherwise(F.array_min(F.slice("pairs", s["first"] + 1, s["last"] - s["first"])))
     df = df.withColumn("spans", F.transform("spans", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), anchor(s).alias("anchor"))))
     alone = F.transform(F.filter("spans", lambda s: s["first"] == s["last"]), lambda s: s["anchor"])
     df = df.withColumn("at", F.concat(F.slice("pairs", F.lit(1), F.size("pairs") - 1), alone))
-    return df.withColumn("twice", F.size(F.array_distinct("at")) < F.size("at")).drop("h", "of", "begins", "pairs", "at")
+    return df.withColumn("twice", F.size(F.array_distinct("at")) < F.size("at")).drop("h", "words", "pairs", "at")
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """All rows of ``docs``, their texts without repeated passages, and removed (line ranges as first and last, merged).
 
     Each line that is in a run of lines of ``min_words`` words or more that stands at an earlier place goes, however the run
-    lies in either text. Order of places: ``id_col`` ascending, a null id last, then by line; the first occurrence stays, also
-    within a document, where only what lies behind it goes. Rows alike in id and text are one document given again: all keep
-    the same text. Null texts stay null, empty ones empty; a text all of which goes becomes empty. Other columns stay as they
-    are. An empty table gives an empty table.
-
-    Anchors of runs are looked up first, and only runs whose anchor is repeated are, by 128 bits of the SHA-256 of their lines.
+    lies in either text. Lines are equal if their bytes are, but for the line break and blanks that end them. Order of
+    places: ``id_col`` ascending, a null id last, then by line; the first occurrence stays, also within a document, where
+    only what lies behind it goes. Rows alike in id and text are one document given again: all keep the same text. Null
+    texts stay null, empty ones empty; a text all of which goes becomes empty. Other columns stay as they are. An empty
+    table gives an empty table.
+
+    Anchors of runs are looked up first. Only runs whose anchor is repeated are gathered, by a hash of their bytes; counts of
+    anchors and first places of runs are summed up before they are exchanged, and the joins that bring them back are of two
+    written tables, which Spark splits where a line or a run is very common. A run goes only if all runs with its hash
+    have the same bytes.
     """
-    if clash := {"removed", "k1", "k2", "lines", "bare", "h", "of", "begins", "pairs", "spans", "at", "twice", "seen"} & set(docs.columns):
+    if clash := {"removed", "k1", "k2", "lines", "bare", "h", "words", "pairs", "spans", "at", "twice", "seen"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are there already")
     keyed = docs.select(*docs.columns, *_row_key(id_col, text_col))
     runs = _spans(docs.select(text_col, *_row_key(id_col, text_col)), text_col, min_words)
     anchors = F.array_distinct(F.transform("spans", lambda s: s["anchor"]))
-    some = runs.withColumn("anchors", anchors).select("k1", "k2", "twice", F.explode_outer("anchors").alias("anchor"))
-    by_anchor = Window.partitionBy("anchor")
-    met = some.select("*", *[f(c).over(by_anchor).alias(f"{name}_{c}") for c in ("k1", "k2") for name, f in (("min", F.min), ("max", F.max))])
-    met = met.where("anchor IS NOT NULL AND (twice OR min_k1 <> max_k1 OR min_k2 <> max_k2)")
-    marked = materialize(met.groupBy("k1", "k2").agg(F.collect_set("anchor").alias("seen"), F.max("twice").alias("all")), "line-repeats")
+    # The outer form of explode keeps Spark from adding a filter that computes every array again.
+    some = materialize(runs.withColumn("anchors", anchors).select("k1", "k2", "twice", F.explode_outer("anchors").alias("anchor")), "line-anchors").where("anchor IS NOT NULL")
+    seen_at = some.groupBy("anchor").agg(F.max("twice").alias("twice"), *[f(c).alias(f"{name}_{c}") for c in ("k1", "k2") for name, f in (("min", F.min), ("max", F.max))])
+    repeated = materialize(seen_at.where("twice OR min_k1 <> max_k1 OR min_k2 <> max_k2").select("anchor"), "line-repeats")
+    marked = some.join(repeated, "anchor").groupBy("k1", "k2").agg(F.collect_set("anchor").alias("seen"), F.max("twice").alias("all"))
     # Runs whose anchor is repeated. Of texts with very many repeated anchors all runs are taken: a lookup in a long array is slow.
     on = lambda a, b: (a["k1"] == b["k1"]) & (a["k2"] == b["k2"])
     texts = keyed.select(id_col, text_col, "k1", "k2")
     runs = _spans(texts.join(marked, on(texts, marked)).select(texts["k1"], texts["k2"], id_col, text_col, "seen", (F.col("all") | (F.size("seen") > MANY_ANCHORS)).alias("all")), text_col, min_words)
     wanted = F.filter("spans", lambda s: F.col("all") | F.array_contains("seen", s["anchor"]))
-    digest = lambda s: F.unhex(F.substring(F.sha2(F.array_join(F.slice("bare", s["first"] + 1, s["last"] - s["first"] + 1), "\n"), 256), 1, 32))
-    wanted = F.transform(wanted, lambda s: F.struct(digest(s).alias("digest"), s["first"].alias("first"), s["last"].alias("last")))
-    run = runs.withColumn("wanted", wanted).select(id_col, "k1", "k2", F.explode_outer("wanted").alias("s"))
-    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("k1"), F.col("k2"), F.col("s.first").alias("first"), F.col("s.last").alias("last"))
-    run = run.select(F.col("s.digest").alias("digest"), place.alias("place"))
-    run = run.withColumn("kept", F.min("place").over(Window.partitionBy("digest"))).where("digest IS NOT NULL AND place <> kept")
+    body = lambda s: F.array_join(F.slice("bare", s["first"] + 1, s["last"] - s["first"] + 1), "\n")
+    wanted = F.transform(wanted, lambda s: F.struct(body(s).alias("body"), s["first"].alias("first"), s["last"].alias("last")))
+    run = runs.withColumn("wanted", wanted).select(F.col(id_col).alias("id"), "k1", "k2", F.explode_outer("wanted").alias("s"))
+    run = run.select(F.xxhash64("s.body").alias("h1"), F.xxhash64(F.lit("second"), "s.body").alias("h2"), "id", "k1", "k2", "s.first", "s.last", "s.body")
+    run = materialize(run, "line-runs").where("body IS NOT NULL")
+    place = lambda df: F.struct(df["id"].isNull().alias("none"), df["id"].alias("id"), df["k1"].alias("k1"), df["k2"].alias("k2"), df["first"].alias("first"), df["last"].alias("last"))
+    first_places = run.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place(run)).alias("kept"), F.min("body").alias("least"), F.max("body").alias("most"))
+    kept = materialize(first_places.where("n > 1 AND least = most").select("h1", "h2", "kept"), "line-firsts")
+    again = run.join(kept, ["h1", "h2"]).withColumn("place", place(run)).where("place <> kept")
     same_text = (F.col("place.k1") == F.col("kept.k1")) & (F.col("place.k2") == F.col("kept.k2"))
     first = F.when(same_text, F.greatest(F.col("place.first"), F.col("kept.last") + 1)).otherwise(F.col("place.first"))
-    ranges = run.select("place.k1", "place.k2", first.alias("first"), "place.last").where("first <= last")
+    ranges = again.select("place.k1", "place.k2", first.alias("first"), "place.last").where("first <= last")
     gone = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("ranges")).select("k1", "k2", _merged("ranges").alias("removed"))
     out = keyed.join(gone, on(keyed, gone), "left").select(*(keyed[c] for c in docs.columns), "removed")
     return _without_removed(out, text_col, docs.columns)

@@ -18,7 +18,7 @@ def line_dedup(rows: list[tuple], min_words: int, divisor: int, roll: int, long_
     """{(id, text): text without repeated passages} for rows of (id, text)."""
     docs = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0))
     words = lambda line: line.count(" ") + 1
-    bare = lambda line: line.replace("\n", "").strip(" ")
+    bare = lambda line: line.replace("\n", "").rstrip(" ")
     lines_of, chunks_of, seen = [], [], defaultdict(list)
     for n, doc in enumerate(docs):
         lines = re.split(r"(?<=\n)|(?<=[.!?] )", doc[1])

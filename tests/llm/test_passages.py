@@ -10,7 +10,7 @@ SCHEMA = "doc_id long, text string"
 
 
 def bare_lines(text):
-    return [x.replace("\n", "").strip(" ") for x in re.split(r"(?<=\n)|(?<=[.!?] )", text)]
+    return [x.replace("\n", "").rstrip(" ") for x in re.split(r"(?<=\n)|(?<=[.!?] )", text)]
 
 
 def lines_gone(rows, least):
