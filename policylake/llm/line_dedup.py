@@ -26,8 +26,6 @@ LONG_LINE = 25
 MIN_WORDS = 25
 #: Shortest chunk that is looked up in other documents, in words.
 SEED_WORDS = 6
-#: So many lines are added up without a loop, for speed alone.
-NEAR_LINES = 4
 #: Repeated anchors of a text beyond which all of its runs are looked up.
 MANY_ANCHORS = 500
 _CUT = "(?<=\\n)|(?<=[.!?] )"
@@ -178,38 +176,25 @@ def _spans(df: DataFrame, text_col: str, min_words: int) -> DataFrame:
     Runs are taken from each line on and up to each line, so their union covers every longer run, wherever it begins; what
     a run is depends on its own lines alone. Its anchor is the least rolling hash of two adjacent lines in it, or the hash of
     its one line. twice: an anchor may stand at two places of this text."""
-    end = 1_000_000  # more words than any run needs: before the first line and after the last
     df = df.withColumn("lines", split_lines(F.coalesce(F.col(text_col), F.lit(""))))
     df = df.withColumn("bare", F.transform("lines", lambda x: _bare(x)))
     df = df.withColumn("h", F.transform("bare", lambda x: F.xxhash64(x)))
-    df = df.withColumn("words", F.concat(F.array(F.lit(end)), F.transform("bare", lambda x: F.least(_n_words(x), F.lit(min_words))), F.array(F.lit(end))))
-    df = df.withColumn("pairs", F.transform("h", lambda x, i: F.xxhash64(x, F.get("h", i + 1))))
-
-    def other_end(i: Column, step: int) -> Column:
-        """The nearest line with which the run from line i has enough words, as (line, and whether it has enough without line i); null at the text's end."""
-        own, total, out = F.get("words", i + 1), F.lit(0), None
-        for m in range(NEAR_LINES):
-            if m:
-                total = total + F.get("words", i + 1 + step * m)
-            found = F.when(total < end, F.struct((i + step * m).alias("line"), (total >= min_words).alias("without")))
-            hit = own + total >= min_words
-            out = F.when(hit, found) if out is None else out.when(hit, found)
-        # Few lines need more: they are added up one by one.
-        n = F.least(F.lit(min_words), F.size("words") - i - 2 if step > 0 else i + 1)
-        part = F.slice("words", i + 3, n) if step > 0 else F.reverse(F.slice("words", i + 2 - n, n))
-        state = lambda total, m, done: F.struct(total.alias("total"), m.alias("m"), done.alias("done"))
-        added = F.aggregate(part, state(F.lit(0), F.lit(0), F.lit(False)), lambda a, x: F.when(a["done"], a).otherwise(state(a["total"] + x, a["m"] + 1, own + a["total"] + x >= min_words)))
-        return out.otherwise(F.transform(F.array(added), lambda a: F.when(a["done"] & (a["total"] < end), F.struct((i + a["m"] * step).alias("line"), (a["total"] >= min_words).alias("without"))))[0])
-
-    from_line = F.transform("bare", lambda x, i: F.struct(i.alias("first"), other_end(i, 1)["line"].alias("last")))
-    # Those that have enough words without their last line are no run from their first line on.
-    to_line = F.transform("bare", lambda x, i: F.transform(F.array(other_end(i, -1)), lambda e: F.struct(F.when(e["without"], e["line"]).alias("first"), i.alias("last")))[0])
-    df = df.withColumn("spans", F.filter(F.concat(from_line, to_line), lambda s: s["first"].isNotNull() & s["last"].isNotNull()))
-    anchor = lambda s: F.when(s["first"] == s["last"], F.get("h", s["first"])).otherwise(F.array_min(F.slice("pairs", s["first"] + 1, s["last"] - s["first"])))
-    df = df.withColumn("spans", F.transform("spans", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), anchor(s).alias("anchor"))))
-    alone = F.transform(F.filter("spans", lambda s: s["first"] == s["last"]), lambda s: s["anchor"])
-    df = df.withColumn("at", F.concat(F.slice("pairs", F.lit(1), F.size("pairs") - 1), alone))
-    return df.withColumn("twice", F.size(F.array_distinct("at")) < F.size("at")).drop("h", "words", "pairs", "at")
+    # The line of each word: with that, sums of words are looked up. More words than asked for make no difference.
+    df = df.withColumn("of", F.flatten(F.transform("bare", lambda x, i: F.array_repeat(i, F.least(_n_words(x), F.lit(min_words)).cast("int")))))
+    df = df.withColumn("begins", F.filter(F.sequence(F.lit(0), F.size("of") - 1), lambda p: F.when(p == 0, True).otherwise(F.get("of", p) != F.get("of", p - 1))))
+    down = lambda i: F.get("of", F.get("begins", i) + (min_words - 1))
+    up = lambda i: F.get("of", F.coalesce(F.get("begins", i + 1), F.size("of")) - min_words)
+    from_line = F.filter(F.transform("begins", lambda b, i: F.struct(i.alias("first"), F.get("of", b + (min_words - 1)).alias("last"))), lambda s: s["last"].isNotNull())
+    to_line = F.filter(F.transform("begins", lambda b, i: F.struct(up(i).alias("first"), i.alias("last"))), lambda s: s["first"].isNotNull() & (down(s["first"]) != s["last"]))
+    df = df.withColumn("spans", F.concat(from_line, to_line))
+    # A lambda's variable is computed once; a column might be computed again for each of the lambda's elements.
+    pairs = F.transform("h", lambda x, i: F.xxhash64(x, F.get("h", i + 1)))
+    anchor = lambda s, p: F.when(s["first"] == s["last"], F.get("h", s["first"])).otherwise(F.array_min(F.slice(p, s["first"] + 1, s["last"] - s["first"])))
+    found = F.transform(F.array(pairs), lambda p: F.struct(F.transform("spans", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), anchor(s, p).alias("anchor"))).alias("spans"), F.slice(p, F.lit(1), F.size(p) - 1).alias("pairs")))[0]
+    df = df.withColumn("found", found)
+    alone = F.transform(F.filter("found.spans", lambda s: s["first"] == s["last"]), lambda s: s["anchor"])
+    df = df.withColumn("at", F.concat("found.pairs", alone)).withColumn("spans", F.col("found.spans"))
+    return df.withColumn("twice", F.size(F.array_distinct("at")) < F.size("at")).drop("h", "of", "begins", "found", "at")
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -227,7 +212,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     written tables, which Spark splits where a line or a run is very common. A run goes only if all runs with its hash
     have the same bytes.
     """
-    if clash := {"removed", "k1", "k2", "lines", "bare", "h", "words", "pairs", "spans", "at", "twice", "seen"} & set(docs.columns):
+    if clash := {"removed", "k1", "k2", "lines", "bare", "h", "of", "begins", "found", "spans", "at", "twice", "seen"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are there already")
     keyed = docs.select(*docs.columns, *_row_key(id_col, text_col))
     runs = _spans(docs.select(text_col, *_row_key(id_col, text_col)), text_col, min_words)
