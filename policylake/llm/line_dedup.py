@@ -207,38 +207,50 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts stay null, empty ones empty; a text all of which goes becomes empty. Other columns stay as they are. An empty
     table gives an empty table.
 
-    Anchors of runs are looked up first. Only runs whose anchor is repeated are gathered, by a hash of their bytes; counts of
-    anchors and first places of runs are summed up before they are exchanged, and the joins that bring them back are of two
-    written tables, which Spark splits where a line or a run is very common. A run goes only if all runs with its hash
-    have the same bytes.
+    Anchors of runs are looked up first. Only runs whose anchor is repeated are gathered, one of each kind in a text, by a
+    hash of their bytes; counts of anchors and first places of runs are summed up before they are exchanged, and the joins
+    that bring them back are of two written tables, which Spark splits where a line or a run is very common. A run goes
+    only if all runs with its hash have the same bytes.
     """
     if clash := {"removed", "k1", "k2", "lines", "bare", "h", "of", "begins", "found", "spans", "at", "twice", "seen"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are there already")
     keyed = docs.select(*docs.columns, *_row_key(id_col, text_col))
     runs = _spans(docs.select(text_col, *_row_key(id_col, text_col)), text_col, min_words)
     anchors = F.array_distinct(F.transform("spans", lambda s: s["anchor"]))
-    # The outer form of explode keeps Spark from adding a filter that computes every array again.
-    some = materialize(runs.withColumn("anchors", anchors).select("k1", "k2", "twice", F.explode_outer("anchors").alias("anchor")), "line-anchors").where("anchor IS NOT NULL")
-    seen_at = some.groupBy("anchor").agg(F.max("twice").alias("twice"), *[f(c).alias(f"{name}_{c}") for c in ("k1", "k2") for name, f in (("min", F.min), ("max", F.max))])
-    repeated = materialize(seen_at.where("twice OR min_k1 <> max_k1 OR min_k2 <> max_k2").select("anchor"), "line-repeats")
-    marked = some.join(repeated, "anchor").groupBy("k1", "k2").agg(F.collect_set("anchor").alias("seen"), F.max("twice").alias("all"))
+    some = materialize(runs.select("k1", "k2", "twice", anchors.alias("anchors")), "line-anchors")
+    each = some.select("k1", "k2", F.explode("anchors").alias("anchor"))
+    repeated = materialize(each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "line-repeats")
+    found = each.join(repeated, "anchor").select("k1", "k2", "anchor", F.lit(False).alias("twice"))
+    found = found.unionByName(some.where("twice").select("k1", "k2", F.lit(None).cast("long").alias("anchor"), "twice"))
+    marked = found.groupBy("k1", "k2").agg(F.collect_set("anchor").alias("seen"), F.max("twice").alias("twice"))
     # Runs whose anchor is repeated. Of texts with very many repeated anchors all runs are taken: a lookup in a long array is slow.
     on = lambda a, b: (a["k1"] == b["k1"]) & (a["k2"] == b["k2"])
     texts = keyed.select(id_col, text_col, "k1", "k2")
-    runs = _spans(texts.join(marked, on(texts, marked)).select(texts["k1"], texts["k2"], id_col, text_col, "seen", (F.col("all") | (F.size("seen") > MANY_ANCHORS)).alias("all")), text_col, min_words)
-    wanted = F.filter("spans", lambda s: F.col("all") | F.array_contains("seen", s["anchor"]))
+    runs = _spans(texts.join(marked, on(texts, marked)).select(texts["k1"], texts["k2"], id_col, text_col, "seen", F.col("twice").alias("again")), text_col, min_words)
+    wanted = F.filter("spans", lambda s: F.col("again") | (F.size("seen") > MANY_ANCHORS) | F.array_contains("seen", s["anchor"]))
     body = lambda s: F.array_join(F.slice("bare", s["first"] + 1, s["last"] - s["first"] + 1), "\n")
-    wanted = F.transform(wanted, lambda s: F.struct(body(s).alias("body"), s["first"].alias("first"), s["last"].alias("last")))
-    run = runs.withColumn("wanted", wanted).select(F.col(id_col).alias("id"), "k1", "k2", F.explode_outer("wanted").alias("s"))
-    run = run.select(F.xxhash64("s.body").alias("h1"), F.xxhash64(F.lit("second"), "s.body").alias("h2"), "id", "k1", "k2", "s.first", "s.last", "s.body")
-    run = materialize(run, "line-runs").where("body IS NOT NULL")
+    run = lambda h1, h2, first, last, body: F.struct(h1.alias("h1"), h2.alias("h2"), first.alias("first"), last.alias("last"), body.alias("body"))
+    wanted = F.transform(F.transform(wanted, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), body(s).alias("body"))), lambda s: run(F.xxhash64(s["body"]), F.xxhash64(F.lit("second"), s["body"]), s["first"], s["last"], s["body"]))
+
+    def once(runs: Column) -> Column:
+        """The first run of each kind in the text; of a later one, without a body, what lies behind the one before it."""
+
+        def behind(s: Column, before: Column) -> Column:
+            none = F.lit(None)
+            return F.when(before["body"].isNull() | (before["body"] != s["body"]), s).otherwise(run(s["h1"], s["h2"], F.greatest(s["first"], before["last"] + 1), s["last"], none.cast("string")))
+
+        return F.transform(F.array(F.sort_array(runs)), lambda r: F.transform(r, lambda s, i: F.when(i == 0, s).otherwise(behind(s, F.get(r, i - 1)))))[0]
+
+    wanted = F.when(F.col("again"), once(wanted)).otherwise(wanted)
+    run = materialize(runs.withColumn("wanted", wanted).select(F.col(id_col).alias("id"), "k1", "k2", F.explode_outer("wanted").alias("s")).select("id", "k1", "k2", "s.*"), "line-runs").where("first <= last")
     place = lambda df: F.struct(df["id"].isNull().alias("none"), df["id"].alias("id"), df["k1"].alias("k1"), df["k2"].alias("k2"), df["first"].alias("first"), df["last"].alias("last"))
-    first_places = run.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place(run)).alias("kept"), F.min("body").alias("least"), F.max("body").alias("most"))
+    runs = run.where("body IS NOT NULL")
+    first_places = runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place(runs)).alias("kept"), F.min("body").alias("least"), F.max("body").alias("most"))
     kept = materialize(first_places.where("n > 1 AND least = most").select("h1", "h2", "kept"), "line-firsts")
-    again = run.join(kept, ["h1", "h2"]).withColumn("place", place(run)).where("place <> kept")
+    again = runs.join(kept, ["h1", "h2"]).withColumn("place", place(runs)).where("place <> kept")
     same_text = (F.col("place.k1") == F.col("kept.k1")) & (F.col("place.k2") == F.col("kept.k2"))
     first = F.when(same_text, F.greatest(F.col("place.first"), F.col("kept.last") + 1)).otherwise(F.col("place.first"))
-    ranges = again.select("place.k1", "place.k2", first.alias("first"), "place.last").where("first <= last")
+    ranges = again.select("place.k1", "place.k2", first.alias("first"), "place.last").where("first <= last").unionAll(run.where("body IS NULL").select("k1", "k2", "first", "last"))
     gone = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("ranges")).select("k1", "k2", _merged("ranges").alias("removed"))
     out = keyed.join(gone, on(keyed, gone), "left").select(*(keyed[c] for c in docs.columns), "removed")
     return _without_removed(out, text_col, docs.columns)
