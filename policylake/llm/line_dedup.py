@@ -151,7 +151,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 _RANGES = "array<struct<first:int,last:int>>"
 
 
-def _merged(ranges: str) -> Column:
+def _merged(ranges: str | Column) -> Column:
     """Ranges in order, those that touch or overlap as one."""
     joined = lambda a, r: F.when(F.size(a) == 0, F.array(r)).when(F.element_at(a, -1)["last"] + 1 >= r["first"], F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["first"].alias("first"), F.greatest(F.element_at(a, -1)["last"], r["last"]).alias("last"))))).otherwise(F.concat(a, F.array(r)))
     return F.aggregate(F.sort_array(ranges), F.array().cast(_RANGES), joined)
@@ -229,20 +229,23 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = _spans(texts.join(marked, on(texts, marked)).select(texts["k1"], texts["k2"], id_col, text_col, "seen", F.col("twice").alias("again")), text_col, min_words)
     wanted = F.filter("spans", lambda s: F.col("again") | (F.size("seen") > MANY_ANCHORS) | F.array_contains("seen", s["anchor"]))
     body = lambda s: F.array_join(F.slice("bare", s["first"] + 1, s["last"] - s["first"] + 1), "\n")
-    run = lambda h1, h2, first, last, body: F.struct(h1.alias("h1"), h2.alias("h2"), first.alias("first"), last.alias("last"), body.alias("body"))
-    wanted = F.transform(F.transform(wanted, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), body(s).alias("body"))), lambda s: run(F.xxhash64(s["body"]), F.xxhash64(F.lit("second"), s["body"]), s["first"], s["last"], s["body"]))
+    wanted = F.transform(wanted, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), body(s).alias("body")))
+    wanted = F.transform(wanted, lambda s: F.struct(F.xxhash64(s["body"]).alias("h1"), F.xxhash64(F.lit("second"), s["body"]).alias("h2"), s["first"].alias("first"), s["last"].alias("last"), s["body"].alias("body")))
+    entry = lambda s, own: F.struct(*[(F.lit(None).cast(kind) if s is None else s[c]).alias(c) for c, kind in (("h1", "long"), ("h2", "long"), ("first", "int"), ("last", "int"), ("body", "string"))], own.alias("own"))
 
     def once(runs: Column) -> Column:
-        """The first run of each kind in the text; of a later one, without a body, what lies behind the one before it."""
+        """The first run of each kind in the text, and an entry of what later ones cover behind the one before them."""
 
-        def behind(s: Column, before: Column) -> Column:
-            none = F.lit(None)
-            return F.when(before["body"].isNull() | (before["body"] != s["body"]), s).otherwise(run(s["h1"], s["h2"], F.greatest(s["first"], before["last"] + 1), s["last"], none.cast("string")))
+        def split(r: Column) -> Column:
+            again = lambda s, i: F.when(i == 0, False).otherwise(s["body"] == F.get(r, i - 1)["body"])
+            behind = F.transform(r, lambda s, i: F.when(again(s, i), F.struct(F.greatest(s["first"], F.get(r, i - 1)["last"] + 1).alias("first"), s["last"].alias("last"))))
+            behind = F.filter(behind, lambda x: x["first"] <= x["last"])
+            return F.concat(F.transform(F.filter(r, lambda s, i: ~again(s, i)), lambda s: entry(s, F.lit(None).cast(_RANGES))), F.array(entry(None, _merged(behind))))
 
-        return F.transform(F.array(F.sort_array(runs)), lambda r: F.transform(r, lambda s, i: F.when(i == 0, s).otherwise(behind(s, F.get(r, i - 1)))))[0]
+        return F.transform(F.array(F.sort_array(runs)), split)[0]
 
-    wanted = F.when(F.col("again"), once(wanted)).otherwise(wanted)
-    run = materialize(runs.withColumn("wanted", wanted).select(F.col(id_col).alias("id"), "k1", "k2", F.explode_outer("wanted").alias("s")).select("id", "k1", "k2", "s.*"), "line-runs").where("first <= last")
+    wanted = F.when(F.col("again"), once(wanted)).otherwise(F.transform(wanted, lambda s: entry(s, F.lit(None).cast(_RANGES))))
+    run = materialize(runs.withColumn("wanted", wanted).select(F.col(id_col).alias("id"), "k1", "k2", F.explode_outer("wanted").alias("s")).select("id", "k1", "k2", "s.*"), "line-runs")
     place = lambda df: F.struct(df["id"].isNull().alias("none"), df["id"].alias("id"), df["k1"].alias("k1"), df["k2"].alias("k2"), df["first"].alias("first"), df["last"].alias("last"))
     runs = run.where("body IS NOT NULL")
     first_places = runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place(runs)).alias("kept"), F.min("body").alias("least"), F.max("body").alias("most"))
@@ -250,7 +253,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = runs.join(kept, ["h1", "h2"]).withColumn("place", place(runs)).where("place <> kept")
     same_text = (F.col("place.k1") == F.col("kept.k1")) & (F.col("place.k2") == F.col("kept.k2"))
     first = F.when(same_text, F.greatest(F.col("place.first"), F.col("kept.last") + 1)).otherwise(F.col("place.first"))
-    ranges = again.select("place.k1", "place.k2", first.alias("first"), "place.last").where("first <= last").unionAll(run.where("body IS NULL").select("k1", "k2", "first", "last"))
+    ranges = again.select("place.k1", "place.k2", first.alias("first"), "place.last").where("first <= last").unionAll(run.where("own IS NOT NULL").select("k1", "k2", F.inline("own")))
     gone = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("ranges")).select("k1", "k2", _merged("ranges").alias("removed"))
     out = keyed.join(gone, on(keyed, gone), "left").select(*(keyed[c] for c in docs.columns), "removed")
     return _without_removed(out, text_col, docs.columns)
