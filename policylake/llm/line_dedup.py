@@ -26,6 +26,8 @@ LONG_LINE = 25
 MIN_WORDS = 25
 #: Shortest chunk that is looked up in other documents, in words.
 SEED_WORDS = 6
+#: Groups of the rows that share an anchor or a run.
+SALTS = 256
 #: Repeated anchors of a text beyond which all of its runs are looked up.
 MANY_ANCHORS = 500
 _CUT = "(?<=\\n)|(?<=[.!?] )"
@@ -207,37 +209,39 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts stay null, empty ones empty; a text all of which goes becomes empty. Other columns stay as they are. An empty
     table gives an empty table.
 
-    Anchors of runs are looked up first. Only runs whose anchor is repeated are gathered, one of each kind in a text, by a
-    hash of their bytes; counts of anchors and first places of runs are summed up before they are exchanged, and the joins
-    that bring them back are of two written tables, which Spark splits where a line or a run is very common. A run goes
-    only if all runs with its hash have the same bytes.
+    Anchors of runs are looked up first. Only runs whose anchor is repeated are gathered, one of each kind in a text, by 128
+    bits of the SHA-256 of their bytes. Places meet in two steps, first in one of SALTS groups of an anchor or a run, where
+    all but the first are settled, then the first ones of all groups: so no line is too common for a task.
     """
     if clash := {"removed", "k1", "k2", "lines", "bare", "h", "of", "begins", "found", "spans", "at", "twice", "seen"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are there already")
     keyed = docs.select(*docs.columns, *_row_key(id_col, text_col))
     runs = _spans(docs.select(text_col, *_row_key(id_col, text_col)), text_col, min_words)
     anchors = F.array_distinct(F.transform("spans", lambda s: s["anchor"]))
-    some = materialize(runs.select("k1", "k2", "twice", anchors.alias("anchors")), "line-anchors")
-    each = some.select("k1", "k2", F.explode("anchors").alias("anchor"))
-    repeated = materialize(each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "line-repeats")
-    found = each.join(repeated, "anchor").select("k1", "k2", "anchor", F.lit(False).alias("twice"))
-    found = found.unionByName(some.where("twice").select("k1", "k2", F.lit(None).cast("long").alias("anchor"), "twice"))
-    marked = found.groupBy("k1", "k2").agg(F.collect_set("anchor").alias("seen"), F.max("twice").alias("twice"))
+    # The outer form of explode keeps Spark from adding a filter that computes every array again.
+    some = runs.withColumn("anchors", anchors).select("k1", "k2", "twice", F.explode_outer("anchors").alias("anchor"))
+    salt = F.pmod("k1", F.lit(SALTS))
+    near = Window.partitionBy("anchor", salt).orderBy("k1", "k2")
+    some = some.select("*", F.lag("k1").over(near).alias("before"), F.lead("k1").over(near).alias("after"))
+    far = Window.partitionBy("anchor", F.when(F.col("before").isNull(), -1).otherwise(salt)).orderBy("k1", "k2")
+    met = some.select("k1", "k2", "twice", "anchor", F.coalesce("before", "after", F.lag("k1").over(far), F.lead("k1").over(far)).isNotNull().alias("repeated"))
+    met = met.where("anchor IS NOT NULL AND (twice OR repeated)")
+    marked = materialize(met.groupBy("k1", "k2").agg(F.collect_set(F.when(F.col("repeated"), F.col("anchor"))).alias("seen"), F.max("twice").alias("twice")), "line-repeats")
     # Runs whose anchor is repeated. Of texts with very many repeated anchors all runs are taken: a lookup in a long array is slow.
     on = lambda a, b: (a["k1"] == b["k1"]) & (a["k2"] == b["k2"])
     texts = keyed.select(id_col, text_col, "k1", "k2")
     runs = _spans(texts.join(marked, on(texts, marked)).select(texts["k1"], texts["k2"], id_col, text_col, "seen", F.col("twice").alias("again")), text_col, min_words)
     wanted = F.filter("spans", lambda s: F.col("again") | (F.size("seen") > MANY_ANCHORS) | F.array_contains("seen", s["anchor"]))
     body = lambda s: F.array_join(F.slice("bare", s["first"] + 1, s["last"] - s["first"] + 1), "\n")
-    wanted = F.transform(wanted, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), body(s).alias("body")))
-    wanted = F.transform(wanted, lambda s: F.struct(F.xxhash64(s["body"]).alias("h1"), F.xxhash64(F.lit("second"), s["body"]).alias("h2"), s["first"].alias("first"), s["last"].alias("last"), s["body"].alias("body")))
-    entry = lambda s, own: F.struct(*[(F.lit(None).cast(kind) if s is None else s[c]).alias(c) for c, kind in (("h1", "long"), ("h2", "long"), ("first", "int"), ("last", "int"), ("body", "string"))], own.alias("own"))
+    digest = lambda body: F.unhex(F.substring(F.sha2(body, 256), 1, 32))
+    wanted = F.transform(wanted, lambda s: F.struct(digest(body(s)).alias("digest"), s["first"].alias("first"), s["last"].alias("last")))
+    entry = lambda s, own: F.struct(*[(F.lit(None).cast(kind) if s is None else s[c]).alias(c) for c, kind in (("digest", "binary"), ("first", "int"), ("last", "int"))], own.alias("own"))
 
     def once(runs: Column) -> Column:
         """The first run of each kind in the text, and an entry of what later ones cover behind the one before them."""
 
         def split(r: Column) -> Column:
-            again = lambda s, i: F.when(i == 0, False).otherwise(s["body"] == F.get(r, i - 1)["body"])
+            again = lambda s, i: F.when(i == 0, False).otherwise(s["digest"] == F.get(r, i - 1)["digest"])
             behind = F.transform(r, lambda s, i: F.when(again(s, i), F.struct(F.greatest(s["first"], F.get(r, i - 1)["last"] + 1).alias("first"), s["last"].alias("last"))))
             behind = F.filter(behind, lambda x: x["first"] <= x["last"])
             return F.concat(F.transform(F.filter(r, lambda s, i: ~again(s, i)), lambda s: entry(s, F.lit(None).cast(_RANGES))), F.array(entry(None, _merged(behind))))
@@ -245,15 +249,14 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return F.transform(F.array(F.sort_array(runs)), split)[0]
 
     wanted = F.when(F.col("again"), once(wanted)).otherwise(F.transform(wanted, lambda s: entry(s, F.lit(None).cast(_RANGES))))
-    run = materialize(runs.withColumn("wanted", wanted).select(F.col(id_col).alias("id"), "k1", "k2", F.explode_outer("wanted").alias("s")).select("id", "k1", "k2", "s.*"), "line-runs")
-    place = lambda df: F.struct(df["id"].isNull().alias("none"), df["id"].alias("id"), df["k1"].alias("k1"), df["k2"].alias("k2"), df["first"].alias("first"), df["last"].alias("last"))
-    runs = run.where("body IS NOT NULL")
-    first_places = runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place(runs)).alias("kept"), F.min("body").alias("least"), F.max("body").alias("most"))
-    kept = materialize(first_places.where("n > 1 AND least = most").select("h1", "h2", "kept"), "line-firsts")
-    again = runs.join(kept, ["h1", "h2"]).withColumn("place", place(runs)).where("place <> kept")
-    same_text = (F.col("place.k1") == F.col("kept.k1")) & (F.col("place.k2") == F.col("kept.k2"))
-    first = F.when(same_text, F.greatest(F.col("place.first"), F.col("kept.last") + 1)).otherwise(F.col("place.first"))
-    ranges = again.select("place.k1", "place.k2", first.alias("first"), "place.last").where("first <= last").unionAll(run.where("own IS NOT NULL").select("k1", "k2", F.inline("own")))
-    gone = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("ranges")).select("k1", "k2", _merged("ranges").alias("removed"))
+    run = runs.withColumn("wanted", wanted).select(F.col(id_col).alias("id"), "k1", "k2", F.explode_outer("wanted").alias("s")).select("id", "k1", "k2", "s.*")
+    # Places come in order of documents: a text has one entry of a kind of run.
+    order = (F.col("id").asc_nulls_last(), "k1", "k2")
+    alone = F.when(F.col("digest").isNull(), F.col("k2"))  # entries of the text's own repeats needn't meet
+    run = run.withColumn("later", F.rank().over(Window.partitionBy("digest", salt, alone).orderBy(*order)) > 1)
+    run = run.withColumn("later", F.col("later") | (F.rank().over(Window.partitionBy("digest", F.when(F.col("later") | F.col("digest").isNull(), salt).otherwise(-1), alone).orderBy(*order)) > 1))
+    run = run.where("later OR own IS NOT NULL")
+    gone = run.groupBy("k1", "k2").agg(F.collect_set(F.when(F.col("own").isNull(), F.struct("first", "last"))).alias("ranges"), F.collect_set("own").alias("own"))
+    gone = gone.select("k1", "k2", _merged(F.concat("ranges", F.flatten("own"))).alias("removed"))
     out = keyed.join(gone, on(keyed, gone), "left").select(*(keyed[c] for c in docs.columns), "removed")
     return _without_removed(out, text_col, docs.columns)
