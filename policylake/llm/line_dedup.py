@@ -29,7 +29,7 @@ SEED_WORDS = 6
 #: Groups of the rows that share an anchor or a run.
 SALTS = 256
 #: Repeated anchors of a text beyond which all of its runs are looked up.
-MANY_ANCHORS = 500
+MANY_ANCHORS = 64
 _CUT = "(?<=\\n)|(?<=[.!?] )"
 _MARK = "\x01"
 
@@ -172,31 +172,19 @@ def _without_removed(out: DataFrame, text_col: str, columns: list[str]) -> DataF
     return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in columns], F.coalesce("removed", F.array().cast(_RANGES)).alias("removed"))
 
 
-def _spans(df: DataFrame, text_col: str, min_words: int) -> DataFrame:
-    """Add lines, bare (their bare forms), spans (shortest runs of lines with ``min_words`` words, as first, last, anchor) and twice.
+def _lines_of(df: DataFrame, text_col: str, min_words: int) -> DataFrame:
+    """Add bare (lines in their bare forms), of and begins (the line of each word, and the first word of each line) and anchors.
 
-    Runs are taken from each line on and up to each line, so their union covers every longer run, wherever it begins; what
-    a run is depends on its own lines alone. Its anchor is the least rolling hash of two adjacent lines in it, or the hash of
-    its one line. twice: an anchor may stand at two places of this text."""
-    df = df.withColumn("lines", split_lines(F.coalesce(F.col(text_col), F.lit(""))))
-    df = df.withColumn("bare", F.transform("lines", lambda x: _bare(x)))
+    A line's anchor names the shortest run of lines with ``min_words`` words that begins there: the rolling hash of its
+    first two lines, or the hash of its one line; null where too few words are left."""
+    df = df.withColumn("bare", F.transform(split_lines(F.coalesce(F.col(text_col), F.lit(""))), lambda x: _bare(x)))
     df = df.withColumn("h", F.transform("bare", lambda x: F.xxhash64(x)))
-    # The line of each word: with that, sums of words are looked up. More words than asked for make no difference.
+    # With the line of each word sums of words are looked up. More words of a line than asked for make no difference.
     df = df.withColumn("of", F.flatten(F.transform("bare", lambda x, i: F.array_repeat(i, F.least(_n_words(x), F.lit(min_words)).cast("int")))))
-    df = df.withColumn("begins", F.filter(F.sequence(F.lit(0), F.size("of") - 1), lambda p: F.when(p == 0, True).otherwise(F.get("of", p) != F.get("of", p - 1))))
-    down = lambda i: F.get("of", F.get("begins", i) + (min_words - 1))
-    up = lambda i: F.get("of", F.coalesce(F.get("begins", i + 1), F.size("of")) - min_words)
-    from_line = F.filter(F.transform("begins", lambda b, i: F.struct(i.alias("first"), F.get("of", b + (min_words - 1)).alias("last"))), lambda s: s["last"].isNotNull())
-    to_line = F.filter(F.transform("begins", lambda b, i: F.struct(up(i).alias("first"), i.alias("last"))), lambda s: s["first"].isNotNull() & (down(s["first"]) != s["last"]))
-    df = df.withColumn("spans", F.concat(from_line, to_line))
-    # A lambda's variable is computed once; a column might be computed again for each of the lambda's elements.
-    pairs = F.transform("h", lambda x, i: F.xxhash64(x, F.get("h", i + 1)))
-    anchor = lambda s, p: F.when(s["first"] == s["last"], F.get("h", s["first"])).otherwise(F.array_min(F.slice(p, s["first"] + 1, s["last"] - s["first"])))
-    found = F.transform(F.array(pairs), lambda p: F.struct(F.transform("spans", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), anchor(s, p).alias("anchor"))).alias("spans"), F.slice(p, F.lit(1), F.size(p) - 1).alias("pairs")))[0]
-    df = df.withColumn("found", found)
-    alone = F.transform(F.filter("found.spans", lambda s: s["first"] == s["last"]), lambda s: s["anchor"])
-    df = df.withColumn("at", F.concat("found.pairs", alone)).withColumn("spans", F.col("found.spans"))
-    return df.withColumn("twice", F.size(F.array_distinct("at")) < F.size("at")).drop("h", "of", "begins", "found", "at")
+    df = df.withColumn("begins", F.filter(F.sequence(F.lit(0), F.size("of") - 1), lambda p: F.get("of", p) != F.coalesce(F.get("of", p - 1), F.lit(-1))))
+    last = lambda b: F.get("of", b + (min_words - 1))
+    anchor = lambda b, i: F.when(last(b) == i, F.get("h", i)).when(last(b).isNotNull(), F.xxhash64(F.get("h", i), F.get("h", i + 1)))
+    return df.withColumn("anchors", F.transform("begins", anchor)).drop("h")
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -213,13 +201,13 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits of the SHA-256 of their bytes. Places meet in two steps, first in one of SALTS groups of an anchor or a run, where
     all but the first are settled, then the first ones of all groups: so no line is too common for a task.
     """
-    if clash := {"removed", "k1", "k2", "lines", "bare", "h", "of", "begins", "found", "spans", "at", "twice", "seen"} & set(docs.columns):
+    if clash := {"removed", "k1", "k2", "bare", "h", "of", "begins", "anchors", "seen", "again"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are there already")
     keyed = docs.select(*docs.columns, *_row_key(id_col, text_col))
-    runs = _spans(docs.select(text_col, *_row_key(id_col, text_col)), text_col, min_words)
-    anchors = F.array_distinct(F.transform("spans", lambda s: s["anchor"]))
+    runs = _lines_of(docs.select(text_col, *_row_key(id_col, text_col)), text_col, min_words)
+    runs = runs.select("k1", "k2", F.array_distinct("anchors").alias("distinct"), F.size(F.array_compact("anchors")).alias("n")).withColumn("twice", F.size(F.array_compact("distinct")) < F.col("n"))
     # The outer form of explode keeps Spark from adding a filter that computes every array again.
-    some = runs.withColumn("anchors", anchors).select("k1", "k2", "twice", F.explode_outer("anchors").alias("anchor"))
+    some = runs.select("k1", "k2", "twice", F.explode_outer("distinct").alias("anchor"))
     salt = F.pmod("k1", F.lit(SALTS))
     near = Window.partitionBy("anchor", salt).orderBy("k1", "k2")
     some = some.select("*", F.lag("k1").over(near).alias("before"), F.lead("k1").over(near).alias("after"))
@@ -230,8 +218,15 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Runs whose anchor is repeated. Of texts with very many repeated anchors all runs are taken: a lookup in a long array is slow.
     on = lambda a, b: (a["k1"] == b["k1"]) & (a["k2"] == b["k2"])
     texts = keyed.select(id_col, text_col, "k1", "k2")
-    runs = _spans(texts.join(marked, on(texts, marked)).select(texts["k1"], texts["k2"], id_col, text_col, "seen", F.col("twice").alias("again")), text_col, min_words)
-    wanted = F.filter("spans", lambda s: F.col("again") | (F.size("seen") > MANY_ANCHORS) | F.array_contains("seen", s["anchor"]))
+    runs = _lines_of(texts.join(marked, on(texts, marked)).select(texts["k1"], texts["k2"], id_col, text_col, "seen", F.col("twice").alias("again")), text_col, min_words)
+    runs = runs.withColumn("met", F.transform("anchors", lambda a: a.isNotNull() & (F.col("again") | (F.size("seen") > MANY_ANCHORS) | F.array_contains("seen", a))))
+    # The shortest runs from each line on, and those up to each line that are none of them: their union covers every longer
+    # run, wherever it begins. What a run is depends on its own lines alone.
+    down = lambda i: F.get("of", F.get("begins", i) + (min_words - 1))
+    up = lambda i: F.get("of", F.coalesce(F.get("begins", i + 1), F.size("of")) - min_words)
+    from_line = F.filter(F.transform("met", lambda m, i: F.when(m, F.struct(i.alias("first"), down(i).alias("last")))), lambda s: s.isNotNull())
+    to_line = F.filter(F.transform("begins", lambda b, i: F.struct(up(i).alias("first"), i.alias("last"))), lambda s: F.coalesce(F.get("met", s["first"]), F.lit(False)) & (down(s["first"]) != s["last"]))
+    wanted = F.concat(from_line, to_line)
     body = lambda s: F.array_join(F.slice("bare", s["first"] + 1, s["last"] - s["first"] + 1), "\n")
     digest = lambda body: F.unhex(F.substring(F.sha2(body, 256), 1, 32))
     wanted = F.transform(wanted, lambda s: F.struct(digest(body(s)).alias("digest"), s["first"].alias("first"), s["last"].alias("last")))
