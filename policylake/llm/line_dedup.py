@@ -26,10 +26,12 @@ LONG_LINE = 25
 MIN_WORDS = 25
 #: Shortest chunk that is looked up in other documents, in words.
 SEED_WORDS = 6
+#: Stands for an anchor that a text has twice.
+TWICE = -1
 #: Groups of the rows that share an anchor or a run.
 SALTS = 256
 #: Repeated anchors of a text beyond which all of its runs are looked up.
-MANY_ANCHORS = 64
+MANY_ANCHORS = 300
 _CUT = "(?<=\\n)|(?<=[.!?] )"
 _MARK = "\x01"
 
@@ -204,21 +206,24 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if clash := {"removed", "k1", "k2", "bare", "h", "of", "begins", "anchors", "seen", "again"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are there already")
     keyed = docs.select(*docs.columns, *_row_key(id_col, text_col))
-    runs = _lines_of(docs.select(text_col, *_row_key(id_col, text_col)), text_col, min_words)
-    runs = runs.select("k1", "k2", F.array_distinct("anchors").alias("distinct"), F.size(F.array_compact("anchors")).alias("n")).withColumn("twice", F.size(F.array_compact("distinct")) < F.col("n"))
+    # A row for each distinct anchor of a text, and one with TWICE where an anchor stands twice in it. k1 alone names the
+    # text here: two texts with one k1 would only be looked at more closely than needed.
+    runs = _lines_of(docs.select(text_col, _row_key(id_col, text_col)[0]), text_col, min_words).select("k1", F.array_compact("anchors").alias("all"))
+    runs = runs.withColumn("distinct", F.array_distinct("all"))
+    runs = runs.select("k1", F.when(F.size("distinct") < F.size("all"), F.concat(F.array(F.lit(TWICE)), "distinct")).otherwise(F.col("distinct")).alias("anchors"))
     # The outer form of explode keeps Spark from adding a filter that computes every array again.
-    some = runs.select("k1", "k2", "twice", F.explode_outer("distinct").alias("anchor"))
+    some = runs.select("k1", F.explode_outer("anchors").alias("anchor")).where("anchor IS NOT NULL")
     salt = F.pmod("k1", F.lit(SALTS))
-    near = Window.partitionBy("anchor", salt).orderBy("k1", "k2")
-    some = some.select("*", F.lag("k1").over(near).alias("before"), F.lead("k1").over(near).alias("after"))
-    far = Window.partitionBy("anchor", F.when(F.col("before").isNull(), -1).otherwise(salt)).orderBy("k1", "k2")
-    met = some.select("k1", "k2", "twice", "anchor", F.coalesce("before", "after", F.lag("k1").over(far), F.lead("k1").over(far)).isNotNull().alias("repeated"))
-    met = met.where("anchor IS NOT NULL AND (twice OR repeated)")
-    marked = materialize(met.groupBy("k1", "k2").agg(F.collect_set(F.when(F.col("repeated"), F.col("anchor"))).alias("seen"), F.max("twice").alias("twice")), "line-repeats")
+    near = Window.partitionBy("anchor", salt).orderBy("k1")
+    some = some.select("*", F.lag("k1").over(near).isNotNull().alias("again"), F.lead("k1").over(near).isNotNull().alias("more"))
+    far = Window.partitionBy("anchor", F.when(F.col("again"), salt).otherwise(-1)).orderBy("k1")
+    met = some.select("k1", "anchor", (F.col("again") | F.col("more") | F.coalesce(F.lag("k1").over(far), F.lead("k1").over(far)).isNotNull()).alias("repeated"))
+    met = met.where(F.col("repeated") | (F.col("anchor") == TWICE)).groupBy("k1").agg(F.collect_set("anchor").alias("seen"))
+    marked = materialize(met, "line-repeats")
     # Runs whose anchor is repeated. Of texts with very many repeated anchors all runs are taken: a lookup in a long array is slow.
-    on = lambda a, b: (a["k1"] == b["k1"]) & (a["k2"] == b["k2"])
     texts = keyed.select(id_col, text_col, "k1", "k2")
-    runs = _lines_of(texts.join(marked, on(texts, marked)).select(texts["k1"], texts["k2"], id_col, text_col, "seen", F.col("twice").alias("again")), text_col, min_words)
+    runs = texts.join(marked, "k1").select("k1", "k2", id_col, text_col, "seen", F.array_contains("seen", F.lit(TWICE)).alias("again"))
+    runs = _lines_of(runs, text_col, min_words)
     runs = runs.withColumn("met", F.transform("anchors", lambda a: a.isNotNull() & (F.col("again") | (F.size("seen") > MANY_ANCHORS) | F.array_contains("seen", a))))
     # The shortest runs from each line on, and those up to each line that are none of them: their union covers every longer
     # run, wherever it begins. What a run is depends on its own lines alone.
@@ -230,7 +235,8 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     body = lambda s: F.array_join(F.slice("bare", s["first"] + 1, s["last"] - s["first"] + 1), "\n")
     digest = lambda body: F.unhex(F.substring(F.sha2(body, 256), 1, 32))
     wanted = F.transform(wanted, lambda s: F.struct(digest(body(s)).alias("digest"), s["first"].alias("first"), s["last"].alias("last")))
-    entry = lambda s, own: F.struct(*[(F.lit(None).cast(kind) if s is None else s[c]).alias(c) for c, kind in (("digest", "binary"), ("first", "int"), ("last", "int"))], own.alias("own"))
+    mark = F.unhex(F.sha2(F.concat(F.col("k1").cast("binary"), F.col("k2").cast("binary")), 256))  # of no run: these entries needn't meet
+    entry = lambda s, own: F.struct(*([s[c].alias(c) for c in ("digest", "first", "last")] if s is not None else [mark.alias("digest"), *[F.lit(None).cast("int").alias(c) for c in ("first", "last")]]), own.alias("own"))
 
     def once(runs: Column) -> Column:
         """The first run of each kind in the text, and an entry of what later ones cover behind the one before them."""
@@ -244,14 +250,13 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return F.transform(F.array(F.sort_array(runs)), split)[0]
 
     wanted = F.when(F.col("again"), once(wanted)).otherwise(F.transform(wanted, lambda s: entry(s, F.lit(None).cast(_RANGES))))
-    run = runs.withColumn("wanted", wanted).select(F.col(id_col).alias("id"), "k1", "k2", F.explode_outer("wanted").alias("s")).select("id", "k1", "k2", "s.*")
+    run = runs.withColumn("wanted", wanted).select(F.col(id_col).alias("id"), "k1", "k2", F.explode_outer("wanted").alias("s")).where("s IS NOT NULL").select("id", "k1", "k2", "s.*")
     # Places come in order of documents: a text has one entry of a kind of run.
     order = (F.col("id").asc_nulls_last(), "k1", "k2")
-    alone = F.when(F.col("digest").isNull(), F.col("k2"))  # entries of the text's own repeats needn't meet
-    run = run.withColumn("later", F.rank().over(Window.partitionBy("digest", salt, alone).orderBy(*order)) > 1)
-    run = run.withColumn("later", F.col("later") | (F.rank().over(Window.partitionBy("digest", F.when(F.col("later") | F.col("digest").isNull(), salt).otherwise(-1), alone).orderBy(*order)) > 1))
+    run = run.withColumn("later", F.rank().over(Window.partitionBy("digest", salt).orderBy(*order)) > 1)
+    run = run.withColumn("later", F.col("later") | (F.rank().over(Window.partitionBy("digest", F.when(F.col("later"), salt).otherwise(-1)).orderBy(*order)) > 1))
     run = run.where("later OR own IS NOT NULL")
     gone = run.groupBy("k1", "k2").agg(F.collect_set(F.when(F.col("own").isNull(), F.struct("first", "last"))).alias("ranges"), F.collect_set("own").alias("own"))
     gone = gone.select("k1", "k2", _merged(F.concat("ranges", F.flatten("own"))).alias("removed"))
-    out = keyed.join(gone, on(keyed, gone), "left").select(*(keyed[c] for c in docs.columns), "removed")
+    out = keyed.join(gone, (keyed["k1"] == gone["k1"]) & (keyed["k2"] == gone["k2"]), "left").select(*(keyed[c] for c in docs.columns), "removed")
     return _without_removed(out, text_col, docs.columns)
