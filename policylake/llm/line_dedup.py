@@ -235,7 +235,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     body = lambda s: F.array_join(F.slice("bare", s["first"] + 1, s["last"] - s["first"] + 1), "\n")
     digest = lambda body: F.unhex(F.substring(F.sha2(body, 256), 1, 32))
     wanted = F.transform(wanted, lambda s: F.struct(digest(body(s)).alias("digest"), s["first"].alias("first"), s["last"].alias("last")))
-    mark = F.unhex(F.sha2(F.concat(F.col("k1").cast("binary"), F.col("k2").cast("binary")), 256))  # of no run: these entries needn't meet
+    mark = F.unhex(F.sha2(F.concat_ws("/", "k1", "k2"), 256))  # of no run: these entries needn't meet
     entry = lambda s, own: F.struct(*([s[c].alias(c) for c in ("digest", "first", "last")] if s is not None else [mark.alias("digest"), *[F.lit(None).cast("int").alias(c) for c in ("first", "last")]]), own.alias("own"))
 
     def once(runs: Column) -> Column:
