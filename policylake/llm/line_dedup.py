@@ -203,7 +203,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits of the SHA-256 of their bytes. Places meet in two steps, first in one of SALTS groups of an anchor or a run, where
     all but the first are settled, then the first ones of all groups: so no line is too common for a task.
     """
-    if clash := {"removed", "k1", "k2", "bare", "h", "of", "begins", "anchors", "seen", "again"} & set(docs.columns):
+    if clash := {"removed", "k1", "k2", "bare", "h", "of", "begins", "anchors", "seen", "again", "g1", "g2"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are there already")
     keyed = docs.select(*docs.columns, *_row_key(id_col, text_col))
     # A row for each distinct anchor of a text, and one with TWICE where an anchor stands twice in it. k1 alone names the
@@ -257,6 +257,8 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     run = run.withColumn("later", F.col("later") | (F.rank().over(Window.partitionBy("digest", F.when(F.col("later"), salt).otherwise(-1)).orderBy(*order)) > 1))
     run = run.where("later OR own IS NOT NULL")
     gone = run.groupBy("k1", "k2").agg(F.collect_set(F.when(F.col("own").isNull(), F.struct("first", "last"))).alias("ranges"), F.collect_set("own").alias("own"))
-    gone = gone.select("k1", "k2", _merged(F.concat("ranges", F.flatten("own"))).alias("removed"))
-    out = keyed.join(gone, (keyed["k1"] == gone["k1"]) & (keyed["k2"] == gone["k2"]), "left").select(*(keyed[c] for c in docs.columns), "removed")
+    gone = gone.select(F.col("k1").alias("g1"), F.col("k2").alias("g2"), _merged(F.concat("ranges", F.flatten("own"))).alias("removed"))
+    # Dealt by k1 alone, as above, so that the exchange of the texts is the same.
+    same = (F.col("k1") == F.col("g1")) & (F.col("k2").bitwiseXOR(F.col("g2")) == 0)
+    out = keyed.join(gone, same, "left").select(*docs.columns, "removed")
     return _without_removed(out, text_col, docs.columns)
