@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lex
-from .text import col, has_any, reliability, word_list
+from .text import col, has_any, number_of, once, reliability, word_list
 
 WORD = "[\\p{L}\\p{N}_]+"
 
@@ -101,17 +101,22 @@ def qualification(rule: str | Column, evidence: str | Column) -> Column:
 
 def weak_evidence(evidence: str | Column, ocr_confidence: str | Column, kind: str | Column, value: str | Column | None = None, least: float = 60.0, vocabulary: list[str] | None = None) -> Column:
     """Why evidence is weak (none, ocr, short, garbled, noise, criteria), or null."""
-    e, conf = F.trim(col(evidence)), col(ocr_confidence)
     marks = "$;%^~{}|\\\\&_`"
-    words = word_list(e)
-    noisy = F.size(F.filter(words, lambda w: w.rlike(f"[{marks}]") & w.rlike("\\p{L}")))
-    rel = reliability(e, 3, vocabulary)
-    quantity = col(kind).isin("income", "age", "land_size") | F.coalesce((F.lit(None).cast("string") if value is None else col(value)).rlike("\\d"), F.lit(False))
-    return (
-        F.when(col(evidence).isNull(), "none").when(conf < least, "ocr").when(F.length(e) < 10, "short").when(rel["encoding_issue"] | ~rel["reliable"], "garbled")
-        .when((F.length(F.regexp_replace(e, f"[^{marks}]", "")) >= 3) | e.rlike(f"[{marks}]{{2}}") | (noisy >= 0.25 * F.size(words)), "noise")
-        .when(F.coalesce(quantity, F.lit(False)) & ~has_any(F.lower(e), lex.CRITERIA), "criteria")
-    )
+    quantity = F.coalesce(col(kind).isin("income", "age", "land_size") | F.coalesce((F.lit(None).cast("string") if value is None else col(value)).rlike("\\d"), F.lit(False)), F.lit(False))
+
+    def of(e: Column) -> Column:
+        shares = F.struct(reliability(e, 3, vocabulary).alias("rel"), word_list(e).alias("words"))
+
+        def verdict(c: Column) -> Column:
+            noisy = F.size(F.filter(c["words"], lambda w: w.rlike(f"[{marks}]") & w.rlike("\\p{L}")))
+            return (
+                F.when(c["rel"]["encoding_issue"] | ~c["rel"]["reliable"], "garbled").when((number_of(e, marks) >= 3) | e.rlike(f"[{marks}]{{2}}") | (noisy >= 0.25 * F.size(c["words"])), "noise")
+                .when(quantity & ~has_any(F.lower(e), lex.CRITERIA), "criteria")
+            )
+
+        return F.when(F.length(e) < 10, "short").otherwise(once(shares, verdict))
+
+    return F.when(col(evidence).isNull(), "none").when(col(ocr_confidence) < least, "ocr").otherwise(once(F.trim(col(evidence)), of))
 
 
 def scope(rule: str | Column, evidence: str | Column) -> Column:

@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lex
 
-WIDE_SPACE = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\x1c-\\x1f\\x85]"
+#: White space of any kind: as Unicode has it, and the information separators.
+WIDE_SPACE = "(?U:[\\s\\x1c-\\x1f])"
+
+
+#: The characters of WIDE_SPACE.
+SPACES = " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\x1c\x1d\x1e\x1f\x85"
 
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it: a lambda's variable is, a column's expression isn't."""
+    return F.transform(F.array(value), f)[0]
+
+
 def any_of(words: list[str]) -> str:
     """A pattern of literal alternatives."""
     return "|".join(w if w.isalnum() else "".join("\\" + ch if ch in "\\.[]{}()*+-?^$|#&~" else ch for ch in w) for w in words)
@@ -34,57 +46,77 @@ def clean_title(text: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(col(text), F.lit("")), WIDE_SPACE + "+", " "))
 
 
+def stripped(text: str | Column) -> Column:
+    """Nothing blank at the ends; null is empty."""
+    return F.btrim(F.coalesce(col(text), F.lit("")), F.lit(SPACES))
+
+
 def clean_page(text: str | Column) -> Column:
     """No control characters but tab and line ends, at most one blank line in a row, nothing blank at the ends."""
     t = F.replace(F.coalesce(col(text), F.lit("")), F.lit(" "), F.lit(" "))
     t = F.regexp_replace(t, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", "")
     t = F.regexp_replace(t, f"\\n{WIDE_SPACE}*\\n{WIDE_SPACE}*\\n+", "\n\n")
-    return F.regexp_replace(t, f"^{WIDE_SPACE}+|{WIDE_SPACE}+$", "")
+    return stripped(t)
 
 
 def count_of(text: Column, literal: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(literal), F.lit("")))
 
 
-def kept(text: Column, keep: str) -> Column:
+def number_of(text: Column, characters: str) -> Column:
     """Number of characters of a class."""
-    return F.length(F.regexp_replace(text, f"[^{keep}]", ""))
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{characters}]+", ""))
+
+
+def usability(text: str | Column, min_words: int = 10) -> Column:
+    """A struct of the clean text, its number of words, and usable: enough words, and not mostly replacement characters."""
+
+    def of(t: Column) -> Column:
+        broken, words = count_of(t, "\ufffd"), F.size(word_list(t))
+        enough = lambda n: F.struct(t.alias("clean"), n.alias("words"), ((n >= min_words) & ~((broken > 10) & (broken > 0.1 * F.length(t)))).alias("usable"))
+        return once(words, enough)
+
+    return once(clean_page(text), of)
 
 
 def is_usable(text: str | Column, min_words: int = 10) -> Column:
-    """Enough words, and not mostly replacement characters."""
-    t = clean_page(text)
-    broken = count_of(t, "�")
-    return (F.size(word_list(t)) >= min_words) & ~((broken > 10) & (broken > 0.1 * F.length(t)))
+    return usability(text, min_words)["usable"]
 
 
 def reliability(text: str | Column, min_words: int = 10, vocabulary: list[str] | None = None, min_native: int = 25) -> Column:
     """A struct: reliable, score, action, encoding_issue and reasons (codes: empty, few_words, symbols, ligatures, vocabulary, ambiguous).
 
-    Cascade: empty; too few words; enough native script; signals of a broken encoding; known words; else to be reviewed."""
+    Cascade: empty; too few words; enough native script; signals of a broken encoding; known words; else to be reviewed.
+    What the cascade asks for is counted once for each text."""
     vocabulary = lex.COMMON_WORDS if vocabulary is None else vocabulary
-    t = F.regexp_replace(F.coalesce(col(text), F.lit("")), f"^{WIDE_SPACE}+|{WIDE_SPACE}+$", "")
-    words = word_list(t)
-    chars = F.greatest(F.length(t), F.lit(1))
-    native = kept(t, "\\u0c80-\\u0cff")
-    latin = F.transform(F.filter(words, lambda w: F.length(w) >= 2), lambda w: F.lower(F.regexp_replace(w, "[^a-zA-Z]", "")))
-    known = F.size(F.filter(latin, lambda w: w.isin(vocabulary)))
-    symbols = kept(t, "~`^_{}|\\\\;:$%@*<>\\[\\]+=") / chars
-    dense, torn, unknown = symbols > 0.035, t.rlike("[;~`_]{2,}|[a-zA-Z]{1,3}[;~`^]{1,3}[a-zA-Z]{1,3}"), (F.size(latin) >= 15) & (known < 3)
-    issue = dense | torn | unknown
-    fine = (known >= 3) | ((F.size(words) >= 15) & (kept(t, "\\p{L}\\p{N}") > 0.70 * chars))
     verdict = lambda ok, score, action, bad, *why: F.struct(
         F.lit(ok).alias("reliable"), (score if isinstance(score, Column) else F.lit(score)).cast("double").alias("score"), F.lit(action).alias("action"), F.lit(bad).alias("encoding_issue"),
         (F.array_compact(F.array(*why)) if why else F.array().cast("array<string>")).alias("reasons"),
     )
-    return (
-        F.when(t == "", verdict(False, 0.0, "RUN_OCR", False, F.lit("empty")))
-        .when(F.size(words) < min_words, verdict(False, 0.1, "RUN_OCR", False, F.lit("few_words")))
-        .when((native >= min_native) & (native >= 0.15 * chars), verdict(True, 0.98, "USE_DIGITAL_TEXT", False))
-        .when(issue, verdict(False, F.greatest(F.lit(0.0), F.bround(0.40 - F.least(F.lit(0.40), symbols * 8), 2)), "RUN_OCR", True, F.when(dense, "symbols"), F.when(torn, "ligatures"), F.when(unknown, "vocabulary")))
-        .when(fine, verdict(True, 0.95, "USE_DIGITAL_TEXT", False))
-        .otherwise(verdict(False, 0.50, "REVIEW", False, F.lit("ambiguous")))
-    )
+
+    def counts(t: Column) -> Column:
+        words = word_list(t)
+        # Letters of words: all but letters and blanks is taken out of the text before it is split.
+        letters = F.split(F.lower(F.regexp_replace(t, "(?U:[^a-zA-Z\\s\\x1c-\\x1f]+)", "")), WIDE_SPACE + "+")
+        return F.struct(
+            (t == "").alias("empty"), F.greatest(F.length(t), F.lit(1)).alias("chars"), number_of(t, "\\u0c80-\\u0cff").alias("native"), number_of(t, "~`^_{}|\\\\;:$%@*<>\\[\\]+=").alias("marks"), number_of(t, "\\p{L}\\p{N}").alias("alnum"),
+            t.rlike("[;~`_]{2,}|[a-zA-Z]{1,3}[;~`^]{1,3}[a-zA-Z]{1,3}").alias("torn"), F.size(words).alias("words"), F.size(F.filter(words, lambda w: F.length(w) >= 2)).alias("long"), F.size(F.filter(letters, lambda w: w.isin(vocabulary))).alias("known"),
+        )
+
+    def cascade(c: Column) -> Column:
+        symbols = c["marks"] / c["chars"]
+        dense, torn, unknown = symbols > 0.035, c["torn"], (c["long"] >= 15) & (c["known"] < 3)
+        fine = (c["known"] >= 3) | ((c["words"] >= 15) & (c["alnum"] > 0.70 * c["chars"]))
+        return (
+            F.when(c["empty"], verdict(False, 0.0, "RUN_OCR", False, F.lit("empty")))
+            .when(c["words"] < min_words, verdict(False, 0.1, "RUN_OCR", False, F.lit("few_words")))
+            .when((c["native"] >= min_native) & (c["native"] >= 0.15 * c["chars"]), verdict(True, 0.98, "USE_DIGITAL_TEXT", False))
+            .when(dense | torn | unknown, verdict(False, F.greatest(F.lit(0.0), F.bround(0.40 - F.least(F.lit(0.40), symbols * 8), 2)), "RUN_OCR", True, F.when(dense, "symbols"), F.when(torn, "ligatures"), F.when(unknown, "vocabulary")))
+            .when(fine, verdict(True, 0.95, "USE_DIGITAL_TEXT", False))
+            .otherwise(verdict(False, 0.50, "REVIEW", False, F.lit("ambiguous")))
+        )
+
+    return once(once(stripped(text), counts), cascade)
 
 
 def form_fields(text: str | Column, labels: list[tuple[str, str]] | None = None) -> Column:

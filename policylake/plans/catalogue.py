@@ -218,13 +218,14 @@ def version_label(spark, sf_dir):
 
 @query(f"SELECT doc_id, CAST(length({CLEAN_TEXT}) AS BIGINT) AS clean_chars, CAST(length(trim(regexp_replace(replace(text, chr(160), ' '), '\\s+', ' ', 'g'))) AS BIGINT) AS title_chars, sha256({CLEAN_TEXT}) AS clean_hash FROM documents")
 def clean_text_stats(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", F.length(X.clean_page("text")).cast("bigint").alias("clean_chars"), F.length(X.clean_title("text")).cast("bigint").alias("title_chars"), F.sha2(X.clean_page("text"), 256).alias("clean_hash"))
+    d = read(spark, sf_dir, "documents").select("doc_id", X.clean_page("text").alias("clean"), F.length(X.clean_title("text")).cast("bigint").alias("title_chars"))
+    return d.select("doc_id", F.length("clean").cast("bigint").alias("clean_chars"), "title_chars", F.sha2("clean", 256).alias("clean_hash"))
 
 
 @query(f"SELECT doc_id, {USABLE} AS usable, CAST(len({_WS_WORDS.format(t=CLEAN_TEXT)}) AS BIGINT) AS words FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def text_usable(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", X.is_usable("text").alias("usable"), F.size(X.word_list(X.clean_page("text"))).cast("bigint").alias("words"))
+    d = read(spark, sf_dir, "documents").select("doc_id", X.usability("text").alias("u"))
+    return d.select("doc_id", "u.usable", F.col("u.words").cast("bigint").alias("words"))
 
 
 _COMMON = ", ".join(f"'{w}'" for w in X.lex.COMMON_WORDS)
@@ -235,14 +236,15 @@ c AS (SELECT *, list_transform(list_filter(w, lambda x: length(x) >= 2), lambda
 d AS (SELECT *, len(list_filter(latin, lambda x: x IN ({_COMMON}))) AS known FROM c),
 r AS (SELECT doc_id, lang, CASE WHEN t = '' THEN 'RUN_OCR' WHEN len(w) < 10 THEN 'RUN_OCR' WHEN symbols > 0.035 OR torn OR (len(latin) >= 15 AND known < 3) THEN 'RUN_OCR' WHEN known >= 3 OR (len(w) >= 15 AND alnum > 0.70 * chars) THEN 'USE_DIGITAL_TEXT' ELSE 'REVIEW' END AS action,
   t <> '' AND len(w) >= 10 AND (symbols > 0.035 OR torn OR (len(latin) >= 15 AND known < 3)) AS encoding_issue, t <> '' AND len(w) >= 10 AND NOT (symbols > 0.035 OR torn OR (len(latin) >= 15 AND known < 3)) AND (known >= 3 OR (len(w) >= 15 AND alnum > 0.70 * chars)) AS reliable,
-  CAST(known AS BIGINT) AS known FROM d)
+  CASE WHEN t = '' THEN 0.0 WHEN len(w) < 10 THEN 0.1 WHEN symbols > 0.035 OR torn OR (len(latin) >= 15 AND known < 3) THEN greatest(0.0, round_even(0.40 - least(0.40, symbols * 8), 2)) WHEN known >= 3 OR (len(w) >= 15 AND alnum > 0.70 * chars) THEN 0.95 ELSE 0.5 END AS score,
+  CASE WHEN t = '' THEN 'empty' WHEN len(w) < 10 THEN 'few_words' WHEN symbols > 0.035 OR torn OR (len(latin) >= 15 AND known < 3) THEN concat_ws(',', CASE WHEN symbols > 0.035 THEN 'symbols' END, CASE WHEN torn THEN 'ligatures' END, CASE WHEN len(latin) >= 15 AND known < 3 THEN 'vocabulary' END) WHEN known >= 3 OR (len(w) >= 15 AND alnum > 0.70 * chars) THEN '' ELSE 'ambiguous' END AS reasons FROM d)
 """
 
 
-@query(RELIABILITY + "SELECT doc_id, action, encoding_issue, reliable FROM r")
+@query(RELIABILITY + "SELECT doc_id, action, encoding_issue, reliable, CAST(score AS DOUBLE) AS score, reasons FROM r")
 def text_reliability(spark, sf_dir):
     r = read(spark, sf_dir, "documents").select("doc_id", X.reliability("text").alias("r"))
-    return r.select("doc_id", "r.action", "r.encoding_issue", "r.reliable")
+    return r.select("doc_id", "r.action", "r.encoding_issue", "r.reliable", "r.score", F.array_join("r.reasons", ",").alias("reasons"))
 
 
 @query(RELIABILITY + "SELECT lang, count(*) AS pages, count(*) FILTER (reliable) AS reliable, count(*) FILTER (action = 'RUN_OCR') AS run_ocr, count(*) FILTER (action = 'REVIEW') AS review FROM r GROUP BY lang")
