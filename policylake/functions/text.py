@@ -125,6 +125,16 @@ def form_fields(text: str | Column, labels: list[tuple[str, str]] | None = None)
     return F.array_compact(F.array(*[F.when(t.rlike("(?i)" + pattern), F.lit(name)) for name, pattern in (lex.FORM_LABELS if labels is None else labels)]))
 
 
+def table_form_fields(cells: str | Column, labels: list[tuple[str, str]] | None = None) -> Column:
+    """Of rows (array of struct<col0, col1>): a struct of fields (label and value, null where the cell is empty; the first of
+    each label) and blanks, the number of rows whose second cell is empty."""
+    rows, labels = col(cells), lex.FORM_LABELS if labels is None else labels
+    value = lambda r: F.nullif(F.trim(F.coalesce(r["col1"], F.lit(""))), F.lit(""))
+    hits = F.flatten(F.transform(rows, lambda r: F.array_compact(F.array(*[F.when(F.trim(F.coalesce(r["col0"], F.lit(""))).rlike("(?i)" + p), F.struct(F.lit(name).alias("label"), value(r).alias("value"))) for name, p in labels]))))
+    first = once(hits, lambda h: F.filter(h, lambda x, i: F.array_position(F.transform(h, lambda y: y["label"]), x["label"]) == i + 1))
+    return F.struct(first.alias("fields"), F.size(F.filter(rows, lambda r: value(r).isNull())).alias("blanks"))
+
+
 def is_form(fields: Column, blanks: Column | None = None) -> Column:
     n, blanks = F.size(fields), F.lit(0) if blanks is None else blanks
     return (n >= 3) | ((n >= 2) & (blanks >= 3))
@@ -175,5 +185,9 @@ def version_label(title: str | Column, url: str | Column, published: str | Colum
 def word_jaccard(a: str | Column, b: str | Column) -> Column:
     """Similarity of the sets of lower-cased words; 0 if either has none."""
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0)))
-    x, y = words(a), words(b)
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+
+    def of(w: Column) -> Column:
+        shared = lambda n: F.when((F.size(w["x"]) == 0) | (F.size(w["y"]) == 0), 0.0).otherwise(n / (F.size(w["x"]) + F.size(w["y"]) - n))
+        return once(F.size(F.array_intersect(w["x"], w["y"])), shared)
+
+    return once(F.struct(words(a).alias("x"), words(b).alias("y")), of)

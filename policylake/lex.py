@@ -757,3 +757,58 @@ CATEGORY_TESTS = [
     ("employment_status", r"unemployed|employed|employment"),
     ("occupation", r"doctor|engineer|lawyer|chartered accountant|architect"),
 ]
+# Link texts that say nothing of a document.
+GENERIC_LINKS = ["ವೀಕ್ಷಣೆ", "view", "download", "pdf", "click here", "click", "ಇಲ್ಲಿ ಕ್ಲಿಕ್ ಮಾಡಿ"]
+# File and name of schemes whose files are not named after them.
+SCHEME_FILES = [
+    ("gruha-lakshmi", "30af3c4d_GruhaLaxmiGO_rules.json", "Gruha Lakshmi Scheme"),
+    ("cm-raitha-vidyanidhi", "668bfe88_cmsclorship_rules.json", "CM Raitha Vidyanidhi Scholarship"),
+    ("secondary-agriculture", "02a9ac3f_SecondaryAgriculturedirectorateGO_rules.json", "Secondary Agriculture Directorate"),
+    ("rkvy", "1333e107_Allocation2021-22_rules.json", "Rashtriya Krishi Vikas Yojana (RKVY)"),
+    ("pm-kisan-karnataka", "e116e94b_PMKISANKarnatakaGO_rules.json", "PM-KISAN Karnataka Top-Up"),
+]
+# Reasons of decisions.
+REASONS = {
+    "income_unknown": "Annual income is unknown (not specified in citizen profile).",
+    "income_limit": "Could not parse numerical income threshold from scheme rule.",
+    "income_excluded": "Annual income ₹%s triggers income exclusion threshold ₹%s.",
+    "income_not_excluded": "Annual income ₹%s does not trigger income exclusion threshold ₹%s.",
+    "income_fits": "Annual income ₹%s satisfies required income limit ₹%s.",
+    "income_exceeds": "Annual income ₹%s exceeds required income limit ₹%s.",
+    "land_unknown": "Agricultural land ownership information is unknown.",
+    "land_owns": "Citizen owns agricultural land as required.",
+    "land_owns_not": "Citizen does not own agricultural land as required.",
+    "landless": "Citizen is landless.",
+    "landowner": "Citizen is a landowner (fails landless requirement).",
+    "failure_unknown": "Academic pass/fail or course repetition status is unknown.",
+    "failure": "Citizen triggers exclusion: %s.",
+    "failure_none": "Citizen has not failed or repeated semester; exclusion does not apply.",
+    "completed_unknown": "Previous higher education course completion status is unknown.",
+    "completed": "Citizen has already completed an equivalent or higher course.",
+    "completed_not": "Citizen has not completed an equivalent/higher course.",
+    "gst_unknown": "GST return filing status for self or spouse is unknown.",
+    "tax_unknown": "Income tax payer status is unknown.",
+    "tax": "Citizen triggers tax/GST disqualification condition.",
+    "tax_none": "Citizen does not trigger tax/GST disqualification condition.",
+    "residency_unknown": "Karnataka residency / state information is unknown.",
+    "resident": "Citizen is a resident of Karnataka.",
+    "resident_not": "Citizen is not a resident of Karnataka.",
+    "limit_unknown": "Household member details not provided; cannot verify whether another household member has already claimed the benefit.",
+    "limit_reached": "Beneficiary limit reached: %s other member(s) in household already received benefit.",
+    "limit_free": "Beneficiary quota available in household (no other member has claimed the benefit).",
+    "woman_gender": "Citizen gender is '%s', scheme requires woman head of household.",
+    "woman_unknown": "Required information unknown: %s.",
+    "woman": "Citizen is confirmed as woman head of family listed in ration card.",
+    "woman_not": "Citizen does not satisfy criteria: %s.",
+    "generic": "No automated deterministic predicate evaluator available for rule: '%s'.",
+}
+# Attributes that a change of a document affects, in order, and the words that tell.
+AFFECTED = [
+    ("income", ["income", "ಆದಾಯ", "rupees", "rs.", "tax", "ತೆರಿಗೆ"]),
+    ("age", ["age", "ವಯಸ್ಸು", "years old"]),
+    ("landholding", ["land", "hectare", "acre", "ಭೂಮಿ", "ಜಮೀನು", "ಹೆಕ್ಟೇರ್", "ಎಕರೆ"]),
+    ("residency", ["resident", "residency", "ನಿವಾಸಿ"]),
+    ("farmer_category", ["farmer", "small farmer", "marginal farmer", "ರೈತ"]),
+    ("government_employee", ["government employee", "government servant", "ಸರ್ಕಾರಿ ನೌಕರ", "pension"]),
+]
+STATUS_WORDS = ["notification", "amendment", "ಅಧಿಸೂಚನೆ", "ತಿದ್ದುಪಡಿ"]

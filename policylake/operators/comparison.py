@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import lex
 from ..functions.rules import names_attribute
-from ..functions.text import WIDE_SPACE, col
+from ..functions.text import WIDE_SPACE, col, has_any, word_jaccard
 
 NOISE_RATIO = 0.85
 
@@ -125,3 +126,56 @@ def render_context(doc: Iterator[dict], most: int = 12_000) -> str:
             parts += [" | ".join(c.get("text", "") for c in r.get("cells", [])) for r in t.get("rows", [])]
     text = "\n".join(p for p in parts if p)
     return text[:most] + "\n... [truncated]" if len(text) > most else text
+
+
+def compare_documents(old: DataFrame, new: DataFrame, old_pages: DataFrame, new_pages: DataFrame, pair: str = "pair") -> DataFrame:
+    """Two versions of a document each: documents (pair, sha256, title, meta), pages (pair, page_number, text). A row per pair:
+    status (identical, unchanged, different_document, possible_change), counts of pages, metadata_changes, jaccard, ratio,
+    relevance and review_required.
+
+    Pairs with equal hashes are identical; their pages are never looked at. Whole texts meet the costly matcher only where the
+    verdict depends on it: pages differ, titles too, and words alone don't decide."""
+    both = old.select(pair, F.col("sha256").alias("_h0"), F.lower("title").alias("_t0")).join(new.select(pair, F.col("sha256").alias("_h1"), F.lower("title").alias("_t1")), pair)
+    differ = both.where(~F.coalesce(F.col("_h0") == F.col("_h1"), F.lit(False))).select(pair, (~F.col("_t0").eqNullSafe(F.col("_t1"))).alias("titles_differ"))
+    counts = page_counts(compare_pages(old_pages.join(differ.select(pair), pair, "left_semi"), new_pages.join(differ.select(pair), pair, "left_semi"), pair), pair)
+    changes = metadata_changes(old, new, pair).groupBy(pair).agg(F.count("*").alias("metadata_changes"))
+    whole = lambda pages, name: pages.groupBy(pair).agg(F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_number", F.coalesce("text", F.lit("")).alias("t")))), lambda p: p["t"]), " ")).alias(name))
+    asked = differ.join(counts.where("pages_added + pages_removed + pages_modified + pages_noise > 0"), pair)
+    texts = asked.join(whole(old_pages, "_old"), pair).join(whole(new_pages, "_new"), pair).withColumn("jaccard", word_jaccard("_old", "_new"))
+    costly = F.col("titles_differ") & (F.col("jaccard") >= 0.35) & (F.col("_old") != "") & (F.col("_new") != "")
+    some = texts.where(costly).select(pair, "jaccard", similarity("_old", "_new")["ratio"].alias("ratio"))
+    measured = some.unionByName(texts.where(~costly).select(pair, "jaccard", F.lit(None).cast("double").alias("ratio")))
+    out = both.select(pair, F.coalesce(F.col("_h0") == F.col("_h1"), F.lit(False)).alias("equal")).join(differ, pair, "left").join(counts, pair, "left").join(changes, pair, "left").join(measured, pair, "left")
+    out = out.na.fill(0, ["pages_added", "pages_removed", "pages_modified", "pages_unchanged", "pages_noise", "metadata_changes"])
+    substantive = F.col("pages_added") + F.col("pages_removed") + F.col("pages_modified") > 0
+    changed, noise_only = substantive | (F.col("pages_noise") > 0), ~substantive & (F.col("pages_noise") > 0)
+    status = document_verdict(F.col("equal"), F.coalesce("jaccard", F.lit(1.0)), F.coalesce("ratio", F.lit(1.0)), F.coalesce("titles_differ", F.lit(False)), changed, noise_only)
+    out = out.withColumn("status", status)
+    doubt = (F.col("status") == "different_document") | ((F.col("status") == "unchanged") & noise_only)
+    return out.select(pair, "status", "pages_added", "pages_removed", "pages_modified", "pages_unchanged", "pages_noise", "metadata_changes", "jaccard", "ratio", F.when(doubt, "uncertain").otherwise("none").alias("relevance"), doubt.alias("review_required"))
+
+
+def checked_changes(changes: DataFrame, words: list[str] | None = None) -> DataFrame:
+    """Changes that a model has named (category, eligibility_relevance, affected_attribute, old_evidence, new_evidence,
+    description), with what it mistook put right: instructions and notes of status that name no attribute of a candidate are
+    none of eligibility; others have an attribute and a relevance."""
+    text = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("old_evidence", "new_evidence", "description")]))
+    about = F.col("category").isin("eligibility_related", "exclusion_related")
+    wrong = about & has_any(text, words or lex.ADMIN_STATUS) & ~names_attribute(text)
+    named = None
+    for name, marks in lex.AFFECTED:
+        named = F.when(has_any(text, marks), name) if named is None else named.when(has_any(text, marks), name)
+    kept = about & ~wrong
+    return changes.withColumns(
+        {
+            "category": F.when(wrong, F.when(has_any(text, lex.STATUS_WORDS), "document_status").otherwise("procedural")).otherwise(F.col("category")),
+            "affected_attribute": F.when(kept & (F.coalesce("affected_attribute", F.lit("")) == ""), named).otherwise(F.col("affected_attribute")),
+            "eligibility_relevance": F.when(wrong, "none").when(kept & ~F.coalesce(F.col("eligibility_relevance").isin("clearly_relevant", "potentially_relevant"), F.lit(False)), "clearly_relevant").otherwise(F.col("eligibility_relevance")),
+        }
+    )
+
+
+def relevance_of_changes(changes: DataFrame, key: str) -> DataFrame:
+    """Per document the strongest relevance of its checked changes, and whether a review is needed: one of them is uncertain."""
+    order = ["none", "uncertain", "potentially_relevant", "clearly_relevant"]
+    return changes.groupBy(key).agg(strongest("eligibility_relevance", order).alias("relevance"), (F.count_if(F.col("eligibility_relevance") == "uncertain") > 0).alias("review_required"))

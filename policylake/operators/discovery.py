@@ -15,7 +15,6 @@ from ..functions.text import clean_title, col, find_date
 
 DOCUMENT = "(?i)^[^?#]*\\.(pdf|doc|docx)([?#].*)?$"
 ANCHOR = "(?is)<a\\s[^>]*?href\\s*=\\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
-GENERIC = ["download", "view", "click here", "pdf", "english", "kannada", "read more"]
 
 
 def is_document_url(url: str | Column) -> Column:
@@ -51,9 +50,19 @@ def is_scheme_document(title: str | Column, url: str | Column, patterns: list[st
     return ~matches(joined, patterns or lex.EXCLUDED)
 
 
+def without_dots(url: Column) -> Column:
+    """A URL whose path has no folders named . or ..; those at its end leave a slash."""
+    parts = F.regexp_extract(url, "^([^:/?#]+:)?(//[^/?#]*)?([^?#]*)(.*)$", 3)
+    head, tail = F.concat(F.regexp_extract(url, "^([^:/?#]+:)?(//[^/?#]*)?([^?#]*)(.*)$", 1), F.regexp_extract(url, "^([^:/?#]+:)?(//[^/?#]*)?([^?#]*)(.*)$", 2)), F.regexp_extract(url, "^([^:/?#]+:)?(//[^/?#]*)?([^?#]*)(.*)$", 4)
+    names = F.split(F.substring(parts, 2, 1 << 20), "/", -1)
+    folded = F.aggregate(names, F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))))
+    path = F.concat(F.lit("/"), F.array_join(folded, "/"), F.when(parts.rlike("/\\.\\.?$") & (F.size(folded) > 0), "/").otherwise(""))
+    return F.when(parts.rlike("/\\.\\.?(/|$)"), F.concat(head, path, tail)).otherwise(url)
+
+
 def page_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Links of pages with columns alone: key, url (absolute), text. Fragments and scripts are passed over; the first of a
-    page's links to one URL stays. Relative paths with dots in them are left to page_links_parsed()."""
+    page's links to one URL stays. Folders named . and .. are resolved."""
     base = F.regexp_extract(col(url), "^([a-zA-Z]+://[^/?#]+)", 1)
     scheme, folder = F.regexp_extract(col(url), "^([a-zA-Z]+):", 1), F.regexp_extract(F.regexp_replace(col(url), "[?#].*$", ""), "^([a-zA-Z]+://[^/]+.*/)", 1)
     found = F.arrays_zip(F.regexp_extract_all(col(html), F.lit(ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all(col(html), F.lit(ANCHOR), F.lit(2)).alias("inner"))
@@ -62,7 +71,7 @@ def page_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     absolute = F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.col("scheme"), F.lit(":"), href)).when(href.startswith("/"), F.concat(F.col("base"), href)).otherwise(F.concat(F.col("folder"), href))
     each = each.where((href != "") & ~href.startswith("#") & ~F.lower(href).startswith("javascript:"))
     text = clean_title(F.regexp_replace("l.inner", "<[^>]*>", " "))
-    links = each.select(key, "pos", absolute.alias("url"), text.alias("text")).where(F.col("url").rlike("(?i)^https?://"))
+    links = each.select(key, "pos", without_dots(absolute).alias("url"), text.alias("text")).where(F.col("url").rlike("(?i)^https?://"))
     first = Window.partitionBy(key, "url").orderBy("pos")
     return links.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
 
@@ -117,8 +126,8 @@ def documents_of(html: str, base: str) -> list[dict]:
             seen.add(url)
             text = " ".join("".join(a["text"]).split())
             cells = a["row"]["cells"] if a["row"] else []
-            if not text or text.lower() in GENERIC:
-                good = [c for c in cells if c.lower() not in GENERIC and not c.isdigit() and len(c) > 3]
+            if not text or text.lower() in lex.GENERIC_LINKS:
+                good = [c for c in cells if c.lower() not in lex.GENERIC_LINKS and not c.isdigit() and len(c) > 3]
                 text = good[0] if good else a["title"] or urlsplit(url).path.rsplit("/", 1)[-1]
             around = " | ".join(cells) if cells else "".join(a["block"]["text"]) if a["block"] else ""
             out.append({"document_url": url, "title": text, "context": around})

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import lex
+from ..functions.citizens import annual_income
 from ..functions.rules import first_number, money
 from ..functions.text import has_any
 
@@ -60,47 +62,83 @@ def _either(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), F.lit(None).cast("boolean")).otherwise(F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False)))
 
 
-def evaluate(compat: bool = False) -> Column:
-    """The status of a prepared rule for a citizen. ``compat``: an exclusion by income without words of an upper limit takes
-    incomes up to it, as it once did, and not those above it."""
+def _facts(compat: bool) -> dict[str, Column]:
+    """What the predicates ask of a citizen and a prepared rule: booleans, null where unknown."""
     c = F.col
     gender = F.lower("gender")
     head = F.coalesce("is_woman_head_of_household", F.when(c("household_head").isNotNull(), c("household_head") & (F.coalesce(gender, F.lit("")) == "female")))
-    card = F.upper(F.coalesce("ration_card_type", F.lit("")))
-    listed = c("listed_as_head_in_ration_card")
-    woman = F.when(~F.coalesce(gender.isin("female", "woman"), F.lit(True)), NO_MATCH).when(head.isNull() | listed.isNull(), UNKNOWN).when(head & listed & card.isin("", "BPL", "APL", "ANTYODAYA", "AAY"), MATCH).otherwise(NO_MATCH)
-    income = F.coalesce(c("annual_income"), F.when(c("income") <= 50000, c("income") * 12.0).otherwise(c("income")))
-    meets = income <= c("rule_limit")
-    income = _truth(F.when(c("exclusion"), (F.when(c("upper"), ~meets).otherwise(meets) if compat else ~meets)).otherwise(meets))
+    income = annual_income("annual_income", "income")
+    fits = income <= c("rule_limit")
+    over = F.when(c("upper"), ~fits).otherwise(fits) if compat else ~fits
     owns = F.coalesce("owns_agricultural_land", c("landholding_acres") > 0)
-    land = _truth(F.when(c("landless"), ~owns).otherwise(owns))
     done = lambda x: has_any(F.lower(c(x)), POSTGRADUATE)
     both = (c("previous_course") != "") & (c("current_course") != "")
-    completed = _truth(F.coalesce("already_completed_equivalent_or_higher_course", F.when(both, done("previous_course") & done("current_course"))))
-    tax = _truth(F.when(c("asks_gst"), _either(F.coalesce("gst_return_filer", "gst_registered"), c("spouse_is_gst_filer"))).otherwise(c("income_tax_payer")))
-    resident = _truth(F.coalesce("is_karnataka_resident", F.lower("state").contains("karnataka")))
-    claimed = F.exists("household_members", lambda m: ~m["relationship"].eqNullSafe(F.lit("self")) & m["already_received_benefit"].eqNullSafe(F.lit(True)))
-    limit = F.when(F.coalesce(F.size("household_members"), F.lit(-1)) <= 0, UNKNOWN).when(claimed, NO_MATCH).otherwise(MATCH)
-    out = F.when(c("predicate") == "administrative", NOT_APPLICABLE).when(c("predicate") == "quarantined", REVIEW)
-    for name, value in (("limit", limit), ("woman_head", woman), ("income", income), ("land", land), ("failure", _truth(_either(c("failed_semester"), c("repeating_year")))), ("completed", completed), ("tax", tax), ("residency", resident)):
-        out = out.when(c("predicate") == name, value)
+    others = F.size(F.filter("household_members", lambda m: ~m["relationship"].eqNullSafe(F.lit("self")) & m["already_received_benefit"].eqNullSafe(F.lit(True))))
+    return {
+        "man": ~F.coalesce(gender.isin("female", "woman"), F.lit(True)), "head": head, "listed": c("listed_as_head_in_ration_card"), "card": F.upper(F.coalesce("ration_card_type", F.lit(""))).isin("", "BPL", "APL", "ANTYODAYA", "AAY"),
+        "income": income, "income_met": F.when(c("exclusion"), over).otherwise(fits), "owns": owns, "land_met": F.when(c("landless"), ~owns).otherwise(owns), "failure": _either(c("failed_semester"), c("repeating_year")),
+        "completed": F.coalesce("already_completed_equivalent_or_higher_course", F.when(both, done("previous_course") & done("current_course"))),
+        "tax": F.when(c("asks_gst"), _either(F.coalesce("gst_return_filer", "gst_registered"), c("spouse_is_gst_filer"))).otherwise(c("income_tax_payer")), "resident": F.coalesce("is_karnataka_resident", F.lower("state").contains("karnataka")),
+        "household": F.coalesce(F.size("household_members"), F.lit(-1)) > 0, "others": others,
+    }
+
+
+def evaluate(compat: bool = False) -> Column:
+    """The status of a prepared rule for a citizen. ``compat``: an exclusion by income without words of an upper limit takes
+    incomes up to it, as it once did, and not those above it."""
+    f = _facts(compat)
+    woman = F.when(f["man"], NO_MATCH).when(f["head"].isNull() | f["listed"].isNull(), UNKNOWN).when(f["head"] & f["listed"] & f["card"], MATCH).otherwise(NO_MATCH)
+    limit = F.when(~f["household"], UNKNOWN).when(f["others"] > 0, NO_MATCH).otherwise(MATCH)
+    out = F.when(F.col("predicate") == "administrative", NOT_APPLICABLE).when(F.col("predicate") == "quarantined", REVIEW)
+    for name, value in (("limit", limit), ("woman_head", woman), ("income", _truth(f["income_met"])), ("land", _truth(f["land_met"])), ("failure", _truth(f["failure"])), ("completed", _truth(f["completed"])), ("tax", _truth(f["tax"])), ("residency", _truth(f["resident"]))):
+        out = out.when(F.col("predicate") == name, value)
     return out.otherwise(UNKNOWN)
 
 
+def reason(compat: bool = False) -> Column:
+    """Why a prepared rule has its status for a citizen; null for rules that aren't asked."""
+    f, c = _facts(compat), F.col
+    said = lambda key, *values: F.format_string(lex.REASONS[key], *values) if values else F.lit(lex.REASONS[key])
+    by = lambda fact, unknown, yes, no: F.when(fact.isNull(), said(unknown)).when(fact, yes).otherwise(no)
+    listing = lambda *pairs: F.concat_ws(", ", *[F.when(test, F.lit(text) if isinstance(text, str) else text) for test, text in pairs])
+    amounts = (F.format_number(f["income"], 0), F.format_number(c("rule_limit"), 0))
+    income = (
+        F.when(f["income"].isNull(), said("income_unknown")).when(c("rule_limit").isNull(), said("income_limit"))
+        .when(c("exclusion"), F.when(f["income_met"], said("income_excluded", *amounts)).otherwise(said("income_not_excluded", *amounts))).when(f["income_met"], said("income_fits", *amounts)).otherwise(said("income_exceeds", *amounts))
+    )
+    land = F.when(f["owns"].isNull(), said("land_unknown")).when(c("landless"), F.when(f["owns"], said("landowner")).otherwise(said("landless"))).when(f["owns"], said("land_owns")).otherwise(said("land_owns_not"))
+    failed = said("failure", listing((c("failed_semester"), "failed semester"), (c("repeating_year"), "repeating academic year")))
+    limit = F.when(~f["household"], said("limit_unknown")).when(f["others"] > 0, said("limit_reached", f["others"].cast("string"))).otherwise(said("limit_free"))
+    missing = listing((f["head"].isNull(), "household head status"), (f["listed"].isNull(), "listed as head in ration card"), (c("gender").isNull(), "gender"))
+    lacking = listing((~f["head"], "not head of family"), (~f["listed"], "not listed as head in ration card"), (~f["card"], F.format_string("ineligible ration card type '%s'", F.upper("ration_card_type"))))
+    woman = (
+        F.when(f["man"], said("woman_gender", c("gender"))).when(f["head"].isNull() | f["listed"].isNull(), said("woman_unknown", missing))
+        .when(f["head"] & f["listed"] & f["card"], said("woman")).otherwise(said("woman_not", lacking))
+    )
+    tax = F.when(f["tax"].isNull(), F.when(c("asks_gst"), said("gst_unknown")).otherwise(said("tax_unknown"))).when(f["tax"], said("tax")).otherwise(said("tax_none"))
+    out = F.when(c("predicate").isin("administrative", "quarantined"), F.lit(None).cast("string"))
+    for name, value in (
+        ("limit", limit), ("woman_head", woman), ("income", income), ("land", land), ("failure", by(f["failure"], "failure_unknown", failed, said("failure_none"))), ("completed", by(f["completed"], "completed_unknown", said("completed"), said("completed_not"))),
+        ("tax", tax), ("residency", by(f["resident"], "residency_unknown", said("resident"), said("resident_not"))),
+    ):
+        out = out.when(c("predicate") == name, value)
+    return out.otherwise(said("generic", F.substring("rule", 1, 60)))
+
+
 def evaluate_rules(citizens: DataFrame, rules: DataFrame, compat: bool = False, on: str | None = None) -> DataFrame:
-    """A row per citizen and rule: status. ``on``: citizens are asked about the schemes of this column only; else about all.
+    """A row per citizen and rule: status and reason. ``on``: citizens are asked about the schemes of this column only; else
+    about all, which makes as many rows as there are citizens and rules.
 
-    Rules are the small side; it is broadcast only up to Spark's own limit for a join, and for all schemes up to 10 000 rules."""
+    The rules are the small side. Spark broadcasts them up to its own limit for a join; a larger table is dealt out by its
+    schemes, which the citizens are then asked about one by one."""
     prepared = prepare_rules(rules)
     asked = with_all_attributes(citizens)
-    if on:
-        joined = asked.join(prepared, on)
-    else:
-        n = prepared.count()
-        if n > 10_000:
-            raise ValueError(f"{n} rules for every citizen: say which schemes are asked about (on)")
-        joined = asked.join(F.broadcast(prepared), F.lit(True))
-    return joined.withColumn("status", evaluate(compat))
+    if on is None:
+        on = "scheme_key"
+        schemes = prepared.agg(F.collect_set("scheme_key").alias("_schemes"))  # names only, one row
+        asked = asked.join(F.broadcast(schemes), F.lit(True)).withColumn(on, F.explode("_schemes")).drop("_schemes")
+    joined = asked.join(prepared, on)
+    return joined.withColumns({"status": evaluate(compat), "reason": reason(compat)})
 
 
 def decide(evaluated: DataFrame, keys: list[str]) -> DataFrame:
@@ -126,3 +164,65 @@ def guard(decisions: DataFrame, version_status: str = "version_status", asked_la
     """Without a version asked for by its label, only the active one decides."""
     stale = F.col(asked_label).isNull() & F.col(version_status).isin("ARCHIVED", "REVIEW")
     return decisions.withColumn("decision", F.when(stale, "NEEDS_REVIEW").otherwise(F.col("decision")))
+
+
+def explain(evaluated: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:
+    """``decisions`` with the reasons that led to them: summary_reasons (of the rules that decided), review_reasons,
+    missing_information, and evidence (rule_id, type and the rule's evidence, page and source, where the rules have them).
+
+    A decision by an exclusion, a failed requirement or the household has the reasons of those rules; an eligible one those of
+    what was met; an open one what is to be reviewed and what is missing."""
+    have = [c for c in ("evidence", "page_number", "source_url") if c in evaluated.columns]
+    entry = F.struct("rule_id", "bucket", "status", "reason", *have)
+    rules = evaluated.where("bucket IS NOT NULL").groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_rules"))
+    out = decisions.join(rules, keys, "left")
+    of = lambda bucket, *status: F.transform(F.filter("_rules", lambda r: (r["bucket"] == bucket) & r["status"].isin(*status)), lambda r: r["reason"])
+    led = lambda prefix, a: F.transform(a, lambda x: F.concat(F.lit(prefix), F.coalesce(x, F.lit("")))) if prefix else a
+    none = F.array().cast("array<string>")
+    review = F.concat(led("Eligibility rule requires review: ", of("eligibility", REVIEW)), led("Exclusion rule requires review: ", of("exclusion", REVIEW)))
+    missing = F.concat(of("eligibility", UNKNOWN), led("Exclusion verification needed: ", of("exclusion", UNKNOWN)), led("Household constraint verification needed: ", of("household", UNKNOWN, REVIEW)))
+    c = F.col
+    still = (c("excluded") == 0) & (c("trusted") > 0) & (c("failed") == 0) & (c("household_failed") == 0)
+    why = (
+        F.when(c("excluded") > 0, of("exclusion", MATCH)).when(c("trusted") == 0, none).when(c("failed") > 0, of("eligibility", NO_MATCH)).when(c("household_failed") > 0, of("household", NO_MATCH))
+        .when(c("open") > 0, F.concat(review, missing)).when(c("decision") == "ELIGIBLE", of("eligibility", MATCH)).otherwise(none)
+    )
+    untrusted = F.array(F.lit("No trusted candidate eligibility rules available in active knowledge base."))
+    out = out.withColumns({"summary_reasons": F.coalesce(why, none), "review_reasons": F.coalesce(F.when((c("excluded") == 0) & (c("trusted") == 0), untrusted).when(still, review), none), "missing_information": F.coalesce(F.when(still, missing), none)})
+    if "evidence" in have:
+        looked = lambda r: r["evidence"].isNotNull() & ((r["bucket"] == "exclusion") | ((r["bucket"] == "eligibility") & (F.col("excluded") == 0) & (F.col("trusted") > 0)))
+        out = out.withColumn("evidence", F.transform(F.filter("_rules", looked), lambda r: F.struct(r["rule_id"].alias("rule_id"), r["bucket"].alias("type"), *[r[x].alias(x) for x in have])))
+    return out.drop("_rules")
+
+
+def safety_counters(evaluated: DataFrame) -> DataFrame:
+    """One row: rules that were used although contradicted, or although marked for review. Both are 0 if all is well."""
+    used = F.col("bucket").isin("eligibility", "exclusion") & F.col("status").isin(MATCH, NO_MATCH)
+    return evaluated.agg(F.count_if(used & (F.col("consistency") == "CONTRADICTED")).alias("contradicted_rules_used"), F.count_if(used & F.coalesce("review_required", F.lit(False))).alias("review_rules_used"))
+
+
+def scheme_rules(asked: DataFrame, stored: DataFrame, files: DataFrame) -> DataFrame:
+    """Rules of the schemes that are asked about (scheme_key, version_label or null), with version_label, version_status and origin.
+
+    ``stored``: rules of versions (scheme_key, version_label, version_status, and the rules' columns). The version with the
+    label asked for counts, without one the active version. A scheme without such a version has the rules of a file:
+    ``files`` (file_name and the rules' columns), the first whose name holds the scheme's key, else the file that is known for
+    it. Rules without a text are passed over. A scheme with neither has no row."""
+    stored = stored.where(F.trim(F.coalesce("rule", F.lit(""))) != "")
+    wants = asked.select("scheme_key", F.col("version_label").alias("_label")).distinct()
+    right = F.when(F.col("_label").isNull(), F.col("version_status") == "ACTIVE").otherwise(F.col("version_label") == F.col("_label"))
+    own = wants.join(stored, "scheme_key").where(right).drop("_label").withColumn("origin", F.lit("knowledge_base"))
+    left = wants.join(own.select("scheme_key").distinct(), "scheme_key", "left_anti").select("scheme_key").distinct()
+    names = files.select("file_name").distinct()
+    # The names of files are few; the keys are searched in them, as a file's name is no key.
+    known = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(f).alias("file")) for k, f, _ in lex.SCHEME_FILES])
+    alias = F.filter(known, lambda k: F.col("scheme_key").contains(k["key"]) | k["key"].contains(F.col("scheme_key")))
+    listed = names.agg(F.sort_array(F.collect_set("file_name")).alias("_files"))
+    chosen = left.join(F.broadcast(listed), F.lit(True))
+    named = F.try_element_at(F.filter("_files", lambda n: F.lower(n).contains(F.col("scheme_key"))), F.lit(1))
+    other = F.try_element_at(F.filter(F.transform(alias, lambda k: k["file"]), lambda n: F.array_contains("_files", n)), F.lit(1))
+    chosen = chosen.select("scheme_key", F.coalesce(named, other).alias("file_name")).where("file_name IS NOT NULL")
+    rest = [c for c in stored.columns if c not in ("scheme_key", "version_label", "version_status")]
+    filed = files.where(F.trim(F.coalesce("rule", F.lit(""))) != "").select("file_name", *rest)
+    filed = chosen.join(filed, "file_name").select("scheme_key", F.lit("G.O. 2023").alias("version_label"), F.lit("ACTIVE").alias("version_status"), *rest, F.lit("file").alias("origin"))
+    return own.select(filed.columns).unionByName(filed)

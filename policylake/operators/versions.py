@@ -6,10 +6,11 @@ first occurrence. A writer appends arrivals; every state is a query.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col
+from .slices import SLICE, with_first, with_running
 
 
 def latest(df: DataFrame, key: list[str], seq: str) -> DataFrame:
@@ -36,38 +37,53 @@ def source_checks(checks: DataFrame, source: str, at: str, success: str | Column
 
 def first_seen(arrivals: DataFrame, hash_col: str, seq: str) -> DataFrame:
     """Add status: new for a hash's first arrival, unchanged for later ones, and the arrival that holds the document."""
-    w = Window.partitionBy(hash_col).orderBy(seq)
-    known = F.first(F.col(seq)).over(w)
-    return arrivals.withColumn("status", F.when(F.row_number().over(w) == 1, "new").otherwise("unchanged")).withColumn("document_id", known)
+    first = arrivals.groupBy(F.col(hash_col).alias("_hash")).agg(F.min(seq).alias("document_id"))
+    out = arrivals.join(first, F.col(hash_col).eqNullSafe(F.col("_hash"))).drop("_hash")
+    return out.withColumn("status", F.when(F.col(seq) == F.col("document_id"), "new").otherwise("unchanged"))
 
 
-def detect_versions(arrivals: DataFrame, scheme: str, seq: str, hash_col: str) -> DataFrame:
+def detect_versions(arrivals: DataFrame, scheme: str, seq: str, hash_col: str, slice_rows: int = SLICE) -> DataFrame:
     """Each arrival against the scheme's active hash only: NEW_SCHEME, UNCHANGED or NEW_VERSION; and the status of the version it makes.
 
-    An unchanged arrival never changes the active hash, so that is the hash of the arrival before."""
-    w = Window.partitionBy(scheme).orderBy(seq)
-    before = F.lag(hash_col).over(w)
-    out = arrivals.withColumn("change", F.when(F.row_number().over(w) == 1, "NEW_SCHEME").when(before == F.col(hash_col), "UNCHANGED").otherwise("NEW_VERSION"))
-    newest = F.max(F.when(F.col("change") != "UNCHANGED", F.col(seq))).over(Window.partitionBy(scheme))
-    return out.withColumn("version_status", F.when(F.col("change") == "UNCHANGED", F.lit(None).cast("string")).when(F.col(seq) == newest, "ACTIVE").otherwise("ARCHIVED"))
+    An unchanged arrival never changes the active hash, so that is the hash of the arrival before. ``seq``: whole numbers."""
+    out = with_running(arrivals, scheme, seq, {"_before": F.struct(F.col(hash_col).alias("hash"))}, size=slice_rows)
+    out = out.withColumn("change", F.when(F.col("_before").isNull(), "NEW_SCHEME").when(F.col("_before.hash") == F.col(hash_col), "UNCHANGED").otherwise("NEW_VERSION")).drop("_before")
+    newest = out.where("change <> 'UNCHANGED'").groupBy(F.col(scheme).alias("_scheme")).agg(F.max(seq).alias("_newest"))
+    out = out.join(newest, F.col(scheme).eqNullSafe(F.col("_scheme")))
+    return out.withColumn("version_status", F.when(F.col("change") == "UNCHANGED", F.lit(None).cast("string")).when(F.col(seq) == F.col("_newest"), "ACTIVE").otherwise("ARCHIVED")).drop("_scheme", "_newest")
 
 
-def version_timeline(arrivals: DataFrame, scheme: str, seq: str, hash_col: str, review: str | Column) -> DataFrame:
+def needs_review(rules: DataFrame, key: str, force: str | Column | None = None) -> DataFrame:
+    """Per update (``key``) whether it has to be reviewed, and why: forced, no rules, a rule marked for review, or a rule whose
+    evidence doesn't support it. ``rules``: rule, review_required, consistency; an update without rules is a row whose rule is null."""
+    forced = F.lit(False) if force is None else F.coalesce(col(force), F.lit(False))
+    given = F.col("rule").isNotNull()
+    why = F.array(
+        F.when(F.max(forced), "forced"), F.when(F.count_if(given) == 0, "no_rules"), F.when(F.count_if(given & F.coalesce("review_required", F.lit(False))) > 0, "marked"),
+        F.when(F.count_if(given & (F.coalesce("consistency", F.lit("SUPPORTED")) != "SUPPORTED")) > 0, "unsupported"),
+    )
+    out = rules.groupBy(key).agg(F.array_compact(why).alias("reasons"))
+    return out.withColumn("review", F.size("reasons") > 0)
+
+
+def version_timeline(arrivals: DataFrame, scheme: str, seq: str, hash_col: str, review: str | Column, slice_rows: int = SLICE) -> DataFrame:
     """The knowledge base's updates. Adds status (ACTIVE, ARCHIVED, REVIEW, already_exists), change_type and old_active.
 
     A hash seen before for its scheme changes nothing; an arrival to be reviewed leaves the active version; any other one
-    replaces it. A null or empty hash is never known before."""
+    replaces it. A null or empty hash is never known before. ``seq``: whole numbers, no two of a scheme alike."""
     df = arrivals.withColumn("_review", F.coalesce(col(review), F.lit(True)))
     known = F.col(hash_col).isNotNull() & (F.col(hash_col) != "")
-    by_hash = Window.partitionBy(scheme, hash_col).orderBy(seq)
-    df = df.withColumn("_new", ~known | (F.row_number().over(by_hash) == 1))
-    accepted = F.col("_new") & ~F.col("_review")
-    w = Window.partitionBy(scheme).orderBy(seq)
-    df = df.withColumn("_acc", F.when(accepted, F.col(seq)))
-    df = df.withColumn("old_active", F.last("_acc", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_last", F.max("_acc").over(Window.partitionBy(scheme)))
+    df = with_first(df, [scheme, hash_col], seq, "_new").withColumn("_new", ~known | F.col("_new"))
+    accepted = F.when(F.col("_new") & ~F.col("_review"), F.col(seq))
+    df = with_running(df, scheme, seq, {"old_active": accepted}, {"_last": accepted}, size=slice_rows)
     status = F.when(~F.col("_new"), "already_exists").when(F.col("_review"), "REVIEW").when(F.col(seq) == F.col("_last"), "ACTIVE").otherwise("ARCHIVED")
     change = F.when(~F.col("_new"), F.lit(None).cast("string")).when(F.col("_review"), "REVIEW_REQUIRED").when(F.col("old_active").isNull(), "INITIAL_ACTIVE").otherwise("MODIFIED")
-    return df.withColumn("status", status).withColumn("change_type", change).drop("_review", "_new", "_acc", "_last")
+    return df.withColumn("status", status).withColumn("change_type", change).drop("_review", "_new", "_last")
+
+
+def version_history(timeline: DataFrame, scheme: str, seq: str, slice_rows: int = SLICE) -> DataFrame:
+    """Versions of each scheme, with their place in it."""
+    return with_running(timeline.where("status <> 'already_exists'"), scheme, seq, {}, number="place", size=slice_rows)
 
 
 def active_versions(timeline: DataFrame) -> DataFrame:
@@ -103,13 +119,17 @@ def find_scheme(queries: DataFrame, known: DataFrame, stop: tuple[str, ...] = ("
     """The scheme that a query (query_id, query) means: its slug, else the first of its tokens that a slug or name contains;
     slugs before names, then the smaller id. ``known``: id, slug, name.
 
-    The scheme table is the small side of a containment join; Spark decides by its size whether it is broadcast."""
+    Tokens meet slugs and names on their first three characters, which any text that contains the token has, too; only then
+    is the token searched. ``least`` is 3 or more."""
     q = F.lower(F.trim("query"))
     tokens = queries.select("query_id", q.alias("q"), F.posexplode_outer(F.split(q, "[^\\p{L}\\p{N}]+")).alias("pos", "token"))
-    tokens = tokens.where((F.length("token") >= least) & ~F.col("token").isin(*stop))
+    tokens = tokens.where((F.length("token") >= least) & ~F.col("token").isin(*stop)).withColumn("gram", F.substring("token", 1, 3))
     exact = queries.select("query_id", q.alias("q")).join(known, F.col("q") == F.col("slug")).select("query_id", "id", "slug", "name", F.lit(-1).alias("pos"), F.lit(0).alias("weight"))
-    in_slug, in_name = F.lower("slug").contains(F.col("token")), F.lower("name").contains(F.col("token"))
-    fuzzy = tokens.join(known, in_slug | in_name).select("query_id", "id", "slug", "name", "pos", F.when(in_slug, 0).otherwise(1).alias("weight"))
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(F.lower(c), i, F.lit(3)))
+    spelled = known.select("id", "slug", "name", F.explode(F.array_distinct(F.concat(grams(F.coalesce("slug", F.lit(""))), grams(F.coalesce("name", F.lit("")))))).alias("gram"))
+    met = tokens.join(spelled, "gram")
+    in_slug, in_name = F.coalesce(F.lower("slug").contains(F.col("token")), F.lit(False)), F.coalesce(F.lower("name").contains(F.col("token")), F.lit(False))
+    fuzzy = met.where(in_slug | in_name).select("query_id", "id", "slug", "name", "pos", F.when(in_slug, 0).otherwise(1).alias("weight"))
     best = exact.unionByName(fuzzy).groupBy("query_id").agg(F.min(F.struct("pos", "weight", "id", "slug", "name")).alias("b"))
     return best.select("query_id", "b.id", "b.slug", "b.name")
 
@@ -119,3 +139,55 @@ def broken_invariants(versions: DataFrame, scheme: str, hash_col: str) -> DataFr
     active = versions.where("status = 'ACTIVE'").groupBy(scheme).agg(F.count("*").alias("n")).where("n > 1").select(F.col(scheme).cast("string").alias("what"), F.lit("active").alias("broken"), "n")
     again = versions.where(f"status <> 'already_exists' AND {hash_col} IS NOT NULL").groupBy(scheme, hash_col).agg(F.count("*").alias("n")).where("n > 1").select(F.concat_ws("/", scheme, hash_col).alias("what"), F.lit("hash").alias("broken"), "n")
     return active.unionByName(again)
+
+
+def schemes_to_add(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """Insert if absent: wanted schemes (slug, name, department, seq) whose slug isn't known; the first of each."""
+    rest = [c for c in wanted.columns if c not in ("slug", "seq")]
+    first = wanted.groupBy("slug").agg(F.min("seq").alias("seq"), *[F.min_by(c, "seq").alias(c) for c in rest])
+    return first.join(known.select("slug"), "slug", "left_anti")
+
+
+def set_status(versions: DataFrame, changes: DataFrame) -> DataFrame:
+    """Versions (id, scheme_id, status) after changes (id, status), one for each id at most: ARCHIVED or ACTIVE.
+
+    A version that becomes active archives its scheme's active one. Of several that become so in one scheme the largest id does."""
+    change = changes.select("id", F.col("status").alias("_to"))
+    out = versions.join(change, "id", "left")
+    risen = out.where("_to = 'ACTIVE'").groupBy("scheme_id").agg(F.max("id").alias("_active"))
+    out = out.join(risen, "scheme_id", "left")
+    status = F.when(F.col("id") == F.col("_active"), "ACTIVE").when(F.col("_active").isNotNull() & ((F.col("status") == "ACTIVE") | (F.col("_to") == "ACTIVE")), "ARCHIVED").when(F.col("_to") == "ARCHIVED", "ARCHIVED").otherwise(F.col("status"))
+    return out.withColumn("status", status).select(versions.columns)
+
+
+def evidence_rows(rules: DataFrame) -> DataFrame:
+    """A row of evidence for each rule (id, evidence) that has a page or a text: rule_id, page_number, section, evidence_text,
+    source_url, ocr_confidence."""
+    e = F.col("evidence")
+    out = rules.where(e.isNotNull() & (e["page_number"].isNotNull() | (F.trim(F.coalesce(e["source_text"], F.lit(""))) != "")))
+    have = rules.schema["evidence"].dataType.fieldNames()
+    pick = lambda name, kind: (e[name] if name in have else F.lit(None)).cast(kind)
+    return out.select(F.col("id").alias("rule_id"), pick("page_number", "int").alias("page_number"), pick("section", "string").alias("section"), pick("source_text", "string").alias("evidence_text"), pick("source_url", "string").alias("source_url"), pick("ocr_confidence", "double").alias("ocr_confidence"))
+
+
+def with_texts(versions: DataFrame, texts: DataFrame) -> DataFrame:
+    """Versions with the text extracted from their document (document_id, extracted_text); without one they keep theirs."""
+    new = texts.groupBy("document_id").agg(F.max("extracted_text").alias("_text"))
+    return versions.join(new, "document_id", "left").withColumn("extracted_text", F.coalesce("_text", "extracted_text")).select(versions.columns)
+
+
+def current_rules(asked: DataFrame, known: DataFrame, versions: DataFrame, rules: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The active rules of the schemes that queries (query_id, query) mean: a row per query with the scheme, its active version
+    (null if it has none) and arrays of eligibility_rules and exclusion_rules with their evidence. A query that means no scheme
+    has no row.
+
+    ``known``: id, slug, name; ``versions``: id, scheme_id, version_label, status; ``rules``: id, scheme_version_id, rule,
+    type, category; ``evidence``: rule_id, page_number, evidence_text, source_url."""
+    found = find_scheme(asked, known).select("query_id", F.col("id").alias("scheme_id"), F.col("slug").alias("scheme_key"), F.col("name").alias("scheme_name"))
+    active = versions.where("status = 'ACTIVE'").select("scheme_id", F.col("id").alias("version_id"), "version_label")
+    full = rules_with_evidence(rules.withColumnRenamed("id", "rule_id"), evidence, "rule_id", ["page_number", "evidence_text", "source_url"])
+    rule = F.struct("rule_id", "rule", "category", "evidence")
+    lists = full.groupBy(F.col("scheme_version_id").alias("version_id")).agg(*[F.sort_array(F.collect_list(F.when(F.col("type") == t, rule))).alias(f"{t}_rules") for t in ("eligibility", "exclusion")])
+    out = found.join(active, "scheme_id", "left").join(lists, "version_id", "left")
+    kinds = lists.schema
+    return out.withColumns({f"{t}_rules": F.coalesce(f"{t}_rules", F.array().cast(kinds[f"{t}_rules"].dataType)) for t in ("eligibility", "exclusion")})

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import citizens as C
 from ..functions import rules as R
 from ..functions import text as X
-from ..operators import audit, comparison, discovery, eligibility, metrics, rules_diff, versions
+from ..operators import audit, comparison, discovery, eligibility, metrics, rules_diff, slices, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,8 +79,7 @@ def active_versions(spark, sf_dir):
 
 @query(TIMELINE + "SELECT scheme, doc_id, status, row_number() OVER (PARTITION BY scheme ORDER BY doc_id) AS place FROM t WHERE status <> 'already_exists'")
 def version_history(spark, sf_dir):
-    w = Window.partitionBy("scheme").orderBy("doc_id")
-    return timeline(spark, sf_dir).where("status <> 'already_exists'").select("scheme", "doc_id", "status", F.row_number().over(w).cast("bigint").alias("place"))
+    return versions.version_history(timeline(spark, sf_dir), "scheme", "doc_id").select("scheme", "doc_id", "status", F.col("place").cast("bigint").alias("place"))
 
 
 @query(TIMELINE + "SELECT scheme, old_active AS old_version_id, doc_id AS new_version_id, change_type FROM t WHERE change_type IS NOT NULL")
@@ -176,9 +175,15 @@ def link_counts(spark, sf_dir):
     return _links(spark, sf_dir).groupBy(kind.alias("category")).agg(F.count("*").alias("links"), F.count_distinct("page_id").alias("pages"))
 
 
-@query()
+@query("""WITH d AS (SELECT p_partkey, 'https://site.example/a/b' || (p_partkey % 7) || '/list.html' AS page FROM part)
+SELECT p_partkey, 'https://site.example/a/docs/' || p_partkey || '.pdf' AS document_url, page AS source_page_url, 'Order about ' || p_name AS title, '0' || (1 + p_partkey % 9) || '-06-2023' AS published_date FROM d JOIN part USING (p_partkey)
+UNION ALL SELECT p_partkey, 'https://site.example/x/' || p_partkey || '.doc', page, 'Guidelines of ' || p_partkey, NULL FROM d WHERE p_partkey % 2 = 0""")
 def page_documents(spark, sf_dir):
-    return discovery.page_documents(read(spark, sf_dir, "pages"))
+    k = F.col("p_partkey").cast("string")
+    row = F.format_string('<table><tr><td>%s</td><td>Order about %s</td><td>0%s-06-2023</td><td><a href="../docs/%s.pdf">\u0cb5\u0cc0\u0c95\u0ccd\u0cb7\u0ca3\u0cc6</a></td></tr></table>', k, F.col("p_name"), (1 + F.col("p_partkey") % 9).cast("string"), k)
+    more = F.when(F.col("p_partkey") % 2 == 0, F.format_string('<p><a href="/x/%s.doc">Guidelines of %s</a> <a href="#top">Top</a></p>', k, k)).otherwise("")
+    pages = read(spark, sf_dir, "part").select("p_partkey", F.format_string("https://site.example/a/b%s/list.html", (F.col("p_partkey") % 7).cast("string")).alias("url"), F.concat(row, more).alias("html"))
+    return discovery.page_documents(pages, "p_partkey").select("p_partkey", "document_url", "source_page_url", "title", "published_date")
 
 
 @query(r"""SELECT doc_id, CASE WHEN regexp_matches(t, '(?i)apache') THEN 'guideline' WHEN regexp_matches(t, '(?i)creative|cc by') THEN 'order' WHEN regexp_matches(t, '(?i)gnu') THEN 'circular' WHEN regexp_matches(t, '(?i)mit license') THEN 'notification' WHEN regexp_matches(t, '(?i)rights') THEN 'application_form' ELSE 'other' END AS document_type,
@@ -272,15 +277,18 @@ def page_classification(spark, sf_dir):
 _PAIRS = "SELECT source, doc_id, text, lang, n_chars, lag(doc_id) OVER w AS old_id, lag(text) OVER w AS old, lag(lang) OVER w AS old_lang, lag(n_chars) OVER w AS old_chars FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)"
 
 
-def _pairs(spark, sf_dir):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return read(spark, sf_dir, "documents").select("*", *[F.lag(c).over(w).alias(n) for c, n in (("doc_id", "old_id"), ("text", "old"), ("lang", "old_lang"), ("n_chars", "old_chars"))]).where("old_id IS NOT NULL")
+def _pairs(spark, sf_dir, *columns: tuple[str, str]):
+    """Documents beside the one before of their source. The order is found by ids alone; then the old columns are joined."""
+    d = read(spark, sf_dir, "documents")
+    order = slices.with_running(d.select("source", "doc_id"), "source", "doc_id", {"old_id": F.col("doc_id")}).where("old_id IS NOT NULL").select("doc_id", "old_id")
+    old = d.select(F.col("doc_id").alias("old_id"), *[F.col(c).alias(n) for c, n in columns])
+    return order.join(old, "old_id").join(d.select("doc_id", *[c for c, _ in columns]), "doc_id")
 
 
 @query(rf"""WITH p AS ({_PAIRS}), q AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(coalesce(old, '')), '[\p{{L}}\p{{N}}_]+')) AS a, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+')) AS b FROM p WHERE old_id IS NOT NULL)
 SELECT doc_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 6) END AS jaccard FROM q""")
 def token_jaccard(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("doc_id", F.round(X.word_jaccard("old", "text"), 6).alias("jaccard"))
+    return _pairs(spark, sf_dir, ("text", "old")).select("doc_id", F.round(X.word_jaccard("old", "text"), 6).alias("jaccard"))
 
 
 def _lines(df, key, text):
@@ -292,7 +300,7 @@ c AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, gen
 SELECT doc_id AS pair, count(*) FILTER (o.t IS NULL) AS pages_added, count(*) FILTER (c.t IS NULL) AS pages_removed, count(*) FILTER (trim(regexp_replace(o.t, '\s+', ' ', 'g')) = trim(regexp_replace(c.t, '\s+', ' ', 'g'))) AS pages_unchanged,
   count(*) FILTER (trim(regexp_replace(o.t, '\s+', ' ', 'g')) <> trim(regexp_replace(c.t, '\s+', ' ', 'g'))) AS pages_differing FROM o FULL JOIN c USING (doc_id, n) GROUP BY doc_id""")
 def page_diff(spark, sf_dir):
-    p = _pairs(spark, sf_dir)
+    p = _pairs(spark, sf_dir, ("text", "old"))
     j = _lines(p, "doc_id", "old").withColumnRenamed("text", "o").join(_lines(p, "doc_id", "text").withColumnRenamed("text", "c"), ["pair", "page_number"], "full")
     same = comparison.bare("o") == comparison.bare("c")
     both = F.col("o").isNotNull() & F.col("c").isNotNull()
@@ -302,25 +310,32 @@ def page_diff(spark, sf_dir):
 @query(f"""WITH p AS ({_PAIRS}) SELECT doc_id AS pair, 'lang' AS key, old_lang AS old_value, lang AS new_value FROM p WHERE old_id IS NOT NULL AND old_lang IS DISTINCT FROM lang
 UNION ALL SELECT doc_id, 'n_chars', CAST(old_chars AS VARCHAR), CAST(n_chars AS VARCHAR) FROM p WHERE old_id IS NOT NULL AND old_chars IS DISTINCT FROM n_chars""")
 def metadata_diff(spark, sf_dir):
-    p = _pairs(spark, sf_dir)
+    p = _pairs(spark, sf_dir, ("lang", "old_lang"), ("n_chars", "old_chars"))
     meta = lambda a, b: F.create_map(F.lit("lang"), F.col(a), F.lit("n_chars"), F.col(b).cast("string")).alias("meta")
     return comparison.metadata_changes(p.select(F.col("doc_id").alias("pair"), meta("old_lang", "old_chars")), p.select(F.col("doc_id").alias("pair"), meta("lang", "n_chars")))
 
 
+def _item_pairs(spark, sf_dir, back: int):
+    """Items beside the one whose id is smaller by ``back``."""
+    b = read(spark, sf_dir, "benchmark").select("item_id", "text")
+    return b.join(b.select((F.col("item_id") + back).alias("item_id"), F.col("text").alias("old")), "item_id").where("old IS NOT NULL")
+
+
 @query()
 def item_similarity(spark, sf_dir):
-    w = Window.partitionBy(F.col("item_id") % 20).orderBy("item_id")
-    b = read(spark, sf_dir, "benchmark").select("item_id", "text", F.lag("text").over(w).alias("old")).where("old IS NOT NULL")
+    b = _item_pairs(spark, sf_dir, 20)
     b = b.withColumn("d", comparison.similarity("old", "text")).withColumn("s", comparison.diff_snippets("old", "text"))
     return b.select("item_id", F.col("d.ratio").alias("ratio"), comparison.is_ocr_noise(F.col("d")).alias("ocr_noise"), F.length("s.old").alias("old_snippet"), F.length("s.new").alias("new_snippet"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT a.item_id, a.text, b.text AS old FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id - 2 WHERE b.text IS NOT NULL),
+o AS (SELECT item_id, unnest(string_split(old, chr(10))) AS t, generate_subscripts(string_split(old, chr(10)), 1) AS n FROM p), c AS (SELECT item_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM p),
+j AS (SELECT item_id AS pair, o.t AS x, c.t AS y, trim(regexp_replace(o.t, '\s+', ' ', 'g')) = trim(regexp_replace(c.t, '\s+', ' ', 'g')) AS same FROM o FULL JOIN c USING (item_id, n))
+SELECT pair, count(*) FILTER (x IS NULL) AS pages_added, count(*) FILTER (y IS NULL) AS pages_removed, count(*) FILTER (same) AS pages_same, count(*) FILTER (NOT same) AS pages_differing FROM j GROUP BY pair""")
 def item_page_comparison(spark, sf_dir):
-    w = Window.partitionBy(F.lit(1).bitwiseAND(F.col("item_id"))).orderBy("item_id")
-    b = read(spark, sf_dir, "benchmark").select("item_id", "text", F.lag("text").over(w).alias("old")).where("old IS NOT NULL")
-    pages = comparison.compare_pages(_lines(b, "item_id", "old"), _lines(b, "item_id", "text"))
-    return comparison.page_counts(pages)
+    b = _item_pairs(spark, sf_dir, 2)
+    n = comparison.page_counts(comparison.compare_pages(_lines(b, "item_id", "old"), _lines(b, "item_id", "text")))
+    return n.select("pair", "pages_added", "pages_removed", (F.col("pages_unchanged") - F.col("pages_noise")).alias("pages_same"), (F.col("pages_modified") + F.col("pages_noise")).alias("pages_differing"))
 
 
 # Rules, rendered from parts: a limit of income, age or land each, or another condition.
@@ -373,6 +388,11 @@ def normalize_rules(spark, sf_dir):
     return _rules(spark, sf_dir).select("p_partkey", "norm", "cat")
 
 
+@query(RULES + "SELECT p_partkey, cat AS category FROM h")
+def rule_category(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", R.category(_rule_text(), F.lit(None).cast("string")).alias("category"))
+
+
 @query(RULES + "SELECT cat, norm, min(p_partkey) AS first_seq, count(*) AS copies FROM h GROUP BY cat, norm")
 def rule_dedupe(spark, sf_dir):
     return _rules(spark, sf_dir).groupBy("cat", "norm").agg(F.min("p_partkey").alias("first_seq"), F.count("*").alias("copies"))
@@ -493,6 +513,76 @@ def eligibility_decision(spark, sf_dir):
     return eligibility.decide(_evaluated(spark, sf_dir), ["c_custkey", "scheme_key"]).select("c_custkey", "scheme_key", "decision", "passed", "failed", "open")
 
 
+@query(ELIGIBILITY + "SELECT c_custkey, status FROM e WHERE rule_id = 6")
+def household_limit(spark, sf_dir):
+    return _evaluated(spark, sf_dir).where("rule_id = 6").select("c_custkey", "status")
+
+
+@query(ELIGIBILITY + "SELECT count(*) FILTER (scheme_key = 'doubt' AND status IN ('MATCH', 'NO_MATCH')) AS contradicted_rules_used, count(*) FILTER (scheme_key = 'doubt' AND status IN ('MATCH', 'NO_MATCH')) AS review_rules_used FROM e")
+def safety_counters(spark, sf_dir):
+    return eligibility.safety_counters(_evaluated(spark, sf_dir))
+
+
+_AMOUNT = "format('{:,}', CAST(round_even(income, 0) AS BIGINT))"
+REASONS = ELIGIBILITY + f"""
+, r AS (SELECT c_custkey, scheme_key, rule_id, bucket, status, CASE rule_id
+    WHEN 1 THEN CASE WHEN income IS NULL THEN 'Annual income is unknown (not specified in citizen profile).' WHEN income <= 50000 THEN 'Annual income ₹' || {_AMOUNT} || ' satisfies required income limit ₹50,000.' ELSE 'Annual income ₹' || {_AMOUNT} || ' exceeds required income limit ₹50,000.' END
+    WHEN 2 THEN CASE WHEN income IS NULL THEN 'Annual income is unknown (not specified in citizen profile).' ELSE 'Could not parse numerical income threshold from scheme rule.' END
+    WHEN 3 THEN CASE WHEN acres IS NULL THEN 'Agricultural land ownership information is unknown.' WHEN acres > 0 THEN 'Citizen owns agricultural land as required.' ELSE 'Citizen does not own agricultural land as required.' END
+    WHEN 4 THEN CASE WHEN resident IS NULL THEN 'Karnataka residency / state information is unknown.' WHEN resident THEN 'Citizen is a resident of Karnataka.' ELSE 'Citizen is not a resident of Karnataka.' END
+    WHEN 5 THEN CASE WHEN gst IS NULL THEN 'GST return filing status for self or spouse is unknown.' WHEN gst THEN 'Citizen triggers tax/GST disqualification condition.' ELSE 'Citizen does not trigger tax/GST disqualification condition.' END
+    WHEN 6 THEN CASE WHEN claimed IS NULL THEN 'Household member details not provided; cannot verify whether another household member has already claimed the benefit.' WHEN claimed THEN 'Beneficiary limit reached: 1 other member(s) in household already received benefit.' ELSE 'Beneficiary quota available in household (no other member has claimed the benefit).' END END AS reason FROM e JOIN c USING (c_custkey)),
+n AS (SELECT d.c_custkey, d.scheme_key, d.decision,
+    string_agg(reason, ' | ' ORDER BY rule_id) FILTER (CASE WHEN excluded > 0 THEN bucket = 'exclusion' AND status = 'MATCH' WHEN trusted = 0 THEN false WHEN failed > 0 THEN bucket = 'eligibility' AND status = 'NO_MATCH' WHEN household_failed > 0 THEN bucket = 'household' AND status = 'NO_MATCH' WHEN decision = 'ELIGIBLE' THEN bucket = 'eligibility' AND status = 'MATCH' ELSE false END) AS why,
+    string_agg(CASE bucket WHEN 'eligibility' THEN '' WHEN 'exclusion' THEN 'Exclusion verification needed: ' ELSE 'Household constraint verification needed: ' END || reason, ' | ' ORDER BY CASE bucket WHEN 'eligibility' THEN 0 WHEN 'exclusion' THEN 1 ELSE 2 END, rule_id)
+      FILTER (excluded = 0 AND trusted > 0 AND failed = 0 AND household_failed = 0 AND bucket IS NOT NULL AND status = 'UNKNOWN') AS missing
+  FROM d JOIN r USING (c_custkey, scheme_key) GROUP BY ALL)
+SELECT c_custkey, scheme_key, decision, coalesce(why, missing, '') AS summary, coalesce(missing, '') AS missing, CASE WHEN scheme_key = 'doubt' THEN 1 ELSE 0 END AS reviews FROM n"""
+
+
+@query(REASONS)
+def decision_reasons(spark, sf_dir):
+    keys = ["c_custkey", "scheme_key"]
+    evaluated = _evaluated(spark, sf_dir)
+    out = eligibility.explain(evaluated, eligibility.decide(evaluated, keys), keys)
+    return out.select(*keys, "decision", F.array_join("summary_reasons", " | ").alias("summary"), F.array_join("missing_information", " | ").alias("missing"), F.size("review_reasons").alias("reviews"))
+
+
+_VERSIONS = "v AS (SELECT n_nationkey * 2 + i AS id, n_nationkey AS scheme_id, CASE WHEN i = 1 AND n_nationkey % 5 <> 0 THEN 'ACTIVE' ELSE 'ARCHIVED' END AS status FROM nation, (SELECT unnest([0, 1]) AS i))"
+
+
+@query("""WITH k AS (SELECT n_nationkey AS id, lower(n_name) AS slug, 'nation of ' || n_name AS name FROM nation), q AS (SELECT n_nationkey AS query_id, lower('the ' || n_name || ' scheme') AS q FROM nation),
+t AS (SELECT query_id, unnest(regexp_split_to_array(q, '[^\\p{L}\\p{N}]+')) AS token, generate_subscripts(regexp_split_to_array(q, '[^\\p{L}\\p{N}]+'), 1) - 1 AS pos FROM q),
+m AS (SELECT query_id, id, slug, pos, CASE WHEN contains(slug, token) THEN 0 ELSE 1 END AS weight FROM t JOIN k ON contains(slug, token) OR contains(lower(name), token) WHERE length(token) >= 3 AND token NOT IN ('the', 'and', 'scheme', 'yojana', 'for')),
+f AS (SELECT query_id, id, slug FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos, weight, id) = 1), """.replace("\\\\", "\\") + _VERSIONS + """
+SELECT query_id, slug AS scheme_key, CAST(v.id AS BIGINT) AS version_id, CASE WHEN v.id IS NULL THEN 0 ELSE 2 END AS eligibility, CASE WHEN v.id IS NULL THEN 0 ELSE 1 END AS exclusions, CASE WHEN v.id IS NULL THEN 0 ELSE 1 END AS with_evidence
+FROM f LEFT JOIN v ON v.scheme_id = f.id AND v.status = 'ACTIVE'""")
+def current_rules(spark, sf_dir):
+    n, k = read(spark, sf_dir, "nation"), F.col("n_nationkey").cast("bigint")
+    known = n.select(k.alias("id"), F.lower("n_name").alias("slug"), F.concat(F.lit("nation of "), F.col("n_name")).alias("name"))
+    asked = n.select(k.alias("query_id"), F.concat(F.lit("the "), F.col("n_name"), F.lit(" scheme")).alias("query"))
+    v = n.select(k.alias("scheme_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("i"))
+    v = v.select((F.col("scheme_id") * 2 + F.col("i")).alias("id"), "scheme_id", F.concat(F.lit("v"), F.col("i").cast("string")).alias("version_label"), F.when((F.col("i") == 1) & (F.col("scheme_id") % 5 != 0), "ACTIVE").otherwise("ARCHIVED").alias("status"))
+    rules = v.select(F.col("id").alias("scheme_version_id"), F.explode(F.array(*map(F.lit, range(3)))).alias("j")).select((F.col("scheme_version_id") * 10 + F.col("j")).alias("id"), "scheme_version_id", F.concat(F.lit("rule "), F.col("j").cast("string")).alias("rule"), F.when(F.col("j") < 2, "eligibility").otherwise("exclusion").alias("type"), F.lit("other").alias("category"))
+    evidence = rules.where("id % 10 = 0").select(F.col("id").alias("rule_id"), F.lit(1).alias("page_number"), F.lit("text").alias("evidence_text"), F.lit(None).cast("string").alias("source_url"))
+    out = versions.current_rules(asked, known, v, rules, evidence)
+    backed = F.size(F.filter(F.concat("eligibility_rules", "exclusion_rules"), lambda r: F.size(r["evidence"]) > 0))
+    return out.select("query_id", "scheme_key", "version_id", F.size("eligibility_rules").alias("eligibility"), F.size("exclusion_rules").alias("exclusions"), backed.alias("with_evidence"))
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {_RULE} AS old FROM part), x AS (SELECT *, CASE p_partkey % 3 WHEN 0 THEN old WHEN 1 THEN old || ' and 7 more' ELSE 'nothing alike 3' END AS new, p_partkey % 3 = 2 AS titles FROM p),
+w AS (SELECT *, list_distinct(regexp_extract_all(lower(old), '[\\p{{L}}\\p{{N}}_]+')) AS a, list_distinct(regexp_extract_all(lower(new), '[\\p{{L}}\\p{{N}}_]+')) AS b FROM x), j AS (SELECT *, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS jac FROM w)
+SELECT p_partkey AS pair, CASE WHEN old = new THEN 'identical' WHEN jac < 0.15 OR (titles AND jac < 0.35) THEN 'different_document' ELSE 'possible_change' END AS status, CAST(CASE WHEN old = new THEN 0 ELSE 1 END AS BIGINT) AS pages_modified, CASE WHEN old <> new AND (jac < 0.15 OR (titles AND jac < 0.35)) THEN true ELSE false END AS review_required FROM j""")
+def diff_verdict(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("pair"), _rule_text().alias("old"), k.alias("k"))
+    p = p.withColumn("new", F.when(F.col("k") == 0, F.col("old")).when(F.col("k") == 1, F.concat("old", F.lit(" and 7 more"))).otherwise("nothing alike 3"))
+    doc = lambda c, title: p.select("pair", F.sha2(c, 256).alias("sha256"), title.alias("title"), F.create_map(F.lit("lang"), F.lit("en")).alias("meta"))
+    page = lambda c: p.select("pair", F.lit(1).alias("page_number"), F.col(c).alias("text"))
+    out = comparison.compare_documents(doc("old", F.lit("a")), doc("new", F.when(F.col("k") == 2, "b").otherwise("a")), page("old"), page("new"))
+    return out.select("pair", "status", "pages_modified", "review_required")
+
+
 @query(ELIGIBILITY + "SELECT scheme_key, decision, count(*) AS citizens FROM d GROUP BY 1, 2")
 def decision_summary(spark, sf_dir):
     return eligibility.decide(_evaluated(spark, sf_dir), ["c_custkey", "scheme_key"]).groupBy("scheme_key", "decision").agg(F.count("*").alias("citizens"))
