@@ -95,16 +95,15 @@ class Model:
 
 def _sample_of(labels: DataFrame, id_col: str, label_col: str, most: int) -> DataFrame:
     """At most ``most`` labelled ids with their label, those with the smallest hashes."""
-    ids = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_label_id")).agg(F.max(label_col).cast("int").alias("_label"))
+    ids = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("string").alias("_label_id")).agg(F.max(label_col).cast("int").alias("_label"))
     return ids.orderBy(F.xxhash64("_label_id"), "_label_id").limit(most)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED) -> Model:
     """Fit both models and the margin. Without labelled good text, or without any text, all ratios are 0: nothing is told apart."""
     sample = _sample_of(labels, id_col, label_col, labelled).toPandas()  # bounded by ``labelled``
-    good = docs.sparkSession.createDataFrame(sample, "_label_id long, _label int") if len(sample) else docs.sparkSession.createDataFrame([], "_label_id long, _label int")
-    good = F.broadcast(good.withColumn("_label_id", F.col("_label_id").cast(docs.schema[id_col].dataType)))
-    marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(good, F.col("_id") == F.col("_label_id"), "left").select("_text", "_label")
+    good = F.broadcast(docs.sparkSession.createDataFrame(sample if len(sample) else [], "_label_id string, _label int"))
+    marked = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).join(good, F.col("_id") == F.col("_label_id"), "left").select("_text", "_label")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)

@@ -6,11 +6,13 @@ rest. Four transducers read a clause's symbols and are composed into one machine
     negation   an insult or threat within a few words after a negation is written as negated,
     reported   one after a verb of saying or inside quotation marks is written as reported,
     target     one with a target a few words before or after it is written as aimed,
-    weighing   reads what the others have written and adds up weights.
+    weighing   turns what the others have written into weights.
 
-The score of a document comes from its matched clauses, not from isolated words: from the heaviest clause, the sum over
-clauses and their number, with coefficients fitted by logistic regression on labelled documents. The lexicon's insults
-start from a fixed list; words that labelled toxic documents have and others don't are added with weights from their odds.
+A clause is read forward through the first three, and what they wrote is read backward through the last two, as a target may
+stand on either side. The score of a document comes from its matched clauses, not from isolated words: from the heaviest
+clause, the sum over clauses and their number, with coefficients fitted by logistic regression on labelled documents. The
+lexicon is learned from labelled documents: beginnings of words, inflected forms and compounds with them, that toxic documents
+have and others don't, weighted by their odds. A short fixed list starts it.
 """
 
 from __future__ import annotations
@@ -27,15 +29,33 @@ from pyspark.sql import types as T
 
 #: Labelled documents that the lexicon and the coefficients are fitted on, at most.
 LABELLED = 20_000
-#: A learned insult is in so many labelled toxic documents at least, and so many times likelier there.
-LEARNED_LEAST, LEARNED_ODDS = 8, 20.0
+#: A beginning of words is learned from so many toxic documents at least, if it is so many times likelier there, and if its
+#: G statistic is beyond what the best of as many useless beginnings would reach by so much.
+LEARNED_LEAST, LEARNED_ODDS, LEARNED_MARGIN = 4, 12.0, 6.0
+#: Letters of a learned beginning, and entries of the lexicon at most.
+SHORTEST, LONGEST, LEXICON = 4, 10, 5_000
 
-#: Fixed word lists of the grammar.
+#: Fixed word lists of the grammar: English, German, French, Spanish.
 INSULTS = "idiot moron stupid loser scum trash clown pathetic disgusting worthless imbecile fool dumb jerk creep filth vermin coward bastard ugly".split()
 THREATS = "kill hurt destroy beat stab shoot burn crush attack punish strangle murder".split()
-TARGETS = "you your yours yourself he him his she her they them their these those everyone people".split()
-NEGATIONS = "not no never neither nor without hardly isn't aren't wasn't don't doesn't didn't won't can't cannot".split()
-SAYING = "said says say called calls call wrote writes claimed claims reported reports told tells quoted quote alleged alleges".split()
+TARGETS = (
+    "you your yours yourself he him his she her they them their these those everyone people "
+    "du dich dir dein deine ihr euch euer er ihn ihm sie ihnen "
+    "tu toi te ton ta tes vous votre il lui elle ils elles leur "
+    "tú ti usted ustedes vosotros él ella ellos ellas"
+).split()
+NEGATIONS = (
+    "not no never neither nor without hardly isn't aren't wasn't don't doesn't didn't won't can't cannot "
+    "nicht kein keine keinen nie niemals ohne weder "
+    "pas jamais aucun aucune sans "
+    "nunca jamás ningún ninguna sin tampoco"
+).split()
+SAYING = (
+    "said says say called calls call wrote writes claimed claims reported reports told tells quoted quote alleged alleges "
+    "sagt sagte nennt nannte schreibt schrieb behauptet behauptete "
+    "dit disait appelle appelait écrit prétend affirme "
+    "dice dijo llama llamó escribe escribió afirma"
+).split()
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, SAY, QUOTE = range(7)
 _NEAR = 3
@@ -58,12 +78,12 @@ def _negation() -> Transducer:
     """State: words for which a negation still holds."""
 
     def arcs(state: int, s: tuple) -> tuple:
-        kind, flags = s
+        kind, flags, weight = s
         if kind == NEGATION:
             return _NEAR + 1, s
         if kind in (INSULT, THREAT) and state:
             flags |= {"negated"}
-        return max(0, state - 1), (kind, flags)
+        return max(0, state - 1), (kind, flags, weight)
 
     return Transducer(0, arcs)
 
@@ -72,14 +92,14 @@ def _reported() -> Transducer:
     """State: 0 plain, 1 after a verb of saying, 2 inside quotation marks, 3 both."""
 
     def arcs(state: int, s: tuple) -> tuple:
-        kind, flags = s
+        kind, flags, weight = s
         if kind == SAY:
             return state | 1, s
         if kind == QUOTE:
             return state ^ 2, s
         if kind in (INSULT, THREAT) and state:
             flags |= {"reported"}
-        return state, (kind, flags)
+        return state, (kind, flags, weight)
 
     return Transducer(0, arcs)
 
@@ -88,12 +108,32 @@ def _target() -> Transducer:
     """State: words since the last target, up to a limit. What follows an insult is seen by reading the clause backwards too."""
 
     def arcs(state: int, s: tuple) -> tuple:
-        kind, flags = s
+        kind, flags, weight = s
         if kind == TARGET:
             return _NEAR + 1, s
         if kind in (INSULT, THREAT) and state:
             flags |= {"aimed"}
-        return max(0, state - 1), (kind, flags)
+        return max(0, state - 1), (kind, flags, weight)
+
+    return Transducer(0, arcs)
+
+
+#: Factors of the weighing transducer.
+FACTORS = {"negated": 0.25, "reported": 0.4, "aimed": 1.5}
+#: A threat counts only if it is aimed at someone.
+THREAT_WEIGHT = 2.0
+
+
+def _weighing() -> Transducer:
+    """One state; writes the weight of an insult, or of a threat that is aimed, times the factors of its flags, else 0."""
+
+    def arcs(state: int, s: tuple) -> tuple:
+        kind, flags, weight = s
+        if kind == INSULT or (kind == THREAT and "aimed" in flags):
+            for flag in sorted(flags):
+                weight *= FACTORS[flag]
+            return state, weight
+        return state, 0.0
 
     return Transducer(0, arcs)
 
@@ -112,59 +152,58 @@ def compose(*machines: Transducer) -> Transducer:
 
 
 FORWARD = compose(_negation(), _reported(), _target())
-BACKWARD = compose(_target())
-#: Factors of the weighing transducer.
-FACTORS = {"negated": 0.25, "reported": 0.4, "aimed": 1.5}
-#: A threat counts only if it is aimed at someone.
-THREAT_WEIGHT = 2.0
+BACKWARD = compose(_target(), _weighing())
 
 
 @dataclass
 class Grammar:
+    """``insults``: weights of words. ``stems``: weights of beginnings of words; the longest that fits a word counts."""
+
     insults: dict[str, float]
+    stems: dict[str, float] = field(default_factory=dict)
     coefficients: list[float] = field(default_factory=lambda: [-3.0, 1.5, 0.5, 0.5])
     _kinds: dict = field(default_factory=dict, repr=False)
     _automaton: object = field(default=None, repr=False)
 
     def __getstate__(self):
-        return {"insults": self.insults, "coefficients": self.coefficients, "_kinds": {}, "_automaton": None}
+        return {"insults": self.insults, "stems": self.stems, "coefficients": self.coefficients, "_kinds": {}, "_automaton": None}
 
-    def kinds(self) -> dict:
+    def symbol(self, word: str) -> tuple:
+        """(kind, flags, weight) of a lower-cased word or mark."""
         if not self._kinds:
-            for kind, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (SAY, SAYING), (THREAT, THREATS), (INSULT, self.insults)):
-                self._kinds.update(dict.fromkeys(words, kind))
-        return self._kinds
+            for kind, words, weight in ((TARGET, TARGETS, 0.0), (NEGATION, NEGATIONS, 0.0), (SAY, SAYING, 0.0), (QUOTE, _MARKS, 0.0), (THREAT, THREATS, THREAT_WEIGHT)):
+                self._kinds.update(dict.fromkeys(words, (kind, frozenset(), weight)))
+            self._kinds.update({w: (INSULT, frozenset(), weight) for w, weight in self.insults.items()})
+        found = self._kinds.get(word)
+        if found is None:
+            stem = next((word[:n] for n in range(min(len(word), LONGEST), SHORTEST - 1, -1) if word[:n] in self.stems), None)
+            found = (INSULT, frozenset(), self.stems[stem]) if stem else (OTHER, frozenset(), 0.0)
+        return found
 
     def automaton(self):
-        """Finds insults and threats: a clause without one has no weight."""
+        """Finds insults, threats and beginnings of words: a clause without one has no weight. Values: length, and whether a word ends there."""
         if self._automaton is None:
             import ahocorasick
 
             made = ahocorasick.Automaton()
             for w in {*self.insults, *THREATS}:
-                made.add_word(w, len(w))
+                made.add_word(w, (len(w), True))
+            for w in self.stems:
+                made.add_word(w, (len(w), False))
             made.make_automaton()
             self._automaton = made
         return self._automaton
 
     def clause_weight(self, clause: str) -> float:
         """Weight of a lower-cased clause."""
-        words = _WORD.findall(clause)
-        kinds = self.kinds()
-        symbols = [(QUOTE if w in _MARKS else kinds.get(w, OTHER), frozenset()) for w in words]
         state, read = FORWARD.start, []
-        for s in symbols:
-            state, s = FORWARD.step(state, s)
+        for w in _WORD.findall(clause):
+            state, s = FORWARD.step(state, self.symbol(w))
             read.append(s)
-        state = BACKWARD.start
-        total = 0.0
-        for w, s in zip(reversed(words), reversed(read)):
-            state, (kind, flags) = BACKWARD.step(state, s)
-            if kind == INSULT or (kind == THREAT and "aimed" in flags):
-                weight = self.insults[w] if kind == INSULT else THREAT_WEIGHT
-                for flag in flags:
-                    weight *= FACTORS[flag]
-                total += weight
+        state, total = BACKWARD.start, 0.0
+        for s in reversed(read):
+            state, weight = BACKWARD.step(state, s)
+            total += weight
         return total
 
     def clauses(self, text: str | None) -> list[tuple[int, int, float]]:
@@ -173,9 +212,9 @@ class Grammar:
             return []
         low = text.lower()
         hits = []
-        for end, size in self.automaton().iter(low):
+        for end, (size, whole) in self.automaton().iter(low):
             a, b = end - size + 1, end + 1
-            if not (a and (low[a - 1].isalpha() or low[a - 1] == "'")) and not (b < len(low) and low[b].isalpha()):
+            if not (a and (low[a - 1].isalpha() or low[a - 1] == "'")) and not (whole and b < len(low) and low[b].isalpha()):
                 hits.append(a)
         if not hits:
             return []
@@ -200,30 +239,55 @@ class Grammar:
         return (max(found), float(np.log1p(sum(found))), float(np.log1p(len(found)))) if found else (0.0, 0.0, 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED) -> Grammar:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED, insults: dict[str, float] | None = None) -> Grammar:
     """A grammar fitted on at most ``labelled`` documents of ``labels``, those with the smallest hashes of their ids.
 
-    Rows without an id or a label are passed over. Without labels the fixed lists and coefficients stay."""
-    spark = docs.sparkSession
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
-    sample = known.orderBy(F.xxhash64("_id"), "_id").limit(labelled).toPandas()
-    grammar = Grammar(dict.fromkeys(INSULTS, 1.0))
+    ``insults``: the lexicon to start from, the fixed list if not given. Rows without an id or a label are passed over. Ids
+    may have any type that both tables' ids can be cast to text from. Without labels the lists and coefficients stay."""
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("string").alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
+    sample = known.orderBy(F.xxhash64("_id"), "_id").limit(labelled).toPandas()  # bounded by ``labelled``
+    grammar = Grammar(dict.fromkeys(INSULTS, 1.0) if insults is None else dict(insults))
     if not len(sample):
         return grammar
-    ids = F.broadcast(spark.createDataFrame(sample, "_id long, _label int").withColumn("_id", F.col("_id").cast(docs.schema[id_col].dataType)))
-    marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids, "_id")
+    ids = F.broadcast(docs.sparkSession.createDataFrame(sample, "_id string, _label int"))
+    marked = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).join(ids, "_id")
     words = marked.select("_label", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("_text", F.lit(""))), "[^\\p{L}]+"))).alias("w"))
-    counts = words.where(F.length("w") > 2).groupBy("w").agg(F.sum("_label").alias("toxic"), F.sum(1 - F.col("_label")).alias("clean"))
+    counts = words.where(F.length("w") >= SHORTEST).groupBy("w").agg(F.sum("_label").alias("toxic"), F.sum(1 - F.col("_label")).alias("clean"))
+    beginnings = F.transform(F.sequence(F.lit(SHORTEST), F.least(F.length("w"), F.lit(LONGEST))), lambda n: F.substring("w", F.lit(1), n))
+    stems = counts.select("toxic", "clean", F.explode(beginnings).alias("stem")).groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     n_toxic, n_clean = int((sample["_label"] == 1).sum()), int((sample["_label"] == 0).sum())
     odds = (F.col("toxic") + 0.5) / (n_toxic + 1.0) / ((F.col("clean") + 0.5) / (n_clean + 1.0))
-    learned = counts.where((F.col("toxic") >= LEARNED_LEAST) & (odds >= LEARNED_ODDS)).select("w", odds.alias("odds")).orderBy(F.desc("odds"), "w").limit(1000).collect()
-    grammar.insults |= {r.w: float(np.clip(np.log(r.odds) / 3, 0.5, 2.5)) for r in learned if r.w not in THREATS}
+    likely = (F.col("toxic") >= LEARNED_LEAST) & (odds >= LEARNED_ODDS)
+    # Candidates, and the number of all beginnings in a row of its own.
+    rows = stems.groupBy(F.when(likely, F.col("stem")).alias("stem")).agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    got = rows.orderBy(F.col("stem").isNotNull(), F.desc("toxic"), "stem").limit(20 * LEXICON).collect()
+    grammar.stems = _stems([r for r in got if r.stem is not None], sum(r.n for r in got), n_toxic, n_clean)
+    # What was learned of a word counts, not the list.
+    grammar.insults = {w: x for w, x in grammar.insults.items() if not any(w[:k] in grammar.stems for k in range(SHORTEST, LONGEST + 1))}
     got = _with_features(marked.select("_text", "_label"), grammar, "_text").select("_label", "heaviest", "total", "matched").toPandas()  # rows of the sample
     x = np.column_stack([np.ones(len(got)), got[["heaviest", "total", "matched"]].to_numpy(np.float64)])
     grammar.coefficients = _logistic(x, got["_label"].to_numpy(np.float64)).tolist()
     return grammar
 
 
+def _stems(rows: list, n_stems: int, n_toxic: int, n_clean: int) -> dict[str, float]:
+    """Weights of the beginnings that labels set apart; one that goes on from a shorter one is left out."""
+    base = n_toxic / max(1, n_toxic + n_clean)
+    if not 0 < base < 1:
+        return {}
+    found, needed = {}, 2 * np.log(max(2, n_stems)) + LEARNED_MARGIN
+    for r in sorted(rows, key=lambda r: (len(r.stem), -r.toxic, r.stem)):
+        n = r.toxic + r.clean
+        g = 2 * (r.toxic * np.log(r.toxic / (n * base)) + (r.clean * np.log(r.clean / (n * (1 - base))) if r.clean else 0.0))
+        if g < needed or any(r.stem[:k] in found for k in range(SHORTEST, len(r.stem))):
+            continue
+        odds = (r.toxic + 0.5) / (n_toxic + 1.0) / ((r.clean + 0.5) / (n_clean + 1.0))
+        found[r.stem] = float(np.clip(np.log(odds) / 3, 0.5, 2.5))
+        if len(found) == LEXICON:
+            break
+    return found
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 60) -> np.ndarray:
     """Coefficients by Newton's method with a ridge on all but the first."""
     b = np.zeros(x.shape[1])

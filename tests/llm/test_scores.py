@@ -1,6 +1,7 @@
 """Toxicity, secrets, quality, revisits and media."""
 
 import math
+import random
 import struct
 import zlib
 
@@ -28,7 +29,7 @@ def test_toxicity(spark, docs, empty):
     d = spark.createDataFrame(train, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(None, 1), (5000, None)], "doc_id long, toxic int")
     g = toxicity.train(d, labels)
-    assert "blarg" in g.insults
+    assert set(g.stems) == {"blar"}
     got = {r.doc_id: r for r in toxicity.score(d, g).collect()}
     assert all((got[i].predicted == 1) == (i % 4 == 0) and 0 <= got[i].score <= 1 for i in got)
     plain = toxicity.score(docs, g)
@@ -39,6 +40,45 @@ def test_toxicity(spark, docs, empty):
         toxicity.score(docs.withColumn("score", F.lit(1)), g)
 
 
+def test_composed_machine_against_brute_force():
+    """Random clauses: each insult and threat by its distance to others, without states."""
+    rnd = random.Random(12)
+    g = toxicity.Grammar({"idiot": 1.0, "fool": 0.7}, {"achli": 1.3})
+    words = ["idiot", "fool", "achlichkeit", "kill", "you", "not", "said", '"', "word", "other", "thing", "more"]
+    for _ in range(3000):
+        clause = [rnd.choice(words) for _ in range(rnd.randrange(1, 14))]
+        total = 0.0
+        for i, w in enumerate(clause):
+            weight = {"idiot": 1.0, "fool": 0.7, "achlichkeit": 1.3, "kill": toxicity.THREAT_WEIGHT}.get(w, 0.0)
+            aimed = "you" in clause[max(0, i - 4) : i] or "you" in clause[i + 1 : i + 5]
+            if weight and (w != "kill" or aimed):
+                weight *= toxicity.FACTORS["aimed"] if aimed else 1
+                weight *= toxicity.FACTORS["negated"] if "not" in clause[max(0, i - 4) : i] else 1
+                weight *= toxicity.FACTORS["reported"] if "said" in clause[:i] or clause[:i].count('"') % 2 else 1
+                total += weight
+        assert g.clause_weight(" ".join(clause)) == pytest.approx(total), clause
+
+
+def test_ids_of_any_type_and_long_texts(spark):
+    rows = [(f"k{i}", ("calm words. " * 30) + ("calm blargish words. " if i % 3 == 0 else "")) for i in range(90)] + [("long", "calm words. " * 60_000 + "a blarg. "), (None, None), ("k0", "calm")]
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"k{i}", int(i % 3 == 0)) for i in range(90)], "doc_id string, toxic int")
+    got = {(r.doc_id, r.text): r.predicted for r in toxicity.score(d, toxicity.train(d, labels, insults={})).collect()}
+    assert all(got[k] == ("blarg" in (k[1] or "")) for k in got) and len(got) == len(rows)
+    kept = quality.resample(d, labels, label_col="toxic")
+    assert kept.count() == len(rows)
+
+
+def test_learned_lexicon_alone(spark):
+    """Held-out documents with nothing but what labels teach."""
+    sf = "/root/testdata/sf0.1"
+    d, l = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    g = toxicity.train(d, l.where(~held_out), insults={})
+    r = toxicity.score(d.join(l.where(held_out), "doc_id"), g).groupBy("toxic", "predicted").count().toPandas().set_index(["toxic", "predicted"])["count"]
+    assert r[1, 1] / (r[1, 1] + r[1, 0]) > 0.85 and r.get((0, 1), 0) / r[0, 0] < 0.01
+
+
 @pytest.mark.parametrize("name, least", [("toxic", 0.94)])
 def test_held_out_toxicity(spark, name, least):
     sf = "/root/testdata/sf0.01"
