@@ -19,10 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests, local runs) a temporary folder of this driver."""
+    """The folder of ``spark.checkpoint.dir``, else the session's checkpoint folder. Where neither is set, a local session (tests,
+    local runs) gets a temporary folder of this driver; on a cluster, whose executors have other disks, that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = own.get() if own.isDefined() else ""
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir isn't set: tables are kept in a folder that driver and executors share")
     if not _own_root:
         _own_root.append("file://" + tempfile.mkdtemp(prefix="policylake-"))
     return _own_root[0]

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
 from .components import Union, components
@@ -34,6 +35,8 @@ BLOCK_SHINGLES = 1_000_000
 FILTER_BITS = 1 << 22
 #: Up to so many sets that share a prefix shingle are paired; more are chained.
 PAIRED = 32
+#: A component with more than one in so many of the rows doesn't go through a shuffle by its number.
+HOT = 2_000
 _BLOCK_BYTES = 1_000_000
 
 
@@ -302,9 +305,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 first = ranks[order][within < np.repeat(keep, n)].view(np.int64)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), pa.array(first))
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), pa.array(n.astype(np.int64)), pa.array(_signatures(hashes, edges)), prefix, pa.array(_bitmaps(hashes, edges), pa.binary())], names=["k1", "k2", "n", "s", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), part.column("id"), pa.array(n.astype(np.int64)), pa.array(_signatures(hashes, edges)), prefix, pa.array(_bitmaps(hashes, edges), pa.binary())], names=kinds.names)
 
-    described = materialize(keyed.select("k1", "k2", F.col(text_col).alias("text")).mapInArrow(describe, "k1 long, k2 long, n long, s long, prefix array<long>, bits binary"), "jaccard-sets")
+    kinds = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("n long, s long, prefix array<long>, bits binary")])
+    described = materialize(keyed.select("k1", "k2", F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(describe, kinds), "jaccard-sets")
     # One row per distinct set; equal sets are one node.
     nodes = described.where("n > 0").groupBy("s").agg(F.min("n").alias("n"), F.min(F.struct("k1", "k2")).alias("key"), F.first("prefix").alias("prefix"))
     tokens = nodes.select("s", "n", F.explode_outer("prefix").alias("token")).select("token", "n", "s")
@@ -398,9 +402,17 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     links = materialize(dealt_out.mapInArrow(join, "a long, b long"), "jaccard-links")
     labels = components(links)
-    # Back to rows: the smallest id of each component.
-    named = described.select("k1", "k2", "n", "s").distinct().join(labels, F.col("s") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("root", "s").alias("c"))
-    rows = keyed.join(named, ["k1", "k2"])
-    least = rows.where("n > 0").groupBy("c").agg(F.min(id_col).alias("component_id"))
-    linked = rows.join(least, "c", "left")
-    return linked.select(*docs.columns, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"), *([F.when(F.col("n") > 0, F.col("c")).alias(node_col)] if node_col else []))
+    # Back to rows: the smallest id of each component. A component with more than one in HOT of the rows is broadcast; there
+    # are fewer than HOT of those. Their rows go by a number of their own, which spreads them, through the other join.
+    named = described.select("k1", "k2", "id", "n", "s").distinct().join(labels, F.col("s") == F.col("node"), "left").select("k1", "k2", "id", "n", F.when(F.col("n") > 0, F.coalesce("root", "s")).alias("c"))
+    named = materialize(named, "jaccard-named")
+    least = materialize(named.where("c IS NOT NULL").groupBy("c").agg(F.min("id").alias("component_id"), F.count("*").alias("rows")), "jaccard-components")
+    most = named.count() / HOT
+    hot = F.broadcast(least.where(F.col("rows") > most).select(F.col("c").alias("hot_c"), F.col("component_id").alias("hot_id")))
+    cold = least.where(F.col("rows") <= most).select(F.col("c").alias("cold_c"), F.col("component_id").alias("cold_id"))
+    spread = F.when(F.col("hot_c").isNotNull() | F.col("c").isNull(), F.xxhash64(F.lit("spread"), "k1", "k2")).otherwise(F.col("c"))
+    found = named.join(hot, F.col("c") == F.col("hot_c"), "left").withColumn("by", spread).join(cold, F.col("by") == F.col("cold_c"), "left")
+    own = F.when(F.col("hot_c").isNotNull(), F.col("hot_id")).when(F.col("c").isNotNull(), F.col("cold_id")).otherwise(F.col("id"))
+    found = found.select("k1", "k2", "n", "c", own.alias("component_id"))
+    rows = keyed.join(found, ["k1", "k2"])
+    return rows.select(*docs.columns, F.col("n").alias("n_shingles"), "component_id", *([F.col("c").alias(node_col)] if node_col else []))
