@@ -51,29 +51,28 @@ def _png(b: memoryview) -> int | None:
     return None
 
 
-def _jpeg(b: memoryview) -> int | None:
-    at = 2
-    while at + 2 <= len(b):
-        if b[at] != 0xFF:
+def _jpeg(blob: bytes, start: int, seen: dict) -> int | None:
+    at = start + 2
+    while at + 2 <= len(blob):
+        if blob[at] != 0xFF:
             return None
-        kind = b[at + 1]
+        kind = blob[at + 1]
         if kind == 0xFF:
             at += 1
             continue
         if kind == 0xD9:
-            return at + 2
-        (size,) = struct.unpack_from(">H", b, at + 2) if at + 4 <= len(b) else (0,)
-        if size < 2 or at + 2 + size > len(b):
+            return at + 2 - start
+        (size,) = struct.unpack_from(">H", blob, at + 2) if at + 4 <= len(blob) else (0,)
+        if size < 2 or at + 2 + size > len(blob):
             return None
         at += 2 + size
         if kind == 0xDA:  # entropy-coded data: up to a marker that is neither a stuffed byte nor a restart
-            raw = bytes(b[at:])
-            k = raw.find(b"\xff")
-            while k >= 0 and k + 1 < len(raw) and (raw[k + 1] == 0 or 0xD0 <= raw[k + 1] <= 0xD7):
-                k = raw.find(b"\xff", k + 2)
-            if k < 0 or k + 1 >= len(raw):
+            k = blob.find(b"\xff", at)
+            while 0 <= k < len(blob) - 1 and (blob[k + 1] == 0 or 0xD0 <= blob[k + 1] <= 0xD7):
+                k = blob.find(b"\xff", k + 2)
+            if k < 0 or k + 1 >= len(blob):
                 return None
-            at += k
+            at = k
     return None
 
 
@@ -151,21 +150,27 @@ def _flac(b: memoryview) -> int | None:
     return None
 
 
-def _pdf(b: memoryview) -> int | None:
-    raw = bytes(b)
-    end = raw.rfind(b"%%EOF")
-    return end + 5 if len(raw) > 7 and raw[5:6].isdigit() and raw[6:7] == b"." and end >= 0 and raw.rfind(b"startxref", 0, end) >= 0 else None
+def _pdf(blob: bytes, start: int, seen: dict) -> int | None:
+    """Up to the last end mark before the next document begins."""
+    after = blob.find(b"%PDF-", start + 5)
+    after = len(blob) if after < 0 else after
+    end = blob.rfind(b"%%EOF", start, after)
+    good = blob[start + 5 : start + 6].isdigit() and blob[start + 6 : start + 7] == b"." and end >= 0 and blob.rfind(b"startxref", start, end) >= 0
+    return end + 5 - start if good else None
 
 
-def _zip(b: memoryview) -> int | None:
-    raw = bytes(b)
-    end = raw.find(b"PK\x05\x06")
-    while end >= 0 and end + 22 <= len(raw):
-        size, offset, comment = struct.unpack_from("<IIH", raw, end + 12)
-        if offset + size == end and end + 22 + comment <= len(raw):
-            return end + 22 + comment
-        end = raw.find(b"PK\x05\x06", end + 1)
-    return None
+def _zip(blob: bytes, start: int, seen: dict) -> int | None:
+    """The end record tells where its archive begins: all of a value's are read once."""
+    if "zip" not in seen:
+        found, end = {}, blob.find(b"PK\x05\x06")
+        while end >= 0 and end + 22 <= len(blob):
+            size, offset, comment = struct.unpack_from("<IIH", blob, end + 12)
+            if end + 22 + comment <= len(blob):
+                found.setdefault(end - size - offset, end + 22 + comment)
+            end = blob.find(b"PK\x05\x06", end + 1)
+        seen["zip"] = found
+    end = seen["zip"].get(start)
+    return end - start if end else None
 
 
 def _gzip(b: memoryview) -> int | None:
@@ -184,9 +189,11 @@ def _gzip(b: memoryview) -> int | None:
 
 
 VALIDATORS = {
-    "image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "audio/wav": lambda b: _riff(b, b"WAVE"), "image/webp": lambda b: _riff(b, b"WEBP"),
-    "audio/flac": _flac, "audio/ogg": _ogg, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip,
+    "image/png": _png, "image/gif": _gif, "image/bmp": _bmp, "audio/wav": lambda b: _riff(b, b"WAVE"), "image/webp": lambda b: _riff(b, b"WEBP"),
+    "audio/flac": _flac, "audio/ogg": _ogg, "application/gzip": _gzip,
 }
+#: Validators that search: they get the whole value, a place in it, and what was found in it before, so that nothing is read again for each magic number.
+SEARCHING = {"image/jpeg": _jpeg, "application/pdf": _pdf, "application/zip": _zip}
 
 _automaton = None
 
@@ -207,12 +214,12 @@ def automaton():
 
 def sniff(blob: bytes) -> list[tuple[str, int, int]]:
     """Confirmed media of ``blob`` as (type, offset, length), outermost only, in order."""
-    view, found, free = memoryview(blob), [], 0
+    view, found, free, seen = memoryview(blob), [], 0, {}
     for end, (kind, back) in automaton().iter(blob.decode("latin-1")):
         at = end - back
         if at < free:
             continue
-        length = VALIDATORS[kind](view[at:])
+        length = SEARCHING[kind](blob, at, seen) if kind in SEARCHING else VALIDATORS[kind](view[at:])
         if length:
             found.append((kind, at, length))
             free = at + length

@@ -233,3 +233,59 @@ def test_media_columns(spark, docs, rows, empty):
     assert media.sniff_media(media.text_to_media(empty)).count() == 0
     with pytest.raises(ValueError):
         media.sniff_media(odd.withColumn("carved", F.lit(1)))
+
+
+def test_repeated_magic_numbers_are_read_once():
+    import io
+    import time
+    import zipfile
+
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as z:
+        z.writestr("a", "b")
+    pdf = b"%PDF-1.4 x startxref 0 %%EOF"
+    blob = b"junk" + made.getvalue() + b" " + pdf + b"\n" + pdf
+    assert [(k, blob[a : a + n]) for k, a, n in media.sniff(blob)] == [("application/zip", made.getvalue()), ("application/pdf", pdf), ("application/pdf", pdf)]
+    began = time.time()
+    for magic in (b"PK\x03\x04", b"%PDF-1.4", b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x04ab"):
+        assert media.sniff(magic * 100_000) == []
+    assert time.time() - began < 20
+
+
+def test_quality_scores_by_hand(spark):
+    """log_ratio, log_weight and gumbel_key from the counts themselves, in plain Python."""
+    good = [(i, f"The fine text number {i} goes on.") for i in range(30)]
+    bad = [(100 + i, "LOUD!! WORDS!! 77") for i in range(12)]
+    rows, labelled = good + bad, {i: 1 for i in range(0, 30, 2)} | {100 + i: 0 for i in range(0, 12, 2)}
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.resample(d, spark.createDataFrame(list(labelled.items()), "doc_id long, quality int")).collect()}
+    grams = {}
+    for i, t in rows:
+        raw = t.encode()
+        grams[i] = quality.ngram_buckets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist()
+    raw_n, target_n = {}, {}
+    for i, gs in grams.items():
+        for x in gs:
+            raw_n[x] = raw_n.get(x, 0) + 1
+            if labelled.get(i) == 1:
+                target_n[x] = target_n.get(x, 0) + 1
+    ratio = lambda x: math.log((target_n.get(x, 0) + 1) / (sum(target_n.values()) + quality.BUCKETS)) - math.log((raw_n[x] + 1) / (sum(raw_n.values()) + quality.BUCKETS))
+    means = {}
+    for i, gs in grams.items():
+        want = sum(ratio(x) for x in gs)
+        assert got[i].n_grams == len(gs) and got[i].log_ratio == pytest.approx(want, abs=1e-3)
+        means[i] = want / len(gs)
+    margins = {(r.log_ratio - r.log_weight) / r.n_grams for r in got.values()}
+    assert max(margins) - min(margins) < 1e-6
+    margin = margins.pop()
+    assert max(means[i] for i, y in labelled.items() if not y) < margin < min(means[i] for i, y in labelled.items() if y)
+    keys = sorted((r.gumbel_key for r in got.values()), reverse=True)
+    k = sum(r.log_weight > 0 for r in got.values())
+    assert all(r.kept == (r.gumbel_key >= keys[k - 1]) for r in got.values())
+
+
+def test_revisits_given_twice(spark):
+    rows = [(1, "http://h/a", 0, "response", 200, "x", None, {"Vary": "a"}, "d"), (2, "http://h/a", 10, "revisit", 304, "x", None, None, None)]
+    df = spark.createDataFrame([*rows, rows[1]], "record_id long, url string, s long, kind string, status int, etag string, last_modified string, headers map<string,string>, digest string").withColumn("ts", F.timestamp_seconds("s")).withColumn("canonical_note", F.lit(1))
+    got = warc.resolve_revisits(df).collect()
+    assert [(r.record_id, r.response_id, r.outcome, r.digest) for r in got] == [(2, 1, "resolved", "d")] * 2
