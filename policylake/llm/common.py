@@ -14,7 +14,19 @@ _written: dict[str, tuple[weakref.ref, str]] = {}
 _own_root: list[str] = []
 
 
+#: Rows of an Arrow batch, at most: the default of 10 000 is tens of megabytes of text, on both sides and for each task.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, if they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

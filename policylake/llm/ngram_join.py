@@ -37,7 +37,7 @@ FILTER_BITS = 1 << 22
 PAIRED = 32
 #: A component with more than one in so many of the rows doesn't go through a shuffle by its number.
 HOT = 2_000
-_BLOCK_BYTES = 1_000_000
+_BLOCK_BYTES = 500_000
 
 
 def required(a: int, b: int, num: int, den: int) -> int:

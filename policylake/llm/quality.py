@@ -30,7 +30,7 @@ BUCKETS = 1 << 16
 LABELLED = 20_000
 #: Weight of a text without any n-gram.
 NO_WEIGHT = -1e9
-_BLOCK = 2_000_000
+_BLOCK = 500_000
 
 _KIND = np.full(256, 4, np.uint8)  # 0 space, 1 lower, 2 upper, 3 digit, 4 mark
 _KIND[_SPACE] = 0
