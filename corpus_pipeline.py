@@ -19,6 +19,7 @@ def _stage(function):
     """Remove what the stage before kept, and remember what this one keeps."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.small_batches(spark)
         common.release(spark, _of_stage & common.scratch_paths())
         _of_stage.clear()
         before = common.scratch_paths()
