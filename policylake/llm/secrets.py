@@ -24,7 +24,9 @@ TREES, DEPTH, SEED = 30, 7, 11
 KEY_WORDS = "token|secret|api_?key|apikey|key|password|passwd|pwd|auth|bearer|credential|private"
 HARMLESS_WORDS = "sha1|sha256|md5|checksum|digest|commit|hash|etag|uuid|guid|version|revision|integrity|image|base64|href|src|id"
 DICTIONARY = "example|sample|test|dummy|changeme|placeholder|your|here|version|release|image|index|article|page|item|user|name|file|data|http|www|com|org|the|and|ing|tion|ment|ent|ver|lich"
-FEATURES = ["length", "transitions", "digits", "capitals", "variety", "hex", "vowels", "covered", "key_before", "harmless_before", "assigned", "quoted", "in_path", "test_path", "dashes"]
+#: Frequent pairs of letters; text made of words has many of them, a key has few.
+PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
+FEATURES = ["length", "transitions", "pairs", "digits", "capitals", "variety", "hex", "vowels", "covered", "key_before", "harmless_before", "assigned", "quoted", "in_path", "test_path", "dashes"]
 
 
 def features(df: DataFrame) -> DataFrame:
@@ -39,7 +41,7 @@ def features(df: DataFrame) -> DataFrame:
     near = F.substring(before, -24, 24)
     return df.withColumns(
         {
-            "length": n, "transitions": (runs - 1) / n, "digits": share("0-9"), "capitals": share("A-Z"),
+            "length": n, "transitions": (runs - 1) / n, "pairs": F.regexp_count(F.lower(c), F.lit(f"(?=(?:{'|'.join(PAIRS)}))")) / n, "digits": share("0-9"), "capitals": share("A-Z"),
             "variety": F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(40.0)),
             "hex": flag(c.rlike("^[0-9a-fA-F]+$")), "vowels": share("aeiouAEIOU"),
             "covered": (n - F.length(F.regexp_replace(F.lower(c), DICTIONARY, ""))) / n,
@@ -51,8 +53,11 @@ def features(df: DataFrame) -> DataFrame:
     )
 
 
-def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """Findings made by rule: before, candidate, after, path, secret. Deterministic; half of them secrets."""
+def labelled_findings(spark: SparkSession, n: int = FINDINGS, first: int = 0) -> DataFrame:
+    """Findings made by rule from numbers ``first`` on: before, candidate, after, path, secret. Deterministic; about half secrets.
+
+    Harmless ones are look-alikes, and also the very keys of the other side: in the paths of tests and guides, and where prose
+    speaks of one without assigning or quoting it."""
     i = F.col("id")
     d = F.sha2(i.cast("string"), 256)
     mixed = F.translate(F.base64(F.unhex(F.sha2(F.concat(F.lit("k"), i.cast("string")), 256))), "=", "")
@@ -60,19 +65,27 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     word = pick("and of the", "reading this, ", "il est la", "der von ", "que los ", "x | y |", by=3)
     key = pick("token", "secret", "api_key", "password", "auth", "access_key", "client_secret", "private key", by=5)
     sep = pick(' = "', ': "', "=", ": ", " = ", "='", by=11)
-    good = F.struct(F.concat(word, F.lit(" "), key, sep).alias("before"), pick(F.substring(d, 1, 40), F.substring(d, 1, 32), F.substring(mixed, 1, 40), F.substring(mixed, 1, 24), F.concat(F.lit("AKIA"), F.upper(F.substring(d, 1, 16))), d, by=1).alias("candidate"), pick('" the', '", ', "\n", " next", by=2).alias("after"))
+    value = pick(F.substring(d, 1, 40), F.substring(d, 1, 32), F.substring(mixed, 1, 40), F.substring(mixed, 1, 24), F.concat(F.lit("AKIA"), F.upper(F.substring(d, 1, 16))), d, by=1)
+    own, tests = pick("src/app", "web", "config/prod", by=13), pick("test/data", "docs/guide", "src/fixtures", by=13)
+    anywhere = pick("src/app", "docs/guide", "test/data", "web", by=13)
+    finding = lambda before, candidate, after, path: F.struct(before.alias("before"), candidate.alias("candidate"), after.alias("after"), path.alias("path"))
+    after = pick('" the', '", ', "\n", " next", by=2)
+    assigned = F.concat(word, F.lit(" "), key, sep)
+    good = finding(assigned, value, F.when(sep.rlike("[\"']$"), F.concat(F.substring(sep, -1, 1), F.lit(" end"))).otherwise(after), own)
     uuid = F.concat_ws("-", F.substring(d, 1, 8), F.substring(d, 9, 4), F.substring(d, 13, 4), F.substring(d, 17, 4), F.substring(d, 21, 12))
     bad = pick(
-        F.struct(F.concat(word, pick(" sha256:", " commit ", " md5 = ", ' integrity="', " etag: ", by=5)).alias("before"), F.substring(d, 1, 40).alias("candidate"), F.lit(" more").alias("after")),
-        F.struct(F.concat(word, pick(" id=", " uuid: ", ' "', " see ", by=5)).alias("before"), uuid.alias("candidate"), F.lit('" and').alias("after")),
-        F.struct(F.concat(word, F.lit(" https://site.example/a/")).alias("before"), F.concat(F.lit("article-about-the-item-"), F.substring(F.conv(F.substring(d, 1, 6), 16, 10), 1, 4)).alias("candidate"), F.lit(".html").alias("after")),
-        F.struct(F.concat(word, F.lit(" "), key, sep).alias("before"), F.concat(pick("your_token_here_", "example-key-sample-", "xxxxxxxxxxxxxxxx", "changeme_changeme_", "test-secret-test-", "placeholder_name_", "dummy-password-", by=1), pick("", "value_", "data-", "item_", by=2), F.substring(F.conv(F.substring(d, 1, 8), 16, 10), 1, 4)).alias("candidate"), F.lit('"').alias("after")),
-        F.struct(F.concat(word, F.lit(" data:image/png;base64,")).alias("before"), F.concat(mixed, mixed, F.lit("A1")).alias("candidate"), F.lit('" alt').alias("after")),
-        F.struct(word.alias("before"), F.concat(pick("thtionndoner", "gebeverlichung", "ciónmenteque", "version_release_"), pick("eranthnd", "keitschen", "mentelle", "index_page_"), F.substring(F.conv(F.substring(d, 1, 8), 16, 10), 1, 5)).alias("candidate"), F.lit(", and").alias("after")),
+        F.struct(F.concat(word, pick(" sha256:", " commit ", " md5 = ", ' integrity="', " etag: ", by=5)).alias("before"), F.substring(d, 1, 40).alias("candidate"), F.lit(" more").alias("after"), anywhere.alias("path")),
+        F.struct(F.concat(word, pick(" id=", " uuid: ", ' "', " see ", by=5)).alias("before"), uuid.alias("candidate"), F.lit('" and').alias("after"), anywhere.alias("path")),
+        F.struct(F.concat(word, F.lit(" https://site.example/a/")).alias("before"), F.concat(F.lit("article-about-the-item-"), F.substring(F.conv(F.substring(d, 1, 6), 16, 10), 1, 4)).alias("candidate"), F.lit(".html").alias("after"), anywhere.alias("path")),
+        F.struct(F.concat(word, F.lit(" "), key, sep).alias("before"), F.concat(pick("your_token_here_", "example-key-sample-", "xxxxxxxxxxxxxxxx", "changeme_changeme_", "test-secret-test-", "placeholder_name_", "dummy-password-", by=1), pick("", "value_", "data-", "item_", by=2), F.substring(F.conv(F.substring(d, 1, 8), 16, 10), 1, 4)).alias("candidate"), F.lit('"').alias("after"), anywhere.alias("path")),
+        F.struct(F.concat(word, F.lit(" data:image/png;base64,")).alias("before"), F.concat(mixed, mixed, F.lit("A1")).alias("candidate"), F.lit('" alt').alias("after"), anywhere.alias("path")),
+        F.struct(word.alias("before"), F.concat(pick("thtionndoner", "gebeverlichung", "ciónmenteque", "version_release_"), pick("eranthnd", "keitschen", "mentelle", "index_page_"), F.substring(F.conv(F.substring(d, 1, 8), 16, 10), 1, 5)).alias("candidate"), F.lit(", and").alias("after"), anywhere.alias("path")),
+        finding(assigned, value, after, tests),
+        finding(F.concat(word, F.lit(" the "), key, F.lit(" ")), value, F.lit(" was rotated"), anywhere),
         by=1,
     )
     secret = F.pmod(F.xxhash64(i), F.lit(2)) == 0
-    return spark.range(n).select(F.when(secret, good).otherwise(bad).alias("f"), pick("src/app", "docs/guide", "test/data", "web", by=13).alias("path"), secret.cast("int").alias("secret")).select("f.*", "path", "secret")
+    return spark.range(first, first + n).select(F.when(secret, good).otherwise(bad).alias("f"), secret.cast("int").alias("secret")).select("f.*", "secret")
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> RandomForestClassificationModel:

@@ -289,3 +289,19 @@ def test_revisits_given_twice(spark):
     df = spark.createDataFrame([*rows, rows[1]], "record_id long, url string, s long, kind string, status int, etag string, last_modified string, headers map<string,string>, digest string").withColumn("ts", F.timestamp_seconds("s")).withColumn("canonical_note", F.lit(1))
     got = warc.resolve_revisits(df).collect()
     assert [(r.record_id, r.response_id, r.outcome, r.digest) for r in got] == [(2, 1, "resolved", "d")] * 2
+
+
+def test_forest_uses_what_the_method_names(spark):
+    """Path, quotes, transitions and letter pairs matter; findings the forest hasn't seen, and look-alikes in documents."""
+    from pyspark.ml.feature import VectorAssembler
+
+    model = secrets.train(secrets.labelled_findings(spark))
+    weight = dict(zip(secrets.FEATURES, model.featureImportances.toArray()))
+    assert all(weight[f] > 0 for f in ("length", "transitions", "pairs", "covered", "test_path", "quoted", "key_before"))
+    unseen = secrets.features(secrets.labelled_findings(spark, 2000, first=50_000))
+    r = model.transform(VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(unseen)).selectExpr("avg(double(prediction = secret))").first()[0]
+    assert r > 0.97
+    key = "cb1a9fee807a05366fcb8b6c95c7c565ede51a72"
+    texts = [("src/app", f'token = "{key}" and'), ("test/data", f'token = "{key}" and'), ("src/app", f"sha256:{key} more"), ("src/app", 'token = "your_token_here_value_1234"'), ("src/app", "long. " * 50_000 + f'api_key = "{key}"')]
+    d = spark.createDataFrame([(i, t, p, 0) for i, (p, t) in enumerate(texts)], "doc_id long, text string, path string, start int")
+    assert {r.doc_id: r.secret for r in secrets.scan(d, model, path_col="path").collect()} == {0: True, 1: False, 2: False, 3: False, 4: True}
