@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, media, ngram_join, packing, quality, secrets, token_output, toxicity, warc
+from . import backoff, conversations, crc_resampling, decontamination, line_dedup, media, ngram_join, packing, quality, secrets, token_output, toxicity, warc
 from .common import materialize, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -122,9 +122,68 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(docs).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations rebuilt from their hundreds' first ones, as a trie. Rows without conv_id are left out, null roles and texts
+    are empty, repeated rows are turns of their own, an empty table has no node; other columns aren't read."""
+    turns, ids = conversations.rebuilt(conversations.numbered_turns(table(spark, sf_dir, "conversations")))
+    return conversations.prefix_trie(turns, ids).drop("preorder", "end")
+
+
+#: CRC-32 of a list of bytes ``b`` with the byte table ``tab``, bit by bit, as DuckDB has none.
+_CRC_TABLE = "SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i))"
+_CRC = "xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295)"
+OP11_SQL = f"""
+WITH crc AS ({_CRC_TABLE}),
+turns AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, {_CRC} % 6 AS h FROM (SELECT DISTINCT c, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS b FROM turns), crc),
+parts AS (SELECT ids.c, 0 AS own, t.p, t.role, t.text FROM ids JOIN turns t ON t.c = ids.c - ids.c % 100 AND t.p <= ids.h UNION ALL SELECT ids.c, 1, t.p, t.role, t.text FROM ids JOIN turns t ON t.c = ids.c AND t.p > ids.h),
+paths AS (SELECT ids.c, coalesce(list(md5(md5(role) || md5(text)) ORDER BY own, p) FILTER (WHERE p IS NOT NULL), []) AS path, list(length(text) ORDER BY own, p) AS lens FROM ids LEFT JOIN parts ON parts.c = ids.c GROUP BY ids.c),
+each AS (SELECT c, path, lens, unnest(range(0, len(path) + 1)) AS d FROM paths),
+nodes AS (SELECT path[1:d] AS node, d, min(c) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN d > 0 THEN lens[d] ELSE 0 END) AS pts, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE len(path) = d), '')) AS ends FROM each GROUP BY path[1:d], d),
+kids AS (SELECT node[1:d - 1] AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY node[1:d - 1]),
+own AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids ON kids.node = nodes.node),
+up AS (SELECT node[1:e] AS top, n_children, n_convs, pts FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM own)),
+sums AS (SELECT top, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * pts) AS saved FROM up GROUP BY top),
+tree AS (SELECT own.*, sums.n_leaves, sums.saved, p.conv_id AS parent FROM own JOIN sums ON sums.top = own.node LEFT JOIN own p ON p.d = own.d - 1 AND p.node = own.node[1:own.d - 1])
+SELECT conv_id, CAST(d AS BIGINT) AS depth, parent AS parent_conv_id, n_convs, CAST(n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends AS ends_sha256 FROM tree
+"""
+
+
+def op12_backoff_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of all texts under the n-grams of those of which crc32(doc_id) % 7 isn't 2. A null id counts as an empty
+    one and trains, a null text is empty, repeated rows count and score each; an empty table gives no row; other columns aren't
+    read."""
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    scored = backoff.score_texts(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the benchmark's distribution of words. Null and empty texts have no features, a null id has the
+    noise of an empty one and comes last among ties, repeated rows are ranked each; an empty benchmark leaves its smoothing."""
+    return crc_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = rf"""
+WITH crc AS ({_CRC_TABLE}),
+d AS (SELECT doc_id, {_OP7_WORDS} AS w FROM documents),
+b AS (SELECT {_OP7_WORDS} AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS w FROM d),
+bw AS (SELECT unnest(w) AS w FROM b),
+words AS (SELECT w, {_CRC} % 10000 AS k FROM (SELECT w, list_transform(range(1, octet_length(encode(w)) + 1), lambda i: CAST('0x' || substr(hex(encode(w)), 2 * i - 1, 2) AS BIGINT)) AS b FROM (SELECT w FROM dw UNION SELECT w FROM bw)), crc),
+s AS (SELECT k, count(*) AS n FROM dw JOIN words USING (w) GROUP BY k),
+t AS (SELECT k, count(*) AS n FROM bw JOIN words USING (w) GROUP BY k),
+g AS (SELECT k, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000) / ((s.n + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (k)),
+x AS (SELECT doc_id, sum(gain) AS weight FROM dw JOIN words USING (w) JOIN g USING (k) GROUP BY doc_id),
+r AS (SELECT doc_id, len(w) AS n, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS score FROM d LEFT JOIN x USING (doc_id)),
+o AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM r WHERE n >= 20)
+SELECT r.doc_id, CAST(r.n AS BIGINT) AS n_features, CAST(r.weight AS BIGINT) AS weight, CAST(r.score AS BIGINT) AS score, CASE WHEN place <= (SELECT count(*) FROM o) * 10 // 100 THEN place END AS rank FROM r LEFT JOIN o ON o.doc_id = r.doc_id
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_revisit_resolution, op3_ngram_jaccard, op4_signature_sniffing, op5_secret_scan, op6_packing, op7_decontamination, op8_quality, op9_line_dedup, op10_token_output)}
+    return {f.__name__: f for f in (op1_toxicity, op2_revisit_resolution, op3_ngram_jaccard, op4_signature_sniffing, op5_secret_scan, op6_packing, op7_decontamination, op8_quality, op9_line_dedup, op10_token_output, op11_prefix_trie, op12_backoff_score, op13_target_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_revisit_resolution": OP2_SQL, "op7_decontamination": OP7_SQL}
+    return {"op2_revisit_resolution": OP2_SQL, "op7_decontamination": OP7_SQL, "op11_prefix_trie": OP11_SQL, "op13_target_resampling": OP13_SQL}
