@@ -285,14 +285,16 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of a shorter text as one. Sets link when their Jaccard similarity is num/den or more. Null and empty texts, and those
     of white space alone, have empty sets, link with nothing and are their own component. A null id stays null; a
     component all of whose ids are null has a null component_id. Rows given again are in one component. Very long texts
-    are taken whole. An empty table gives an empty table. Other columns stay; n_shingles and component_id may not be
-    among them. ``node_col`` names a column to add: a number for each component, also where it has no id; null for empty sets.
+    are taken whole. An empty table gives an empty table. Other columns stay, whatever their names: only n_shingles,
+    component_id and ``node_col`` may not be among them. ``node_col`` names a column to add: a number for each component, also
+    where it has no id; null for empty sets.
     """
-    if clash := {"n_shingles", "component_id", "k1", "k2", node_col} & set(docs.columns):
+    if clash := {"n_shingles", "component_id", node_col} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are there already")
     spark = docs.sparkSession
     parts = [F.col(id_col).cast("string"), F.lit("|"), F.col(text_col)]
-    keyed = docs.withColumns({"k1": F.xxhash64(*parts), "k2": F.xxhash64(F.lit("second"), *parts)})
+    # The row travels as one column, so that no name of its columns meets a name used here.
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit("second"), *parts).alias("k2"))
     classes = _sketch(docs, text_col, size)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,8 +309,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), part.column("id"), pa.array(n.astype(np.int64)), pa.array(_signatures(hashes, edges)), prefix, pa.array(_bitmaps(hashes, edges), pa.binary())], names=kinds.names)
 
-    kinds = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("n long, s long, prefix array<long>, bits binary")])
-    described = materialize(keyed.select("k1", "k2", F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(describe, kinds), "jaccard-sets")
+    kinds = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("id", keyed.schema["id"].dataType), *T.StructType.fromDDL("n long, s long, prefix array<long>, bits binary")])
+    described = materialize(keyed.select("k1", "k2", "id", "text").mapInArrow(describe, kinds), "jaccard-sets")
     # One row per distinct set; equal sets are one node.
     nodes = described.where("n > 0").groupBy("s").agg(F.min("n").alias("n"), F.min(F.struct("k1", "k2")).alias("key"), F.first("prefix").alias("prefix"))
     tokens = nodes.select("s", "n", F.explode_outer("prefix").alias("token")).select("token", "n", "s")
@@ -359,7 +361,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             yield batch.filter(pa.array(bits[batch.column("k1").to_numpy() % FILTER_BITS]))
 
-    kept = keyed.select("k1", "k2", F.col(text_col).alias("text")).mapInArrow(maybe_wanted, "k1 long, k2 long, text string")
+    kept = keyed.select("k1", "k2", "text").mapInArrow(maybe_wanted, "k1 long, k2 long, text string")
     texts = kept.join(wanted, ["k1", "k2"]).select("node", "root", "block", "tasks", "text")
     ranked = texts.mapInArrow(rank_rows, "node long, root long, block int, tasks array<struct<i:int,j:int>>, ranks binary")
     ranked = ranked.select("node", "root", "block", "ranks", F.explode_outer("tasks").alias("t")).select("root", "t.i", "t.j", "node", "block", "ranks")
@@ -414,5 +416,5 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = named.join(hot, F.col("c") == F.col("hot_c"), "left").withColumn("by", spread).join(cold, F.col("by") == F.col("cold_c"), "left")
     own = F.when(F.col("hot_c").isNotNull(), F.col("hot_id")).when(F.col("c").isNotNull(), F.col("cold_id")).otherwise(F.col("id"))
     found = found.select("k1", "k2", "n", "c", own.alias("component_id"))
-    rows = keyed.join(found, ["k1", "k2"])
-    return rows.select(*docs.columns, F.col("n").alias("n_shingles"), "component_id", *([F.col("c").alias(node_col)] if node_col else []))
+    rows = keyed.select("row", "k1", "k2").join(found, ["k1", "k2"])
+    return rows.select("row.*", F.col("n").alias("n_shingles"), "component_id", *([F.col("c").alias(node_col)] if node_col else []))

@@ -54,7 +54,7 @@ def test_run(spark, folder):
 
 def test_registered():
     names = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(names)
 
 
@@ -64,3 +64,23 @@ def test_pipeline_of_nothing(spark, docs, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{root}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
     assert corpus_pipeline.run(spark, root).count() == 0
+
+
+def test_stages_with_clashing_columns(spark, folder, tmp_path):
+    """Extra columns that have the names of inner ones stay as they are, and labels may name an id again."""
+    names = ["n", "c", "k1", "k2", "s", "node", "row", "place", "component_id", "n_shingles", "id", "block", "bits", "hot_c", "cold_c", "by", "kept", "removed", "contaminated", "items", "lines", "hash", "_label", "bucket"]
+    root = str(tmp_path / "sf")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = docs.select("*", *[F.concat_ws("|", F.lit(c), "doc_id").alias(c) for c in names])
+    docs.write.parquet(f"{root}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    labels.unionAll(labels.limit(5)).write.parquet(f"{root}/labels.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{root}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, root).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns[5:] == names
+        for r in docs.collect():
+            assert all(r[c] == c + ("" if r.doc_id is None else f"|{r.doc_id}") for c in names)
+    assert docs.count() > 20
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, root).count() > 0
