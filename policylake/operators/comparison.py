@@ -1,72 +1,44 @@
-"""Document comparison: pages and metadata by full joins, similarity by the standard library's matcher."""
+"""Document comparison: pages and metadata by full joins, similarity by matching blocks."""
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import lex
 from ..functions.rules import names_attribute
 from ..functions.text import WIDE_SPACE, col, has_any, word_jaccard
+from . import matching
 
 NOISE_RATIO = 0.85
+#: Documents with different titles and a similarity below this are different documents.
+DIFFERENT_RATIO = 0.25
 
 
 def bare(text: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(col(text), F.lit("")), WIDE_SPACE + "+", " "))
 
 
-@F.pandas_udf(T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("changed", T.ArrayType(T.StringType()))]))
-def _differences(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-    """Similarity of two texts, and the words that differ, a string for each place."""
-    ratios, changes = [], []
-    for a, b in zip(old, new):
-        ratios.append(difflib.SequenceMatcher(None, a, b).ratio())
-        x, y = a.split(), b.split()
-        changes.append([" ".join(x[i:j] + y[k:m]) for tag, i, j, k, m in difflib.SequenceMatcher(None, x, y).get_opcodes() if tag != "equal"] if ratios[-1] >= NOISE_RATIO else [])
-    return pd.DataFrame({"ratio": ratios, "changed": changes})
-
-
-@F.pandas_udf(T.StructType([T.StructField("old", T.StringType()), T.StructField("new", T.StringType())]))
-def diff_snippets(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-    """Lines that only one text has, up to 1200 characters; the whole text where no line differs."""
-    out = []
-    for a, b in zip(old.fillna(""), new.fillna("")):
-        lines = list(difflib.ndiff(a.strip().splitlines(), b.strip().splitlines()))
-        pair = []
-        for sign, whole in (("- ", a), ("+ ", b)):
-            part = "\n".join(x[2:] for x in lines if x.startswith(sign)) or whole.strip()
-            pair.append(part[:1200] + "... [truncated]" if len(part) > 1200 else part)
-        out.append(pair)
-    return pd.DataFrame(out, columns=["old", "new"])
-
-
-def similarity(old: str | Column, new: str | Column) -> Column:
-    """A struct of ratio (0 to 1) and the differing words. Costs the product of the lengths: equal texts should not get here."""
-    return _differences(bare(old), bare(new))
-
-
-def is_ocr_noise(diff: Column) -> Column:
+def is_ocr_noise(ratio: str | Column, changed: str | Column) -> Column:
     """Very similar texts whose differing words have no digit and name no attribute."""
-    return (diff["ratio"] >= NOISE_RATIO) & ~F.exists(diff["changed"], lambda d: d.rlike("\\d") | names_attribute(d))
+    return F.coalesce(col(ratio) >= NOISE_RATIO, F.lit(False)) & ~F.exists(col(changed), lambda d: d.rlike("\\d") | names_attribute(d))
 
 
 def compare_pages(old: DataFrame, new: DataFrame, pair: str = "pair") -> DataFrame:
     """Pages (pair, page_number, text) of two versions: status (added, removed, unchanged, modified), ocr_noise and ratio.
 
-    All page numbers of either side count. Only pairs of pages that differ meet the costly matcher: they are split off first."""
+    All page numbers of either side count. Only pairs of pages that differ meet the costly matcher: others go there without text."""
     j = old.select(pair, "page_number", F.col("text").alias("old")).join(new.select(pair, "page_number", F.col("text").alias("new"), F.lit(True).alias("here")), [pair, "page_number"], "full")
     gone, come = F.col("here").isNull(), F.col("old").isNull()
     j = j.withColumn("quick", F.when(gone, "removed").when(come, "added").when(bare("old") == bare("new"), "unchanged"))
-    easy = j.where("quick IS NOT NULL").select(pair, "page_number", F.col("quick").alias("status"), F.lit(False).alias("ocr_noise"), F.when(F.col("quick") == "unchanged", 1.0).otherwise(0.0).alias("ratio"))
-    hard = j.where("quick IS NULL").withColumn("d", similarity("old", "new")).withColumn("noise", is_ocr_noise(F.col("d")))
-    hard = hard.select(pair, "page_number", F.when(F.col("noise"), "unchanged").otherwise("modified").alias("status"), F.col("noise").alias("ocr_noise"), F.col("d.ratio").alias("ratio"))
-    return easy.unionByName(hard)
+    text = lambda c: F.when(F.col("quick").isNull(), bare(c)).alias(c)
+    found = matching.similarity(j.select(F.struct(pair, "page_number", "quick").alias("at"), text("old"), text("new")), "at", "old", "new", words_from=NOISE_RATIO).select("at.*", "ratio", "changed")
+    hard = F.col("quick").isNull()
+    noise = hard & is_ocr_noise("ratio", "changed")
+    status = F.when(noise, "unchanged").when(hard, "modified").otherwise(F.col("quick"))
+    return found.select(pair, "page_number", status.alias("status"), noise.alias("ocr_noise"), F.when(hard, F.col("ratio")).when(F.col("quick") == "unchanged", 1.0).otherwise(0.0).alias("ratio"))
 
 
 def page_counts(pages: DataFrame, pair: str = "pair") -> DataFrame:
@@ -83,7 +55,7 @@ def metadata_changes(old: DataFrame, new: DataFrame, pair: str = "pair", meta: s
 
 def document_verdict(hash_equal: Column, jaccard: Column, ratio: Column, titles_differ: Column, changed: Column, noise_only: Column) -> Column:
     """identical, unchanged, different_document or possible_change, as the first that holds."""
-    different = (titles_differ & (jaccard < 0.35)) | (jaccard < 0.15) | (titles_differ & (ratio < 0.25))
+    different = (titles_differ & (jaccard < 0.35)) | (jaccard < 0.15) | (titles_differ & (ratio < DIFFERENT_RATIO))
     return F.when(F.coalesce(hash_equal, F.lit(False)), "identical").when(~changed, "unchanged").when(different, "different_document").when(noise_only, "unchanged").otherwise("possible_change")
 
 
@@ -139,14 +111,19 @@ def compare_documents(old: DataFrame, new: DataFrame, old_pages: DataFrame, new_
     differ = both.where(~F.coalesce(F.col("_h0") == F.col("_h1"), F.lit(False))).select(pair, (~F.col("_t0").eqNullSafe(F.col("_t1"))).alias("titles_differ"))
     counts = page_counts(compare_pages(old_pages.join(differ.select(pair), pair, "left_semi"), new_pages.join(differ.select(pair), pair, "left_semi"), pair), pair)
     changes = metadata_changes(old, new, pair).groupBy(pair).agg(F.count("*").alias("metadata_changes"))
-    whole = lambda pages, name: pages.groupBy(pair).agg(F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_number", F.coalesce("text", F.lit("")).alias("t")))), lambda p: p["t"]), " ")).alias(name))
-    asked = differ.join(counts.where("pages_added + pages_removed + pages_modified + pages_noise > 0"), pair)
-    texts = asked.join(whole(old_pages, "_old"), pair).join(whole(new_pages, "_new"), pair).withColumn("jaccard", word_jaccard("_old", "_new"))
+    joined = lambda p: F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_number", F.coalesce("text", F.lit("")).alias("t")))), lambda p: p["t"]), " "))
+    whole = lambda pages, name: pages.join(differ.select(pair), pair, "left_semi").groupBy(pair).agg(joined(pages).alias(name))
+    out = both.select(pair, F.coalesce(F.col("_h0") == F.col("_h1"), F.lit(False)).alias("equal")).join(differ, pair, "left").join(counts, pair, "left").join(changes, pair, "left")
+    out = out.join(whole(old_pages, "_old"), pair, "left").join(whole(new_pages, "_new"), pair, "left")
+    numbers = ["pages_added", "pages_removed", "pages_modified", "pages_unchanged", "pages_noise", "metadata_changes"]
+    out = out.na.fill(0, numbers)
+    asked = (F.col("pages_added") + F.col("pages_removed") + F.col("pages_modified") + F.col("pages_noise") > 0) & F.col("_old").isNotNull() & F.col("_new").isNotNull()
+    out = out.withColumn("jaccard", F.when(asked, word_jaccard("_old", "_new")))
     costly = F.col("titles_differ") & (F.col("jaccard") >= 0.35) & (F.col("_old") != "") & (F.col("_new") != "")
-    some = texts.where(costly).select(pair, "jaccard", similarity("_old", "_new")["ratio"].alias("ratio"))
-    measured = some.unionByName(texts.where(~costly).select(pair, "jaccard", F.lit(None).cast("double").alias("ratio")))
-    out = both.select(pair, F.coalesce(F.col("_h0") == F.col("_h1"), F.lit(False)).alias("equal")).join(differ, pair, "left").join(counts, pair, "left").join(changes, pair, "left").join(measured, pair, "left")
-    out = out.na.fill(0, ["pages_added", "pages_removed", "pages_modified", "pages_unchanged", "pages_noise", "metadata_changes"])
+    text = lambda c: F.when(costly, F.col(c)).alias(c)
+    measured = matching.similarity(out.select(F.struct(pair, "equal", "titles_differ", *numbers, "jaccard", F.coalesce(costly, F.lit(False)).alias("costly")).alias("at"), text("_old"), text("_new")), "at", "_old", "_new", at_least=DIFFERENT_RATIO, words_from=2.0)
+    # A bound below all limits decides as the ratio would.
+    out = measured.select("at.*", F.when(F.col("at.costly"), F.coalesce("ratio", "bound")).alias("ratio"))
     substantive = F.col("pages_added") + F.col("pages_removed") + F.col("pages_modified") > 0
     changed, noise_only = substantive | (F.col("pages_noise") > 0), ~substantive & (F.col("pages_noise") > 0)
     status = document_verdict(F.col("equal"), F.coalesce("jaccard", F.lit(1.0)), F.coalesce("ratio", F.lit(1.0)), F.coalesce("titles_differ", F.lit(False)), changed, noise_only)
