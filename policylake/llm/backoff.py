@@ -10,7 +10,8 @@ The n-grams of a corpus fit no task. Texts are cut into blocks of about BLOCK_TO
 sorted, to ranges of their hashes; a range sums up the training counts and answers each block in the order that it asked; a block
 with its answers is the part of the automaton that its texts can reach, and walks them. All n-grams are counted, none is pruned.
 
-N-grams are known by 64-bit hashes. Among 10**10 distinct ones about three pairs are expected to share a hash.
+Words are known by 64-bit hashes, longer n-grams by 56 bits, which are what moves: among 10**10 distinct n-grams about 700 pairs
+are expected to share theirs and so their counts, among 10**9 distinct words none.
 """
 
 from __future__ import annotations
@@ -35,6 +36,9 @@ RANGE_TOKENS = 2_000_000
 #: Strengths of the orders 2, 3, ...
 STRENGTHS = (4000.0, 8.0)
 
+#: Bits of the hashes of single words, and of longer n-grams.
+WORD_BITS, GRAM_BITS = 64, 56
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _M = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -100,7 +104,7 @@ class Grams:
                 with np.errstate(over="ignore"):
                     gram = np.concatenate([gram[:1], mix64(gram[:-1] * _M + symbol[1:])])
             valid = self.place >= max(1, k - 1)
-            u, inverse = np.unique(gram[valid], return_inverse=True)
+            u, inverse = np.unique(gram[valid] if k == 1 else gram[valid] >> np.uint64(64 - GRAM_BITS), return_inverse=True)
             which = np.full(n, -1, np.int32)
             which[valid] = inverse
             self.distinct.append(u)
@@ -216,7 +220,7 @@ def answers(blocks: DataFrame, order: int, ranges: int) -> DataFrame:
     asked = "order int, range int, block long, hashes binary, counts binary"
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = (np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(np.uint64)
+        edges = {bits: (np.arange(1, ranges, dtype=object) * (1 << bits) // ranges).astype(np.uint64) for bits in (WORD_BITS, GRAM_BITS)}
         for batch in batches:
             for row in range(batch.num_rows):
                 block, train, n_words, vocabulary, words = (batch.column(k)[row] for k in range(5))
@@ -224,7 +228,7 @@ def answers(blocks: DataFrame, order: int, ranges: int) -> DataFrame:
                 marks = train.values.to_numpy(zero_copy_only=False)
                 for k in range(1, order + 1):
                     u, c = grams.distinct[k - 1], grams.counts(k, marks).astype(np.uint32)
-                    cuts = np.concatenate([[0], np.searchsorted(u, edges), [len(u)]])
+                    cuts = np.concatenate([[0], np.searchsorted(u, edges[WORD_BITS if k == 1 else GRAM_BITS]), [len(u)]])
                     some = np.flatnonzero(np.diff(cuts))
                     parts = [slice(cuts[r], cuts[r + 1]) for r in some]
                     columns = [pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32)), pa.array([block.as_py()] * len(some), pa.int64()), pa.array([_steps(u[p]) for p in parts], _PLANES), pa.array([packed(c[p]) for p in parts], _PLANES)]
