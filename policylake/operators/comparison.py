@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lex
@@ -73,31 +71,44 @@ def strongest(values: str | Column, order: list[str]) -> Column:
 def rows_of_table(cells: DataFrame, table: str, limit: float = 15.0) -> DataFrame:
     """Cells (table, x, y, …) into rows: in order of y, a row ends where y is more than ``limit`` from the row's first cell.
 
-    The break depends on the row's start, not on the cell before: a fold over the table's cells."""
-    rest = [c for c in cells.columns if c != table]
-    grouped = cells.groupBy(table).agg(F.array_sort(F.collect_list(F.struct("y", "x", *[c for c in rest if c not in ("x", "y")]))).alias("cells"))
-    start = F.struct(F.lit(-1).alias("row"), F.lit(None).cast("double").alias("y"), F.array().cast("array<int>").alias("rows"))
-
-    def step(a: Column, c: Column) -> Column:
-        new = a["y"].isNull() | (F.abs(c["y"] - a["y"]) > limit)
-        row = F.when(new, a["row"] + 1).otherwise(a["row"])
-        return F.struct(row.alias("row"), F.when(new, c["y"].cast("double")).otherwise(a["y"]).alias("y"), F.concat(a["rows"], F.array(row)).alias("rows"))
-
-    numbered = grouped.withColumn("rows", F.aggregate("cells", start, step)["rows"])
-    each = numbered.select(table, F.explode_outer(F.arrays_zip("cells", "rows")).alias("z"))
-    return each.select(table, F.col("z.rows").alias("row_index"), "z.cells.*")
-
-
-def render_context(doc: Iterator[dict], most: int = 12_000) -> str:
-    """Pages of a structured document as text for a reader, cut at ``most`` characters."""
-    parts = []
-    for page in doc:
-        parts.append(f"--- Page {page.get('page_number', 1)} ({page.get('page_type', 'TEXT')}) ---")
-        parts.append("\n".join(b.get("text", "") for b in page.get("blocks") or []) or page.get("full_text", ""))
-        for t in page.get("tables") or []:
-            parts += [" | ".join(c.get("text", "") for c in r.get("cells", [])) for r in t.get("rows", [])]
-    text = "\n".join(p for p in parts if p)
-    return text[:most] + "\n... [truncated]" if len(text) > most else text
+    The break depends on the row's start, not on the cell before. A fold over a page's table finds the starts alone, one number
+    a row; cells find their row by counting the starts up to them. Cells without y come first and are in row 0."""
+    heights = cells.groupBy(table).agg(F.array_sort(F.collect_set(F.col("y").cast("double"))).alias("heights"))
+    starts = F.aggregate("heights", F.array().cast("array<double>"), lambda s, y: F.when((F.size(s) == 0) | (y - F.element_at(s, -1) > limit), F.concat(s, F.array(y))).otherwise(s))
+    rows = heights.select(F.col(table).alias("_table"), F.posexplode_outer(starts).alias("_row", "_start"))
+    # Starts lie more than ``limit`` apart, so that a cell's is in its slice of that height or in the one before.
+    slice_of = lambda c: F.floor(F.col(c) / F.lit(limit))
+    near = rows.select("_table", "_row", "_start", F.explode(F.array(slice_of("_start"), slice_of("_start") + 1)).alias("_slice"))
+    found = near.groupBy("_table", "_slice").agg(F.collect_list(F.struct("_start", "_row")).alias("_starts"))  # at most three
+    out = cells.join(found, cells[table].eqNullSafe(F.col("_table")) & (slice_of("y") == F.col("_slice")), "left")
+    row = F.array_max(F.filter("_starts", lambda s: s["_start"] <= F.col("y").cast("double")))["_row"]
+    return out.select(table, F.coalesce(row, F.lit(0)).alias("row_index"), *[c for c in cells.columns if c != table])
+
+
+def document_context(blocks: DataFrame, doc: str, page: str, place: str, text: str, most: int = 12_000, cut: str = "\n... [truncated]") -> DataFrame:
+    """(doc, context): the texts of a document's blocks in order of page and place, a line each, a heading before each page, up to
+    ``most`` characters, the block that crosses the limit cut there and marked.
+
+    Lengths are added up by page first; blocks of pages that begin beyond the limit are never put in order, and no more text
+    than the limit is gathered for a document. Null texts are empty; a document without a block has no row."""
+    rows = blocks.select(F.col(doc).alias("doc"), F.col(page).alias("page"), F.col(place).alias("place"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    heading = F.concat(F.lit("--- Page "), F.coalesce(F.col("page").cast("string"), F.lit("?")), F.lit(" ---\n"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    pages = rows.groupBy("doc", "page").agg(F.sum(F.length("text") + 1).alias("n"))
+    begin = F.coalesce(F.sum(F.col("n") + F.length(heading)).over(before(Window.partitionBy("doc").orderBy("page"))), F.lit(0))
+    total = F.sum(F.col("n") + F.length(heading)).over(Window.partitionBy("doc"))
+    kept = pages.select(F.col("doc").alias("_doc"), F.col("page").alias("_page"), begin.alias("begin"), total.alias("total")).where(F.col("begin") < most + 1)
+    some = rows.join(kept, F.col("doc").eqNullSafe(F.col("_doc")) & F.col("page").eqNullSafe(F.col("_page"))).drop("_doc", "_page")
+    in_page = Window.partitionBy("doc", "page").orderBy("place", "text")
+    some = some.withColumns({"first": F.row_number().over(in_page) == 1, "at": F.col("begin") + F.coalesce(F.sum(F.length("text") + 1).over(before(in_page)), F.lit(0))})
+    some = some.withColumn("at", F.when(F.col("first"), F.col("at")).otherwise(F.col("at") + F.length(heading)))
+    piece = F.concat(F.when(F.col("first"), heading).otherwise(""), F.col("text"), F.lit("\n"))
+    pieces = some.where(F.col("at") < most).withColumn("piece", F.substring(piece, F.lit(1), (most - F.col("at")).cast("int")))
+    order = F.array_sort(F.collect_list(F.struct("at", "piece")))
+    joined = pieces.groupBy("doc").agg(F.array_join(F.transform(order, lambda p: p["piece"]), "").alias("joined"), F.max("total").alias("total"))
+    # The line break after the last block isn't part of the text.
+    whole = F.when(F.col("total") - 1 > most, F.concat("joined", F.lit(cut))).otherwise(F.regexp_replace("joined", "\n\\z", ""))
+    return joined.select(F.col("doc").alias(doc), whole.alias("context"))
 
 
 def compare_documents(old: DataFrame, new: DataFrame, old_pages: DataFrame, new_pages: DataFrame, pair: str = "pair") -> DataFrame:

@@ -7,14 +7,14 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import lex
 from ..functions.text import clean_title, col, find_date
 
 DOCUMENT = "(?i)^[^?#]*\\.(pdf|doc|docx)([?#].*)?$"
-ANCHOR = "(?is)<a\\s[^>]*?href\\s*=\\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
 
 
 def is_document_url(url: str | Column) -> Column:
@@ -50,42 +50,32 @@ def is_scheme_document(title: str | Column, url: str | Column, patterns: list[st
     return ~matches(joined, patterns or lex.EXCLUDED)
 
 
-def without_dots(url: Column) -> Column:
-    """A URL whose path has no folders named . or ..; those at its end leave a slash."""
-    parts = F.regexp_extract(url, "^([^:/?#]+:)?(//[^/?#]*)?([^?#]*)(.*)$", 3)
-    head, tail = F.concat(F.regexp_extract(url, "^([^:/?#]+:)?(//[^/?#]*)?([^?#]*)(.*)$", 1), F.regexp_extract(url, "^([^:/?#]+:)?(//[^/?#]*)?([^?#]*)(.*)$", 2)), F.regexp_extract(url, "^([^:/?#]+:)?(//[^/?#]*)?([^?#]*)(.*)$", 4)
-    names = F.split(F.substring(parts, 2, 1 << 20), "/", -1)
-    folded = F.aggregate(names, F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))))
-    path = F.concat(F.lit("/"), F.array_join(folded, "/"), F.when(parts.rlike("/\\.\\.?$") & (F.size(folded) > 0), "/").otherwise(""))
-    return F.when(parts.rlike("/\\.\\.?(/|$)"), F.concat(head, path, tail)).otherwise(url)
-
-
-def page_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Links of pages with columns alone: key, url (absolute), text. Fragments and scripts are passed over; the first of a
-    page's links to one URL stays. Folders named . and .. are resolved."""
-    base = F.regexp_extract(col(url), "^([a-zA-Z]+://[^/?#]+)", 1)
-    scheme, folder = F.regexp_extract(col(url), "^([a-zA-Z]+):", 1), F.regexp_extract(F.regexp_replace(col(url), "[?#].*$", ""), "^([a-zA-Z]+://[^/]+.*/)", 1)
-    found = F.arrays_zip(F.regexp_extract_all(col(html), F.lit(ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all(col(html), F.lit(ANCHOR), F.lit(2)).alias("inner"))
-    each = pages.select(col(key).alias(key), base.alias("base"), scheme.alias("scheme"), folder.alias("folder"), F.posexplode_outer(found).alias("pos", "l")).where("l IS NOT NULL")
-    href = F.trim(F.col("l.href"))
-    absolute = F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.col("scheme"), F.lit(":"), href)).when(href.startswith("/"), F.concat(F.col("base"), href)).otherwise(F.concat(F.col("folder"), href))
-    each = each.where((href != "") & ~href.startswith("#") & ~F.lower(href).startswith("javascript:"))
-    text = clean_title(F.regexp_replace("l.inner", "<[^>]*>", " "))
-    links = each.select(key, "pos", without_dots(absolute).alias("url"), text.alias("text")).where(F.col("url").rlike("(?i)^https?://"))
-    first = Window.partitionBy(key, "url").orderBy("pos")
-    return links.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
-
-
 class _Page(HTMLParser):
-    """Anchors with text and title, the cells of their table row, and the text of the nearest list item or paragraph."""
+    """Anchors with text and title, the cells of their table row, and the text of the nearest list item or paragraph; and the
+    page's base. Comments, scripts and styles say nothing; entities are resolved."""
 
-    def __init__(self):
+    def __init__(self, html: str | None, url: str | None):
         super().__init__(convert_charrefs=True)
         self.anchors, self.row, self.cell, self.block, self.open = [], None, None, None, None
+        self.base, self.based, self.quiet = url or "", False, 0
+        self.feed(html or "")
+        self.close()
+
+    def absolute(self, href: str) -> str | None:
+        """The web address that a reference names from here, or none."""
+        try:
+            url = urljoin(self.base, href)
+            return url if urlsplit(url).scheme in ("http", "https") else None
+        except ValueError:  # not a URL, such as a bracket that isn't closed
+            return None
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        if tag == "tr":
+        if tag in ("script", "style"):
+            self.quiet += 1
+        elif tag == "base" and a.get("href") and not self.based:
+            self.base, self.based = self.absolute(a["href"].strip()) or self.base, True
+        elif tag == "tr":
             self.row = {"cells": []}
         elif tag in ("td", "th") and self.row is not None:
             self.cell = []
@@ -96,7 +86,9 @@ class _Page(HTMLParser):
             self.anchors.append(self.open)
 
     def handle_endtag(self, tag):
-        if tag == "tr":
+        if tag in ("script", "style"):
+            self.quiet = 0
+        elif tag == "tr":
             self.row = None
         elif tag in ("td", "th") and self.row is not None and self.cell is not None:
             self.row["cells"].append(" ".join("".join(self.cell).split()))
@@ -107,21 +99,46 @@ class _Page(HTMLParser):
             self.open = None
 
     def handle_data(self, data):
+        if self.quiet:
+            return
         for part in (self.open and self.open["text"], self.cell, self.block and self.block["text"]):
             if part is not None and part is not False:
                 part.append(data)
 
 
+def links_of(html: str | None, url: str | None) -> list[tuple]:
+    """(place, address, text, title) of a page's links, the first to each address. Fragments, scripts and mail are passed over."""
+    page, out, seen = _Page(html, url), [], set()
+    for place, a in enumerate(page.anchors):
+        target = None if not a["href"] or a["href"].startswith("#") or a["href"].lower().startswith("javascript:") else page.absolute(a["href"])
+        if target is not None and target not in seen:
+            seen.add(target)
+            out.append((place, target, " ".join(t for t in map(str.strip, a["text"]) if t), a["title"]))
+    return out
+
+
+def page_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """Links of pages: key, pos (among the page's anchors), url (absolute), text, title.
+
+    Relative references are resolved as RFC 3986 says, from the page or its base; one with a host of its own stays as written.
+    The first of a page's links to one address stays; a null or empty page has none."""
+    schema = T.StructType([pages.select(F.col(key).alias(key)).schema[0], T.StructField("pos", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in ("url", "text", "title")]])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(k, *link) for k, u, h in zip(b["k"], b["u"], b["h"]) for link in links_of(h, u)], columns=[key, "pos", "url", "text", "title"])
+
+    found = pages.select(F.col(key).alias("k"), col(url).alias("u"), col(html).alias("h")).mapInPandas(run, schema)
+    return found.select(key, "pos", "url", clean_title("text").alias("text"), "title")
+
+
 def documents_of(html: str, base: str) -> list[dict]:
     """Document links of a page: those in table rows first, then the rest; one for each URL."""
-    page = _Page()
-    page.feed(html or "")
-    page.close()
-    out, seen = [], set()
+    page, out, seen = _Page(html, base), [], set()
     for in_rows in (True, False):
         for a in page.anchors:
-            url = urljoin(base or "", a["href"])
-            if bool(a["row"]) != in_rows or url in seen or not a["href"] or urlsplit(url).scheme not in ("http", "https") or not urlsplit(url).path.lower().endswith((".pdf", ".doc", ".docx")):
+            url = page.absolute(a["href"])
+            if bool(a["row"]) != in_rows or url is None or url in seen or not a["href"] or not urlsplit(url).path.lower().endswith((".pdf", ".doc", ".docx")):
                 continue
             seen.add(url)
             text = " ".join("".join(a["text"]).split())

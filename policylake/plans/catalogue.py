@@ -143,35 +143,49 @@ def source_checks(spark, sf_dir):
     return versions.source_checks(read(spark, sf_dir, "events"), "user_id", "ts", F.col("event_type") != "error")
 
 
-_LINKS = r"""
-WITH l AS (SELECT page_id, url AS page_url, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 2)) AS inner_html,
-  generate_subscripts(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1), 1) - 1 AS pos FROM pages),
+# Each page is given anchors whose addresses are known from its own: unquoted, in capitals, with entities, above its folder,
+# without scheme, given twice (one with a host of its own stays as it is; a scheme unlike the page's keeps its capitals); and what is no link: comments, scripts, mail, fragments, anchors without an address.
+_TAIL = [
+    ("<a href=plain{k}.html title=\"T &amp; {k}\">not quoted</a>", "top || dir || 'plain' || page_id || '.html'", "'not quoted'", "'T & ' || page_id"),
+    ("<!-- <a href=\"/hidden\">hidden</a> --><A CLASS=x HREF='?p=2&amp;q={k}'>a\n query</A>", "top || path || '?p=2&q=' || page_id", "'a query'", "''"),
+    ("<a name=x>none</a><a href = \"../up/{k}.pdf\" title=' the order '>Up &lt;{k}&gt;</a>", "top || regexp_replace(dir, '[^/]+/$', '') || 'up/' || page_id || '.pdf'", "'Up <' || page_id || '>'", "'the order'"),
+    ("<a href=\"//other.example/{k}/./a/../b\"><b>net</b>path</a>", "regexp_extract(url, '^[a-z]+:') || '//other.example/' || page_id || '/./a/../b'", "'net path'", "''"),
+    ("<script>var s = '<a href=\"/s\">s</a>';</script><a href=mailto:x@y.z>mail</a>", None, None, None),
+    ("<a href=plain{k}.html>again</a><a href=#top>Top</a><a href=\"JavaScript:void(0)\">x</a><a href='HTTP://Host.example/?{k}#f'>far</a>", "CASE WHEN url LIKE 'http:%' THEN 'http' ELSE 'HTTP' END || '://Host.example/?' || page_id || '#f'", "'far'", "''"),
+]
+_TAIL_POS = [0, 1, 2, 3, 4, 8]
+_ANCHORS = r"""'(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>'"""
+_LINKS = rf"""
+WITH l AS (SELECT page_id, url AS page_url, unnest(regexp_extract_all(html, {_ANCHORS}, 1)) AS href, unnest(regexp_extract_all(html, {_ANCHORS}, 2)) AS inner_html, generate_subscripts(regexp_extract_all(html, {_ANCHORS}, 1), 1) - 1 AS pos FROM pages),
 m AS (SELECT page_id, pos, trim(href) AS href, trim(regexp_replace(regexp_replace(inner_html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text, regexp_extract(page_url, '^([a-zA-Z]+://[^/?#]+)', 1) AS base FROM l),
-u AS (SELECT page_id, pos, text, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href ELSE base || href END AS url FROM m WHERE href <> '' AND href NOT LIKE '#%' AND lower(href) NOT LIKE 'javascript:%'),
-links AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, url, text FROM u WHERE regexp_matches(url, '(?i)^https?://') QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY pos) = 1)
+u AS (SELECT page_id, pos, text, '' AS title, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href ELSE base || href END AS url FROM m WHERE href <> '' AND href NOT LIKE '#%' AND lower(href) NOT LIKE 'javascript:%'),
+g AS (SELECT *, regexp_replace(path, '[^/]*$', '') AS dir, (SELECT count(*) FROM l WHERE l.page_id = x.page_id) AS before FROM (SELECT page_id, url, regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) AS top, coalesce(nullif(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), ''), '/') AS path FROM pages) x),
+v AS (SELECT * FROM u {" ".join(f"UNION ALL SELECT page_id, before + {at}, {text}, {title}, {url} FROM g" for at, (_, url, text, title) in zip(_TAIL_POS, _TAIL) if url)}),
+links AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, url, text, title FROM v WHERE regexp_matches(url, '(?i)^https?://') QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY pos) = 1)
 """
 
 
 def _links(spark, sf_dir):
-    return discovery.page_links(read(spark, sf_dir, "pages"))
+    tail = F.concat(*[F.replace(F.lit(html), F.lit("{k}"), F.col("page_id").cast("string")) for html, *_ in _TAIL])
+    return discovery.page_links(read(spark, sf_dir, "pages").withColumn("html", F.concat(F.coalesce("html", F.lit("")), tail)))
 
 
-@query(_LINKS + "SELECT page_id, pos, url, text FROM links")
+@query(_LINKS + "SELECT page_id, pos, url, text, title FROM links")
 def page_links(spark, sf_dir):
-    return _links(spark, sf_dir).select("page_id", "pos", "url", "text")
+    return _links(spark, sf_dir).select("page_id", "pos", "url", "text", "title")
 
 
-_CATEGORY = r"CASE WHEN regexp_matches(url, '(?i)^[^?#]*\.(pdf|doc|docx)([?#].*)?$') THEN 'document' WHEN regexp_matches(text || '  ' || url, '(?i)(?:^|[^\p{L}\p{N}_])(?:the|and|der|que)(?:$|[^\p{L}\p{N}_])') THEN 'scheme_page' END"
+_CATEGORY = r"CASE WHEN regexp_matches(url, '(?i)^[^?#]*\.(pdf|doc|docx)([?#].*)?$') THEN 'document' WHEN regexp_matches(text || ' ' || title || ' ' || url, '(?i)(?:^|[^\p{L}\p{N}_])(?:the|and|der|que)(?:$|[^\p{L}\p{N}_])') THEN 'scheme_page' END"
 
 
 @query(_LINKS + f"SELECT page_id, url, {_CATEGORY} AS category FROM links")
 def link_categories(spark, sf_dir):
-    return _links(spark, sf_dir).select("page_id", "url", discovery.link_category("text", F.lit(""), "url", RELEVANT).alias("category"))
+    return _links(spark, sf_dir).select("page_id", "url", discovery.link_category("text", "title", "url", RELEVANT).alias("category"))
 
 
 @query(_LINKS + f"SELECT coalesce({_CATEGORY}, 'dropped') AS category, count(*) AS links, count(DISTINCT page_id) AS pages FROM links GROUP BY 1")
 def link_counts(spark, sf_dir):
-    kind = F.coalesce(discovery.link_category("text", F.lit(""), "url", RELEVANT), F.lit("dropped"))
+    kind = F.coalesce(discovery.link_category("text", "title", "url", RELEVANT), F.lit("dropped"))
     return _links(spark, sf_dir).groupBy(kind.alias("category")).agg(F.count("*").alias("links"), F.count_distinct("page_id").alias("pages"))
 
 
@@ -471,10 +485,34 @@ def threshold_impact(spark, sf_dir):
     return r.select("p_partkey", R.threshold_impact("cat", "old", "lim").alias("impact"))
 
 
-@query()
+def _rule_pairs(spark, sf_dir):
+    return read(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 24).alias("pair"), F.when(F.floor(F.col("p_partkey") / 12) % 2 == 0, "old").otherwise("new").alias("side"), F.col("p_partkey").alias("seq"), _rule_text().alias("rule"), F.lit("eligibility").alias("type"), F.lit(None).cast("string").alias("category"), F.lit("page 1").alias("evidence"))
+
+
+# Matched one old rule after the other, each with the first new one that isn't taken; no rule of these is administrative.
+_MATCHED = """, WITH_ AS (SELECT p_partkey // 24 AS pair, p_partkey // 12 % 2 AS side, p_partkey AS seq, norm, cat, lim FROM h QUALIFY row_number() OVER (PARTITION BY p_partkey // 24, p_partkey // 12 % 2, cat, norm ORDER BY p_partkey) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY seq) AS k FROM WITH_ WHERE side = 0), nn AS (SELECT * FROM WITH_ WHERE side = 1),
+e AS (SELECT o.pair, o.k, o.seq AS old_seq, list(n.seq ORDER BY n.seq) AS cand FROM o JOIN nn n ON n.pair = o.pair AND (n.norm = o.norm OR (n.cat = o.cat AND (o.cat = 'residency' OR (o.cat IN ('income', 'age', 'landholding') AND o.lim IS NOT NULL AND n.lim IS NOT NULL)))) GROUP BY o.pair, o.k, o.seq),
+m AS (SELECT pair, CAST(0 AS BIGINT) AS k, []::BIGINT[] AS taken, NULL::BIGINT AS new_seq FROM (SELECT DISTINCT pair FROM o)
+  UNION ALL SELECT pair, k + 1, CASE WHEN f IS NULL THEN taken ELSE list_append(taken, f) END, f FROM (SELECT m.pair, m.k, m.taken, list_filter(e.cand, lambda x: NOT list_contains(m.taken, x))[1] AS f FROM m JOIN o ON o.pair = m.pair AND o.k = m.k + 1 LEFT JOIN e ON e.pair = o.pair AND e.k = o.k)),
+c AS (SELECT o.pair, o.seq AS old_seq, n.seq AS new_seq, CASE WHEN n.seq IS NULL THEN 'removed' WHEN n.norm = o.norm OR o.cat = 'residency' OR n.lim = o.lim THEN 'unchanged' ELSE 'modified' END AS change_type,
+    CASE WHEN n.seq IS NULL THEN 'eligibility_less_restrictive' WHEN n.norm = o.norm OR o.cat = 'residency' OR n.lim = o.lim THEN 'no_eligibility_impact' WHEN (n.lim > o.lim) <> (o.cat = 'age') THEN 'eligibility_less_restrictive' ELSE 'eligibility_more_restrictive' END AS impact
+    FROM o JOIN m ON m.pair = o.pair AND m.k = o.k LEFT JOIN nn n ON n.pair = o.pair AND n.seq = m.new_seq
+  UNION ALL SELECT pair, NULL, seq, 'added', 'eligibility_more_restrictive' FROM nn n WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.pair = n.pair AND m.new_seq = n.seq))
+"""
+_MATCHED = RULES.replace("WITH r AS", "WITH RECURSIVE r AS", 1).rstrip() + _MATCHED.replace("WITH_", "ru")
+
+
+@query(_MATCHED + "SELECT pair, old_seq, new_seq, change_type, impact FROM c")
+def rule_matches(spark, sf_dir):
+    return rules_diff.compare_rules(_rule_pairs(spark, sf_dir)).select("pair", "old_seq", "new_seq", "change_type", "impact")
+
+
+@query(_MATCHED + """, t AS (SELECT pair, count(*) FILTER (change_type = 'added') AS added, count(*) FILTER (change_type = 'removed') AS removed, count(*) FILTER (change_type = 'modified') AS modified, count(*) FILTER (change_type = 'unchanged') AS unchanged, count(*) FILTER (change_type <> 'unchanged' AND impact <> 'no_eligibility_impact') AS real FROM c GROUP BY pair)
+SELECT pair, added, removed, modified, unchanged, modified > 0 AS review_required, CASE WHEN real > 0 THEN 'clearly_relevant' WHEN modified > 0 THEN 'potentially_relevant' ELSE 'none' END AS relevance,
+  array_to_string(list_filter([CASE WHEN added > 0 THEN added || ' rule(s) added' END, CASE WHEN removed > 0 THEN removed || ' rule(s) removed' END, CASE WHEN modified > 0 THEN modified || ' rule(s) modified' END, CASE WHEN unchanged > 0 THEN unchanged || ' rule(s) unchanged' END], lambda x: x IS NOT NULL), ', ') AS summary FROM t""")
 def rule_compare(spark, sf_dir):
-    r = read(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 24).alias("pair"), F.when(F.floor(F.col("p_partkey") / 12) % 2 == 0, "old").otherwise("new").alias("side"), F.col("p_partkey").alias("seq"), _rule_text().alias("rule"), F.lit("eligibility").alias("type"), F.lit(None).cast("string").alias("category"), F.lit("page 1").alias("evidence"))
-    return rules_diff.summarise(rules_diff.compare_rules(r))
+    return rules_diff.summarise(rules_diff.compare_rules(_rule_pairs(spark, sf_dir)))
 
 
 _ABS, _ADM = ["no ", "all rights"], ["licensed under", "token ="]
@@ -712,7 +750,9 @@ def table_bbox(spark, sf_dir):
     return metrics.boxes(cells, ["label"])
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT vec_id // 20 AS t, vec_id, CAST(embedding[2] * 100 AS DOUBLE) AS y FROM embeddings), s AS (SELECT t, min(y) AS y, CAST(0 AS BIGINT) AS n FROM c GROUP BY t
+UNION ALL SELECT s.t, (SELECT min(c.y) FROM c WHERE c.t = s.t AND c.y - s.y > 15), s.n + 1 FROM s WHERE (SELECT min(c.y) FROM c WHERE c.t = s.t AND c.y - s.y > 15) IS NOT NULL)
+SELECT c.t AS table_id, CAST(max(s.n) AS INTEGER) AS row_index, vec_id FROM c JOIN s ON s.t = c.t AND s.y <= c.y GROUP BY c.t, vec_id""")
 def row_grouping(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("table_id"), (F.col("embedding")[0] * 100).cast("double").alias("x"), (F.col("embedding")[1] * 100).cast("double").alias("y"), "vec_id")
     return comparison.rows_of_table(e, "table_id").select("table_id", "row_index", "vec_id")
@@ -726,6 +766,16 @@ def extraction_counts(spark, sf_dir):
     return audit.document_review(j, pages, "lang").select("lang", "rules", "rule_review_count", F.col("reasons").cast("bigint").alias("reasons"))
 
 
+@query(r"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), '. ') AS bs FROM documents), b AS (SELECT doc_id, (i - 1) // 5 + 1 AS page, i, bs[i] AS t FROM (SELECT doc_id, bs, unnest(range(1, len(bs) + 1)) AS i FROM d)),
+p AS (SELECT doc_id, page, '--- Page ' || page || ' ---' || chr(10) || string_agg(t, chr(10) ORDER BY i) AS t FROM b GROUP BY doc_id, page), w AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY page) AS t FROM p GROUP BY doc_id)
+SELECT doc_id, length(t) > 1200 AS truncated, md5(CASE WHEN length(t) > 1200 THEN substr(t, 1, 1200) || chr(10) || '... [truncated]' ELSE t END) AS context_md5 FROM w""")
+def document_context(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\\. ")).alias("i", "t"))
+    d = d.withColumn("page", F.floor(F.col("i") / 5) + 1)
+    out = comparison.document_context(d, "doc_id", "page", "i", "t", 1200)
+    return out.select("doc_id", F.col("context").endswith("... [truncated]").alias("truncated"), F.md5("context").alias("context_md5"))
+
+
 @query(f"SELECT lang, count(*) AS pages, count(*) FILTER ({USABLE}) AS usable, count(*) FILTER (NOT {USABLE}) AS needs_ocr FROM (SELECT lang, coalesce(text, '') AS text FROM documents) GROUP BY lang")
 def document_summary(spark, sf_dir):
     usable = X.is_usable("text")

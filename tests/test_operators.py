@@ -274,3 +274,78 @@ def test_stream(spark, tmp_path):
     q.stop()
     want = versions.detect_versions(spark.createDataFrame(arrivals, "scheme string, seq long, hash string"), "scheme", "seq", "hash")
     assert dict(rows(spark.table("changes"), "seq", "change")) == dict(rows(want, "seq", "change"))
+
+
+def greedy_by_loop(olds, news):
+    """Pairs of rules as a loop over the old ones finds them; rules are (type, norm, cat, admin, limit)."""
+
+    def fits(o, n):
+        same = o[0] == n[0] and o[2] == n[2]
+        return (o[0] == n[0] and o[1] == n[1]) or (o[3] and n[3]) or ((o[3] or n[3]) and o[2] == n[2] == "other") or (same and o[2] in ("income", "age", "landholding") and None not in (o[4], n[4])) or (same and o[2] in rules_diff.STATES)
+
+    free, out = dict(news), {}
+    for seq, o in olds:
+        out[seq] = next((k for k, n in free.items() if fits(o, n)), None)
+        free.pop(out[seq], None)
+    return {*out.items(), *((None, k) for k in free)}
+
+
+def test_matching_against_a_loop(spark):
+    rnd, data, want = random.Random(2), [], {}
+    for pair in range(60):
+        sides = {}
+        for side in ("old", "new"):
+            sides[side] = [(k, (rnd.choice(["eligibility", "exclusion"]), rnd.choice("abc"), rnd.choice(["income", "residency", "other", "age"]), rnd.random() < 0.2, rnd.choice([None, 1.0, 2.0]))) for k in range(rnd.randrange(9))]
+            data += [(pair, side, k, *r, "e") for k, r in sides[side]]
+        if sides["old"] or sides["new"]:
+            want[pair] = greedy_by_loop(sides["old"], sides["new"])
+    df = spark.createDataFrame(data, "pair long, side string, seq long, type string, norm string, cat string, admin boolean, limit double, evidence string")
+    got = {}
+    for r in rules_diff.matched(df).collect():
+        got.setdefault(r.pair, set()).add((r.old and r.old.seq, r.new and r.new.seq))
+    assert got == want
+
+
+def test_verdicts_pair_what_is_left(spark):
+    el, old, new = "eligibility", ["Weavers of the village", "Widows of the village", "Orphans of the town"], ["Village weavers", "Town orphans", "Village widows"]
+    data = [(1, side, i, r, el, "other", "p1") for side, rs in (("old", old), ("new", new)) for i, r in enumerate(rs)]
+    df = spark.createDataFrame(data, "pair long, side string, seq long, rule string, type string, category string, evidence string")
+
+    def verdicts(pairs):
+        return [{"same": a[:4] in b or ("village" in a and "village" in b), "impact": "no_eligibility_impact", "confidence": 0.9, "change_type": "unchanged"} for a, b in pairs]
+
+    got = {(r.old_seq, r.new_seq): r.change_type for r in rules_diff.compare_rules(df, verdicts).collect()}
+    assert got == {(0, 0): "unchanged", (1, 2): "unchanged", (2, 1): "unchanged"}
+    asked = rules_diff.compare_rules(df).collect()
+    assert len(asked) == 6 and {r.change_type for r in asked} == {"removed", "added"}
+
+    def fails(pairs):
+        raise OSError("no model")
+
+    assert sorted(map(str, rules_diff.compare_rules(df, fails).collect())) == sorted(map(str, asked))
+
+
+def test_table_rows_by_a_loop(spark):
+    rnd, cells, want = random.Random(4), [], {}
+    for t in range(30):
+        ys = sorted(round(rnd.uniform(-50, 200), 1) for _ in range(rnd.randrange(1, 60)))
+        start, row = ys[0], 0
+        for i, y in enumerate(ys):
+            if y - start > 15:
+                start, row = y, row + 1
+            want[t, i] = row
+            cells.append((t, rnd.uniform(0, 9), y, i))
+    got = comparison.rows_of_table(spark.createDataFrame(cells, "t long, x double, y double, i long"), "t").collect()
+    assert {(r.t, r.i): r.row_index for r in got} == want and len(got) == len(cells)
+    odd = spark.createDataFrame([(None, 1.0, None, 1), (None, 1.0, 5.0, 2), (1, 1.0, None, 3)], "t long, x double, y double, i long")
+    assert {r.i: r.row_index for r in comparison.rows_of_table(odd, "t").collect()} == {1: 0, 2: 0, 3: 0}
+
+
+def test_context_is_cut_where_it_is_full(spark):
+    rows = [("d", p, i, f"block {p}.{i} " + "x" * 20) for p in range(1, 6) for i in range(4)] + [("e", 1, 0, None), ("f", 1, 0, "short"), ("f", 2, 0, "")]
+    df = spark.createDataFrame(rows, "doc string, page long, i long, text string").repartition(3)
+    for most in (5, 17, 40, 131, 200, 10_000):
+        got = {r.doc: r.context for r in comparison.document_context(df, "doc", "page", "i", "text", most).collect()}
+        for d in "def":
+            whole = "\n".join(f"--- Page {p} ---\n" + "\n".join(t or "" for dd, pp, _, t in rows if (dd, pp) == (d, p)) for p in sorted({r[1] for r in rows if r[0] == d}))
+            assert got[d] == (whole if len(whole) <= most else whole[:most] + "\n... [truncated]")

@@ -111,9 +111,20 @@ def test_verdicts_of_documents(spark):
     assert got == {1: "identical", 2: "unchanged", 3: "different_document", 4: "unchanged", 5: "possible_change"}
 
 
-def test_dots_in_links(spark):
-    urls = ["http://h/a/../b", "http://h/a/b/../../c?x=../y", "http://h/../a", "http://h/a/./b/..", "http://h/plain", "http://h/a/.."]
-    from urllib.parse import urljoin
-
-    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(discovery.without_dots(F.col("u"))).collect()]
-    assert got == [urljoin("http://h/", u) if not u.startswith("http://h/") else urljoin("http://h/", u.removeprefix("http://h")) for u in urls]
+def test_references_of_a_page(spark):
+    """The examples of RFC 3986 for a base of http://a/b/c/d;p?q, and what is left of real pages."""
+    want = {"g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", "g#s": "http://a/b/c/g#s", ";x": "http://a/b/c/;x", ".": "http://a/b/c/"}
+    want |= {"..": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../g": "http://a/g", "../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g", "g/./h": "http://a/b/c/g/h", "g/../h": "http://a/b/c/h"}
+    html = "".join(f'<a href="{h}">x</a>' for h in want)
+    got = [r.url for r in discovery.page_links(spark.createDataFrame([(1, "http://a/b/c/d;p?q", html)], "page_id long, url string, html string")).orderBy("pos").collect()]
+    assert got == list(dict.fromkeys(want.values()))
+    pages = {
+        1: ("https://x.org", '<a href="a.html">A</a><a href="?p=2">2</a><a href="">none</a><a href="http://[bad">bad</a>'),
+        2: ("https://x.org/d/p.html", '<base href="/e/"><base href="/f/"><a href=b.html title=" T&eacute; ">b <i>c</i><br>d</a>'),
+        3: ("https://x.org/d/p.html", "<!-- <a href='no'>no</a> --><style>a{}</style><a href='y?a=1&amp;b=2'>y<script>z()</script></a><a name=n>n</a><a href='ftp://x/y'>f</a>"),
+        4: (None, "<a href='/rel'>lost</a><a href='https://ok.org/'>ok</a>"),
+        5: ("https://x.org", None),
+    }
+    df = spark.createDataFrame([(k, *v) for k, v in pages.items()], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.url, r.text, r.title) for r in discovery.page_links(df).collect())
+    assert got == [(1, "https://x.org/a.html", "A", ""), (1, "https://x.org?p=2", "2", ""), (2, "https://x.org/e/b.html", "b c d", "T\u00e9"), (3, "https://x.org/d/y?a=1&b=2", "y", ""), (4, "https://ok.org/", "ok", "")]
