@@ -93,8 +93,8 @@ def qualification(rule: str | Column, evidence: str | Column) -> Column:
     t = F.lower(F.concat_ws(" ", r, e))
     return (
         F.when(F.lower(r).isin("", "null", "none"), "empty").when(is_absence(r) | is_absence(e), "absence").when(is_funding(r, e), "funding").when(has_any(t, lex.AMENDMENT), "amendment")
-        .when(has_any(t, lex.HANDLING) & ~has_any(t, ["ಯಜಮಾನಿ", "ಫಲಾನುಭವಿ", "ಅರ್ಹ", "ವಿದ್ಯಾರ್ಥಿ", "ರೈತರ ಮಕ್ಕಳು"]), "handling")
-        .when(has_any(t, lex.COMMITTEE) & ~has_any(t, ["applicant must", "beneficiary shall", "ಅರ್ಜಿದಾರರು", "ಫಲಾನುಭವಿಯು"]), "committee")
+        .when(has_any(t, lex.HANDLING) & ~has_any(t, lex.BENEFICIARIES), "handling")
+        .when(has_any(t, lex.COMMITTEE) & ~has_any(t, lex.APPLICANTS), "committee")
         .when(~has_any(t, lex.CANDIDATE), "no_condition").otherwise("valid")
     )
 
@@ -122,8 +122,8 @@ def weak_evidence(evidence: str | Column, ocr_confidence: str | Column, kind: st
 def scope(rule: str | Column, evidence: str | Column) -> Column:
     t = F.lower(F.concat_ws(" ", F.coalesce(col(rule), F.lit("")), F.coalesce(col(evidence), F.lit(""))))
     return (
-        F.when(has_any(t, lex.HOUSEHOLD_LIMITS), "beneficiary_limit").when(has_any(t, ["family income", "household income", "ಕುಟುಂಬದ ಆದಾಯ"]), "household")
-        .when(has_any(t, ["ಕಚೇರಿ", "ಅರ್ಜಿ ಸಲ್ಲಿಸಲು", "documents required", "portal", "application"]), "administrative").otherwise("candidate")
+        F.when(has_any(t, lex.HOUSEHOLD_LIMITS), "beneficiary_limit").when(has_any(t, lex.HOUSEHOLD_INCOME), "household")
+        .when(has_any(t, lex.OFFICE_WORDS), "administrative").otherwise("candidate")
     )
 
 
@@ -136,7 +136,7 @@ def grounding(rule: str | Column, evidence: str | Column, kind: str | Column, vo
     verdict = lambda status, stage, c: F.struct(F.lit(status).alias("status"), F.lit(stage).alias("stage"), F.lit(c).alias("confidence"))
     out = F.when(col(evidence).isNull() | (col(evidence) == ""), verdict("INSUFFICIENT", "none", 1.0)).when(F.length(e) < 10, verdict("INSUFFICIENT", "brief", 0.9))
     out = out.when(rel["encoding_issue"] | ~rel["reliable"], verdict("REVIEW_REQUIRED", "garbled", 0.85))
-    negated = has_any(low, ["ಅರ್ಹರಾಗಿರುವುದಿಲ್ಲ", "ಅನ್ವಯಿಸುವುದಿಲ್ಲ", "ಅನರ್ಹ", "ಅರ್ಹವಾಗುವುದಿಲ್ಲ", "ಅರ್ಹರಲ್ಲ", "ಸಾಧ್ಯವಿಲ್ಲ", "ಅರ್ಹವಲ್ಲ"])
+    negated = has_any(low, lex.NEGATIONS)
     for name, only, markers, conflicts in lex.CONTRADICTIONS:
         if name == "landless_vs_landowner":
             continue  # this check has no verdict of its own
@@ -146,11 +146,11 @@ def grounding(rule: str | Column, evidence: str | Column, kind: str | Column, vo
         if name == "exclusion_polarity_inversion":
             hit &= ~negated
         out = out.when(hit, verdict("CONTRADICTED", name, 1.0 if name == "landowner_vs_landless" else 0.95))
-    out = out.when(r.contains("both") & has_any(low, ["ಅಥವಾ", "ಯಾವುದಾದರೂ"]) & ~low.contains("ಇಬ್ಬರೂ"), verdict("CONTRADICTED", "both_or", 0.90))
+    out = out.when(r.contains("both") & has_any(low, lex.EITHER) & ~low.contains(lex.BOTH), verdict("CONTRADICTED", "both_or", 0.90))
     major = lambda c: F.filter(numbers(c), lambda n: (n >= 50) & ~n.between(2021, 2026))
     mine, theirs = major(r), major(e)
     out = out.when((F.size(mine) > 0) & (F.size(theirs) > 0) & ~F.arrays_overlap(mine, theirs), verdict("CONTRADICTED", "numbers", 0.90))
-    out = out.when(has_any(r, ["taxpayer", "income tax"]) & ~low.contains("ಆದಾಯ ತೆರಿಗೆ") & has_any(low, ["ಜಿಎಸ್‌ಟಿ", "gst"]), verdict("REVIEW_REQUIRED", "generalised", 0.85))
+    out = out.when(has_any(r, lex.TAXPAYERS) & ~low.contains(lex.INCOME_TAX) & has_any(low, lex.SALES_TAX), verdict("REVIEW_REQUIRED", "generalised", 0.85))
     missing = sum((F.when(r.contains(word) & ~has_any(low, support), 1).otherwise(0) for word, support in lex.CONCEPTS.items()), F.lit(0))
     return out.when(missing >= 2, verdict("REVIEW_REQUIRED", "unsupported", 0.80)).otherwise(verdict("SUPPORTED", "supported", 0.95))
 

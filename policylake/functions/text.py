@@ -100,7 +100,7 @@ def reliability(text: str | Column, min_words: int = 10, vocabulary: list[str] |
         letters = F.split(F.lower(F.regexp_replace(t, "(?U:[^a-zA-Z\\s\\x1c-\\x1f]+)", "")), WIDE_SPACE + "+")
         return F.struct(
             (t == "").alias("empty"), F.greatest(F.length(t), F.lit(1)).alias("chars"), number_of(t, "\\u0c80-\\u0cff").alias("native"), number_of(t, "~`^_{}|\\\\;:$%@*<>\\[\\]+=").alias("marks"), number_of(t, "\\p{L}\\p{N}").alias("alnum"),
-            t.rlike("[;~`_]{2,}|[a-zA-Z]{1,3}[;~`^]{1,3}[a-zA-Z]{1,3}").alias("torn"), F.size(words).alias("words"), F.size(F.filter(words, lambda w: F.length(w) >= 2)).alias("long"), F.size(F.filter(letters, lambda w: w.isin(vocabulary))).alias("known"),
+            t.rlike(lex.TORN_WORDS).alias("torn"), F.size(words).alias("words"), F.size(F.filter(words, lambda w: F.length(w) >= 2)).alias("long"), F.size(F.filter(letters, lambda w: w.isin(vocabulary))).alias("known"),
         )
 
     def cascade(c: Column) -> Column:

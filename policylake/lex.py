@@ -811,4 +811,39 @@ AFFECTED = [
     ("farmer_category", ["farmer", "small farmer", "marginal farmer", "ರೈತ"]),
     ("government_employee", ["government employee", "government servant", "ಸರ್ಕಾರಿ ನೌಕರ", "pension"]),
 ]
+# Words of a document's status.
 STATUS_WORDS = ["notification", "amendment", "ಅಧಿಸೂಚನೆ", "ತಿದ್ದುಪಡಿ"]
+
+# What free text says of a citizen; patterns of amounts and words.
+CITIZEN_AMOUNTS = {
+    "thousands": r"(\d+(?:\.\d+)?)\s*k\s*(?:a\s*month|per\s*month|monthly)",
+    "monthly": r"(?:earn|salary|income\s*is)?\s*(?:rs\.?|₹)?\s*(\d{4,6})\s*(?:a\s*month|per\s*month|monthly)",
+    "lakhs": r"(\d+(?:\.\d+)?)\s*(?:lakh|lac)\s*(?:per\s*year|annually|annual|a\s*year)?",
+    "acres": r"(\d+(?:\.\d+)?)\s*acres?",
+}
+CITIZEN_WORDS = {
+    "female": ["woman", "female", "ಮಹಿಳೆ"],
+    "male": ["man", "male", "ಪುರುಷ"],
+    "head": ["head of family", "household head", "woman head", "ಯಜಮಾನಿ"],
+    "landless": ["landless", "no land"],
+    "listed": ["head in ration card", "listed as head", "ration card head"],
+    "gst": ["gst registered", "gst return"],
+    "tax": ["taxpayer", "income tax payer"],
+}
+RATION_CARDS = [("bpl", "BPL"), ("apl", "APL"), ("antyodaya", "ANTYODAYA"), ("aay", "AAY")]
+# Words that tell a rule's handling, committee, scope and evidence.
+BENEFICIARIES = ["ಯಜಮಾನಿ", "ಫಲಾನುಭವಿ", "ಅರ್ಹ", "ವಿದ್ಯಾರ್ಥಿ", "ರೈತರ ಮಕ್ಕಳು"]
+APPLICANTS = ["applicant must", "beneficiary shall", "ಅರ್ಜಿದಾರರು", "ಫಲಾನುಭವಿಯು"]
+HOUSEHOLD_INCOME = ["family income", "household income", "ಕುಟುಂಬದ ಆದಾಯ"]
+OFFICE_WORDS = ["ಕಚೇರಿ", "ಅರ್ಜಿ ಸಲ್ಲಿಸಲು", "documents required", "portal", "application"]
+NEGATIONS = ["ಅರ್ಹರಾಗಿರುವುದಿಲ್ಲ", "ಅನ್ವಯಿಸುವುದಿಲ್ಲ", "ಅನರ್ಹ", "ಅರ್ಹವಾಗುವುದಿಲ್ಲ", "ಅರ್ಹರಲ್ಲ", "ಸಾಧ್ಯವಿಲ್ಲ", "ಅರ್ಹವಲ್ಲ"]
+EITHER, BOTH = ["ಅಥವಾ", "ಯಾವುದಾದರೂ"], "ಇಬ್ಬರೂ"
+TAXPAYERS, INCOME_TAX, SALES_TAX = ["taxpayer", "income tax"], "ಆದಾಯ ತೆರಿಗೆ", ["ಜಿಎಸ್‌ಟಿ", "gst"]
+TORN_WORDS = r"[;~`_]{2,}|[a-zA-Z]{1,3}[;~`^]{1,3}[a-zA-Z]{1,3}"
+# Schemes by words of their name, and the words of the departments and sources that serve them.
+SOURCE_GROUPS = [
+    (["kisan", "pm-kisan", "raitha", "farmer", "agriculture"], "agri", "raitha"),
+    (["lakshmi", "wcd", "women"], "wcd", "lakshmi"),
+    (["jyothi", "energy", "bescom"], "energy", "jyothi"),
+    (["bhagya", "ahara", "food", "ration"], "food", "ahara"),
+]

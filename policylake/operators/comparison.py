@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,7 +117,7 @@ def document_context(blocks: DataFrame, doc: str, page: str, place: str, text: s
 def compare_documents(old: DataFrame, new: DataFrame, old_pages: DataFrame, new_pages: DataFrame, pair: str = "pair") -> DataFrame:
     """Two versions of a document each: documents (pair, sha256, title, meta), pages (pair, page_number, text). A row per pair:
     status (identical, unchanged, different_document, possible_change), counts of pages, metadata_changes, jaccard, ratio,
-    relevance and review_required.
+    relevance, review_required and semantic_comparison_required.
 
     Pairs with equal hashes are identical; their pages are never looked at. Whole texts meet the costly matcher only where the
     verdict depends on it: pages differ, titles too, and words alone don't decide."""
@@ -140,7 +143,45 @@ def compare_documents(old: DataFrame, new: DataFrame, old_pages: DataFrame, new_
     status = document_verdict(F.col("equal"), F.coalesce("jaccard", F.lit(1.0)), F.coalesce("ratio", F.lit(1.0)), F.coalesce("titles_differ", F.lit(False)), changed, noise_only)
     out = out.withColumn("status", status)
     doubt = (F.col("status") == "different_document") | ((F.col("status") == "unchanged") & noise_only)
-    return out.select(pair, "status", "pages_added", "pages_removed", "pages_modified", "pages_unchanged", "pages_noise", "metadata_changes", "jaccard", "ratio", F.when(doubt, "uncertain").otherwise("none").alias("relevance"), doubt.alias("review_required"))
+    # A page that was taken for noise is looked at again where others have changed in earnest.
+    review = doubt | ((F.col("status") == "possible_change") & (F.col("pages_noise") > 0))
+    return out.select(pair, "status", *numbers, "jaccard", "ratio", F.when(doubt, "uncertain").otherwise("none").alias("relevance"), review.alias("review_required"), (F.col("status") == "possible_change").alias("semantic_comparison_required"))
+
+
+def interpreted(compared: DataFrame, sections: DataFrame, ask: Callable[[str], dict], pair: str = "pair") -> DataFrame:
+    """Compared documents after a model has looked at those of which a semantic comparison is required: relevance and
+    review_required by its checked changes, summary, and failed.
+
+    ``sections``: pair, page_number, removed and added (matching.line_difference of differing pages). ``ask`` gets a pair's sections
+    as one text and returns summary and changes (see checked_changes). Where it fails, the relevance is uncertain and a review is
+    required. A pair without sections has nothing to be asked."""
+    side = lambda c, name: F.concat(F.lit(f"{name}:\n"), F.array_join(c, "\n"))
+    page = F.concat_ws("\n", F.concat(F.lit("Page "), F.col("page_number").cast("string")), side("removed", "old"), side("added", "new"))
+    asked = sections.join(compared.where("semantic_comparison_required").select(pair), pair, "left_semi")
+    texts = asked.groupBy(pair).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", page.alias("t")))), lambda p: p["t"]), "\n\n").alias("text"))
+    fields = ["category", "eligibility_relevance", "affected_attribute", "old_evidence", "new_evidence", "description"]
+    change = f"array<struct<{','.join(f'{f}:string' for f in fields)}>>"
+    kind = compared.schema[pair].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for key, text in zip(b[pair], b["text"]):
+                try:
+                    said = ask(text)
+                    rows.append((key, str(said.get("summary", "")), [{f: None if c.get(f) is None else str(c[f]) for f in fields} for c in said.get("changes", [])], False))
+                except Exception as error:  # a model that fails leaves the pair to a reviewer
+                    rows.append((key, f"{type(error).__name__}: {error}", [], True))
+            yield pd.DataFrame(rows, columns=[pair, "summary", "changes", "failed"])
+
+    answers = texts.mapInPandas(run, f"{pair} {kind}, summary string, changes {change}, failed boolean")
+    each = answers.select(pair, "summary", "failed", F.explode_outer("changes").alias("c")).select(pair, "summary", "failed", "c.*")
+    order = ["none", "uncertain", "potentially_relevant", "clearly_relevant"]
+    said = checked_changes(each).groupBy(pair).agg(F.first("summary").alias("summary"), F.max("failed").alias("failed"), strongest("eligibility_relevance", order).alias("_relevance"), (F.count_if(F.col("eligibility_relevance") == "uncertain") > 0).alias("_doubt"))
+    out = compared.join(said, pair, "left")
+    relevance = F.when(F.col("failed"), "uncertain").when(F.col("_relevance").isNotNull(), F.col("_relevance")).otherwise(F.col("relevance"))
+    review = F.col("review_required") | F.coalesce("failed", F.lit(False)) | F.coalesce("_doubt", F.lit(False))
+    return out.withColumns({"relevance": relevance, "review_required": review, "failed": F.coalesce("failed", F.lit(False))}).drop("_relevance", "_doubt")
 
 
 def checked_changes(changes: DataFrame, words: list[str] | None = None) -> DataFrame:

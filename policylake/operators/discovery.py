@@ -175,3 +175,16 @@ def filter_or_all(df: DataFrame, condition: Column) -> DataFrame:
     """Rows that meet the condition; all rows if none does. One aggregate row decides."""
     some = df.agg(F.coalesce(F.max(F.coalesce(condition, F.lit(False))), F.lit(False)).alias("_some"))
     return df.join(F.broadcast(some), condition | ~F.col("_some")).drop("_some")  # the broadcast is one row
+
+
+def sources_for(sources: DataFrame, department: str | None = None, scheme: str | None = None) -> DataFrame:
+    """Sources (source_name, department and more) of a department, else those that serve a scheme by its name; all where none
+    matches. A scheme belongs to the first group whose words its name has; null names match nothing."""
+    has = lambda c, word: F.coalesce(F.lower(c).contains(word), F.lit(False))
+    if department:
+        return filter_or_all(sources, has("department", department.lower()))
+    name = (scheme or "").lower().replace("-", " ")
+    for words, served, source in lex.SOURCE_GROUPS:
+        if any(w in name for w in words):
+            return filter_or_all(sources, has("department", served) | has("source_name", source))
+    return sources

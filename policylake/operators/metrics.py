@@ -19,8 +19,8 @@ def precision_recall(df: DataFrame, keys: list[str], found: Column, gold: Column
 
 
 def ocr_stats(words: DataFrame, keys: list[str], confidence: str, least: float = 50) -> DataFrame:
-    """Mean confidence and share of words below ``least``, in percent, to one digit."""
-    return words.groupBy(*keys).agg(F.coalesce(F.round(F.avg(confidence), 1), F.lit(0.0)).alias("avg_confidence"), F.coalesce(F.round(F.avg((F.col(confidence) < least).cast("int")) * 100, 1), F.lit(0.0)).alias("low_conf_percentage"))
+    """Mean confidence and share of words below ``least``, in percent, to one digit, halves to the even one."""
+    return words.groupBy(*keys).agg(F.coalesce(F.bround(F.avg(confidence), 1), F.lit(0.0)).alias("avg_confidence"), F.coalesce(F.bround(F.avg((F.col(confidence) < least).cast("int")) * 100, 1), F.lit(0.0)).alias("low_conf_percentage"))
 
 
 def assemble_blocks(words: DataFrame, doc: str, block: str, place: str, text: str) -> DataFrame:

@@ -53,9 +53,11 @@ def detect_versions(arrivals: DataFrame, scheme: str, seq: str, hash_col: str, s
     return out.withColumn("version_status", F.when(F.col("change") == "UNCHANGED", F.lit(None).cast("string")).when(F.col(seq) == F.col("_newest"), "ACTIVE").otherwise("ARCHIVED")).drop("_scheme", "_newest")
 
 
-def needs_review(rules: DataFrame, key: str, force: str | Column | None = None) -> DataFrame:
-    """Per update (``key``) whether it has to be reviewed, and why: forced, no rules, a rule marked for review, or a rule whose
-    evidence doesn't support it. ``rules``: rule, review_required, consistency; an update without rules is a row whose rule is null."""
+def needs_review(rules: DataFrame, key: str, force: str | Column | None = None, comparisons: DataFrame | None = None) -> DataFrame:
+    """Per update (``key``) whether it has to be reviewed, and why: forced, no rules, a rule marked for review, a rule whose
+    evidence doesn't support it, or what its comparison with the version before says. ``rules``: rule, review_required,
+    consistency; an update without rules is a row whose rule is null. ``comparisons``: key, review_required, relevance, a row for
+    each update at most; one that asks for a review or is of uncertain relevance is a reason. Null marks count as unset."""
     forced = F.lit(False) if force is None else F.coalesce(col(force), F.lit(False))
     given = F.col("rule").isNotNull()
     why = F.array(
@@ -63,6 +65,10 @@ def needs_review(rules: DataFrame, key: str, force: str | Column | None = None)
         F.when(F.count_if(given & (F.coalesce("consistency", F.lit("SUPPORTED")) != "SUPPORTED")) > 0, "unsupported"),
     )
     out = rules.groupBy(key).agg(F.array_compact(why).alias("reasons"))
+    if comparisons is not None:
+        doubt = F.when(F.coalesce("review_required", F.lit(False)), "comparison").when(F.col("relevance") == "uncertain", "uncertain")
+        said = comparisons.select(F.col(key).alias("_key"), doubt.alias("_why")).where("_why IS NOT NULL")
+        out = out.join(said, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("reasons", F.array_compact(F.concat("reasons", F.array("_why")))).drop("_key", "_why")
     return out.withColumn("review", F.size("reasons") > 0)
 
 
@@ -171,8 +177,10 @@ def evidence_rows(rules: DataFrame) -> DataFrame:
 
 
 def with_texts(versions: DataFrame, texts: DataFrame) -> DataFrame:
-    """Versions with the text extracted from their document (document_id, extracted_text); without one they keep theirs."""
-    new = texts.groupBy("document_id").agg(F.max("extracted_text").alias("_text"))
+    """Versions with the text extracted from their document (document_id, extracted_text), the last by seq where there is one;
+    without a text they keep theirs."""
+    order = "seq" if "seq" in texts.columns else "extracted_text"
+    new = texts.where("extracted_text IS NOT NULL").groupBy("document_id").agg(F.max_by("extracted_text", order).alias("_text"))
     return versions.join(new, "document_id", "left").withColumn("extracted_text", F.coalesce("_text", "extracted_text")).select(versions.columns)
 
 
@@ -191,3 +199,12 @@ def current_rules(asked: DataFrame, known: DataFrame, versions: DataFrame, rules
     out = found.join(active, "scheme_id", "left").join(lists, "version_id", "left")
     kinds = lists.schema
     return out.withColumns({f"{t}_rules": F.coalesce(f"{t}_rules", F.array().cast(kinds[f"{t}_rules"].dataType)) for t in ("eligibility", "exclusion")})
+
+
+def versions_with_documents(versions: DataFrame, documents: DataFrame) -> DataFrame:
+    """Versions (document_hash, source_url and more) beside their document (sha256, id, local_path, source_url): document_id and
+    local_path, null where there is none, and the document's source_url before the version's own. Of several documents with one
+    hash the last by id counts, so a version stays one row; a null hash has no document."""
+    found = documents.groupBy(F.col("sha256").alias("_hash")).agg(F.max_by(F.struct("id", "local_path", "source_url"), "id").alias("_d"))
+    out = versions.join(found, F.col("document_hash") == F.col("_hash"), "left")
+    return out.withColumns({"document_id": F.col("_d.id"), "local_path": F.col("_d.local_path"), "source_url": F.coalesce("_d.source_url", "source_url")}).drop("_hash", "_d")

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import providers, session, sources, streaming
 from ..functions import citizens as C
 from ..functions import rules as R
 from ..functions import text as X
@@ -72,6 +73,41 @@ def version_timeline(spark, sf_dir):
     return timeline(spark, sf_dir)
 
 
+@query(TIMELINE + """SELECT t.doc_id, t.scheme, t.hash, t.old_active, t.status, t.change_type, CASE WHEN n = 1 THEN 'NEW_SCHEME' WHEN before = t.hash THEN 'UNCHANGED' ELSE 'NEW_VERSION' END AS detected
+FROM t JOIN (SELECT doc_id, row_number() OVER w AS n, lag(hash) OVER w AS before FROM a WINDOW w AS (PARTITION BY scheme ORDER BY doc_id)) USING (doc_id)""")
+def stream_timeline(spark, sf_dir):
+    """The timeline from a stream: arrivals come in six files, dealt without regard to their order, one a trigger."""
+    root = session.shared_folder(spark, "stream-timeline")
+    a = arrivals(spark, sf_dir).select("scheme", F.col("doc_id").alias("seq"), "hash", "review")
+    a.repartition(6, F.xxhash64("seq")).write.parquet(f"{root}/in")
+    schema = "scheme string, seq long, hash string, review boolean"
+    streaming.start(streaming.timeline_stream(streaming.arrivals_stream(spark, f"{root}/in", schema)), root).awaitTermination()
+    out = streaming.upserted(spark, root, ["scheme", "seq"], streaming.TIMELINE)
+    return out.select(F.col("seq").alias("doc_id"), "scheme", "hash", "old_active", "status", "change_type", "detected")
+
+
+@query(TIMELINE + "SELECT doc_id, scheme, hash, old_active, status, change_type FROM t")
+def published_timeline(spark, sf_dir):
+    """The timeline as readers find it: published with counts that have to fit, and read again by its number."""
+    root = session.shared_folder(spark, "knowledge-base")
+    state = lambda name: F.count_if(F.col("status") == name)
+    counts = {"active": state("ACTIVE"), "known": state("already_exists"), "logged": F.count("change_type")}
+    number = sources.publish(timeline(spark, sf_dir), root, base=0, counts=counts, valid=lambda f: f["logged"] + f["known"] == f["rows"])
+    return sources.current(spark, root, number)
+
+
+@query(TIMELINE.replace(f"NOT {USABLE} AS review FROM (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents)", """coalesce(marked, true) OR n_chars % 7 = 0 OR n_chars % 11 = 0 OR doc_id % 13 = 0 AS review FROM (SELECT doc_id, lang, n_chars, coalesce(text, '') AS text FROM documents)
+  LEFT JOIN (SELECT doc_id, bool_or(toxic = 1) AS marked FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id)""") + "SELECT doc_id, scheme, status, change_type, old_active FROM t")
+def reviewed_timeline(spark, sf_dir):
+    """The timeline where reviews are worked out: labels stand for extracted rules, lengths for what comparisons have said."""
+    d, lab = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    rules = d.select("doc_id").join(lab, "doc_id", "left").select("doc_id", F.when(F.col("quality").isNotNull(), "rule").alias("rule"), (F.col("toxic") == 1).alias("review_required"), F.lit("SUPPORTED").alias("consistency"), (F.col("doc_id") % 13 == 0).alias("force"))
+    said = d.select("doc_id", F.when(F.col("n_chars") % 7 == 0, True).alias("review_required"), F.when(F.col("n_chars") % 11 == 0, "uncertain").otherwise("none").alias("relevance"))
+    reviews = versions.needs_review(rules, "doc_id", "force", said).select("doc_id", "review")
+    arrived = arrivals(spark, sf_dir).drop("review").join(reviews, "doc_id")
+    return versions.version_timeline(arrived, "scheme", "doc_id", "hash", "review").select("doc_id", "scheme", "status", "change_type", "old_active")
+
+
 @query(TIMELINE + "SELECT scheme, doc_id, hash FROM t WHERE status = 'ACTIVE'")
 def active_versions(spark, sf_dir):
     return versions.active_versions(timeline(spark, sf_dir)).select("scheme", "doc_id", "hash")
@@ -541,6 +577,38 @@ def rules_with_evidence(spark, sf_dir):
     return r.select("o_orderkey", F.size("evidence").cast("bigint").alias("evidence"), F.get("evidence", F.lit(0))["l_returnflag"].alias("first_flag"))
 
 
+@query("""WITH v AS (SELECT event_id AS id, md5(CAST(user_id % 900 AS VARCHAR)) AS h, 'own' || event_id AS url FROM events), d AS (SELECT md5(CAST(c_custkey % 500 AS VARCHAR)) AS h, max(c_custkey) AS id FROM customer GROUP BY 1)
+SELECT v.id, d.id AS document_id, 'path' || d.id AS local_path, CASE WHEN d.id IS NULL OR d.id % 3 = 0 THEN v.url ELSE 'doc' || d.id END AS source_url FROM v LEFT JOIN d USING (h)""")
+def versions_with_documents(spark, sf_dir):
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    v = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.md5((F.col("user_id") % 900).cast("string")).alias("document_hash"), text("own", "event_id").alias("source_url"))
+    d = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.md5((F.col("c_custkey") % 500).cast("string")).alias("sha256"), text("path", "c_custkey").alias("local_path"), F.when(F.col("c_custkey") % 3 != 0, text("doc", "c_custkey")).alias("source_url"))
+    return versions.versions_with_documents(v, d).select("id", "document_id", "local_path", "source_url")
+
+
+class _ByHost:
+    """A fetcher that needs no network: a page's content is its host, hosts with a dash can't be reached."""
+
+    def fetch(self, url: str) -> bytes:
+        host = url.split("/")[2]
+        if "m." in host:
+            raise OSError(host)
+        return host.encode()
+
+
+_HOST = "regexp_extract(url, '^[a-z]+://([^/]+)', 1)"
+
+
+@query(f"""WITH u AS (SELECT DISTINCT url, {_HOST} AS host FROM pages), k AS (SELECT {_HOST} AS host, min(url) AS held FROM pages WHERE page_id % 10 = 0 GROUP BY 1),
+f AS (SELECT u.*, k.held, min(url) OVER (PARTITION BY u.host) AS first FROM u LEFT JOIN k USING (host))
+SELECT url, CASE WHEN host LIKE '%m.%' THEN 'download_failed' WHEN held IS NOT NULL OR url <> first THEN 'unchanged' ELSE 'new' END AS status, CASE WHEN host LIKE '%m.%' THEN NULL ELSE sha256(host) END AS file_hash, CASE WHEN host LIKE '%m.%' THEN NULL ELSE coalesce(held, first) END AS document_url FROM f""")
+def download_register(spark, sf_dir):
+    p = read(spark, sf_dir, "pages")
+    host = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
+    known = p.where("page_id % 10 = 0").select(F.sha2(host, 256).alias("file_hash"), F.col("url").alias("document_url"))
+    return providers.download_and_register(p.select("url"), _ByHost, known).select("url", "status", "file_hash", "document_url")
+
+
 @query("SELECT c_custkey, count(o_orderkey) AS documents, max(o_orderdate) AS newest FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def versions_left_join_documents(spark, sf_dir):
     c, o = read(spark, sf_dir, "customer").select("c_custkey"), read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
@@ -616,9 +684,12 @@ def household_limit(spark, sf_dir):
     return _evaluated(spark, sf_dir).where("rule_id = 6").select("c_custkey", "status")
 
 
-@query(ELIGIBILITY + "SELECT count(*) FILTER (scheme_key = 'doubt' AND status IN ('MATCH', 'NO_MATCH')) AS contradicted_rules_used, count(*) FILTER (scheme_key = 'doubt' AND status IN ('MATCH', 'NO_MATCH')) AS review_rules_used FROM e")
+@query(ELIGIBILITY + """SELECT count(*) FILTER (rule_id = 4 AND bucket IN ('eligibility', 'exclusion') AND status IN ('MATCH', 'NO_MATCH')) AS contradicted_rules_used,
+  count(*) FILTER (c_custkey % 2 = 0 AND bucket IN ('eligibility', 'exclusion') AND status IN ('MATCH', 'NO_MATCH')) AS review_rules_used FROM e""")
 def safety_counters(spark, sf_dir):
-    return eligibility.safety_counters(_evaluated(spark, sf_dir))
+    """As if rule 4 were contradicted and every second citizen's rules marked for review, and yet they were used."""
+    marked = _evaluated(spark, sf_dir).withColumns({"consistency": F.when(F.col("rule_id") == 4, "CONTRADICTED").otherwise("SUPPORTED"), "review_required": F.col("c_custkey") % 2 == 0})
+    return eligibility.safety_counters(marked)
 
 
 _AMOUNT = "format('{:,}', CAST(round_even(income, 0) AS BIGINT))"
@@ -730,7 +801,7 @@ def retry_counter(spark, sf_dir):
     return metrics.retries(t, "user_id", "event_id", "event_type", "ok").select("event_id", "failures", "aborted")
 
 
-@query("SELECT l_returnflag, round(avg(l_quantity), 1) AS avg_confidence, round(avg(CASE WHEN l_quantity < 25 THEN 1 ELSE 0 END) * 100, 1) AS low_conf_percentage FROM lineitem GROUP BY l_returnflag")
+@query("SELECT l_returnflag, round_even(avg(l_quantity), 1) AS avg_confidence, round_even(avg(CASE WHEN l_quantity < 25 THEN 1 ELSE 0 END) * 100, 1) AS low_conf_percentage FROM lineitem GROUP BY l_returnflag")
 def ocr_stats(spark, sf_dir):
     return metrics.ocr_stats(read(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", 25)
 

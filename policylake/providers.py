@@ -4,13 +4,13 @@ executors, in batches; tests use fakes. Only the decisions around them are made
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class Fetcher(Protocol):
@@ -110,27 +110,131 @@ def ask(model: LanguageModel, prompt: str, system: str, attempts: int = 3) -> st
 
 
 def repair_json(answer: str) -> Any:
-    """JSON of a model's answer: as it is, without fences, its outermost braces, with inner quotes mended, or the rules it names."""
-    text = re.sub(r"^\s*```(?:json)?|```\s*$", "", answer or "").strip()
-    braces = text[text.find("{") : text.rfind("}") + 1] if "{" in text and "}" in text else ""
-    mended = re.sub(r'([^\\])"([^:,\]\}]+)"([^\\])', r"\1'\2'\3", braces)
-    for form in (answer or "", text, braces, mended):
-        if form.strip():
-            try:
-                return json.loads(form)
-            except ValueError:
-                continue
-    if not braces:
+    """JSON of a model's answer: as it is, without what stands around it, else mended; if that has no lists of rules, the rules
+    that are found anywhere in it. ValueError where there is nothing in braces."""
+    text = answer or ""
+    first, last = text.find("{"), text.rfind("}")
+    for form in (text, text[first : last + 1] if 0 <= first < last else ""):
+        try:
+            return json.loads(form)
+        except ValueError:
+            continue
+    if first < 0:
         raise ValueError("no JSON in the answer")
+    mended = closed_json(text[first:])
+    try:
+        found = json.loads(mended)
+    except ValueError:
+        found = _objects(mended)
+    if isinstance(found, dict) and {"eligibility_rules", "exclusion_rules"} & found.keys():
+        return found
+    rules = list(_rules_in(found))
+    if not rules and isinstance(found, dict):
+        return found
     out: dict[str, list] = {"eligibility_rules": [], "exclusion_rules": []}
-    for item in re.findall(r"\{[^{}]*\}", braces):
-        got = {k: m[1] for k in ("rule", "type", "evidence") if (m := re.search(rf'"{k}"\s*:\s*"([^"]+)"', item))}
-        if "rule" in got:
-            rule = {"type": "eligibility", "evidence": ""} | got
-            out["exclusion_rules" if rule["type"] == "exclusion" or "excl" in item else "eligibility_rules"].append(rule)
+    for rule in rules:
+        out["exclusion_rules" if rule["type"] == "exclusion" else "eligibility_rules"].append(rule)
     return out
 
 
+def closed_json(text: str) -> str:
+    """Text that begins with a brace, made well-formed as far as brackets and strings go: a quotation mark ends a string only
+    before what may follow one, commas before a closing bracket go, and what is open at the end is closed. Text after the
+    outermost brace is left out."""
+    out: list[str] = []
+    open_brackets: list[str] = []
+    in_string, i = False, 0
+    pairs = {"{": "}", "[": "]"}
+    while i < len(text):
+        c = text[i]
+        if in_string:
+            if c == "\\" and i + 1 < len(text):
+                out.append(text[i : i + 2])
+                i += 1
+            elif c == '"':
+                after = text[i + 1 :].lstrip()
+                in_string = bool(after) and after[0] not in ",:]}"
+                out.append('\\"' if in_string else '"')
+            else:
+                out.append({"\n": "\\n", "\r": "\\r", "\t": "\\t"}.get(c, c))
+        elif c == '"':
+            in_string = True
+            out.append(c)
+        elif c in pairs:
+            open_brackets.append(pairs[c])
+            out.append(c)
+        elif c in "]}":
+            if c in open_brackets:  # brackets inside that were never closed end here, too
+                while True:
+                    closing = open_brackets.pop()
+                    _drop_comma(out)
+                    out.append(closing)
+                    if closing == c:
+                        break
+            if not open_brackets:
+                break
+        else:
+            out.append(c)
+        i += 1
+    if in_string:
+        out.append('"')
+    for closing in reversed(open_brackets):
+        _drop_comma(out)
+        out.append(closing)
+    return "".join(out)
+
+
+def _drop_comma(out: list[str]) -> None:
+    while out and (out[-1].isspace() or out[-1] == ","):
+        out.pop()
+
+
+def _objects(text: str) -> list:
+    """The objects that can be read from text, from left to right."""
+    decoder, found, i = json.JSONDecoder(), [], text.find("{")
+    while i >= 0:
+        try:
+            one, end = decoder.raw_decode(text, i)
+            found.append(one)
+        except ValueError:
+            end = i + 1
+        i = text.find("{", end)
+    return found
+
+
+def _rules_in(value: Any) -> Iterator[dict]:
+    """Objects with a rule, at any depth; without a type they are of eligibility, or of exclusion below a key that says so."""
+
+    def walk(v: Any, kind: str) -> Iterator[dict]:
+        if isinstance(v, dict):
+            if isinstance(v.get("rule"), str) and v["rule"]:
+                yield {"type": kind, "evidence": ""} | {k: v[k] for k in ("rule", "type", "evidence") if isinstance(v.get(k), str)}
+            else:
+                for k, x in v.items():
+                    yield from walk(x, "exclusion" if "exclu" in k.lower() else kind)
+        elif isinstance(v, list):
+            for x in v:
+                yield from walk(x, kind)
+
+    return walk(value, "eligibility")
+
+
+def download_and_register(urls: DataFrame, make: Callable[[], Fetcher], known: DataFrame, url: str = "url") -> DataFrame:
+    """(url, file_hash, file_size, status, document_url): new, unchanged or download_failed.
+
+    ``known``: file_hash and document_url of registered documents. Content that is known, or that an earlier address of the same
+    table has (in order of addresses), is unchanged and names the document that holds it. A null address fails."""
+    fetched = fetch_all(urls.where(F.col(url).isNotNull()).distinct(), make, url)
+    got = fetched.select(F.col(url).alias("url"), F.sha2("content", 256).alias("file_hash"), F.length("content").cast("long").alias("file_size"))
+    held = known.groupBy(F.col("file_hash").alias("_hash")).agg(F.min("document_url").alias("_held"))
+    firsts = got.where("file_hash IS NOT NULL").groupBy(F.col("file_hash").alias("_h")).agg(F.min("url").alias("_first"))
+    out = got.join(held, F.col("file_hash") == F.col("_hash"), "left").join(firsts, F.col("file_hash") == F.col("_h"), "left")
+    holder = F.coalesce("_held", "_first")
+    status = F.when(F.col("file_hash").isNull(), "download_failed").when(F.col("_held").isNotNull() | (F.col("url") != F.col("_first")), "unchanged").otherwise("new")
+    lost = urls.where(F.col(url).isNull()).select(F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("file_hash"), F.lit(None).cast("long").alias("file_size"), F.lit("download_failed").alias("status"), F.lit(None).cast("string").alias("document_url"))
+    return out.select("url", "file_hash", "file_size", status.alias("status"), holder.alias("document_url")).unionByName(lost)
+
+
 @dataclass
 class Tools:
     """Named functions with their documentation. A failed call is a result, not an exception."""

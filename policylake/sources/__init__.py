@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -53,23 +55,78 @@ def _fs(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-def publish(df: DataFrame, root: str, note: str = "") -> str:
-    """Write a snapshot beside the others and only then name it in the pointer file: readers see all of it or none."""
+class Conflict(Exception):
+    """Another writer has published since the state that a snapshot was made from."""
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    fs, folder = _fs(spark, f"{root}/versions")
+    if not fs.exists(folder):
+        return []
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(folder) if f.getPath().getName().isdigit())
+
+
+def version(spark: SparkSession, root: str) -> int:
+    """The number of the last published snapshot, 0 before the first."""
+    return max(_versions(spark, root), default=0)
+
+
+def publish(df: DataFrame, root: str, note: str = "", base: int | None = None, counts: dict[str, Column] | None = None, valid: Callable[[dict], bool] | None = None) -> int:
+    """Write a snapshot and name it by the next number, whose file is made only if it isn't there: readers see all of a
+    snapshot or none of it, at any time, and of two writers on one state the second gets a Conflict. Returns the number.
+
+    ``base``: the number that the snapshot was made from, if another one since then is a conflict; without it the next free number
+    is taken. ``counts``: aggregates that the writing pass gathers; ``valid`` refuses by them, and then nothing is named. They are
+    kept with the note."""
     spark = df.sparkSession
     name = f"snapshot-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(f"{root}/{name}")
-    fs, pointer = _fs(spark, f"{root}/CURRENT")
-    _, made = _fs(spark, f"{root}/.{name}")
-    out = fs.create(made, True)
-    out.write(bytearray(json.dumps({"snapshot": name, "note": note}).encode()))
+    seen = Observation(name)
+    whole = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in (counts or {}).items()])
+    whole.write.parquet(f"{root}/{name}")
+    found = seen.get
+    if valid is not None and not valid(found):
+        raise ValueError(f"the snapshot isn't published: {found}")
+    taken = version(spark, root)
+    if base is not None and taken != base:
+        raise Conflict(f"{taken} has been published since {base}")
+    content = bytearray(json.dumps({"snapshot": name, "note": note, "found": found}, default=str).encode())
+    while True:
+        taken += 1
+        try:
+            _create(spark, f"{root}/versions", str(taken), content)
+            return taken
+        except FileExistsError:
+            if base is not None:
+                raise Conflict(f"{taken} was published by another writer") from None
+
+
+def _create(spark: SparkSession, folder: str, name: str, content: bytearray) -> None:
+    """A file with ``content``, made whole under its name or not at all; FileExistsError where it is there."""
+    fs, target = _fs(spark, f"{folder}/{name}")
+    _, made = _fs(spark, f"{folder}/.{name}-{uuid.uuid4().hex}")
+    fs.mkdirs(made.getParent())
+    out = fs.create(made, False)
+    out.write(content)
     out.close()
-    fs.delete(pointer, False)
-    if not fs.rename(made, pointer):
-        raise OSError(f"the pointer to {name} wasn't written")
-    return name
-
-
-def current(spark: SparkSession, root: str) -> DataFrame:
-    """The snapshot that the pointer file names."""
-    row = spark.read.text(f"{root}/CURRENT").first()
-    return spark.read.parquet(f"{root}/{json.loads(row.value)['snapshot']}")
+    try:  # without the overwriting option a rename fails where the target is there
+        context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        context.rename(fs.makeQualified(made), fs.makeQualified(target), none)
+    except Py4JJavaError as e:
+        fs.delete(made, False)
+        if "FileAlreadyExistsException" in str(e.java_exception):
+            raise FileExistsError(f"{folder}/{name}") from None
+        raise
+
+
+def published(spark: SparkSession, root: str, number: int | None = None) -> dict:
+    """snapshot, note and found of a published number, the last if none is given."""
+    number = number or version(spark, root)
+    if not number:
+        raise FileNotFoundError(f"nothing is published in {root}")
+    return json.loads("\n".join(r.value for r in spark.read.text(f"{root}/versions/{number}").collect()))  # one small file
+
+
+def current(spark: SparkSession, root: str, number: int | None = None) -> DataFrame:
+    """The snapshot of a published number, the last if none is given."""
+    return spark.read.parquet(f"{root}/{published(spark, root, number)['snapshot']}")

@@ -228,7 +228,40 @@ def test_sources(spark, tmp_path):
     root = str(tmp_path / "kb")
     sources.publish(spark.range(3), root)
     sources.publish(spark.range(5), root)
-    assert sources.current(spark, root).count() == 5
+    assert sources.current(spark, root).count() == 5 and sources.current(spark, root, 1).count() == 3
+
+
+def test_publication(spark, tmp_path, monkeypatch):
+    """Two writers on one state are told apart, a refused snapshot isn't named, readers find one at every step."""
+    from policylake import sources
+
+    root = str(tmp_path / "kb")
+    with pytest.raises(FileNotFoundError):
+        sources.current(spark, root)
+    total = {"total": F.sum("id")}
+    assert sources.publish(spark.range(4), root, "first", base=0, counts=total, valid=lambda f: f["rows"] == 4 and f["total"] == 6) == 1
+    assert sources.published(spark, root) == {"snapshot": sources.published(spark, root)["snapshot"], "note": "first", "found": {"rows": 4, "total": 6}}
+    with pytest.raises(ValueError):
+        sources.publish(spark.range(9), root, counts=total, valid=lambda f: f["total"] < 9)
+    assert sources.version(spark, root) == 1
+    assert sources.publish(spark.range(5), root, base=1) == 2
+    with pytest.raises(sources.Conflict):
+        sources.publish(spark.range(6), root, base=1)
+    create, seen = sources._create, []
+
+    def raced(spark, folder, name, content):  # another writer takes the number between the look and the naming
+        seen.append(sources.current(spark, root).count())
+        if len(seen) == 1:
+            create(spark, folder, name, bytearray(json.dumps({"snapshot": sources.published(spark, root, 1)["snapshot"], "note": "", "found": {}}).encode()))
+        create(spark, folder, name, content)
+
+    monkeypatch.setattr(sources, "_create", raced)
+    with pytest.raises(sources.Conflict):
+        sources.publish(spark.range(7), root, base=2)
+    seen.clear()
+    assert sources.publish(spark.range(8), root) == 5 and seen == [4, 4]
+    assert [sources.current(spark, root, k).count() for k in (1, 2, 3, 4, 5)] == [4, 5, 4, 4, 8]
+    assert not [f for f in (tmp_path / "kb" / "versions").iterdir() if f.name.startswith(".") and not f.name.endswith(".crc")]
 
 
 def test_providers(spark):
@@ -262,18 +295,37 @@ def test_providers(spark):
 
 
 def test_stream(spark, tmp_path):
+    """Out of order, in triggers of one file, with a restart and a file given again: as the batch has it."""
+    from policylake import streaming
+
+    rnd, root = random.Random(9), str(tmp_path / "stream")
+    schema = "scheme string, seq long, hash string, review boolean"
+    arrivals = [(rnd.choice(["s0", "s1", "s2", None]), i, rnd.choice(["a", "b", "c", "d", None, ""]), rnd.choice([True, False, False, None])) for i in range(90)]
+    given = sorted(arrivals, key=lambda r: r[1] + rnd.randrange(60))
+    for k, part in enumerate([given[:30], given[30:60], given[60:], given[20:40]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        if k in (1, 3):  # the second run goes on from the checkpoint of the first
+            streaming.start(streaming.timeline_stream(streaming.arrivals_stream(spark, f"{root}/in", schema)), root).awaitTermination()
+    got = streaming.upserted(spark, root, ["scheme", "seq"], streaming.TIMELINE)
+    df = spark.createDataFrame(arrivals, schema)
+    want = versions.version_timeline(df, "scheme", "seq", "hash", "review")
+    cols = ["seq", "scheme", "status", "change_type", "old_active"]
+    assert sorted(map(str, rows(got, *cols))) == sorted(map(str, rows(want, *cols)))
+    detected = versions.detect_versions(df, "scheme", "seq", "hash")
+    assert dict(rows(got, "seq", "detected")) == dict(rows(detected, "seq", "change"))
+    assert len(list((tmp_path / "stream" / "out").glob("trigger=*"))) > 3
+
+
+def test_first_arrivals_are_not_forgotten(spark, tmp_path):
     from policylake import streaming
 
-    rnd = random.Random(9)
-    arrivals = [(f"s{rnd.randrange(3)}", i, rnd.choice("ab")) for i in range(60)]
-    for k in range(3):
-        spark.createDataFrame(arrivals[20 * k : 20 * k + 20], "scheme string, seq long, hash string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = streaming.detect_changes(streaming.arrivals_stream(spark, str(tmp_path / "in"), "scheme string, seq long, hash string"))
-    q = stream.writeStream.format("memory").queryName("changes").option("checkpointLocation", str(tmp_path / "cp")).start()
+    schema = "scheme string, hash string, at timestamp"
+    for day in ("2024-01-01", "2024-06-01", "2024-01-02"):
+        spark.createDataFrame([("s", "a", None)], schema).withColumn("at", F.lit(day).cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q = streaming.first_arrivals(streaming.arrivals_stream(spark, str(tmp_path / "in"), schema)).writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    want = versions.detect_versions(spark.createDataFrame(arrivals, "scheme string, seq long, hash string"), "scheme", "seq", "hash")
-    assert dict(rows(spark.table("changes"), "seq", "change")) == dict(rows(want, "seq", "change"))
+    assert spark.table("firsts").count() == 1
 
 
 def greedy_by_loop(olds, news):
