@@ -14,15 +14,18 @@ _written: dict[str, tuple[weakref.ref, str]] = {}
 _own_root: list[str] = []
 
 
-#: Rows of an Arrow batch, at most: the default of 10 000 is tens of megabytes of text, on both sides and for each task.
-BATCH_ROWS = 2_000
+#: Rows and bytes of an Arrow batch, at most: the defaults of 10 000 rows and 64 MB are held several times over, by the JVM, on
+#: the way and by the worker, and for each task; where long documents lie together, rows alone bound nothing.
+BATCH_ROWS, BATCH_BYTES = 2_000, 4_000_000
 
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the session's Arrow batches, if they are larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if not (given := spark.conf.get(size, "").removesuffix("b")).isdigit() or not 0 < int(given) <= BATCH_BYTES:
+        spark.conf.set(size, f"{BATCH_BYTES}b")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
