@@ -24,7 +24,8 @@ def small_batches(spark: SparkSession) -> None:
     rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
-    if not (given := spark.conf.get(size, "").removesuffix("b")).isdigit() or not 0 < int(given) <= BATCH_BYTES:
+    given = spark.conf.get(size).removesuffix("b")  # a size in other units is set anew
+    if not given.isdigit() or not 0 < int(given) <= BATCH_BYTES:
         spark.conf.set(size, f"{BATCH_BYTES}b")
 
 
