@@ -79,6 +79,16 @@ def test_learned_lexicon_alone(spark):
     assert r[1, 1] / (r[1, 1] + r[1, 0]) > 0.85 and r.get((0, 1), 0) / r[0, 0] < 0.01
 
 
+def test_clauses_and_quotations():
+    g = toxicity.Grammar({"idiot": 1.0})
+    weigh = lambda text: [round(w, 3) for _, _, w in g.clauses(text)]
+    assert weigh("they said hello\nyou are an idiot") == weigh("they said hello. you are an idiot") == [1.5]
+    assert weigh('"I am fine. All is well." you are an idiot') == [1.5]
+    assert weigh('"I am fine. You are an idiot." So it is.') == [0.6]
+    assert weigh('A 5" pipe.\nyou are an idiot') == [1.5]
+    assert weigh("they said hello, and you are an idiot") == [0.6]
+
+
 @pytest.mark.parametrize("name, least", [("toxic", 0.94)])
 def test_held_out_toxicity(spark, name, least):
     sf = "/root/testdata/sf0.01"
