@@ -551,6 +551,155 @@ def rule_compare(spark, sf_dir):
     return rules_diff.summarise(rules_diff.compare_rules(_rule_pairs(spark, sf_dir)))
 
 
+# Rules and their evidence whose verdicts are known beforehand; {n} and {m} are a part's numbers, equal for even keys.
+_GOOD = "the farmer of the state is read in the order and dated for the plan"
+_CASES = [
+    # rule, evidence, type; qualification, scope, grounding, its stage; funding, absence
+    ("Applicant must be a farmer of the state", _GOOD, "eligibility", "valid", "candidate", "SUPPORTED", "supported", False, False),
+    ("null", _GOOD, "eligibility", "empty", "candidate", "SUPPORTED", "supported", False, False),
+    ("No exclusions mentioned", _GOOD, "exclusion", "absence", "candidate", "SUPPORTED", "supported", False, True),
+    ("State-wise allocation of the farmer fund", "state-wise allocation of the funds for the plan of the state", "eligibility", "funding", "candidate", "SUPPORTED", "supported", True, False),
+    ("The member is to be nominated by the farmer group", "to be nominated by the government of the state for the order", "eligibility", "committee", "candidate", "SUPPORTED", "supported", False, False),
+    ("Farmer of {n} acres", "the farmer of the state is read in the order for {n} acres", "eligibility", "valid", "candidate", "SUPPORTED", "supported", False, False),
+    ("Farmer of {n} acres", "the farmer of the state is read in the order for {m} acres", "eligibility", "valid", "candidate", None, None, False, False),
+    ("Farmer of the state", "", "eligibility", "valid", "candidate", "INSUFFICIENT", "none", False, False),
+    ("Farmer of the state", "farmer", "eligibility", "valid", "candidate", "INSUFFICIENT", "brief", False, False),
+    ("Farmer of the state", "x~~y;;z ^^ farmer ~~~ q;;w ___ ||", "eligibility", "valid", "candidate", "REVIEW_REQUIRED", "garbled", False, False),
+    ("Family income below the limit", "the family income of the farmer is read in the order of the state", "eligibility", "valid", "household", "SUPPORTED", "supported", False, False),
+    ("Documents required for the farmer", "the documents required of the farmer are read in the order of the state", "eligibility", "valid", "administrative", "SUPPORTED", "supported", False, False),
+    ("Income tax payer is excluded as a farmer", "the farmer of the state that files a gst return is read in the order", "exclusion", "valid", "candidate", "REVIEW_REQUIRED", "generalised", False, False),
+    ("A student of a scholarship", _GOOD, "eligibility", "valid", "candidate", "REVIEW_REQUIRED", "unsupported", False, False),
+]
+
+
+def _cases(spark, sf_dir):
+    case, odd = F.col("p_partkey") % len(_CASES), F.col("p_partkey") % 2
+    n, m = (F.col("p_size") + 100).cast("string"), (F.col("p_size") + 100 + odd * 60).cast("string")
+    filled = lambda k: F.replace(F.replace(F.get(F.array(*[F.lit(c[k]) for c in _CASES]), case.cast("int")), F.lit("{n}"), n), F.lit("{m}"), m)
+    return read(spark, sf_dir, "part").select("p_partkey", filled(0).alias("rule"), filled(1).alias("evidence"), filled(2).alias("type"))
+
+
+def _known(columns: str, *places: int) -> str:
+    lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'"
+    rows = ", ".join(f"({k}, {', '.join(lit(c[p]) for p in places)})" for k, c in enumerate(_CASES))
+    return f"(SELECT * FROM (VALUES {rows}) AS v(k, {columns}))"
+
+
+@query(f"SELECT p_partkey, qualification, scope, funding, absence FROM part JOIN {_known('qualification, scope, funding, absence', 3, 4, 7, 8)} ON k = p_partkey % {len(_CASES)}")
+def rule_qualification(spark, sf_dir):
+    c = _cases(spark, sf_dir)
+    return c.select("p_partkey", R.qualification("rule", "evidence").alias("qualification"), R.scope("rule", "evidence").alias("scope"), R.is_funding("rule", "evidence").alias("funding"), R.is_absence("rule").alias("absence"))
+
+
+@query(f"SELECT p_partkey, coalesce(status, CASE WHEN p_partkey % 2 = 0 THEN 'SUPPORTED' ELSE 'CONTRADICTED' END) AS status, coalesce(stage, CASE WHEN p_partkey % 2 = 0 THEN 'supported' ELSE 'numbers' END) AS stage FROM part JOIN {_known('status, stage', 5, 6)} ON k = p_partkey % {len(_CASES)}")
+def rule_grounding(spark, sf_dir):
+    g = _cases(spark, sf_dir).select("p_partkey", R.grounding("rule", "evidence", "type").alias("g"))
+    return g.select("p_partkey", "g.status", "g.stage")
+
+
+@query(f"""WITH a AS (SELECT p_partkey % 40 AS doc, coalesce(status, CASE WHEN p_partkey % 2 = 0 THEN 'SUPPORTED' ELSE 'CONTRADICTED' END) AS status FROM part JOIN {_known('qualification, status', 3, 5)} ON k = p_partkey % {len(_CASES)} WHERE qualification = 'valid')
+SELECT doc, count(*) AS rules, count(*) FILTER (status <> 'SUPPORTED') AS unsupported, count(*) FILTER (status = 'CONTRADICTED') AS contradicted FROM a GROUP BY doc""")
+def extraction_audit(spark, sf_dir):
+    """Extractions of forty documents: their two lists as rows, what doesn't qualify dropped, the rest audited."""
+    rule = F.struct("rule", "type", F.lit("other").alias("category"), "evidence", F.lit(90.0).alias("ocr_confidence"), F.lit("0.9").alias("semantic_confidence"))
+    pick = lambda kind: F.collect_list(F.when(F.col("type") == kind, rule)).alias(kind)
+    docs = _cases(spark, sf_dir).withColumn("doc", F.col("p_partkey") % 40).groupBy("doc").agg(pick("eligibility"), pick("exclusion"))
+    rows = audit.audit_rules(audit.flatten_extraction(docs, "doc", "eligibility", "exclusion"))
+    return rows.groupBy("doc").agg(F.count("*").alias("rules"), F.count_if(F.col("consistency") != "SUPPORTED").alias("unsupported"), F.count_if(F.col("consistency") == "CONTRADICTED").alias("contradicted"))
+
+
+@query("""SELECT p_partkey, CAST(CASE p_partkey % 3 WHEN 0 THEN (p_size * 10 + 5) * 10000 ELSE 3000 + p_size END AS DOUBLE) AS money, CAST(CASE p_partkey % 3 WHEN 0 THEN p_size + 0.5 WHEN 1 THEN 3000 + p_size ELSE p_size + 100 END AS DOUBLE) AS first_number,
+  CASE p_partkey % 3 WHEN 0 THEN (p_size * 10 + 5) || ',2023' WHEN 1 THEN (3000 + p_size) || ',' || p_partkey ELSE '2024,' || (p_size + 100) || ',' || (3000 + p_size) END AS numbers FROM part""")
+def rule_numbers(spark, sf_dir):
+    k, size, big = F.col("p_partkey") % 3, F.col("p_size").cast("string"), (F.col("p_size") + 3000).cast("string")
+    text = F.when(k == 0, F.concat(size, F.lit(".5 lakh in 2023"))).when(k == 1, F.concat(F.lit("Rs. "), big, F.lit(" for part "), F.col("p_partkey").cast("string"))).otherwise(F.concat(F.lit("in 2024, "), (F.col("p_size") + 100).cast("string"), F.lit(" of ₹"), big))
+    p = read(spark, sf_dir, "part").select("p_partkey", text.alias("t"))
+    return p.select("p_partkey", R.money("t").alias("money"), R.first_number("t").alias("first_number"), F.array_join(F.transform(R.numbers("t"), lambda n: n.cast("string")), ",").alias("numbers"))
+
+
+@query("""SELECT page_id, length(t) >= 50 AND NOT (length(t) < 600 AND t LIKE '%<nav>%' AND t NOT LIKE '%article%') AND (page_id % 6 + 1 <= 3 OR t LIKE '% the %') AS worth FROM (SELECT page_id, substr(lower(coalesce(html, '')), 200, 30 + page_id % 900) AS t FROM pages)""")
+def page_skip(spark, sf_dir):
+    t = F.lower(F.coalesce("html", F.lit("")))
+    p = read(spark, sf_dir, "pages").select("page_id", F.substring(t, F.lit(200), (30 + F.col("page_id") % 900).cast("int")).alias("t"))
+    return p.select("page_id", R.worth_extracting("t", F.col("page_id") % 6 + 1, ["<nav>"], ["article"], [" the "]).alias("worth"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 < 2 THEN url || '/' || page_id || CASE WHEN page_id % 3 = 0 THEN '-GO.PDF' ELSE '.pdf' END END AS document_url, CASE page_id % 3 WHEN 0 THEN 'order' WHEN 1 THEN 'guideline' END AS document_type
+FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages)""")
+def direct_documents(spark, sf_dir):
+    k, base = F.col("page_id") % 3, F.regexp_replace("url", "[?#].*$", "")
+    url = F.concat(base, F.lit("/"), F.col("page_id").cast("string"), F.when(k == 0, "-GO.PDF").when(k == 1, ".pdf").otherwise(".html"))
+    d = read(spark, sf_dir, "pages").select("page_id", discovery.direct_document(url).alias("d"))
+    return d.select("page_id", "d.document_url", "d.document_type")
+
+
+_SCHEMES = "SELECT 'scheme-' || user_id % 300 AS slug, event_id AS seq, event_type AS name, CASE WHEN user_id % 3 <> 0 THEN 'dept' || event_id % 7 END AS department FROM events"
+
+
+def _scheme_events(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    return e.select(F.concat(F.lit("scheme-"), (F.col("user_id") % 300).cast("string")).alias("slug"), F.col("event_id").alias("seq"), F.col("event_type").alias("name"), F.when(F.col("user_id") % 3 != 0, F.concat(F.lit("dept"), (F.col("event_id") % 7).cast("string"))).alias("department"))
+
+
+@query(f"SELECT slug, min(seq) AS id, arg_max(name, seq) AS name, arg_max(department, seq) FILTER (department IS NOT NULL) AS department FROM ({_SCHEMES}) GROUP BY slug")
+def schemes(spark, sf_dir):
+    return versions.schemes(_scheme_events(spark, sf_dir))
+
+
+@query(f"SELECT slug, min(seq) AS seq, arg_min(name, seq) AS name FROM ({_SCHEMES}) WHERE CAST(split_part(slug, '-', 2) AS INTEGER) % 4 <> 0 GROUP BY slug")
+def schemes_to_add(spark, sf_dir):
+    known = _scheme_events(spark, sf_dir).where(F.split_part("slug", F.lit("-"), F.lit(2)).cast("int") % 4 == 0).select("slug").distinct()
+    return versions.schemes_to_add(_scheme_events(spark, sf_dir), known).select("slug", "seq", "name")
+
+
+@query("""WITH v AS (SELECT o_orderkey AS id, o_custkey AS scheme_id, CASE WHEN o_orderkey = max(o_orderkey) OVER (PARTITION BY o_custkey) THEN 'ACTIVE' ELSE 'ARCHIVED' END AS status FROM orders),
+c AS (SELECT v.*, CASE id % 9 WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'ARCHIVED' END AS go FROM v), r AS (SELECT *, max(CASE WHEN go = 'ACTIVE' THEN id END) OVER (PARTITION BY scheme_id) AS risen FROM c)
+SELECT id, scheme_id, CASE WHEN id = risen THEN 'ACTIVE' WHEN risen IS NOT NULL AND (status = 'ACTIVE' OR go = 'ACTIVE') THEN 'ARCHIVED' WHEN go = 'ARCHIVED' THEN 'ARCHIVED' ELSE status END AS status FROM r""")
+def status_changes(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("scheme_id"))
+    newest = o.groupBy("scheme_id").agg(F.max("id").alias("newest"))
+    v = o.join(newest, "scheme_id").select("id", "scheme_id", F.when(F.col("id") == F.col("newest"), "ACTIVE").otherwise("ARCHIVED").alias("status"))
+    changes = o.where("id % 9 < 2").select("id", F.when(F.col("id") % 9 == 0, "ACTIVE").otherwise("ARCHIVED").alias("status"))
+    return versions.set_status(v, changes)
+
+
+@query("SELECT l_orderkey AS version_id, 'rule ' || l_suppkey % 5 AS rule, l_returnflag AS type, CASE WHEN l_suppkey % 2 = 0 THEN 'other' ELSE l_linestatus END AS category, min(l_linenumber) AS seq FROM lineitem GROUP BY ALL")
+def stored_rules(spark, sf_dir):
+    l = read(spark, sf_dir, "lineitem")  # noqa: E741
+    rules = l.select(F.col("l_orderkey").alias("version_id"), F.concat(F.lit("rule "), (F.col("l_suppkey") % 5).cast("string")).alias("rule"), F.col("l_returnflag").alias("type"), F.when(F.col("l_suppkey") % 2 != 0, F.col("l_linestatus")).alias("category"), F.col("l_linenumber").alias("seq"))
+    return versions.store_rules(rules)
+
+
+@query("SELECT p_partkey AS rule_id, CASE WHEN p_partkey % 3 = 0 THEN p_size END AS page_number, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE ' ' END AS evidence_text FROM part WHERE p_partkey % 5 <> 0 AND (p_partkey % 3 = 0 OR p_partkey % 2 = 0)")
+def evidence_rows(spark, sf_dir):
+    k = F.col("p_partkey")
+    found = F.struct(F.when(k % 3 == 0, F.col("p_size")).cast("int").alias("page_number"), F.when(k % 2 == 0, F.col("p_name")).otherwise(" ").alias("source_text"))
+    rules = read(spark, sf_dir, "part").select(k.alias("id"), F.when(k % 5 != 0, found).alias("evidence"))
+    return versions.evidence_rows(rules).select("rule_id", "page_number", "evidence_text")
+
+
+@query("SELECT c_custkey AS id, coalesce(t, CASE WHEN c_custkey % 2 = 0 THEN 'kept' END) AS extracted_text FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS t FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey")
+def extracted_texts(spark, sf_dir):
+    v = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("document_id"), F.when(F.col("c_custkey") % 2 == 0, "kept").alias("extracted_text"))
+    t = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("extracted_text"))
+    return versions.with_texts(v, t).select("id", "extracted_text")
+
+
+@query("""SELECT p_partkey % 50 AS doc, CASE max(CASE p_partkey % 7 WHEN 0 THEN 3 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 0 END) WHEN 3 THEN 'clearly_relevant' WHEN 1 THEN 'uncertain' ELSE 'none' END AS relevance, count(*) FILTER (p_partkey % 7 = 2) > 0 AS review_required,
+  count(*) FILTER (p_partkey % 7 = 1) AS put_right, count(*) FILTER (p_partkey % 7 = 0) AS about_income FROM part WHERE p_partkey % 11 < 3 GROUP BY 1""")
+def semantic_filter(spark, sf_dir):
+    """Changes as a model names them: some of eligibility, some that are notes of status mistaken for it, some uncertain."""
+    k = F.col("p_partkey") % 7
+    changes = read(spark, sf_dir, "part").where("p_partkey % 11 < 3").select(
+        (F.col("p_partkey") % 50).alias("doc"), k.alias("k"), F.when(k < 2, "eligibility_related").otherwise("procedural").alias("category"), F.when(k == 1, "clearly_relevant").when(k == 2, "uncertain").when(k == 0, "none").otherwise("none").alias("eligibility_relevance"),
+        F.lit(None).cast("string").alias("affected_attribute"), F.lit("").alias("old_evidence"), F.when(k == 0, F.concat(F.lit("income limit of Rs "), F.col("p_size").cast("string"))).otherwise("this notification is hereby issued").alias("new_evidence"), F.lit("").alias("description"),
+    )
+    checked = comparison.checked_changes(changes, ["notification"])
+    told = comparison.relevance_of_changes(checked, "doc")
+    right = checked.groupBy("doc").agg(F.count_if((F.col("k") == 1) & (F.col("category") == "document_status") & (F.col("eligibility_relevance") == "none")).alias("put_right"), F.count_if(F.col("affected_attribute") == "income").alias("about_income"))
+    return told.join(right, "doc").select("doc", "relevance", "review_required", "put_right", "about_income")
+
+
 _ABS, _ADM = ["no ", "all rights"], ["licensed under", "token ="]
 
 
