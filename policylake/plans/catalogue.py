@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import providers, session, sources, streaming
 from ..functions import citizens as C
 from ..functions import rules as R
 from ..functions import text as X
-from ..operators import audit, comparison, discovery, eligibility, matching, metrics, rules_diff, slices, versions
+from ..operators import audit, comparison, discovery, documents, eligibility, matching, metrics, rules_diff, slices, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -516,9 +516,8 @@ def numeric_threshold(spark, sf_dir):
 @query(RULES + """, p AS (SELECT p_partkey, cat, lim, lag(lim) OVER (PARTITION BY cat ORDER BY p_partkey) AS old FROM h)
 SELECT p_partkey, CASE WHEN cat NOT IN ('income', 'landholding', 'age') OR old IS NULL OR lim IS NULL THEN 'uncertain' WHEN lim = old THEN 'no_eligibility_impact' WHEN (lim > old) = (cat <> 'age') THEN 'eligibility_less_restrictive' ELSE 'eligibility_more_restrictive' END AS impact FROM p""")
 def threshold_impact(spark, sf_dir):
-    w = Window.partitionBy("cat").orderBy("p_partkey")
-    r = _rules(spark, sf_dir).withColumn("old", F.lag("lim").over(w))
-    return r.select("p_partkey", R.threshold_impact("cat", "old", "lim").alias("impact"))
+    r = slices.with_running(_rules(spark, sf_dir), "cat", "p_partkey", {"before": F.struct("lim")})
+    return r.select("p_partkey", R.threshold_impact("cat", "before.lim", "lim").alias("impact"))
 
 
 def _rule_pairs(spark, sf_dir):
@@ -1003,6 +1002,43 @@ def document_summary(spark, sf_dir):
     return metrics.summary_of_pages(d, "lang").select("lang", "pages", "usable", "needs_ocr")
 
 
+class _Reader:
+    """A reader of documents that are their pages' texts between form feeds, a table where a text has bars."""
+
+    def pages(self, content: bytes) -> list[dict]:
+        texts = content.decode().split("\f")
+        return [{"page_number": n + 1, "text": t, "blocks": [{}] * (t.count("\n") + 1), "has_table": t.count(" | ") >= 4} for n, t in enumerate(texts)]
+
+
+class _Ocr:
+    """An engine that reads a page as its number, in words; the second reading is better, on page 3 it fails."""
+
+    name = "counting"
+
+    def is_available(self) -> bool:
+        return True
+
+    def extract(self, content: bytes, page: int, attempt: int) -> dict:
+        if page % 4 == 3:
+            raise OSError("no reading")
+        return {"text": f"page {page} of the document, read {attempt}", "avg_confidence": 40.0 + page * 10 + 5 * attempt, "low_conf_percentage": 20.0}
+
+
+@query(f"""WITH d AS (SELECT doc_id // 8 AS doc, row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) AS n, coalesce(text, '') AS text FROM documents),
+u AS (SELECT *, {USABLE} AS usable, length(text) - length(replace(text, ' | ', '  ')) >= 4 AS tab, length(text) - length(replace(text, chr(10), '')) + 1 > 5 AS many, {_FORMS} AS f FROM d),
+p AS (SELECT *, length(f) - length(replace(f, ';', '')) >= 3 AS form, CASE WHEN usable THEN 'direct' WHEN n % 4 = 3 THEN 'failed' ELSE 'ocr' END AS method, CASE WHEN usable THEN 100 WHEN n % 4 = 3 THEN 0 WHEN 45 + n * 10 >= 55 THEN 45 + n * 10 ELSE 50 + n * 10 END AS conf FROM u)
+SELECT 'doc' || doc AS path, count(*) AS pages, count(*) FILTER (usable) AS usable_pages, count(*) FILTER (NOT usable AND NOT form AND NOT tab) AS scanned_pages, count(*) FILTER (tab AND (usable OR NOT form)) AS table_pages, count(*) FILTER (usable AND form) AS form_pages, count(*) FILTER (method = 'ocr') > 0 AS ocr_performed,
+  count(*) FILTER (method = 'failed' OR conf < 60) AS pages_to_review, sum(conf) AS confidence FROM p GROUP BY doc""")
+def document_scan(spark, sf_dir):
+    """Eight documents in a file: the files are read into pages, classified, read again by OCR where that is needed, and summed up."""
+    text = F.struct("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(text)), lambda p: p["t"]), "\f")
+    files = read(spark, sf_dir, "documents").groupBy(F.concat(F.lit("doc"), F.floor(F.col("doc_id") / 8).cast("string")).alias("path")).agg(joined.cast("binary").alias("content"))
+    pages = documents.understood(providers.scan_pages(files, _Reader), files, _Ocr, FORMS)
+    confidence = pages.groupBy("path").agg(F.sum("avg_confidence").cast("bigint").alias("confidence"))
+    return documents.summaries(pages).drop("text", "avg_confidence").join(confidence, "path")
+
+
 @query("SELECT event_id, props, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, json_keys(props)[1] AS k FROM events)")
 def json_props(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_id", "props", F.from_json("props", "map<string,string>").alias("m"))
