@@ -10,6 +10,7 @@ from .. import lex
 from ..functions.citizens import annual_income
 from ..functions.rules import first_number, money
 from ..functions.text import has_any
+from .versions import contained
 
 MATCH, NO_MATCH, UNKNOWN, REVIEW, NOT_APPLICABLE = "MATCH", "NO_MATCH", "UNKNOWN", "REVIEW_REQUIRED", "NOT_APPLICABLE"
 
@@ -214,14 +215,13 @@ def scheme_rules(asked: DataFrame, stored: DataFrame, files: DataFrame) -> DataF
     own = wants.join(stored, "scheme_key").where(right).drop("_label").withColumn("origin", F.lit("knowledge_base"))
     left = wants.join(own.select("scheme_key").distinct(), "scheme_key", "left_anti").select("scheme_key").distinct()
     names = files.select("file_name").distinct()
-    # The names of files are few; the keys are searched in them, as a file's name is no key.
-    known = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(f).alias("file")) for k, f, _ in lex.SCHEME_FILES])
-    alias = F.filter(known, lambda k: F.col("scheme_key").contains(k["key"]) | k["key"].contains(F.col("scheme_key")))
-    listed = names.agg(F.sort_array(F.collect_set("file_name")).alias("_files"))
-    chosen = left.join(F.broadcast(listed), F.lit(True))
-    named = F.try_element_at(F.filter("_files", lambda n: F.lower(n).contains(F.col("scheme_key"))), F.lit(1))
-    other = F.try_element_at(F.filter(F.transform(alias, lambda k: k["file"]), lambda n: F.array_contains("_files", n)), F.lit(1))
-    chosen = chosen.select("scheme_key", F.coalesce(named, other).alias("file_name")).where("file_name IS NOT NULL")
+    named = contained(left.select(F.col("scheme_key").alias("needle")).distinct(), names.select(F.lower("file_name").alias("text"), "file_name"), ["file_name"]).groupBy("needle").agg(F.min("file_name").alias("_named"))
+    # The files that are known for a scheme are a handful; the first of a key's that is there counts.
+    alias = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("key"), F.lit(f).alias("file_name")) for n, (k, f, _) in enumerate(lex.SCHEME_FILES)])
+    told = left.select("scheme_key", F.explode(F.filter(alias, lambda k: F.col("scheme_key").contains(k["key"]) | k["key"].contains(F.col("scheme_key")))).alias("a")).select("scheme_key", "a.n", "a.file_name")
+    other = told.join(names, "file_name").groupBy("scheme_key").agg(F.min_by("file_name", "n").alias("_other"))
+    chosen = left.join(named, F.col("scheme_key") == F.col("needle"), "left").join(other, "scheme_key", "left")
+    chosen = chosen.select("scheme_key", F.coalesce("_named", "_other").alias("file_name")).where("file_name IS NOT NULL")
     rest = [c for c in stored.columns if c not in ("scheme_key", "version_label", "version_status")]
     filed = files.where(F.trim(F.coalesce("rule", F.lit(""))) != "").select("file_name", *rest)
     filed = chosen.join(filed, "file_name").select("scheme_key", F.lit("G.O. 2023").alias("version_label"), F.lit("ACTIVE").alias("version_status"), *rest, F.lit("file").alias("origin"))

@@ -121,21 +121,36 @@ def rules_with_evidence(rules: DataFrame, evidence: DataFrame, rule_id: str, col
     return rules.join(lists, rule_id, "left").withColumn("evidence", F.coalesce("evidence", F.array().cast(kind)))
 
 
+def contained(needles: DataFrame, texts: DataFrame, keep: list[str], size: int = 3) -> DataFrame:
+    """(needle and the columns ``keep`` of the texts) of all pairs of a needle and a text (text and more) that contains it.
+
+    Texts are found by the rarest of the needle's pieces of ``size`` characters, then searched; a needle with a piece that no
+    text has meets none. A piece that many texts have is a hot key that Spark may split, as each side is a plain row. Needles
+    are distinct rows; null and empty ones are in no text."""
+    pieces = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+    # Short needles are pieces themselves.
+    all_pieces = F.array_distinct(F.concat(*[pieces(F.col("text"), n) for n in range(1, size + 1)]))
+    spelled = texts.where(F.length("text") > 0).select(*keep, "text", F.explode(all_pieces).alias("piece"))
+    counts = spelled.groupBy("piece").agg(F.count("*").alias("n"))
+    asked = needles.where(F.length("needle") > 0).select("needle", F.explode(F.array_distinct(pieces(F.col("needle"), size))).alias("piece"))
+    rarest = asked.join(counts, "piece", "left").groupBy("needle").agg(F.min_by("piece", "n").alias("piece"), F.count_if(F.col("n").isNull()).alias("lost")).where("lost = 0")
+    return rarest.select("needle", "piece").join(spelled, "piece").where(F.col("text").contains(F.col("needle"))).select("needle", *keep)
+
+
 def find_scheme(queries: DataFrame, known: DataFrame, stop: tuple[str, ...] = ("the", "and", "scheme", "yojana", "for"), least: int = 3) -> DataFrame:
     """The scheme that a query (query_id, query) means: its slug, else the first of its tokens that a slug or name contains;
     slugs before names, then the smaller id. ``known``: id, slug, name.
 
-    Tokens meet slugs and names on their first three characters, which any text that contains the token has, too; only then
-    is the token searched. ``least`` is 3 or more."""
+    Each distinct token is looked up once, by its rarest piece, and has one best scheme, so that a word that all schemes have
+    costs one pass over them and not one for each query."""
     q = F.lower(F.trim("query"))
     tokens = queries.select("query_id", q.alias("q"), F.posexplode_outer(F.split(q, "[^\\p{L}\\p{N}]+")).alias("pos", "token"))
-    tokens = tokens.where((F.length("token") >= least) & ~F.col("token").isin(*stop)).withColumn("gram", F.substring("token", 1, 3))
+    tokens = tokens.where((F.length("token") >= least) & ~F.col("token").isin(*stop)).select("query_id", "pos", "token")
     exact = queries.select("query_id", q.alias("q")).join(known, F.col("q") == F.col("slug")).select("query_id", "id", "slug", "name", F.lit(-1).alias("pos"), F.lit(0).alias("weight"))
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(F.lower(c), i, F.lit(3)))
-    spelled = known.select("id", "slug", "name", F.explode(F.array_distinct(F.concat(grams(F.coalesce("slug", F.lit(""))), grams(F.coalesce("name", F.lit("")))))).alias("gram"))
-    met = tokens.join(spelled, "gram")
-    in_slug, in_name = F.coalesce(F.lower("slug").contains(F.col("token")), F.lit(False)), F.coalesce(F.lower("name").contains(F.col("token")), F.lit(False))
-    fuzzy = met.where(in_slug | in_name).select("query_id", "id", "slug", "name", "pos", F.when(in_slug, 0).otherwise(1).alias("weight"))
+    spelled = lambda c, weight: known.where(F.col(c).isNotNull()).select(F.lower(c).alias("text"), F.struct(F.lit(weight).alias("weight"), "id", "slug", "name").alias("found"))
+    met = contained(tokens.select(F.col("token").alias("needle")).distinct(), spelled("slug", 0).unionAll(spelled("name", 1)), ["found"])
+    best = met.groupBy(F.col("needle").alias("token")).agg(F.min("found").alias("f"))
+    fuzzy = tokens.join(best, "token").select("query_id", "f.id", "f.slug", "f.name", "pos", "f.weight")
     best = exact.unionByName(fuzzy).groupBy("query_id").agg(F.min(F.struct("pos", "weight", "id", "slug", "name")).alias("b"))
     return best.select("query_id", "b.id", "b.slug", "b.name")
 

@@ -128,3 +128,20 @@ def test_references_of_a_page(spark):
     df = spark.createDataFrame([(k, *v) for k, v in pages.items()], "page_id long, url string, html string")
     got = sorted((r.page_id, r.url, r.text, r.title) for r in discovery.page_links(df).collect())
     assert got == [(1, "https://x.org/a.html", "A", ""), (1, "https://x.org?p=2", "2", ""), (2, "https://x.org/e/b.html", "b c d", "T\u00e9"), (3, "https://x.org/d/y?a=1&b=2", "y", ""), (4, "https://ok.org/", "ok", "")]
+
+
+def test_names_that_share_a_word(spark):
+    """A word that all of 30 000 schemes have, words of one scheme, short ones, and none."""
+    known = spark.range(30_000).select("id", F.concat(F.lit("common-"), F.hex("id")).alias("slug"), F.concat(F.lit("Common programme No "), F.col("id").cast("string")).alias("name"))
+    asked = spark.createDataFrame([(1, "the COMMON scheme"), (2, "common-7530"), (3, "programme 29999"), (4, "xyz of nothing"), (5, "no"), (6, None), (7, ""), (8, "unheard common")], "query_id long, query string")
+    got = {r.query_id: r.id for r in versions.find_scheme(asked, known).collect()}
+    assert got == {1: 0, 2: 0x7530 if 0x7530 < 30_000 else 0, 3: 0, 8: 0}
+
+
+def test_contained_is_containment(spark):
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("abc ") for _ in range(rnd.randrange(0, 14))) for _ in range(300)]
+    needles = sorted({"".join(rnd.choice("abc ") for _ in range(rnd.randrange(1, 6))) for _ in range(80)}) + ["zzz", "abz"]
+    t = spark.createDataFrame([*enumerate(texts), (999, None)], "id long, text string")
+    got = versions.contained(spark.createDataFrame([(n,) for n in [*needles, None, ""]], "needle string"), t, ["id"]).collect()
+    assert sorted((r.needle, r.id) for r in got) == sorted((n, i) for n in needles for i, x in enumerate(texts) if n in x)
