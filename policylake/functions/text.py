@@ -27,8 +27,29 @@ def once(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def any_of(words: list[str]) -> str:
-    """A pattern of literal alternatives."""
-    return "|".join(w if w.isalnum() else "".join("\\" + ch if ch in "\\.[]{}()*+-?^$|#&~" else ch for ch in w) for w in words)
+    """A pattern of literal alternatives, as a tree of their beginnings: at each place of a text only the words that go on like
+    it are looked at. A word that begins another one stands for both, as the pattern says whether any is there."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+    literal = lambda ch: "\\" + ch if ch in "\\.[]{}()*+-?^$|#&~" else ch
+
+    def pattern(node: dict) -> str:
+        if "" in node:
+            return ""
+        parts = []
+        for ch, below in node.items():
+            rest = literal(ch)
+            while len(below) == 1 and "" not in below:  # one way on
+                (ch, below), = below.items()
+                rest += literal(ch)
+            parts.append(rest + pattern(below))
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return pattern(tree)
 
 
 def has_any(text: Column, words: list[str]) -> Column:
