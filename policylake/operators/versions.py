@@ -30,6 +30,19 @@ def registry(events: DataFrame, deleted: str | None = None) -> DataFrame:
     return events.groupBy("official_url").agg(F.min("seq").alias("id"), *[F.max_by(c, "seq").alias(c) for c in rest])
 
 
+def sources_by_id(sources: DataFrame, wanted: DataFrame, key: str = "id") -> DataFrame:
+    """The sources whose id is wanted, once each; an id that isn't there, or null, has no row."""
+    return sources.join(wanted.select(key).distinct(), key, "left_semi")
+
+
+def status_updates(sources: DataFrame, updates: DataFrame) -> DataFrame:
+    """Sources (id, active, last_status and more) after updates (id, seq, status): the last status of each, and active as long as
+    that isn't inactive. Others stay as they are; updates of unknown sources do nothing."""
+    last = updates.groupBy("id").agg(F.max_by("status", "seq").alias("_status"))
+    out = sources.join(last, "id", "left")
+    return out.withColumns({"last_status": F.coalesce("_status", "last_status"), "active": F.when(F.col("_status").isNotNull(), F.col("_status") != "inactive").otherwise(F.col("active"))}).select(sources.columns)
+
+
 def source_checks(checks: DataFrame, source: str, at: str, success: str | Column) -> DataFrame:
     """last_checked of all checks, last_successful_check of those that succeeded."""
     return checks.groupBy(col(source).alias("source_id")).agg(F.max(at).alias("last_checked"), F.max(F.when(col(success), F.col(at))).alias("last_successful_check"))

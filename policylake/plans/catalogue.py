@@ -168,6 +168,33 @@ def registry_upsert(spark, sf_dir):
     return versions.registry(e)
 
 
+@query("""WITH e AS (SELECT 'user' || user_id % 700 AS official_url, event_id AS seq, event_type AS source_type, event_id % 23 = 0 AS gone FROM events), t AS (SELECT official_url, max(seq) FILTER (gone) AS last FROM e GROUP BY 1)
+SELECT official_url, min(seq) AS id, arg_max(source_type, seq) AS source_type FROM e JOIN t USING (official_url) WHERE last IS NULL OR seq > last GROUP BY official_url""")
+def registry_deleted(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.concat(F.lit("user"), (F.col("user_id") % 700).cast("string")).alias("official_url"), F.col("event_id").alias("seq"), F.col("event_type").alias("source_type"), (F.col("event_id") % 23 == 0).alias("gone"))
+    return versions.registry(e, "gone")
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 0)")
+def sources_by_id(spark, sf_dir):
+    known = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return versions.sources_by_id(known, read(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_custkey").alias("id")))
+
+
+@query("""SELECT c_custkey AS id, coalesce(s, 'unknown') AS last_status, CASE WHEN s IS NULL THEN c_custkey % 2 = 0 ELSE s <> 'inactive' END AS active
+FROM customer LEFT JOIN (SELECT o_custkey, arg_max(CASE WHEN o_orderkey % 4 = 0 THEN 'inactive' ELSE 'ok' END, o_orderkey) AS s FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) ON o_custkey = c_custkey""")
+def source_status(spark, sf_dir):
+    known = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 2 == 0).alias("active"), F.lit("unknown").alias("last_status"))
+    updates = read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 4 == 0, "inactive").otherwise("ok").alias("status"))
+    return versions.status_updates(known, updates).select("id", "last_status", "active")
+
+
+@query("SELECT regexp_replace(url, '[?#].*$', '') AS address, max(page_id) AS page_id, arg_max(url, page_id) AS url FROM pages GROUP BY 1")
+def document_by_url(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").select(F.regexp_replace("url", "[?#].*$", "").alias("address"), "page_id", "url")
+    return versions.latest(p, ["address"], "page_id")
+
+
 @query("SELECT user_id AS id, source_type FROM (SELECT user_id, arg_max(event_type, event_id) AS source_type FROM events GROUP BY user_id) WHERE source_type <> 'error' ORDER BY id")
 def active_sources(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), F.col("event_type").alias("source_type"))
@@ -995,6 +1022,17 @@ def document_context(spark, sf_dir):
     return out.select("doc_id", F.col("context").endswith("... [truncated]").alias("truncated"), F.md5("context").alias("context_md5"))
 
 
+@query("""WITH p AS (SELECT doc_id % 150 AS doc, avg(CASE WHEN doc_id % 3 = 0 THEN 40 + doc_id % 45 END) AS scan FROM documents GROUP BY 1), r AS (SELECT doc_id % 150 AS doc, count(*) AS rules, count(*) FILTER (toxic = 1) AS marked FROM labels GROUP BY 1)
+SELECT doc, round(scan, 6) AS scan_confidence, coalesce(rules, 0) AS rules, coalesce(marked, 0) AS rule_review_count, coalesce(marked, 0) > 0 OR coalesce(scan < 60, false) AS review_required FROM p LEFT JOIN r USING (doc)""")
+def scan_review(spark, sf_dir):
+    """Documents of which pages were scanned with more or less confidence, and rules of some."""
+    doc = (F.col("doc_id") % 150).alias("doc")
+    pages = read(spark, sf_dir, "documents").select(doc, F.when(F.col("doc_id") % 3 == 0, F.when(F.col("doc_id") % 2 == 0, "SCANNED").otherwise("TABLE")).otherwise("TEXT").alias("page_type"), (F.col("doc_id") % 45 + 40).cast("double").alias("avg_confidence"))
+    rules = read(spark, sf_dir, "labels").select(doc, (F.col("toxic") == 1).alias("review_required"), F.when(F.col("toxic") == 1, F.array(F.lit("toxic"))).otherwise(F.array().cast("array<string>")).alias("review_reasons"))
+    out = audit.document_review(rules, pages, "doc")
+    return out.select("doc", F.round("scan_confidence", 6).alias("scan_confidence"), "rules", "rule_review_count", "review_required")
+
+
 @query(f"SELECT lang, count(*) AS pages, count(*) FILTER ({USABLE}) AS usable, count(*) FILTER (NOT {USABLE}) AS needs_ocr FROM (SELECT lang, coalesce(text, '') AS text FROM documents) GROUP BY lang")
 def document_summary(spark, sf_dir):
     usable = X.is_usable("text")
