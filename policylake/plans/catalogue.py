@@ -577,6 +577,27 @@ def rule_compare(spark, sf_dir):
     return rules_diff.summarise(rules_diff.compare_rules(_rule_pairs(spark, sf_dir)))
 
 
+def _same_words(pairs: list[tuple[str, str]]) -> list[dict]:
+    """A provider that needs no model: rules are the same where they begin or end alike."""
+    return [{"same": a.split()[0] == b.split()[0] or a.split()[-1] == b.split()[-1], "change_type": "modified", "impact": "uncertain", "confidence": 0.8} for a, b in pairs]
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT p_partkey // 24 AS pair, p_partkey // 12 % 2 AS side, p_partkey AS seq, {_norm_sql("p_name")} AS norm FROM part),
+ru AS (SELECT *, split_part(norm, ' ', 1) AS w1, list_extract(string_split(norm, ' '), -1) AS w2 FROM w QUALIFY row_number() OVER (PARTITION BY pair, side, norm ORDER BY seq) = 1),
+eq AS (SELECT o.pair, o.seq AS old_seq, n.seq AS new_seq FROM ru o JOIN ru n ON n.pair = o.pair AND n.norm = o.norm AND o.side = 0 AND n.side = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY seq) AS k FROM ru WHERE side = 0 AND NOT EXISTS (SELECT 1 FROM eq WHERE eq.pair = ru.pair AND eq.old_seq = ru.seq)),
+nn AS (SELECT * FROM ru WHERE side = 1 AND NOT EXISTS (SELECT 1 FROM eq WHERE eq.pair = ru.pair AND eq.new_seq = ru.seq)),
+e AS (SELECT o.pair, o.k, list(n.seq ORDER BY n.seq) AS cand FROM o JOIN nn n ON n.pair = o.pair AND (n.w1 = o.w1 OR n.w2 = o.w2) GROUP BY o.pair, o.k),
+m AS (SELECT pair, CAST(0 AS BIGINT) AS k, []::BIGINT[] AS taken, NULL::BIGINT AS new_seq FROM (SELECT DISTINCT pair FROM o)
+  UNION ALL SELECT pair, k + 1, CASE WHEN f IS NULL THEN taken ELSE list_append(taken, f) END, f FROM (SELECT m.pair, m.k, m.taken, list_filter(e.cand, lambda x: NOT list_contains(m.taken, x))[1] AS f FROM m JOIN o ON o.pair = m.pair AND o.k = m.k + 1 LEFT JOIN e ON e.pair = o.pair AND e.k = o.k))
+SELECT pair, old_seq, new_seq, 'unchanged' AS change_type, 'no_eligibility_impact' AS impact FROM eq
+UNION ALL SELECT o.pair, o.seq, m.new_seq, CASE WHEN m.new_seq IS NULL THEN 'removed' ELSE 'modified' END, CASE WHEN m.new_seq IS NULL THEN 'eligibility_less_restrictive' ELSE 'uncertain' END FROM o JOIN m ON m.pair = o.pair AND m.k = o.k
+UNION ALL SELECT pair, NULL, seq, 'added', 'eligibility_more_restrictive' FROM nn WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.pair = nn.pair AND m.new_seq = nn.seq)""")
+def rule_verdicts(spark, sf_dir):
+    rules = _rule_pairs(spark, sf_dir).drop("rule", "category").join(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("rule")), "seq").withColumn("category", F.lit("disability"))
+    return rules_diff.compare_rules(rules, _same_words).select("pair", "old_seq", "new_seq", "change_type", "impact")
+
+
 # Rules and their evidence whose verdicts are known beforehand; {n} and {m} are a part's numbers, equal for even keys.
 _GOOD = "the farmer of the state is read in the order and dated for the plan"
 _CASES = [

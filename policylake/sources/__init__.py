@@ -22,9 +22,11 @@ def file_hashes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 def structured_documents(spark: SparkSession, path: str) -> DataFrame:
     """Pages of structured documents in JSON: path, filename, page_number, page_type, avg_confidence and text, which falls
-    back to the blocks' texts. A path that isn't JSON is an error."""
+    back to the blocks' texts. A file that isn't JSON is an error; a folder may have any name."""
     if not path.rstrip("/*").endswith((".json", "/")) and "." in path.rsplit("/", 1)[-1]:
-        raise ValueError(f"not a structured document: {path}")
+        fs, target = _fs(spark, path)
+        if not (fs.exists(target) and fs.getFileStatus(target).isDirectory()):
+            raise ValueError(f"not a structured document: {path}")
     schema = f"document struct<filename:string,source_url:string,total_pages:int>, sha256 string, pages array<{schemas.STRUCTURED_PAGE}>"
     docs = spark.read.schema(schema).json(path, multiLine=True).withColumn("path", F.input_file_name())
     pages = docs.select("path", F.col("document.filename").alias("filename"), F.explode_outer("pages").alias("p")).where("p IS NOT NULL")
