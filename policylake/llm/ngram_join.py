@@ -5,11 +5,13 @@ their first few (their prefixes), so sets linked by shared prefix shingles form
 two blocks of a large one, stores the sets of a block in a trie and sends every set down it: what the sets of a subtree
 have in common is compared once, and a subtree is left as soon as the lengths that remain can't give enough overlap.
 
-What the corpus decides: how common shingles are (a sketch of fixed size, summed over all of it) and which prefixes meet
-(a table sorted by shingle and size, over ranges, so that a common shingle needs no task of its own). A few sets with one
-prefix shingle are paired, and a parity bitmap refuses pairs that differ too much: the bits in which two bitmaps differ
-are never more than the shingles in which the sets do. Many sets with one shingle are only chained, and the chain breaks
-where sizes differ too much. What is asked for are the connected components of the links, so no group is ever expanded.
+What the corpus decides: how common shingles are and which prefixes meet (a table sorted by shingle and size, over ranges, so
+that a common shingle needs no task of its own). How common a shingle is, is what its words' counts let expect, or what its
+bucket of a sketch holds, where that is clearly more than others do. Both tables have a fixed size; a sketch of shingles alone
+tells none apart once a bucket holds hundreds, and prefixes then meet by chance. A few sets with one prefix shingle are paired,
+and a parity bitmap refuses pairs that differ too much: the bits in which two bitmaps differ are never more than the shingles
+in which the sets do. Of many sets with one shingle the bitmaps are compared in one place, in blocks, and only stars of those
+that may be alike come out. What is asked for are the connected components of the links, so no group is ever expanded.
 """
 
 from __future__ import annotations
@@ -27,14 +29,19 @@ from .components import Union, components
 from .shingles import shingle_sets
 from .tokenization import mix64, spans_of_rows, utf8_buffers
 
-#: 2 to this power counters say how common shingles are; their size is fixed, so they can go to all executors.
+#: 2 to this power counters say how common shingles are, as many more how common words are; their size is fixed, so they can go
+#: to all executors.
 SKETCH_BITS = 18
+#: A bucket of shingles says something if it is so many times further above the median than a sixth of all is below it.
+HEAVY = 3
 #: Shingles of a block; a task holds two blocks.
 BLOCK_SHINGLES = 1_000_000
 #: Bits of the filter that keeps texts out of the exchange which no group wants: half a megabyte on the executors.
 FILTER_BITS = 1 << 22
-#: Up to so many sets that share a prefix shingle are paired; more are chained.
+#: Up to so many sets that share a prefix shingle are paired; of more the bitmaps are compared in one place.
 PAIRED = 32
+#: Sets of a block of those.
+BLOCK_SETS = 4_000
 #: A component with more than one in so many of the rows doesn't go through a shuffle by its number.
 HOT = 2_000
 _BLOCK_BYTES = 500_000
@@ -150,36 +157,50 @@ def join_block(sets: list[np.ndarray], left: list[int], right: list[int], num: i
     return union
 
 
-def _rank(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Place in the global order: how common, then the hash. Equal shingles have equal places."""
-    bucket = (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-    return classes[bucket].astype(np.uint64) << np.uint64(56) | (mix64(hashes) >> np.uint64(8))
+class Order:
+    """The global order of shingles, rare ones first: quarter powers of two of how often one is expected, then the hash.
 
+    ``shingles`` and ``words`` are the counts by bucket. Any order gives the same links; a good one gives few candidates."""
 
-def _sketch(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
-    """How common shingles are: a class from 0 to 255 for each of 2**SKETCH_BITS buckets, quarter powers of two of the count."""
+    def __init__(self, shingles: np.ndarray, words: np.ndarray):
+        total = max(int(words.sum()), 1)
+        self.total = int(4 * np.log2(total))
+        self.costs = np.round(4 * np.log2(total / np.maximum(words, 1))).astype(np.int16)  # of a word: 0 if all words are it
+        low, usual = np.quantile(some, [0.16, 0.5]) if len(some := shingles[shingles > 0]) else (0, 0)
+        more = shingles - usual  # what a bucket holds besides shingles that meet in it by chance, if it is beyond their scatter
+        self.heavy = np.where(more > HEAVY * (usual - low), 4 * np.log2(np.maximum(more, 0) + 1.0), -(1 << 14)).astype(np.int16)
+
+    def rank(self, hashes: np.ndarray, costs: np.ndarray) -> np.ndarray:
+        """Place in the global order. Equal shingles have equal places."""
+        common = np.maximum(self.total - costs, self.heavy[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)])
+        return np.clip(common + 2048, 0, 4095).astype(np.uint64) << np.uint64(52) | (mix64(hashes) >> np.uint64(12))
+
+
+def _sketch(docs: DataFrame, text_col: str, size: int) -> Order:
+    """Counts of shingles and of words, each in 2**SKETCH_BITS buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total, words = np.zeros(1 << SKETCH_BITS, np.int64), np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             data, offsets = utf8_buffers(batch.column(0))
             for i, j in spans_of_rows(offsets, _BLOCK_BYTES):
-                grams, _ = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
+                grams, _ = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size, seen=words)
                 total += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
+        some = np.flatnonzero(total + words)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some]), pa.array(words[some])], names=["bucket", "n", "words"])
 
-    counts = docs.select(text_col).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2**SKETCH_BITS rows
-    classes = np.zeros(1 << SKETCH_BITS, np.uint8)
-    classes[counts["bucket"].to_numpy(np.int64)] = np.minimum(255, 4 * np.log2(counts["n"].to_numpy(np.float64) + 1)).astype(np.uint8)
-    return classes
+    counts = docs.select(text_col).mapInArrow(run, "bucket long, n long, words long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).toPandas()  # at most 2**SKETCH_BITS rows
+    tables = np.zeros((2, 1 << SKETCH_BITS), np.int64)
+    tables[:, counts["bucket"].to_numpy(np.int64)] = counts["n"], counts["words"]
+    return Order(*tables)
 
 
-def _sets_of(batch_column: pa.Array, size: int):
-    """(first row, hashes, edges) of blocks of rows."""
+def _sets_of(batch_column: pa.Array, size: int, order: Order):
+    """(first row, row behind, hashes, edges, ranks) of blocks of rows."""
     data, offsets = utf8_buffers(batch_column)
     for i, j in spans_of_rows(offsets, _BLOCK_BYTES):
-        yield i, j, *shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
+        hashes, edges, costs = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size, order.costs)
+        yield i, j, hashes, edges, order.rank(hashes, costs)
 
 
 def _signatures(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -215,69 +236,153 @@ def _difference(x: bytes, y: bytes) -> int:
 
 
 def _meet(num: int, den: int):
-    """For a partition of (token, n, s), sorted: edges (a, b, kind) of sets that share a token. Kind 0: a pair to look at;
-    1: a link of a chain. Chained are large groups, and the first and last group, which may go on in other partitions;
-    kind 2 and 3 are the partition's first and last row, b its token."""
+    """For a partition of (token, n, s), sorted: rows (a, b, kind). Kind 0: sets a and b, which share a token, are a pair to look
+    at; 1: set a is a member of the group of token b, whose bitmaps are compared together. That are large groups, and the first
+    and last group, which may go on in other partitions."""
 
     def pairs(n: np.ndarray, s: np.ndarray, out: list) -> None:
         i, j = np.triu_indices(len(s), 1)
         fits = den * n[i] >= num * n[j]  # sorted by size: i is not the larger
         out.append(np.stack([s[i][fits], s[j][fits], np.zeros(int(fits.sum()), np.int64)]))
 
-    def chain(n: np.ndarray, s: np.ndarray, out: list) -> None:
-        fits = den * n[:-1] >= num * n[1:]
-        out.append(np.stack([s[:-1][fits], s[1:][fits], np.ones(int(fits.sum()), np.int64)]))
+    def members(token: int, s: np.ndarray, out: list) -> None:
+        out.append(np.stack([s, np.full(len(s), token, np.int64), np.ones(len(s), np.int64)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
-        first, token, n, s, chained = None, None, np.empty(0, np.int64), np.empty(0, np.int64), True
+        # The last group so far; as members go the first one, and those that have become large.
+        token, n, s, together = None, np.empty(0, np.int64), np.empty(0, np.int64), True
 
         def flush(least: int) -> Iterator[pa.RecordBatch]:
             if sum(e.shape[1] for e in out) >= least and out:
-                edges = np.unique(np.concatenate(out, axis=1), axis=1)
+                rows = np.unique(np.concatenate(out, axis=1), axis=1)
                 out.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(e) for e in edges], names=["a", "b", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array(e) for e in rows], names=["a", "b", "kind"])
+
+        def settle() -> None:
+            if together or len(s) > PAIRED:
+                members(token, s, out)
+            elif len(s) > 1:
+                pairs(n, s, out)
 
         for batch in batches:
             if not len(batch):
                 continue
             t, bn, bs = (batch.column(k).to_numpy() for k in range(3))
-            if first is None:
-                first, token = (int(bs[0]), int(t[0])), int(t[0])
             cut = np.flatnonzero(t[1:] != t[:-1]) + 1
             starts, ends = np.append(0, cut), np.append(cut, len(t))
             some = np.flatnonzero(ends - starts > 1)
             for g in sorted({0, len(starts) - 1, *some.tolist()}):
                 a, b = int(starts[g]), int(ends[g])
-                gn, gs = bn[a:b], bs[a:b]
-                if int(t[a]) == token:  # goes on from before
-                    gn, gs = np.append(n, gn), np.append(s, gs)
+                if token is None or int(t[a]) == token:  # the first group, or one that goes on
+                    token, n, s = int(t[a]), np.append(n, bn[a:b]), np.append(s, bs[a:b])
                 else:
-                    if len(s) > 1:
-                        (chain if chained else pairs)(n, s, out)
-                    chained = False
-                    token = int(t[a])
-                if g < len(starts) - 1:
-                    if len(gs) > 1:
-                        (chain if chained or len(gs) > PAIRED else pairs)(gn, gs, out)
-                    n, s = gn[:0], gs[:0]
-                    token = None
-                else:
-                    if len(gs) > PAIRED:
-                        chained = True
-                        chain(gn, gs, out)
-                        gn, gs = gn[-1:], gs[-1:]
-                    n, s = gn, gs
+                    settle()
+                    token, n, s, together = int(t[a]), bn[a:b], bs[a:b], False
+                if len(s) > PAIRED:
+                    together = True
+                    members(token, s, out)
+                    n, s = n[:0], s[:0]
             yield from flush(400_000)
-        if first is not None:
-            if len(s) > 1:
-                chain(n, s, out)
-            out.append(np.array([[first[0], s[-1]], [first[1], token], [2, 3]], np.int64))
+        if token is not None:
+            together = True
+            settle()
             yield from flush(0)
 
     return run
 
 
+def _folded(bits: np.ndarray) -> np.ndarray:
+    half = bits.shape[1] // 2
+    return bits[:, :half] ^ bits[:, half:]
+
+
+def _stars(s: np.ndarray, n: np.ndarray, bits: list[bytes], left: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars (a, b) of the components of sets whose sizes and bitmaps let them be alike. Compared are all sets, or those marked in
+    ``left`` with the others, if both kinds are there."""
+    order = np.argsort(n, kind="stable")
+    s, n, left, bits = s[order], n[order], left[order], [bits[k] for k in order.tolist()]
+    width = np.array([len(x) for x in bits]) // 8
+    row, table = np.empty(len(s), np.int64), {}
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        row[at] = np.arange(len(at))
+        table[w] = np.frombuffer(b"".join(bits[k] for k in at.tolist()), "<u8").reshape(len(at), w)
+    both, open_ = bool(left.any() and not left.all()), np.ones(len(s), dtype=bool)
+    high = np.searchsorted(n, den * n // num, side="right")  # the first that is too large for each
+    low = np.searchsorted(n, -(-num * n // den), side="left")
+    a, b = [], []
+    for seed in range(len(s)):
+        if not open_[seed]:
+            continue
+        open_[seed] = False
+        stack = [seed]
+        while stack:
+            i = stack.pop()
+            near = low[i] + np.flatnonzero(open_[low[i] : high[i]])
+            if both:
+                near = near[left[near] != left[i]]
+            if not len(near):
+                continue
+            unlike, w = np.empty(len(near), np.int64), int(width[i])
+            for v in np.unique(width[near]).tolist():  # the wider ones are folded
+                at = np.flatnonzero(width[near] == v)
+                mine, theirs = table[w][row[i]][None], table[v][row[near[at]]]
+                while mine.shape[1] != theirs.shape[1]:
+                    if mine.shape[1] > theirs.shape[1]:
+                        mine = _folded(mine)
+                    else:
+                        theirs = _folded(theirs)
+                unlike[at] = np.bitwise_count(mine ^ theirs).sum(axis=1, dtype=np.int64)
+            total = n[near] + n[i]
+            found = near[unlike <= total - 2 * -(-num * total // (den + num))]
+            open_[found] = False
+            stack += found.tolist()
+            a.append(np.full(len(found), s[seed]))
+            b.append(s[found])
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64),) * 2
+
+
+def _group_edges(members: DataFrame, sketch: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (a, b) of sets that may be alike among the members (s, token) of each token; ``sketch`` has their sizes and bitmaps.
+
+    A group is dealt into blocks, and a task gets a block or two of them."""
+    sizes = members.groupBy("token").agg(F.ceil(F.count("*") / F.lit(float(BLOCK_SETS))).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1")
+    block = F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int")
+    tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    dealt = members.join(sizes, "token").withColumn("block", block).select("s", "token", "block", tasks.alias("tasks")).join(sketch, "s")
+    dealt = dealt.select("token", "s", "n", "bits", "block", F.explode_outer("tasks").alias("t")).select("token", "t.i", "t.j", "s", "n", "bits", "block")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, rows, done, n_done = None, [], [], 0
+
+        def solve() -> None:
+            s, n, block = (np.concatenate([r.column(c).to_numpy() for r in rows]) for c in ("s", "n", "block"))
+            done.append(_stars(s, n, [x for r in rows for x in r.column("bits").to_pylist()], block == task[1], num, den))
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = [batch.column(c).to_numpy() for c in ("token", "i", "j")]
+            cut = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))).tolist() + [len(batch)]
+            for a, b in zip(cut[:-1], cut[1:]):
+                this = tuple(int(k[a]) for k in keys)
+                if this != task:
+                    if rows:
+                        solve()
+                        n_done += len(done[-1][0])
+                    task, rows = this, []
+                rows.append(batch.slice(a, b - a))
+            if n_done > 400_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([d[k] for d in done])) for k in (0, 1)], names=["a", "b"])
+                done, n_done = [], 0
+        if rows:
+            solve()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([d[k] for d in done])) for k in (0, 1)], names=["a", "b"])
+
+    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(compare, "a long, b long")
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100, block_shingles: int = BLOCK_SHINGLES, node_col: str | None = None) -> DataFrame:
     """All rows of ``docs`` with n_shingles and component_id, the smallest ``id_col`` that links reach.
 
@@ -295,16 +400,16 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = [F.col(id_col).cast("string"), F.lit("|"), F.col(text_col)]
     # The row travels as one column, so that no name of its columns meets a name used here.
     keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit("second"), *parts).alias("k2"))
-    classes = _sketch(docs, text_col, size)
+    order = _sketch(docs, text_col, size)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, hashes, edges in _sets_of(batch.column("text"), size):
-                ranks, n = _rank(hashes, classes), np.diff(edges)
-                order = np.lexsort((ranks, np.repeat(np.arange(j - i), n)))
+            for i, j, hashes, edges, ranks in _sets_of(batch.column("text"), size, order):
+                n = np.diff(edges)
+                ranks = ranks[np.lexsort((ranks, np.repeat(np.arange(j - i), n)))]
                 keep = prefix_length(n, num, den) * (n > 0)
                 within = np.arange(len(ranks)) - np.repeat(edges[:-1], n)
-                first = ranks[order][within < np.repeat(keep, n)].view(np.int64)
+                first = ranks[within < np.repeat(keep, n)].view(np.int64)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), pa.array(first))
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), part.column("id"), pa.array(n.astype(np.int64)), pa.array(_signatures(hashes, edges)), prefix, pa.array(_bitmaps(hashes, edges), pa.binary())], names=kinds.names)
@@ -316,9 +421,6 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tokens = nodes.select("s", "n", F.explode_outer("prefix").alias("token")).select("token", "n", "s")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = materialize(tokens.repartitionByRange(n_parts, "token", "n", "s").sortWithinPartitions("token", "n", "s").mapInArrow(_meet(num, den), "a long, b long, kind long"), "jaccard-meetings")
-    # Chains go on from a partition's last row to the next one's first: two rows of each partition, in the tokens' order.
-    ends = sorted((r.b, -r.kind, r.a) for r in met.where("kind >= 2").collect())
-    over = [(x[2], y[2]) for x, y in zip(ends[:-1], ends[1:]) if x[0] == y[0] and x[2] != y[2]]
     pairs = met.where("kind = 0").select("a", "b").distinct()
     sketch = described.where("n > 0").groupBy("s").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
     left, right = sketch.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), sketch.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
@@ -330,9 +432,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     alike = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(look, "a long, b long")
-    edges = alike.union(met.where("kind = 1").select("a", "b").distinct())
-    if over:
-        edges = edges.union(spark.createDataFrame(over, "a long, b long"))
+    edges = alike.union(_group_edges(met.where("kind = 1").select(F.col("a").alias("s"), F.col("b").alias("token")).distinct(), sketch, num, den))
     groups = materialize(components(edges), "jaccard-groups")
     # Groups into blocks, block pairs into tasks.
     sizes = materialize(groups.join(described.where("n > 0").groupBy("s").agg(F.min("n").alias("n"), F.min(F.struct("k1", "k2")).alias("key")), F.col("node") == F.col("s")).select("node", "root", "n", "key.k1", "key.k2"), "jaccard-nodes")
@@ -344,9 +444,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def rank_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, hashes, edges in _sets_of(batch.column("text"), size):
-                ranks, n = _rank(hashes, classes), np.diff(edges)
-                ranks = ranks[np.lexsort((ranks, np.repeat(np.arange(j - i), n)))]
+            for i, j, _, edges, ranks in _sets_of(batch.column("text"), size, order):
+                ranks = ranks[np.lexsort((ranks, np.repeat(np.arange(j - i), np.diff(edges))))]
                 raw, at = ranks.astype("<u8").tobytes(), (edges * 8).tolist()
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("root"), part.column("block"), part.column("tasks"), pa.array([raw[a:b] for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["node", "root", "block", "tasks", "ranks"])
