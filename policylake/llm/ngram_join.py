@@ -8,10 +8,11 @@ have in common is compared once, and a subtree is left as soon as the lengths th
 What the corpus decides: how common shingles are and which prefixes meet (a table sorted by shingle and size, over ranges, so
 that a common shingle needs no task of its own). How common a shingle is, is what its words' counts let expect, or what its
 bucket of a sketch holds, where that is clearly more than others do. Both tables have a fixed size; a sketch of shingles alone
-tells none apart once a bucket holds hundreds, and prefixes then meet by chance. A few sets with one prefix shingle are paired,
-and a parity bitmap refuses pairs that differ too much: the bits in which two bitmaps differ are never more than the shingles
-in which the sets do. Of many sets with one shingle the bitmaps are compared in one place, in blocks, and only stars of those
-that may be alike come out. What is asked for are the connected components of the links, so no group is ever expanded.
+tells none apart once a bucket holds hundreds, and prefixes then meet by chance. A parity bitmap refuses pairs that differ too
+much: the bits in which two bitmaps differ are never more than the shingles in which the sets do. Two sets alone with a prefix
+shingle are such a pair. Of more with one shingle the bitmaps are compared in one place, in blocks, once for all shingles that
+the same sets share, and only stars of those that may be alike come out. What is asked for are the connected components of the
+links, so no group is ever expanded.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ HEAVY = 3
 BLOCK_SHINGLES = 1_000_000
 #: Bits of the filter that keeps texts out of the exchange which no group wants: half a megabyte on the executors.
 FILTER_BITS = 1 << 22
-#: Up to so many sets that share a prefix shingle are paired; of more the bitmaps are compared in one place.
-PAIRED = 32
+#: Up to so many sets that share a prefix shingle are gathered before their group is named.
+HELD = 10_000
 #: Sets of a block of those.
 BLOCK_SETS = 4_000
 #: A component with more than one in so many of the rows doesn't go through a shuffle by its number.
@@ -236,22 +237,35 @@ def _difference(x: bytes, y: bytes) -> int:
 
 
 def _meet(num: int, den: int):
-    """For a partition of (token, n, s), sorted: rows (a, b, kind). Kind 0: sets a and b, which share a token, are a pair to look
-    at; 1: set a is a member of the group of token b, whose bitmaps are compared together. That are large groups, and the first
-    and last group, which may go on in other partitions."""
-
-    def pairs(n: np.ndarray, s: np.ndarray, out: list) -> None:
-        i, j = np.triu_indices(len(s), 1)
-        fits = den * n[i] >= num * n[j]  # sorted by size: i is not the larger
-        out.append(np.stack([s[i][fits], s[j][fits], np.zeros(int(fits.sum()), np.int64)]))
+    """For a partition of (token, n, s), sorted: rows (a, b, kind), not more than rows that came in. Kind 0: sets a and b, the only
+    ones of their group, are a pair to look at; 1: set a is a member of group b, whose bitmaps are compared together. Here n is
+    twice the size, and one more where the token is late: of two alike sets the smaller has one that both share early.
+
+    A group shares a token, and each size is near enough to the one before. It is named after its members, so that all tokens
+    that the same sets share give one group; those that may go on in other partitions, and large ones, are named by the token."""
+
+    def useful(t: np.ndarray, n: np.ndarray, whole: int) -> np.ndarray:
+        """Early rows, and late ones behind an early one that isn't too small; all of the token ``whole``, of which more came before."""
+        early = n % 2 == 0
+        before = np.maximum.accumulate(np.where(early, np.arange(len(n)), 0))
+        return early | (t == whole) | (early[before] & (t[before] == t) & (den * (n[before] // 2) >= num * (n // 2)))
+
+    def groups(s: np.ndarray, starts: np.ndarray, sizes: np.ndarray, out: list) -> None:
+        """All of whose members are here."""
+        pair, more = starts[sizes == 2], sizes > 2
+        out.append(np.stack([s[pair], s[pair + 1], np.zeros(len(pair), np.int64)]))
+        with np.errstate(over="ignore"):
+            name = mix64(np.add.reduceat(mix64(s.view(np.uint64)), starts) + sizes.astype(np.uint64)).view(np.int64)
+        member = s[np.repeat(more, sizes)]
+        out.append(np.stack([member, np.repeat(name[more], sizes[more]), np.ones(len(member), np.int64)]))
 
     def members(token: int, s: np.ndarray, out: list) -> None:
         out.append(np.stack([s, np.full(len(s), token, np.int64), np.ones(len(s), np.int64)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
-        # The last group so far; as members go the first one, and those that have become large.
-        token, n, s, together = None, np.empty(0, np.int64), np.empty(0, np.int64), True
+        # The last group so far, which may go on; by_token: it is the first one, or a part of it went out already.
+        t, n, s, by_token, whole = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), True, None
 
         def flush(least: int) -> Iterator[pa.RecordBatch]:
             if sum(e.shape[1] for e in out) >= least and out:
@@ -259,34 +273,33 @@ def _meet(num: int, den: int):
                 out.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(e) for e in rows], names=["a", "b", "kind"])
 
-        def settle() -> None:
-            if together or len(s) > PAIRED:
-                members(token, s, out)
-            elif len(s) > 1:
-                pairs(n, s, out)
-
         for batch in batches:
             if not len(batch):
                 continue
-            t, bn, bs = (batch.column(k).to_numpy() for k in range(3))
-            cut = np.flatnonzero(t[1:] != t[:-1]) + 1
-            starts, ends = np.append(0, cut), np.append(cut, len(t))
-            some = np.flatnonzero(ends - starts > 1)
-            for g in sorted({0, len(starts) - 1, *some.tolist()}):
-                a, b = int(starts[g]), int(ends[g])
-                if token is None or int(t[a]) == token:  # the first group, or one that goes on
-                    token, n, s = int(t[a]), np.append(n, bn[a:b]), np.append(s, bs[a:b])
-                else:
-                    settle()
-                    token, n, s, together = int(t[a]), bn[a:b], bs[a:b], False
-                if len(s) > PAIRED:
-                    together = True
-                    members(token, s, out)
-                    n, s = n[:0], s[:0]
+            t, n, s = (np.append(x, batch.column(k).to_numpy()) for k, x in enumerate((t, n, s)))
+            whole = int(t[0]) if whole is None else whole
+            keep = useful(t, n, whole)
+            t, n, s = t[keep], n[keep], s[keep]
+            if not len(t):
+                continue
+            starts = np.append(0, np.flatnonzero((t[1:] != t[:-1]) | (den * (n[:-1] // 2) < num * (n[1:] // 2))) + 1)
+            last = int(starts[-1])
+            if last:
+                first = int(starts[1]) if by_token else 0
+                if by_token:
+                    members(int(t[0]), s[:first], out)
+                inner = starts[starts >= first]
+                if len(inner) > 1:
+                    groups(s[first:last], inner[:-1] - first, np.diff(inner), out)
+                by_token = False
+            t, n, s = t[last:], n[last:], s[last:]
+            if len(s) > HELD:
+                by_token, whole = True, int(t[0])
+                members(whole, s[:-1], out)
+                t, n, s = t[-1:], n[-1:], s[-1:]
             yield from flush(400_000)
-        if token is not None:
-            together = True
-            settle()
+        if len(s):
+            members(int(t[0]), s, out)
             yield from flush(0)
 
     return run
@@ -418,7 +431,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     described = materialize(keyed.select("k1", "k2", "id", "text").mapInArrow(describe, kinds), "jaccard-sets")
     # One row per distinct set; equal sets are one node.
     nodes = described.where("n > 0").groupBy("s").agg(F.min("n").alias("n"), F.min(F.struct("k1", "k2")).alias("key"), F.first("prefix").alias("prefix"))
-    tokens = nodes.select("s", "n", F.explode_outer("prefix").alias("token")).select("token", "n", "s")
+    late = F.expr(f"CAST(at > n - ({2 * num} * n + {den + num - 1}) DIV {den + num} AS LONG)")  # behind the prefix for sets as large or larger
+    tokens = nodes.select("s", "n", F.posexplode_outer("prefix").alias("at", "token")).select("token", (2 * F.col("n") + late).alias("n"), "s")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = materialize(tokens.repartitionByRange(n_parts, "token", "n", "s").sortWithinPartitions("token", "n", "s").mapInArrow(_meet(num, den), "a long, b long, kind long"), "jaccard-meetings")
     pairs = met.where("kind = 0").select("a", "b").distinct()
